@@ -1,10 +1,12 @@
 """The subpackage's queries and their SQL, by name."""
 
-from tiza.llm import quality_rules, url_filter
+from tiza.llm import mixing, pii, quality_rules, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op4_quality_rules": quality_rules.op4_quality_rules,
+    "op6_mixing": mixing.op6_mixing,
+    "op7_pii": pii.op7_pii,
 }
 ORACLES = {
     "op1_url_filter": url_filter.ORACLE,
