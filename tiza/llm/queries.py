@@ -1,6 +1,6 @@
 """The subpackage's queries and their SQL, by name."""
 
-from tiza.llm import byte_bpe, mixing, pii, quality_rules, url_filter
+from tiza.llm import byte_bpe, mixing, pii, quality_rules, url_filter, warc
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -8,8 +8,10 @@ QUERIES = {
     "op6_mixing": mixing.op6_mixing,
     "op7_pii": pii.op7_pii,
     "op9_byte_bpe": byte_bpe.op9_byte_bpe,
+    "op10_warc": warc.op10_warc,
 }
 ORACLES = {
     "op1_url_filter": url_filter.ORACLE,
     "op4_quality_rules": quality_rules.ORACLE,
+    "op10_warc": warc.ORACLE,
 }
