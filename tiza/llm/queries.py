@@ -1,12 +1,13 @@
 """The subpackage's queries and their SQL, by name."""
 
-from tiza.llm import byte_bpe, mixing, pii, quality_rules, url_filter, warc
+from tiza.llm import byte_bpe, lz_fingerprint, mixing, pii, quality_rules, url_filter, warc
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op6_mixing": mixing.op6_mixing,
     "op7_pii": pii.op7_pii,
+    "op8_lz_fingerprint": lz_fingerprint.op8_lz_fingerprint,
     "op9_byte_bpe": byte_bpe.op9_byte_bpe,
     "op10_warc": warc.op10_warc,
 }
