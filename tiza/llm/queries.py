@@ -1,12 +1,13 @@
 """The subpackage's queries and their SQL, by name."""
 
-from tiza.llm import byte_bpe, language_id, lz_fingerprint, mixing, ngram_join, pii, quality_rules, url_filter, warc
+from tiza.llm import byte_bpe, language_id, lz_fingerprint, mixing, ngram_join, pii, quality_rules, repeated_spans, url_filter, warc
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op2_ngram_join": ngram_join.op2_ngram_join,
     "op3_language_id": language_id.op3_language_id,
     "op4_quality_rules": quality_rules.op4_quality_rules,
+    "op5_repeated_spans": repeated_spans.op5_repeated_spans,
     "op6_mixing": mixing.op6_mixing,
     "op7_pii": pii.op7_pii,
     "op8_lz_fingerprint": lz_fingerprint.op8_lz_fingerprint,
