@@ -27,7 +27,6 @@ import public_tokenizers
 import pyarrow as pa
 import regex
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,11 +35,12 @@ from tiza.llm.common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 BLOCK_CHARS = 8_000_000
-#: Word buckets. A task holds the distinct words of one bucket at a time, at most CACHE of them.
-BUCKETS = 256
+#: Word buckets: twice spark.sql.shuffle.partitions within these bounds. A task holds the distinct words of one bucket at a
+#: time, at most CACHE of them.
+BUCKETS = (256, 4096)
 CACHE = 400_000
 SEQUENCE = -1  # bucket number of a block's own row
-SEGMENT = "part int, block bigint, bucket int, payload binary"
+SEGMENT = "block bigint, bucket int, payload binary"
 ENCODED = "doc_id bigint, n_tokens bigint, ids binary"
 
 
@@ -124,7 +124,8 @@ def _words(payload: bytes) -> list[bytes]:
     return [raw[a:b] for a, b in zip(starts, ends.tolist(), strict=True)]
 
 
-def _segments(buckets: int, block_chars: int, pattern: str):
+def _segments(buckets: int, block_chars: int, pattern: str, words_only: bool):
+    """Blocks' words by bucket (words_only), or else their sequences. Both cut the same blocks and number words alike."""
     split = regex.compile(pattern).findall
 
     def block_rows(numbers: dict[str, int], ids: list, codes: list[np.ndarray], digest: bytes) -> Iterator[tuple]:
@@ -133,36 +134,39 @@ def _segments(buckets: int, block_chars: int, pattern: str):
         of = np.fromiter((zlib.crc32(w) % buckets for w in words), np.uint32, len(words))
         order = np.argsort(of, kind="stable")
         bounds = np.searchsorted(of[order], np.arange(buckets + 1))
-        for b in np.flatnonzero(np.diff(bounds)).tolist():
+        for b in np.flatnonzero(np.diff(bounds)).tolist() if words_only else ():
             own = [words[i] for i in order[bounds[b] : bounds[b + 1]]]
             lengths = np.array([len(own), *map(len, own)], "<u4").tobytes()
-            yield b, block, b, zstandard.compress(lengths + b"".join(own), 3)
+            yield block, b, zstandard.compress(lengths + b"".join(own), 3)
+        if words_only:
+            return
         none = np.array([i is None for i in ids], np.uint32)
         whole = np.array([0 if i is None else i for i in ids], np.int64).view("<u4")
         seq = np.concatenate(codes) if codes else np.zeros(0, np.uint32)
-        yield buckets + block % buckets, block, SEQUENCE, _pack(none, whole, np.array([len(c) for c in codes], np.uint32), seq, of)
+        yield block, SEQUENCE, _pack(none, whole, np.array([len(c) for c in codes], np.uint32), seq, of)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, index = TaskContext.get().partitionId(), 0
+        index = 0
 
         def fresh():
             d = defaultdict()
             d.default_factory = d.__len__
-            # a block's name follows from its task, place and content, so a task that runs again names it the same
-            return d, [], [], 0, blake2b(f"{task}:{index}".encode(), digest_size=8)
+            # a block's name follows from its partition, place and content, so a task that runs again names it the same
+            return d, [], [], 0, blake2b(f"{index}".encode(), digest_size=8)
 
         def out(rows: Iterator[tuple]) -> pa.RecordBatch:
-            part, block, bucket, payload = zip(*rows, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(block, pa.int64()), pa.array(bucket, pa.int32()), pa.array(payload, pa.binary())], ["part", "block", "bucket", "payload"])
+            block, bucket, payload = list(zip(*rows, strict=True)) or ((), (), ())
+            return pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(bucket, pa.int32()), pa.array(payload, pa.binary())], ["block", "bucket", "payload"])
 
         numbers, ids, codes, size, digest = fresh()
         for batch in batches:
+            part = batch.column(2)[0].as_py() if len(batch) else None
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = text.as_py() or ""
                 words = split(text)
                 ids.append(doc_id)
                 codes.append(np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words)))
-                digest.update(f"{doc_id}:{len(words)}:{zlib.crc32(text.encode())}".encode())
+                digest.update(f"{part}:{doc_id}:{len(words)}:{zlib.crc32(text.encode())}".encode())
                 size += len(text) + 100
                 if size >= block_chars:
                     yield out(block_rows(numbers, ids, codes, digest.digest()))
@@ -179,21 +183,18 @@ def _merger(shared_ranks):
         ranks, known, at = shared_ranks.value, {}, None
         for batch in batches:
             payloads = []
-            for bucket, payload in zip(batch.column(2).to_pylist(), batch.column(3), strict=True):
-                payload = payload.as_py()
-                if bucket != SEQUENCE:
-                    if bucket != at or len(known) > CACHE:
-                        known, at = {}, bucket
-                    counts, ids = [], []
-                    for w in _words(payload):
-                        got = known.get(w)
-                        if got is None:
-                            got = known[w] = tuple(merge(w, ranks))
-                        counts.append(len(got))
-                        ids.extend(got)
-                    payload = _pack(np.array(counts, np.uint32), np.array(ids, np.uint32))
-                payloads.append(payload)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(payloads, pa.binary())], ["part", "block", "bucket", "payload"])
+            for bucket, payload in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if bucket != at or len(known) > CACHE:
+                    known, at = {}, bucket
+                counts, ids = [], []
+                for w in _words(payload):
+                    got = known.get(w)
+                    if got is None:
+                        got = known[w] = tuple(merge(w, ranks))
+                    counts.append(len(got))
+                    ids.extend(got)
+                payloads.append(_pack(np.array(counts, np.uint32), np.array(ids, np.uint32)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(payloads, pa.binary())], ["block", "bucket", "payload"])
 
     return run
 
@@ -235,15 +236,18 @@ def _assemble(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out, held = [], 0
 
 
-def encode(docs: DataFrame, path: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN, buckets: int = BUCKETS, block_chars: int = BLOCK_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, path: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN, buckets: int | None = None, block_chars: int = BLOCK_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids): ids are packed as little-endian unsigned 32-bit integers.
 
-    docs must read the same rows in the same order if a task runs again, as files do."""
+    docs is read twice, once for the words and once for the sequences: that costs less than moving the sequences along with
+    the words. It must read the same rows in the same order each time, as files do."""
+    if not buckets:
+        buckets = min(max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), BUCKETS[0]), BUCKETS[1])
     ranks = docs.sparkSession.sparkContext.broadcast(load_ranks(path))  # bounded by the vocabulary
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    seg = rows.mapInArrow(_segments(buckets, block_chars, pattern), SEGMENT)
-    merged = seg.repartition("part").sortWithinPartitions("part", "bucket").mapInArrow(_merger(ranks), SEGMENT)
-    return merged.groupBy("block").applyInArrow(_assemble, ENCODED)
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), F.spark_partition_id().alias("part"))
+    words, sequences = (rows.mapInArrow(_segments(buckets, block_chars, pattern, w), SEGMENT) for w in (True, False))
+    merged = words.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_merger(ranks), SEGMENT)
+    return merged.unionByName(sequences).groupBy("block").applyInArrow(_assemble, ENCODED)
 
 
 def decode(encoded: DataFrame, path: str = VOCABULARY, ids_col: str = "ids", out_col: str = "bytes") -> DataFrame:
