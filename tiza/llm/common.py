@@ -64,19 +64,20 @@ def beta_strength(total: Column, mean: Column, weighted_var: Column, groups: Col
     return F.least(F.greatest(spread / between - 1, F.lit(1.0)), F.lit(1e6))
 
 
-def join_by_key(left: DataFrame, right: DataFrame, key: str, count: str, heavy: int = 1000) -> DataFrame:
+def join_by_key(left: DataFrame, right: DataFrame, key: str, count: str, heavy: int = 1000, spread: list[str] | None = None) -> DataFrame:
     """left join of right(key, count, values...), one row per non-null key, onto left's rows, without a hot task.
 
     Keys with 1 / heavy or more of all counted rows, of which there are at most `heavy`, are looked up in a broadcast of
-    that proven size. Only the others need the shuffle; rows already served are dealt out by a hash of themselves."""
+    that proven size. Only the others need the shuffle; rows already served are dealt out by a hash of the columns in `spread`, all of left's without it."""
     values = [c for c in right.columns if c not in (key, count)]
     total = right.agg(F.sum(count).alias("_total"))  # one row
-    r = right.join(F.broadcast(total)).select(F.col(key).alias("_key"), F.struct(*values).alias("_value"), (F.col(count) * heavy >= F.col("_total")).alias("_hot"))
+    r = right.join(F.broadcast(total)).select(F.col(key).alias("_key"), F.col(count).alias("_count"), F.struct(*values).alias("_value"), (F.col(count) * heavy >= F.col("_total")).alias("_hot"))
     hot = r.where("_hot").select(F.col("_key").alias("_hot_key"), F.col("_value").alias("_hot_value"))
-    cold = r.where("not _hot").select(F.col("_key").alias("_cold_key"), F.lit(-1).alias("_cold_salt"), F.col("_value").alias("_cold_value"))
+    # a plain -1 would be folded out of the join's keys, and served rows would again meet in one task
+    cold = r.where("not _hot").select(F.col("_key").alias("_cold_key"), F.when(F.col("_count") > 0, -1).alias("_cold_salt"), F.col("_value").alias("_cold_value"))
     served = F.col("_hot_key").isNotNull() | F.col(key).isNull()
     at = left.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
-    at = at.withColumn("_salt", F.when(served, F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(1000)).cast("int")).otherwise(-1))
+    at = at.withColumn("_salt", F.when(served, F.pmod(F.xxhash64(*[F.col(c) for c in spread or left.columns]), F.lit(1000)).cast("int")).otherwise(-1))
     out = at.join(cold, (F.col(key) == F.col("_cold_key")) & (F.col("_salt") == F.col("_cold_salt")), "left")
     out = out.withColumn("_value", F.coalesce("_hot_value", "_cold_value"))
     return out.select(*left.columns, *[F.col(f"_value.{v}").alias(v) for v in values])
