@@ -1,4 +1,412 @@
 """Queries over the driver's tables and the equivalent SQL, by name."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tiza.functions import json_repair, numeric, text
+from tiza.operators import batching, fuzzy_join, ledger, merge, names, omr, parse, scoring
+from tiza.operators.dedupe import first_wins
+from tiza.sources.readers import joined_pages, table
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+ANSWER_ORDER = ["l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+ANSWER_SQL = ", ".join(ANSWER_ORDER)
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def _grade_sql(score: str, maximum: str, pct: str = "60.0") -> str:
+    ap = f"ceil({maximum} * (least(100.0::DOUBLE, {pct}::DOUBLE) / 100))"
+    s = f"greatest(0.0::DOUBLE, {score})"
+    raw = f"CASE WHEN {s} = 0 THEN 1.0::DOUBLE WHEN {s} <= {ap} THEN least(4.0::DOUBLE, 1.0::DOUBLE + 3.0::DOUBLE * {s} / nullif({ap}, 0)) WHEN {maximum} = {ap} THEN 7.0::DOUBLE ELSE 4.0::DOUBLE + 3.0::DOUBLE * ({s} - {ap}) / nullif({maximum} - {ap}, 0) END"
+    return f"CASE WHEN {maximum} <= 0 THEN 1.0::DOUBLE ELSE least(7.0::DOUBLE, floor(({raw}) * 10.0::DOUBLE + 0.5::DOUBLE) / 10.0::DOUBLE) END"
+
+
+def _gradebook(spark: SparkSession, d: str) -> DataFrame:
+    """One graded exam per order: line items are answers, the line number is an answer's worth, flag N is right."""
+    a = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *ANSWER_ORDER, "l_returnflag")
+    a = a.select("l_orderkey", F.col("l_linenumber").alias("question"), *ANSWER_ORDER, F.col("l_returnflag").alias("given"), F.lit("N").alias("right"), F.col("l_linenumber").cast("long").alias("max_score"))
+    return scoring.graded(scoring.closed_score(a, ["l_orderkey"], ANSWER_ORDER))
+
+
+_SCORES = f"""SELECT l_orderkey, sum(CASE WHEN l_returnflag = 'N' THEN l_linenumber ELSE 0 END)::BIGINT AS score, sum(l_linenumber)::BIGINT AS max_score
+  FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY {ANSWER_SQL}, l_returnflag) AS rn FROM lineitem) WHERE rn = 1 GROUP BY 1"""
+_GRADED = f"SELECT *, ceil(max_score * 0.6::DOUBLE)::BIGINT AS pass_points, {_grade_sql('score::DOUBLE', 'max_score::DOUBLE')} AS grade FROM ({_SCORES})"
+
+
+@query(
+    "gradebook",
+    f"""SELECT l_orderkey, c_custkey, c_name, score, max_score, pass_points, grade FROM ({_GRADED}) JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey""",
+)
+def gradebook(spark, d):
+    o, c = table(spark, d, "orders").select("o_orderkey", "o_custkey"), table(spark, d, "customer").select("c_custkey", "c_name")
+    j = _gradebook(spark, d).join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey"))
+    return j.select("l_orderkey", "c_custkey", "c_name", "score", "max_score", "pass_points", "grade")
+
+
+@query(
+    "grade_velocimeter",
+    f"""SELECT l_orderkey, least(100.0::DOUBLE, 100.0::DOUBLE * score / nullif(max_score, 0)) AS percent, least(100.0::DOUBLE, 100.0::DOUBLE * pass_points / nullif(max_score, 0)) AS percent_pass,
+    score >= pass_points AS approved FROM ({_GRADED})""",
+)
+def grade_velocimeter(spark, d):
+    m = F.col("max_score").cast("double")
+    return _gradebook(spark, d).select("l_orderkey", numeric.percent(F.col("score"), m).alias("percent"), numeric.percent(F.col("pass_points"), m).alias("percent_pass"), (F.col("score") >= F.col("pass_points")).alias("approved"))
+
+
+@query(
+    "grade_variants",
+    f"""WITH s AS (SELECT l_orderkey, score::DOUBLE AS s, max_score::DOUBLE AS m, max_score * 60.0::DOUBLE / 100 AS ap, grade FROM ({_GRADED}))
+    SELECT l_orderkey, floor(greatest(1.0::DOUBLE, least(7.0::DOUBLE, CASE WHEN s >= ap THEN 4.0::DOUBLE + CASE WHEN m - ap > 0 THEN (s - ap) / nullif(m - ap, 0) ELSE 0.0::DOUBLE END * 3.0::DOUBLE
+      ELSE 1.0::DOUBLE + CASE WHEN ap > 0 THEN s / nullif(ap, 0) ELSE 0.0::DOUBLE END * 3.0::DOUBLE END)) * 10.0::DOUBLE + 0.5::DOUBLE) / 10.0::DOUBLE AS unceiled, grade + 0.3::DOUBLE AS with_tenths FROM s""",
+)
+def grade_variants(spark, d):
+    s, m = F.col("score").cast("double"), F.col("max_score").cast("double")
+    return _gradebook(spark, d).select("l_orderkey", numeric.grade_unceiled(s, m, F.lit(60.0)).alias("unceiled"), numeric.final_grade(F.col("grade"), F.lit(0.3)).alias("with_tenths"))
+
+
+@query(
+    "stats_by_area",
+    f"""SELECT c_mktsegment AS area, count(*)::BIGINT AS n, count_if(score >= pass_points)::BIGINT AS approved, sum(score)::BIGINT AS points, min(grade) AS lowest, max(grade) AS highest
+    FROM ({_GRADED}) JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey GROUP BY 1""",
+)
+def stats_by_area(spark, d):
+    o, c = table(spark, d, "orders").select("o_orderkey", "o_custkey"), table(spark, d, "customer").select("c_custkey", F.col("c_mktsegment").alias("area"))
+    j = _gradebook(spark, d).join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey"))
+    return j.groupBy("area").agg(F.count("*").alias("n"), F.count_if(F.col("score") >= F.col("pass_points")).alias("approved"), F.sum("score").alias("points"), F.min("grade").alias("lowest"), F.max("grade").alias("highest"))
+
+
+def _sheets(spark, d) -> DataFrame:
+    """A score sheet per brand: development items where the size is a multiple of five."""
+    item = F.concat(F.when(F.col("p_size") % 5 == 0, F.lit("P")).otherwise("SM"), F.col("p_partkey").cast("string"), F.lit(":"), F.col("p_size").cast("string"))
+    p = table(spark, d, "part").select("p_brand", "p_partkey", item.alias("item"))
+    return joined_pages(p, ["p_brand"], "p_partkey", "item", "; ").select("p_brand", F.col("text").alias("sheet"))
+
+
+_ITEMS = """SELECT p_brand, pos, trim(split_part(pair, ':', 1)) AS id, trim(split_part(pair, ':', 2))::INT AS max_score FROM (
+  SELECT p_brand, unnest(string_split(sheet, ';')) AS pair, unnest(range(len(string_split(sheet, ';'))))::INT AS pos FROM (
+    SELECT p_brand, string_agg((CASE WHEN p_size % 5 = 0 THEN 'P' ELSE 'SM' END) || p_partkey || ':' || p_size, '; ' ORDER BY p_partkey) AS sheet FROM part GROUP BY 1))"""
+
+
+@query("score_sheet_parse", f"SELECT *, starts_with(id, 'P') AS is_development FROM ({_ITEMS}) WHERE max_score > 0")
+def score_sheet_parse(spark, d):
+    return parse.score_sheet(_sheets(spark, d), "sheet").select("p_brand", "pos", "id", "max_score", "is_development")
+
+
+@query(
+    "max_reconcile",
+    f"""SELECT p_brand, sum(CASE WHEN starts_with(id, 'P') THEN 0 ELSE max_score END)::BIGINT AS closed_max, sum(CASE WHEN starts_with(id, 'P') THEN max_score ELSE 0 END)::BIGINT AS development_max,
+    sum(max_score)::BIGINT AS item_max, sum(max_score)::BIGINT AS total_max FROM ({_ITEMS}) WHERE max_score > 0 GROUP BY 1""",
+)
+def max_reconcile(spark, d):
+    return scoring.maximum(parse.score_sheet(_sheets(spark, d), "sheet"), ["p_brand"], F.lit(60).cast("long"))
+
+
+@query(
+    "answer_key_map",
+    """SELECT p_brand, 'Q' || (p_partkey % 7) AS id, upper(substr(arg_max(p_type, p_partkey), 1, 1)) AS answer FROM part GROUP BY 1, 2""",
+)
+def answer_key_map(spark, d):
+    pair = F.concat(F.lit("Q"), (F.col("p_partkey") % 7).cast("string"), F.lit(": "), F.upper(F.substring("p_type", 1, 1)))
+    p = table(spark, d, "part").select("p_brand", "p_partkey", pair.alias("pair"))
+    return parse.answer_key(joined_pages(p, ["p_brand"], "p_partkey", "pair", ";"), ["p_brand"], "text")
+
+
+_QID = "CASE doc_id % 4 WHEN 0 THEN 'SM1' WHEN 1 THEN 'VF2' WHEN 2 THEN 'TP3' ELSE 'X' END"
+_NORM = f"""SELECT doc_id, q, CASE WHEN t = '' THEN 'SIN_RESPUESTA:low'
+  WHEN q = 'SM1' AND regexp_matches(t, '^[A-E][ \\t\\n\\r\\f\\x0b):(.]') THEN t[1] || ':high'
+  WHEN q = 'SM1' AND regexp_matches(t, '^[A-E]') THEN t[1] || CASE WHEN length(t) > 1 THEN ':low' ELSE ':high' END
+  WHEN q = 'VF2' AND regexp_matches(t, '^[VF]') THEN t[1] || CASE WHEN length(t) > 1 THEN ':low' ELSE ':high' END
+  WHEN q = 'TP3' AND regexp_matches(t, '[0-9]') THEN regexp_extract(t, '([0-9]+)', 1) || ':high'
+  WHEN regexp_matches(t, '^([A-F]|[0-9])') THEN regexp_extract(t, '^([A-F]|[0-9]+)', 1) || ':low' ELSE 'SIN_RESPUESTA:low' END AS r
+  FROM (SELECT doc_id, {_QID} AS q, upper(regexp_replace(coalesce(text, ''), '^[ \\t\\n\\r\\f\\x0b]+|[ \\t\\n\\r\\f\\x0b]+$', '', 'g')) AS t FROM documents)"""
+
+
+def _normalised(spark, d) -> DataFrame:
+    k = F.col("doc_id") % 4
+    docs = table(spark, d, "documents").select("doc_id", "text", F.when(k == 0, "SM1").when(k == 1, "VF2").when(k == 2, "TP3").otherwise("X").alias("q"))
+    return docs.select("doc_id", "q", text.normalise_answer(F.col("text"), F.col("q"), F.lit(None).cast("string")).alias("a"))
+
+
+@query("answer_normalise", f"SELECT doc_id, split_part(r, ':', 1) AS answer, split_part(r, ':', 2) AS confidence FROM ({_NORM})")
+def answer_normalise(spark, d):
+    return _normalised(spark, d).select("doc_id", F.col("a.text").alias("answer"), F.col("a.confidence").alias("confidence"))
+
+
+@query(
+    "needs_review",
+    f"""SELECT doc_id, a <> 'A' OR length(a) > 2 OR (q = 'VF2' AND a NOT IN ('V', 'F')) OR (q = 'TP3' AND NOT regexp_matches(a, '^[+-]?[0-9]')) OR (q = 'SM1' AND a NOT IN ('A', 'B', 'C', 'D', 'E')) AS review
+    FROM (SELECT doc_id, q, split_part(r, ':', 1) AS a FROM ({_NORM}))""",
+)
+def needs_review(spark, d):
+    return _normalised(spark, d).select("doc_id", text.needs_review(F.col("q"), F.col("a.text"), F.lit("A")).alias("review"))
+
+
+_FUZZY = """SELECT p_partkey, q AS question, arg_min(id, far * 1000000 + pos) AS item_id, coalesce(arg_min(m, far * 1000000 + pos), 1)::INT AS item_max FROM (
+  SELECT p_partkey, q, id, pos, m, CASE WHEN {far} THEN 0 ELSE 1 END AS far FROM (SELECT p_partkey, 'SM' || (p_partkey % 40) AS q FROM part)
+  LEFT JOIN (SELECT 'SM' || n_nationkey AS id, n_nationkey AS pos, n_regionkey + 1 AS m FROM nation) ON contains(q, id) OR contains(id, q)) GROUP BY 1, 2"""
+
+
+def _fuzzy(spark, d, compat):
+    q = table(spark, d, "part").select("p_partkey", F.concat(F.lit("SM"), (F.col("p_partkey") % 40).cast("string")).alias("question"))
+    i = table(spark, d, "nation").select(F.col("n_nationkey").alias("pos"), F.concat(F.lit("SM"), F.col("n_nationkey").cast("string")).alias("id"), (F.col("n_regionkey") + 1).alias("max_score"))
+    return fuzzy_join.match_items(q, i, compat=compat)
+
+
+@query("fuzzy_item_join", _FUZZY.format(far="id = q"))
+def fuzzy_item_join(spark, d):
+    return _fuzzy(spark, d, False)
+
+
+@query("fuzzy_item_join_compat", _FUZZY.format(far="TRUE"))
+def fuzzy_item_join_compat(spark, d):
+    return _fuzzy(spark, d, True)
+
+
+@query(
+    "positional_zip",
+    """WITH c AS (SELECT conv_id, list(text ORDER BY turn, text) FILTER (role = 'user') AS u, list(text ORDER BY turn, text) FILTER (role <> 'user') AS a FROM conversations GROUP BY 1)
+    SELECT conv_id, (i - 1)::INT AS pos, length(u[i])::INT AS asked, length(coalesce(a[i], ''))::INT AS answered FROM (SELECT *, unnest(range(1, len(u) + 1)) AS i FROM c)""",
+)
+def positional_zip(spark, d):
+    c = table(spark, d, "conversations")
+    own = lambda cond: F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("turn", "text")))), lambda s: s["text"])
+    g = c.groupBy("conv_id").agg(own(F.col("role") == "user").alias("u"), own(F.col("role") != "user").alias("a"))
+    z = g.select("conv_id", F.inline(merge.zipped(F.col("u"), F.col("a"))))
+    return z.select("conv_id", "pos", F.length("right").alias("asked"), F.length("given").alias("answered"))
+
+
+@query(
+    "dev_points",
+    """SELECT l_orderkey, sum(CASE WHEN ok THEN n ELSE 0 END)::BIGINT AS strict, sum(n)::BIGINT AS lenient FROM (
+    SELECT DISTINCT ON (l_orderkey, l_linenumber) l_orderkey, l_linenumber, floor(q)::BIGINT AS n, q % 2 = 0 AS ok FROM (
+      SELECT l_orderkey, l_linenumber, min(l_quantity) AS q FROM lineitem GROUP BY 1, 2)) GROUP BY 1""",
+)
+def dev_points(spark, d):
+    li = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_quantity").cast("long").alias("n"))
+    value = F.concat(F.col("n").cast("string"), F.when(F.col("n") % 2 == 0, "/50").otherwise("/50 aprox."))
+    detail = F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("P"), F.col("l_linenumber").cast("string")), F.struct(value.alias("puntaje"), F.lit("").alias("cita_estudiante"), F.lit("").alias("justificacion")))))
+    g = li.groupBy("l_orderkey").agg(detail.alias("detail"))
+    return g.select("l_orderkey", scoring.development_points(F.col("detail")).alias("strict"), scoring.development_points_lenient(F.col("detail")).alias("lenient"))
+
+
+def _entries(spark, d, debit: int) -> DataFrame:
+    e = table(spark, d, "events").where(F.col("event_type").isin("purchase", "click"))
+    return e.select("event_id", "ts", "user_id", F.when(F.col("event_type") == "purchase", 10).otherwise(debit).cast("long").alias("delta"), F.get_json_object("props", "$.k").cast("int").alias("k"))
+
+
+@query(
+    "ledger_balance",
+    """SELECT event_id, user_id, sum(CASE WHEN event_type = 'purchase' THEN 10 ELSE -1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS balance
+    FROM events WHERE event_type IN ('purchase', 'click')""",
+)
+def ledger_balance(spark, d):
+    return ledger.running_balance(_entries(spark, d, -1), "user_id", ["ts", "event_id"]).select("event_id", "user_id", "balance")
+
+
+@query(
+    "ledger_idempotent",
+    """SELECT user_id, sum(delta)::BIGINT AS balance FROM (SELECT user_id, CASE WHEN event_type = 'purchase' THEN 10 ELSE -1 END AS delta,
+    row_number() OVER (PARTITION BY user_id, json_extract_string(props, '$.k')::INT ORDER BY ts, event_id) AS rn FROM events WHERE event_type IN ('purchase', 'click')) WHERE rn = 1 GROUP BY 1""",
+)
+def ledger_idempotent(spark, d):
+    once = ledger.once_per_operation(_entries(spark, d, -1), ["user_id", "k"], ["ts", "event_id"])
+    return ledger.balances(once, "user_id")
+
+
+@query("free_grant", "SELECT user_id, arg_min(event_id, (ts, event_id)) AS event_id, 10::BIGINT AS delta FROM events WHERE event_type = 'signup' GROUP BY 1")
+def free_grant(spark, d):
+    e = table(spark, d, "events").where("event_type = 'signup'").select("user_id", "ts", "event_id")
+    return ledger.grant_once(e, "user_id", ["ts", "event_id"]).select("user_id", "event_id", "delta")
+
+
+@query(
+    "consume_reject",
+    """WITH RECURSIVE e AS (SELECT user_id, CASE WHEN event_type = 'purchase' THEN 10 ELSE -15 END AS delta, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_type IN ('purchase', 'click')),
+    r AS (SELECT user_id, 0::BIGINT AS n, 0::BIGINT AS balance, 0::BIGINT AS accepted, 0::BIGINT AS rejected FROM e WHERE n = 1
+      UNION ALL SELECT r.user_id, e.n, CASE WHEN balance + delta >= 0 THEN balance + delta ELSE balance END, accepted + (balance + delta >= 0)::INT, rejected + (balance + delta < 0)::INT FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)
+    SELECT user_id, arg_max(balance, n) AS balance, max(accepted) AS accepted, max(rejected) AS rejected FROM r GROUP BY 1""",
+)
+def consume_reject(spark, d):
+    return ledger.consume(_entries(spark, d, -15), "user_id", ["ts", "event_id"])
+
+
+@query(
+    "latest_code",
+    """SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id FROM events WHERE event_type <> 'error' AND ts + INTERVAL 10 MINUTE > (SELECT max(ts) - INTERVAL 5 DAY FROM events) GROUP BY 1""",
+)
+def latest_code(spark, d):
+    e = table(spark, d, "events").select("user_id", "event_id", F.struct("ts", "event_id").alias("created_at"), F.expr("ts + INTERVAL 10 MINUTES").alias("expires_at"), (F.col("event_type") == "error").alias("used"))
+    as_of = table(spark, d, "events").agg(F.expr("max(ts) - INTERVAL 5 DAYS").alias("as_of"))  # one row
+    return merge.latest_valid(e.join(F.broadcast(as_of)), "user_id", F.col("as_of")).select("user_id", "event_id")
+
+
+@query("history_by_student", "SELECT o_custkey, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)::INT AS entry FROM orders")
+def history_by_student(spark, d):
+    from pyspark.sql import Window as W
+
+    o = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice", "o_orderdate")
+    return o.withColumn("entry", F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))).drop("o_orderdate")
+
+
+_BIGRAMS = "list_transform(range(1, length({0})), lambda i: {0}[i:i + 1])"
+_TOP3 = f"""WITH n AS (SELECT row_number() OVER (ORDER BY name) - 1 AS pos, name, replace(name, ' ', '') AS b FROM (SELECT DISTINCT p_name AS name FROM part WHERE p_partkey % 10 = 0)),
+t AS (SELECT DISTINCT p_name AS text, replace(p_name, ' ', '') AS b FROM part),
+nb AS (SELECT name, g, row_number() OVER (PARTITION BY name, g) AS k FROM (SELECT name, unnest({_BIGRAMS.format('b')}) AS g FROM n)),
+tb AS (SELECT text, g, row_number() OVER (PARTITION BY text, g) AS k FROM (SELECT text, unnest({_BIGRAMS.format('b')}) AS g FROM t)),
+c AS (SELECT text, name, count(*) AS c FROM tb JOIN nb USING (g, k) GROUP BY 1, 2),
+r AS (SELECT t.text, n.name, n.pos, CASE WHEN t.b = n.b THEN 1.0::DOUBLE WHEN length(t.b) < 2 OR length(n.b) < 2 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * coalesce(c.c, 0) / (length(t.b) + length(n.b) - 2) END AS s
+  FROM t CROSS JOIN n LEFT JOIN c ON c.text = t.text AND c.name = n.name),
+k AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY s DESC, pos) AS rn FROM r)
+SELECT p_partkey, suggestions FROM part JOIN (SELECT text, string_agg(name, '|' ORDER BY rn) AS suggestions FROM k WHERE rn <= 3 GROUP BY 1) ON text = p_name"""
+
+
+@query("name_top3", _TOP3)
+def name_top3(spark, d):
+    from pyspark.sql import Window as W
+
+    part = table(spark, d, "part")
+    # the roll: a few distinct names, numbered in one small task
+    roll = part.where("p_partkey % 10 = 0").select(F.col("p_name").alias("name")).distinct().withColumn("pos", F.row_number().over(W.orderBy("name")) - 1)
+    out = names.top_names(part.select("p_partkey", F.col("p_name").alias("text")), roll)
+    return out.select("p_partkey", F.array_join("suggestions", "|").alias("suggestions"))
+
+
+_VALID = {"name": "o.name <> ''", "price": "o.price >= 0", "credits": "o.credits > 0"}
+
+
+@query(
+    "plan_merge",
+    """WITH b AS (SELECT p_partkey AS id, p_name AS name, p_retailprice AS price, p_size AS credits FROM part WHERE p_partkey % 3 <> 0),
+    o AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 5 = 0 THEN '' ELSE 'new ' || p_name END AS name, CASE WHEN p_partkey % 7 = 0 THEN -1.0::DOUBLE ELSE p_retailprice + 1 END AS price, CASE WHEN p_partkey % 4 = 0 THEN 0 ELSE p_size + 1 END AS credits FROM part WHERE p_partkey % 2 = 0)
+    SELECT coalesce(o.id, b.id) AS id, coalesce(CASE WHEN o.name <> '' THEN o.name END, b.name) AS name, coalesce(CASE WHEN o.price >= 0 THEN o.price END, b.price) AS price, coalesce(CASE WHEN o.credits > 0 THEN o.credits END, b.credits) AS credits
+    FROM b FULL JOIN o ON b.id = o.id""",
+)
+def plan_merge(spark, d):
+    p, k = table(spark, d, "part"), F.col("p_partkey")
+    base = p.where(k % 3 != 0).select(k.alias("id"), F.col("p_name").alias("name"), F.col("p_retailprice").alias("price"), F.col("p_size").alias("credits"))
+    over = p.where(k % 2 == 0).select(
+        k.alias("id"),
+        F.when(k % 5 == 0, "").otherwise(F.concat(F.lit("new "), F.col("p_name"))).alias("name"),
+        F.when(k % 7 == 0, -1.0).otherwise(F.col("p_retailprice") + 1).alias("price"),
+        F.when(k % 4 == 0, 0).otherwise(F.col("p_size") + 1).alias("credits"),
+    )
+    return merge.overlay(base, over, "id", {n: F.expr(c) for n, c in _VALID.items()})
+
+
+@query("patch_by_id", "SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 10 = 0 AND o_custkey % 2 = 0 THEN o_totalprice * 2 ELSE o_totalprice END AS o_totalprice FROM orders")
+def patch_by_id(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    changes = o.where("o_orderkey % 10 = 0").select("o_orderkey", F.lit("X").alias("o_orderstatus"), F.when(F.col("o_custkey") % 2 == 0, F.col("o_totalprice") * 2).alias("o_totalprice"))
+    return merge.patch(o, changes, "o_orderkey").drop("o_custkey")
+
+
+@query("upsert_latest", "SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, max(ts) AS ts FROM events GROUP BY 1")
+def upsert_latest(spark, d):
+    e = table(spark, d, "events").select("user_id", "ts", "event_id", "event_type")
+    return merge.upsert(e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1"), ["user_id"], ["ts", "event_id"]).drop("event_id")
+
+
+@query("delete_anti", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
+def delete_anti(spark, d):
+    gone = table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return merge.delete(table(spark, d, "orders").select("o_orderkey", "o_custkey"), gone, ["o_orderkey"])
+
+
+@query("two_step_lookup", "SELECT o_orderkey, c_name, c_custkey IS NOT NULL AS found FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) ON c_custkey = o_custkey")
+def two_step_lookup(spark, d):
+    c = table(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"), "c_name")
+    return merge.two_steps(table(spark, d, "orders").select("o_orderkey", "o_custkey"), c, "o_custkey").select("o_orderkey", "c_name", "found")
+
+
+@query("batch_chunks", "SELECT event_id, n AS item_no, n // 45 AS chunk_no, n // 135 AS wave_no FROM (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS n FROM events)")
+def batch_chunks(spark, d):
+    return batching.chunked(table(spark, d, "events").select("event_id"), "event_id", [])
+
+
+@query(
+    "batch_progress",
+    """SELECT event_id, c AS completed, s::BIGINT AS succeeded, (c - s)::BIGINT AS failed, (c - 1) // 45 + 1 AS batch, floor(100.0::DOUBLE * c / t + 0.5)::BIGINT AS percent FROM (
+    SELECT event_id, count(*) OVER w AS c, sum((event_type <> 'error')::INT) OVER w AS s, (SELECT count(*) FROM events) AS t FROM events WINDOW w AS (ORDER BY event_id ROWS UNBOUNDED PRECEDING))""",
+)
+def batch_progress(spark, d):
+    e = table(spark, d, "events").select("event_id", "event_type")
+    r = batching.running(e, "event_id", [], {"completed": F.lit(1), "succeeded": (F.col("event_type") != "error").cast("int")})
+    total = e.agg(F.count("*").alias("total"))  # one row
+    c = F.col("completed")
+    return r.join(F.broadcast(total)).select("event_id", c, "succeeded", (c - F.col("succeeded")).alias("failed"), (F.floor((c - 1) / batching.CHUNK) + 1).alias("batch"), numeric.progress(c, F.col("total")).alias("percent"))
+
+
+@query("json_defaults", "SELECT event_id, coalesce(json_extract_string(props, '$.k')::INT, 0) AS k, json_extract_string(props, '$.k') IS NOT NULL AS usable FROM events")
+def json_defaults(spark, d):
+    k = F.get_json_object("props", "$.k")
+    return table(spark, d, "events").select("event_id", F.coalesce(k.try_cast("int"), F.lit(0)).alias("k"), k.isNotNull().alias("usable"))
+
+
+@query("json_repair", "SELECT event_id, props AS json, json_extract_string(props, '$.k')::INT AS k FROM events")
+def json_repair_query(spark, d):
+    raw = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("Reply:\n```json\n"), F.col("props"), F.lit("\n```\nbye"))).otherwise(F.concat(F.lit("noise "), F.col("props"), F.lit(" noise")))
+    e = table(spark, d, "events").select("event_id", json_repair.cut_json(raw).alias("json"))
+    return e.select("event_id", "json", F.from_json("json", "k int")["k"].alias("k"))
+
+
+@query("html_strip", "SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '[ \\t\\n\\r\\f\\x0b]+', ' ', 'g'), '^ | $', '', 'g') AS plain FROM pages")
+def html_strip(spark, d):
+    return table(spark, d, "pages").select("page_id", text.strip_html(F.col("html")).alias("plain"))
+
+
+@query(
+    "control_clean",
+    "SELECT doc_id, sha256(coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '[\\x00-\\x1F\\x7F]', '', 'g'), ' +', ' ', 'g'), '^ +| +$', '', 'g'), ''), '—')) AS digest FROM documents",
+)
+def control_clean(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.sha2(text.clean_control(F.col("text")), 256).alias("digest"))
+
+
+@query("feedback_prefix", "SELECT conv_id, turn, 'Estudiante ' || conv_id || ' ' || lower(text[1]) || text[2:] AS feedback FROM conversations")
+def feedback_prefix(spark, d):
+    known = F.concat(F.lit("Estudiante "), F.col("conv_id").cast("string"))
+    return table(spark, d, "conversations").select("conv_id", "turn", text.prefixed_feedback(F.col("text"), known).alias("feedback"))
+
+
+@query("text_concat_pages", "SELECT conv_id, string_agg(text, chr(10) || '--- PAGE ---' || chr(10) ORDER BY turn, text) AS text FROM conversations GROUP BY 1")
+def text_concat_pages(spark, d):
+    return joined_pages(table(spark, d, "conversations").select("conv_id", "turn", "text"), ["conv_id"], "turn", "text", "\n--- PAGE ---\n")
+
+
+@query("omr_rows")
+def omr_rows(spark, d):
+    p = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    x, y = F.col("l_linenumber"), F.col("l_quantity")
+    li = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber", "l_quantity").agg(F.max("l_discount").alias("disc"))
+    mark = F.struct(F.lit("selected").alias("state"), (1 - F.col("disc")).alias("confidence"), F.array(p(x, y), p(x + 1, y), p(x + 1, y + 1)).alias("polygon"))
+    return omr.read_pages(li.groupBy("l_orderkey").agg(F.collect_list(mark).alias("marks")), ["l_orderkey"])
+
+
+@query(
+    "mime_filter",
+    """SELECT doc_id, mime, mime = 'image/png' OR mime LIKE 'application/pdf' AS readable, mime = 'image/png' AS photo FROM (
+    SELECT doc_id, CASE lang WHEN 'en' THEN 'image/png' WHEN 'fr' THEN 'application/pdf' ELSE 'text/plain' END AS mime FROM documents)""",
+)
+def mime_filter(spark, d):
+    mime = F.when(F.col("lang") == "en", "image/png").when(F.col("lang") == "fr", "application/pdf").otherwise("text/plain")
+    m = table(spark, d, "documents").select("doc_id", mime.alias("mime"))
+    return m.select("doc_id", "mime", text.readable_type(F.col("mime")).alias("readable"), text.photo_type(F.col("mime")).alias("photo"))
+
+
+@query("first_wins", f"SELECT * EXCLUDE (rn) FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY {ANSWER_SQL}) AS rn FROM lineitem) WHERE rn = 1")
+def first_wins_query(spark, d):
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *ANSWER_ORDER)
+    return first_wins(li, ["l_orderkey", "l_linenumber"], ANSWER_ORDER).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
