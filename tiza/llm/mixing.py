@@ -22,7 +22,7 @@ SLOTS = 1000
 #: Rows in a block.
 BLOCK = 16
 #: Rows that one task numbers within a source.
-PIECE = 20_000
+PIECE = 2_000
 NO_SOURCE = ""
 
 
