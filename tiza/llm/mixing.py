@@ -114,3 +114,20 @@ def mixed_order(docs: DataFrame, **options) -> DataFrame:
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
     return mix(docs).select("row.doc_id", "row.source", "slot", "offset")
+
+
+ORACLE = f"""
+WITH RECURSIVE c AS (SELECT coalesce(source, '') AS src, count(*) AS n FROM documents GROUP BY 1),
+x AS (SELECT src, count(*) OVER () AS S, round(pow(n::DOUBLE, 0.7) / (sum(pow(n::DOUBLE, 0.7)) OVER ()) * ({SLOTS} - count(*) OVER ()), 9) AS x FROM c),
+a AS (SELECT src, (1 + floor(x) + (row_number() OVER (ORDER BY x - floor(x) DESC, src) <= {SLOTS} - S - sum(floor(x)) OVER ())::INT)::BIGINT AS a FROM x),
+l AS (SELECT list(a ORDER BY src) AS a, list(src ORDER BY src) AS s FROM a),
+step AS (
+  SELECT 0::BIGINT AS t, list_transform(a, lambda v: 0::BIGINT) AS k, 0::BIGINT AS pick FROM l
+  UNION ALL
+  SELECT t + 1, list_transform(k, lambda v, i: v + (i = p)::BIGINT), p FROM (
+    SELECT t, k, list_min(list_transform(list_filter(range(1, len(a) + 1), lambda i: k[i] * {SLOTS} // a[i] <= t),
+      lambda i: {{'due': ((k[i] + 1) * {SLOTS} + a[i] - 1) // a[i], 'i': i}})).i AS p FROM step, l WHERE t < {SLOTS})),
+places AS (SELECT s[pick] AS src, t - 1 AS place, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS nth FROM step, l WHERE t > 0),
+d AS (SELECT doc_id, source, coalesce(source, '') AS src, row_number() OVER (PARTITION BY coalesce(source, '') ORDER BY md5(doc_id::VARCHAR)) - 1 AS num FROM documents)
+SELECT doc_id, source, (num // {BLOCK} // a * {SLOTS} + place)::BIGINT AS slot, (num % {BLOCK})::BIGINT AS "offset"
+FROM d JOIN a USING (src) JOIN places ON places.src = d.src AND nth = num // {BLOCK} % a"""

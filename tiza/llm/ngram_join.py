@@ -359,3 +359,17 @@ def keep_first(docs: DataFrame, threshold: float = THRESHOLD, runs: int = RUNS,
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
+
+
+ORACLE = """
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z\\x{80}-\\x{10FFFF}]+') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM t),
+n AS (SELECT doc_id, count(*) AS n, md5(string_agg(g, '|' ORDER BY g)) AS k FROM g GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g AS a JOIN g AS b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b, na.k = nb.k AS same, nb.k AS k FROM p JOIN n AS na ON na.doc_id = a JOIN n AS nb ON nb.doc_id = b WHERE 10 * c >= 8 * (na.n + nb.n - c)),
+r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT x, b FROM r JOIN e ON a = y),
+m AS (SELECT x, min(y) AS class_id FROM r GROUP BY 1),
+s AS (SELECT a, count(*) AS links, count_if(same) AS copies, count(DISTINCT k) FILTER (NOT same) AS texts FROM e GROUP BY 1)
+SELECT x AS doc_id, class_id, coalesce(links, 0)::BIGINT AS n_links, coalesce(copies, 0)::BIGINT AS n_copies, coalesce(texts, 0)::BIGINT AS n_text_links
+FROM m LEFT JOIN s ON a = x"""

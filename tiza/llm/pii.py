@@ -176,15 +176,3 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = d.withColumn("base", F.filter("spans", lambda s: s["rank"] < len(BASE)))
     n = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
     return d.select("doc_id", *[n(k).alias(f"n_{k}") for k in BASE], F.sha2(_line(F.col("base")), 256).alias("base_sha256"), _line(F.col("spans")).alias("spans"))
-
-
-def _kind_sql(kind: str, rank: int, pattern: str, ok: str) -> str:
-    return f"""
-{kind} AS (SELECT doc_id, {rank} AS rank, '{kind}' AS kind, m, start FROM (
-    SELECT doc_id, unnest(hits) AS m, unnest(list_transform(hits, lambda x, i: (list_sum(list_transform(pieces[1:i], lambda p: length(p))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda h: length(h))), 0))::BIGINT)) AS start
-    FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}') AS hits, string_split_regex(t, '{pattern}') AS pieces FROM d)) WHERE {ok})"""
-
-
-_DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
-_LUHN = f"(list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN (reverse({_DIGITS})[i])::INT ELSE (2 * (reverse({_DIGITS})[i])::INT) % 10 + (2 * (reverse({_DIGITS})[i])::INT) // 10 END)) % 10 = 0)"
-_IBAN_NUM = "list_reduce(list_prepend(0, list_transform(string_split(substr(replace(m, ' ', ''), 5) || substr(replace(m, ' ', ''), 1, 4), ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN ascii(c) - 48 ELSE ascii(c) - 55 END)), lambda a, v: (a * CASE WHEN v > 9 THEN 100 ELSE 10 END + v) % 97)"

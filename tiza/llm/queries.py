@@ -16,6 +16,8 @@ QUERIES = {
 }
 ORACLES = {
     "op1_url_filter": url_filter.ORACLE,
+    "op2_ngram_join": ngram_join.ORACLE,
     "op4_quality_rules": quality_rules.ORACLE,
+    "op6_mixing": mixing.ORACLE,
     "op10_warc": warc.ORACLE,
 }
