@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from tiza.llm.common import table
 
 WINDOW, EMBED, WIDTHS, FILTERS = 256, 8, (2, 3, 4), 16
-#: Bounds of the training sample: documents a language, windows a document, windows in all.
+#: Bounds of the training sample: languages, the most frequent first; documents a language, windows a document, windows in all.
+LABELS = 1000
 SAMPLE_DOCS, SAMPLE_WINDOWS, SAMPLE_MOST = 600, 4, 20_000
 EPOCHS, BATCH, RATE, SEED = 6, 64, 0.003, 7
 UNKNOWN = "und"
@@ -122,8 +123,9 @@ def sample_windows(labelled: DataFrame, docs: int = SAMPLE_DOCS, windows: int =
     """Windows, label numbers and labels from labelled(key, text, lang); key is a uniform hash that picks the sample.
 
     About `docs` texts a language, `windows` a text at places that the key sets, `most` windows in all reach the driver."""
-    per = labelled.groupBy("lang").agg(F.count("*").alias("n"))  # one row a language
-    chosen = labelled.join(per, "lang").where(F.col("key") % 1_000_003 < F.lit(float(docs)) / F.col("n") * 1_000_003)
+    # at most LABELS rows, so texts need no shuffle to meet their language's count
+    per = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LABELS)
+    chosen = labelled.join(F.broadcast(per), "lang").where(F.col("key") % 1_000_003 < F.lit(float(docs)) / F.col("n") * 1_000_003)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

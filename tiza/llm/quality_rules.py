@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tiza.llm.common import BLANK_RE, BLANKS, beta_strength, checkpointed, packed, table, words_of
+from tiza.llm.common import BLANK_RE, BLANKS, beta_strength, checkpointed, join_by_key, packed, table, words_of
 
 SYMBOLS = "#*$%&|<>"
 #: Low bits of a sort key hold a window's place in the text: 30 bits number the words of any string Spark can hold.
@@ -88,14 +88,15 @@ def base_failed(counts: str, min_words: int = 50, max_repeat_pct: int = 50) -> C
 
 
 def host_verdicts(judged: DataFrame, limit: float = 0.5, z: float = 1.64) -> DataFrame:
-    """(host, host_ok) from judged(host, failed): one row per host; the heavy rows are pre-aggregated where they lie."""
+    """(host, n, host_ok) from judged(host, failed): one row per host, n its documents; the heavy rows are pre-aggregated where they lie."""
     hosts = judged.where(F.col("host").isNotNull()).groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("failed").cast("long")).alias("f"))
+    hosts = checkpointed(hosts)  # small, and used several times below and by the join
     s = hosts.agg(F.sum("n").alias("N"), F.count("*").alias("G"), F.sum("f").alias("A"), F.sum(F.col("f") * F.col("f") / F.col("n")).alias("Q"))
     m = F.col("A") / F.col("N")
     prior = s.where("N > 0").select(m.alias("m"), beta_strength(F.col("N"), m, F.col("Q") / F.col("N") - m * m, F.col("G")).alias("k"))
     mean = (F.col("f") + F.col("k") * F.col("m")) / (F.col("n") + F.col("k"))
     bound = mean - z * F.sqrt(mean * (1 - mean) / (F.col("n") + F.col("k") + 1))
-    return hosts.join(F.broadcast(prior)).select("host", (bound <= limit).alias("host_ok"))
+    return hosts.join(F.broadcast(prior)).select("host", "n", (bound <= limit).alias("host_ok"))
 
 
 def host_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
@@ -105,7 +106,7 @@ def host_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     d = checkpointed(d.select("doc_id", "host", "counts.*", "base_failed"))
     verdicts = host_verdicts(d.select("host", F.col("base_failed").alias("failed")))
     kept = ~F.col("base_failed") & F.coalesce("host_ok", F.lit(True))
-    return d.join(verdicts, "host", "left").select(
+    return join_by_key(d, verdicts, "host", "n").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept")
     )
 
@@ -116,7 +117,7 @@ def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source")
     judged = text_counts(r, "text").withColumn("failed", base_failed("counts"))
     verdicts = host_verdicts(judged.select("host", "failed"))
     good = judged.where((F.col(PLACE) >= 0) & ~F.col("failed")).select("row", "text", "host")
-    return good.join(verdicts, "host", "left").where(F.coalesce("host_ok", F.lit(True))).select("row.*")
+    return join_by_key(good, verdicts, "host", "n", spread=["text"]).where(F.coalesce("host_ok", F.lit(True))).select("row.*")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

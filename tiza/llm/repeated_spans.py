@@ -27,11 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tiza.llm.common import checkpointed, join_by_key, table
+from tiza.llm.common import join_by_key, stored, table
 
 LENGTH, ANCHOR = 200, 40
 #: Bytes of pieces that are joined to one text, and the most different pieces of one name in it.
-TEXT_BYTES, HOT_PIECES = 3_000_000, 4000
+TEXT_BYTES, HOT_PIECES = 250_000, 4000
 _ODD = np.uint64(0xD1B54A32D192ED03)
 _INVERSE = np.uint64(pow(0xD1B54A32D192ED03, -1, 1 << 64))
 
@@ -150,7 +150,8 @@ def expand(last_column: np.ndarray, has_symbol: np.ndarray, marks: int, length:
         if not len(fresh):
             break
         bound[fresh] = True
-        split = np.unique(first[fresh])
+        split = first[fresh]  # ascending, as fresh is
+        split = split[np.concatenate([[True], split[1:] != split[:-1]])]
         rows = _ranges(split.astype(np.int64), (end[split] - split).astype(np.int64))
         starts = np.flatnonzero(bound[rows])
         sizes = np.diff(np.append(starts, len(rows)))
@@ -315,9 +316,12 @@ def remove_repeats(
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for each row, and the remaining bytes as `kept` if with_kept."""
     d = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     every = d.select("rid", "text").mapInArrow(_all_pieces(length, anchor), "name bigint, content bigint, rid bigint, start int, windows int, twice boolean")
-    names = every.groupBy("name").agg(F.count("*").alias("total"), F.bool_or("twice").alias("twice"), (F.min("content") == F.max("content")).alias("equal"))
-    names = names.where("total > 1 or twice").select("name", "total", (F.col("equal") & (F.col("total") > 1)).alias("same"))
-    known = checkpointed(join_by_key(every.drop("twice"), names, "name", "total").where("same is not null"))
+    # first the names alone, as most occur once; contents are looked at where names are left
+    names = every.groupBy("name").agg(F.count("*").alias("total"), F.bool_or("twice").alias("twice"))
+    names = names.where("total > 1 or twice").select("name", "total", F.lit(True).alias("left"))
+    left = stored(join_by_key(every.drop("twice"), names, "name", "total").where("left").drop("left"))
+    equal = left.groupBy("name").agg(F.count("*").alias("total"), ((F.min("content") == F.max("content")) & (F.count("*") > 1)).alias("same"))
+    known = stored(join_by_key(left, equal, "name", "total"))
     whole = known.where("same").groupBy("rid").agg(F.collect_list(F.struct("start", "windows")).alias("whole"))
     mixed = known.where("not same").select("name", "content", "rid", "start", "windows")
     kinds = mixed.groupBy("name", "content").agg(F.count("*").alias("copies"), F.min(F.struct("rid", "start", "windows")).alias("at"))
@@ -330,8 +334,8 @@ def remove_repeats(
     data = F.coalesce("text", F.lit("")).cast("binary")
     t = d.join(per, "rid", "left").withColumn("open", F.col("whole").isNotNull() | F.col("touched").isNotNull())
     needed = F.col("open") if not with_kept else F.lit(True)
-    t = checkpointed(t.select("rid", "doc_id", F.length(data).cast("bigint").alias("n_bytes"), F.when(~F.col("open"), F.sha2(data, 256)).alias("sha"), F.when(needed, F.coalesce("text", F.lit(""))).alias("text"), "whole", "asked"))
-    cut = checkpointed(t.where("asked is not null").select("text", "asked").mapInArrow(_cut(length), _sql(ASKED)))
+    t = stored(t.select("rid", "doc_id", F.length(data).cast("bigint").alias("n_bytes"), F.when(~F.col("open"), F.sha2(data, 256)).alias("sha"), F.when(needed, F.coalesce("text", F.lit(""))).alias("text"), "whole", "asked"))
+    cut = stored(t.where("asked is not null").select("text", "asked").mapInArrow(_cut(length), _sql(ASKED)))
     cool = cut.where("not hot").select("name", "content", "copies", "data").repartition("name").sortWithinPartitions("name")
     found = cool.mapInArrow(_expand_groups(length, text_bytes), _sql(FOUND))
     windows = cut.where("hot").select("name", "content", "copies", "data").mapInArrow(_hot_windows(length), _sql(WINDOWS))
@@ -341,7 +345,7 @@ def remove_repeats(
     hot = join_by_key(keyed, often.select(F.struct("a", "b").alias("w"), "n", F.lit(True).alias("hit")), "w", "n").where("hit")
     hot = hot.groupBy("name", "content").agg(F.sort_array(F.collect_list("at")).alias("ats"))
     hot = hot.mapInArrow(_pack_windows, _sql(FOUND))
-    found = checkpointed(found.unionByName(hot))
+    found = stored(found.unionByName(hot))
     key = F.struct("name", "content").alias("piece")
     weights = found.select("name", "content", "runs").join(kinds.select("name", "content", "copies"), ["name", "content"]).select(key, "copies", "runs")
     hits = join_by_key(mixed.select(key, "rid", "start"), weights, "piece", "copies").where("runs is not null")

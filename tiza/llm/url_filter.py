@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tiza.llm.common import LOWER, UPPER, beta_strength, table
+from tiza.llm.common import LOWER, UPPER, beta_strength, join_by_key, table
 
 RULES = (
     ("allow", "com/"),
@@ -87,15 +87,15 @@ def filter_urls(
 ) -> DataFrame:
     """(page_id, host, path, rule, verdict, bad_bound) for each row of pages.
 
-    labels(page_id, bad): outcomes; null ids or outcomes and ids without a page are left out. pages is shuffled at most once
-    for the verdict join, which AQE splits where one host holds much of it; pages without a label never meet the labels."""
+    labels(page_id, bad): outcomes; null ids or outcomes and ids without a page are left out. The verdicts' join serves hosts
+    that hold much of the pages by broadcast and shuffles only the others."""
     p = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     marked = labels.select(F.col("page_id").alias("label_id"), F.col("bad").cast("long").alias("bad")).where("label_id is not null and bad is not null")
     outcomes = p.where("host <> ''").join(marked, F.col("page_id") == F.col("label_id")).select("host", "bad")
     h_post, d_post, s_post, overall = host_reputation(outcomes, z)
     # verdicts are worked out once for each distinct host and joined back
     domain, suffix = _levels(F.col("host"))
-    seen = p.select("host").distinct().select("host", domain.alias("domain"), suffix.alias("suffix"))
+    seen = p.groupBy("host").agg(F.count("*").alias("pages")).select("host", "pages", domain.alias("domain"), suffix.alias("suffix"))
     # a host, domain or suffix without a label of its own takes the bound of the next level that has one
     m = F.col("o_mean")
     scored = (
@@ -103,10 +103,10 @@ def filter_urls(
         .join(d_post.select("domain", "d_mean_bound"), "domain", "left")
         .join(s_post.select("suffix", "s_mean_bound"), "suffix", "left")
         .join(F.broadcast(overall.select(F.col("mean").alias("o_mean"), F.col("n").alias("o_n"))))
-        .select("host", F.coalesce("h_mean_bound", "d_mean_bound", "s_mean_bound", m - z * F.sqrt(m * (1 - m) / (F.col("o_n") + 3))).alias("bad_bound"))
+        .select("host", "pages", F.coalesce("h_mean_bound", "d_mean_bound", "s_mean_bound", m - z * F.sqrt(m * (1 - m) / (F.col("o_n") + 3))).alias("bad_bound"))
     )
     rule = matched_rule(F.col("host"), F.col("path"), rules)
-    out = p.join(scored, "host", "left").withColumn("hit", rule)
+    out = join_by_key(p, scored, "host", "pages").withColumn("hit", rule)
     verdict = F.coalesce("hit.verdict", F.when(F.col("bad_bound") > limit, "block").otherwise("allow"))
     return out.select("page_id", "host", "path", F.col("hit.rule").alias("rule"), verdict.alias("verdict"), "bad_bound")
 
