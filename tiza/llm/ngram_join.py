@@ -158,9 +158,16 @@ def _deeper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary()), strict=True)], ["path", "key", "sig"])
 
 
+def _sliced(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in short slices, so that what is made of one at a time stays small."""
+    for b in batches:
+        for i in range(0, len(b), rows):
+            yield b.slice(i, rows)
+
+
 def _with_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, n_docs, buckets, text) -> the same with the text's shingles; rows whose text is of another class (an id used twice) go."""
-    for b in batches:
+    for b in _sliced(batches):
         own = [shingles(t.as_py()) for t in b.column(3)]
         keep = [blake2b(s.tobytes(), digest_size=16).digest() == k for s, k in zip(own, b.column(0).to_pylist(), strict=True)]
         full = pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([s.tobytes() for s in own], pa.binary())], ["key", "n_docs", "buckets", "shingles"])
@@ -171,7 +178,7 @@ def _shared(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.n
     """Sizes of the intersections of the sets numbered left with those numbered right."""
     if len(left) * len(right) <= 30:
         return np.array([[len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for j in right] for i in left])
-    all_of = np.concatenate(sets)
+    all_of = np.concatenate(sets)  # narrow blocks of columns keep the matrices small, however long the sets are
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     values, inverse, counts = np.unique(all_of, return_inverse=True, return_counts=True)
     several = counts > 1  # a shingle of one set alone is in no intersection
@@ -206,13 +213,9 @@ def compare(rows: list[dict], path: int, one: int, other: int, threshold: float)
     ask = small >= threshold * large
     ask &= left[:, None] < right[None] if one == other else True
     # a pair belongs to the first of the leaves that both sets are in
-    earlier = [{p for p in r["paths"] if p < path} for r in rows]
-    names = {p: i for i, p in enumerate(sorted(set().union(*earlier)))}
-    if names and ask.any():
-        m = np.zeros((len(rows), len(names)), np.float32)
-        for i, e in enumerate(earlier):
-            m[i, [names[p] for p in e]] = 1
-        ask &= (m[left] @ m[right].T) == 0
+    earlier = [np.array([p for p in r["paths"] if p < path], np.int64) for r in rows]
+    if ask.any():
+        ask &= _shared(earlier, left, right) == 0
     if not ask.any():
         return []
     both = _shared(sets, left, right)
@@ -243,7 +246,7 @@ def _units(threshold: float):
             if len(rows) > 1:
                 done.extend(compare(rows, *unit, threshold))
 
-        for b in batches:
+        for b in _sliced(batches):
             for r in b.to_pylist():
                 if (u := (r["path"], r["one"], r["other"])) != unit:
                     flush()
