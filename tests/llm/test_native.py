@@ -181,3 +181,24 @@ def test_mix_keeps_all_rows_and_shares(spark):
 
 def test_mix_edge_rows(spark):
     assert mixing.mixed_order(edge_docs(spark)).count() == len(ROWS)
+
+
+def test_mix_more_sources_than_slots(spark):
+    rows = [(i, "t", "en", f"s{i % 1100}" if i % 3 else "big", 1) for i in range(6600)]
+    got = mixing.mix(edge_docs(spark, rows), block=1).select("row.doc_id", "src", "slot", "offset").collect()
+    assert Counter(r.doc_id for r in got) == Counter(r[0] for r in rows)
+    assert len({(r.slot, r.offset) for r in got}) == len(got) and all(r.slot >= 0 for r in got)
+    plan = {r.src: r for r in mixing._plan(spark.createDataFrame(sorted(Counter(r.src for r in got).items()), "src string, n bigint"), mixing.SLOTS).collect()}
+    groups = defaultdict(set)
+    for r in plan.values():
+        assert r.a == len(r.places) >= 1 and r.group_a == len(r.group_places) >= 1
+        groups[tuple(r.group_places)].add(r.src)
+    assert len(plan) == 1101 > mixing.SLOTS and sorted(t for g in groups for t in g) == list(range(plan["big"].group_q))
+    for g in groups.values():
+        assert sorted(t for s in g for t in plan[s].places) == list(range(plan[min(g)].q))
+    by = defaultdict(list)
+    for r in got:
+        by[r.src].append(r.slot)
+    for s, slots in by.items():  # within two blocks of its share at each of its own blocks
+        share = Fraction(plan[s].a * plan[s].group_a, plan[s].q * plan[s].group_q)
+        assert all(abs(share * (t + 1) - (k + 1)) < 2 for k, t in enumerate(sorted(slots)))

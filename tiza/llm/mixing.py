@@ -6,6 +6,10 @@ next. This keeps every source within less than one block of its share of the slo
 slots, so Q slots are worked out once, by a fold in one row, and every block's slot follows from its number by arithmetic:
 no task sees a whole source or the whole schedule.
 
+More than SLOTS sources are dealt into about sqrt(S) groups by a hash of their names. The groups share the slots as sources
+do, and the sources of a group share its blocks by a period of their own, so every fold stays small however many sources
+there are; a source is then within two blocks of its share.
+
 No row is dropped: a source that ends early leaves its later slots empty, and the others go on in their proportions.
 """
 
@@ -17,8 +21,10 @@ from pyspark.sql import Window as W
 
 from tiza.llm.common import packed, table
 
-#: Slots in a period; shares are multiples of 1 / SLOTS. At most as many sources can be mixed.
+#: Slots in a period; shares are multiples of 1 / SLOTS. More sources than that are mixed in groups.
 SLOTS = 1000
+#: Slots in the period of groups, or of one group's sources, for each of them, if that is more than SLOTS.
+FINE = 20
 #: Rows in a block.
 BLOCK = 16
 #: Rows that one task numbers within a source.
@@ -27,24 +33,34 @@ NO_SOURCE = ""
 
 
 def temperature_shares(counts: DataFrame, exponent: float = 0.7, slots: int = SLOTS) -> DataFrame:
-    """(src, a): whole shares of `slots` in proportion to n ** exponent, 1 at least, from counts(src, n).
+    """(src, a): whole shares of `slots` in proportion to n ** exponent, 1 at least, from counts(src, n) of at most `slots` sources.
+
+    Largest remainders get what rounding leaves; ties go by name."""
+    c = counts.select("src", F.pow(F.col("n").cast("double"), exponent).alias("w"), F.lit(slots).cast("long").alias("q"), F.lit(0).alias("grp"))
+    return _shares(c).select("src", "a")
 
-    Largest remainders get what rounding leaves; ties go by name. One row per source, at most `slots` of them."""
-    everything = W.partitionBy()  # over one row per source, of which there are at most `slots`
-    c = counts.select("src", "n", F.pow(F.col("n").cast("double"), exponent).alias("w"))
-    c = c.withColumn("S", F.count("*").over(everything)).withColumn("T", F.sum("w").over(everything.orderBy("src").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
-    c = c.withColumn("x", F.round(F.col("w") / F.col("T") * (slots - F.col("S")), 9)).withColumn("fl", F.floor("x"))
-    c = c.withColumn("left", slots - F.col("S") - F.sum("fl").over(everything))
-    rank = F.row_number().over(everything.orderBy(F.desc(F.col("x") - F.col("fl")), "src"))
-    return c.select("src", (1 + F.col("fl") + (rank <= F.col("left")).cast("long")).alias("a"))
+
+def _shares(weighted: DataFrame) -> DataFrame:
+    """(grp, q, src, a): each group's q slots, shared out in proportion to w, from weighted(grp, q, src, w)."""
+    own = W.partitionBy("grp")  # over one row per source of the group
+    c = weighted.withColumn("S", F.count("*").over(own)).withColumn("T", F.sum("w").over(own.orderBy("src").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
+    c = c.withColumn("x", F.round(F.col("w") / F.col("T") * (F.col("q") - F.col("S")), 9)).withColumn("fl", F.floor("x"))
+    c = c.withColumn("left", F.col("q") - F.col("S") - F.sum("fl").over(own))
+    rank = F.row_number().over(own.orderBy(F.desc(F.col("x") - F.col("fl")), "src"))
+    return c.select("grp", "q", "src", (1 + F.col("fl") + (rank <= F.col("left")).cast("long")).alias("a"))
 
 
 def schedule(shares: DataFrame, slots: int = SLOTS) -> DataFrame:
     """(src, a, places): the slots of one period that each source gets, from shares(src, a) that add up to `slots`.
 
     A single row holds all shares; the fold over its slots is bounded by `slots` times the number of sources."""
-    one = shares.agg(F.array_sort(F.collect_list(F.struct("src", "a"))).alias("s")).where(F.size("s") > 0)
-    n = F.lit(slots).cast("long")
+    return _schedules(shares.select(F.lit(0).alias("grp"), F.lit(slots).cast("long").alias("q"), "src", "a")).select("src", "a", "places")
+
+
+def _schedules(shares: DataFrame) -> DataFrame:
+    """(grp, q, src, a, places): as schedule() for each group's period of q slots, one row a group; from shares(grp, q, src, a)."""
+    one = shares.groupBy("grp", "q").agg(F.array_sort(F.collect_list(F.struct("src", "a"))).alias("s"))
+    n = F.col("q")
 
     def urgent(state: Column, t: Column, s: Column) -> Column:
         """Index of the released source with the earliest deadline."""
@@ -58,11 +74,29 @@ def schedule(shares: DataFrame, slots: int = SLOTS) -> DataFrame:
         )
 
     zero = F.struct(F.transform("s", lambda _: F.lit(0).cast("long")).alias("k"), F.array().cast("array<int>").alias("o"))
-    order = F.aggregate(F.sequence(F.lit(0), F.lit(slots - 1)), zero, slot, lambda acc: acc["o"])
+    order = F.aggregate(F.sequence(F.lit(0).cast("long"), n - 1), zero, slot, lambda acc: acc["o"])
     one = one.withColumn("o", order)
-    each = one.select("o", F.posexplode("s").alias("i", "x"))
+    each = one.select("grp", "q", "o", F.posexplode("s").alias("i", "x"))
     places = F.filter(F.transform("o", lambda b, t: F.when(b == F.col("i"), t).otherwise(-1)), lambda t: t >= 0)
-    return each.select("x.src", "x.a", places.alias("places"))
+    return each.select("grp", "q", "x.src", "x.a", places.alias("places"))
+
+
+def _plan(counts: DataFrame, slots: int, exponent: float = 0.7) -> DataFrame:
+    """(src, q, a, places, group_q, group_a, group_places) from counts(src, n): a source's places in its group's period of q blocks, and the group's in the period of group_q slots.
+
+    Up to `slots` sources are one group, which has every slot."""
+    period = lambda n: F.greatest(F.lit(slots), FINE * n).cast("long")
+    total = counts.agg(F.count("*").alias("sources"))  # one row
+    c = counts.join(F.broadcast(total)).select("src", F.pow(F.col("n").cast("double"), exponent).alias("w"), F.when(F.col("sources") <= slots, 1).otherwise(F.ceil(F.sqrt("sources"))).alias("groups"))
+    c = c.withColumn("grp", F.pmod(F.xxhash64("src"), F.col("groups")).cast("int"))
+    q = F.when(F.col("groups") == 1, F.lit(slots).cast("long")).otherwise(period(F.count("*").over(W.partitionBy("grp"))))
+    inner = _schedules(_shares(c.select("grp", q.alias("q"), "src", "w")))
+    groups = c.groupBy(F.col("grp").alias("src")).agg(F.sum("w").alias("w"))
+    groups = groups.join(F.broadcast(groups.agg(F.count("*").alias("groups"))))  # one row
+    outer = _schedules(_shares(groups.select(F.lit(0).alias("grp"), period(F.col("groups")).alias("q"), "src", "w")))
+    outer = outer.select(F.col("src").alias("grp"), F.col("q").alias("group_q"), F.col("a").alias("group_a"), F.col("places").alias("group_places"))
+    # one row per group, of which there are about sqrt(S)
+    return inner.join(F.broadcast(outer), "grp").drop("grp")
 
 
 def _numbered(rows: DataFrame, key: str, piece: int) -> DataFrame:
@@ -86,24 +120,27 @@ def _numbered(rows: DataFrame, key: str, piece: int) -> DataFrame:
 def mix(docs: DataFrame, weights: dict[str, int] | None = None, slots: int = SLOTS, block: int = BLOCK, piece: int = PIECE, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """(row, src, slot, offset): every row of docs with its slot and its place in that slot's block.
 
-    weights: whole shares of `slots` by source; without it shares follow the counts to the power 0.7. A null source is a source of its own,
+    weights: whole shares of `slots` by source, so at most `slots` of them; without it any number of sources can be mixed, and shares follow the counts to the power 0.7. A null source is a source of its own,
     named ''. Rows of a source go in the order of md5(doc_id), then of all columns. Sources missing in weights raise an error."""
     r = packed(docs)
     text = F.coalesce(F.col(f"row.`{id_col}`").cast("string"), F.lit(""))
     r = r.select(F.coalesce(F.col(f"row.`{source_col}`").cast("string"), F.lit(NO_SOURCE)).alias("src"), "row", F.md5(text).alias("key"), F.xxhash64("row").alias("tie"))
     if weights is None:
-        shares = temperature_shares(r.groupBy("src").agg(F.count("*").alias("n")), slots=slots)
+        plan = _plan(r.groupBy("src").agg(F.count("*").alias("n")), slots)
     else:
         if sum(weights.values()) != slots or min(weights.values()) < 1:
             raise ValueError(f"weights are whole numbers from 1 that add up to {slots}")
         shares = docs.sparkSession.createDataFrame(sorted(weights.items()), "src string, a bigint")
-    plan = schedule(shares, slots)
+        whole = F.lit(slots).cast("long")
+        plan = schedule(shares, slots).select("src", whole.alias("q"), "a", "places", whole.alias("group_q"), whole.alias("group_a"), F.sequence(F.lit(0).cast("long"), whole - 1).alias("group_places"))
     numbered = _numbered(r, "key", piece)
     out = numbered.join(F.broadcast(plan), "src", "left")
     b = F.floor(F.col("at") / block)
     known = F.when(F.col("a").isNull(), F.raise_error(F.concat(F.lit("no weight for source "), F.col("src"))).cast("bigint")).otherwise(F.col("a"))
-    slot = F.floor(b / known) * slots + F.get("places", (b % F.col("a")).cast("int"))
-    return out.select("row", "src", slot.alias("slot"), (F.col("at") % block).alias("offset"))
+    nth = F.floor(b / known) * F.col("q") + F.get("places", (b % F.col("a")).cast("int"))  # of the group's blocks
+    out = out.select("row", "src", (F.col("at") % block).alias("offset"), nth.alias("nth"), "group_q", "group_a", "group_places")
+    slot = F.floor(F.col("nth") / F.col("group_a")) * F.col("group_q") + F.get("group_places", (F.col("nth") % F.col("group_a")).cast("int"))
+    return out.select("row", "src", slot.alias("slot"), "offset")
 
 
 def mixed_order(docs: DataFrame, **options) -> DataFrame:
