@@ -109,3 +109,12 @@ def test_keep_first(spark, family, tmp_path):
 def test_empty(spark):
     d = edge_docs(spark).limit(0)
     assert nj.jaccard_join(d).collect() == [] and nj.keep_first(d).collect() == []
+
+
+def test_bucket_of_a_million_keys(spark):
+    n = 1_000_000
+    keys = spark.range(n).selectExpr("id % 2 AS half", "sha(CAST(id AS STRING)) AS key")
+    both = keys.selectExpr("1L AS path", "key").union(keys.selectExpr("2L AS path", "key")).union(keys.selectExpr("10 + half AS path", "key"))
+    got = {r.path: r for r in nj._sizes(both).collect()}
+    assert (got[1].n, got[10].n, got[11].n) == (n, n // 2, n // 2)
+    assert got[1][1:] == got[2][1:] and len({(r.x, r.y) for r in got.values()}) == 3

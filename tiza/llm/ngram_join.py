@@ -283,17 +283,21 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def _sizes(rows: DataFrame) -> DataFrame:
+    """(path, n, x, y) from rows(path, key): each bucket's size and two hashes of its members, which can't overflow."""
+    h = lambda seed: F.bit_xor(F.xxhash64("key", F.lit(seed)))
+    return rows.groupBy("path").agg(F.count("*").alias("n"), h(1).alias("x"), h(2).alias("y"))
+
+
 def _buckets(sets: DataFrame, split: int, more_levels: int) -> DataFrame:
     """(path, n, key): the members of every leaf of two or more sets, leaves with the same members once."""
     rows = sets.select(F.explode("paths").alias("path"), "key")
-    h = lambda seed: F.xxhash64("key", F.lit(seed))
     done = None
     for level in range(more_levels + 1):
-        sizes = rows.groupBy("path").agg(F.count("*").alias("n"), F.bit_xor(h(1)).alias("x"), F.sum(F.shiftright(h(2), 8)).alias("s")).where("n > 1")
-        sizes = checkpointed(sizes)
+        sizes = checkpointed(_sizes(rows).where("n > 1"))
         last = level == more_levels
         leaf = sizes if last else sizes.where(F.col("n") <= split)
-        leaf = leaf.groupBy("n", "x", "s").agg(F.min("path").alias("path")).select("path", "n")
+        leaf = leaf.groupBy("n", "x", "y").agg(F.min("path").alias("path")).select("path", "n")
         members = rows.select("path", "key").join(leaf, "path")
         done = members if done is None else done.unionByName(members)
         large = sizes.where(F.col("n") > split).select("path")
