@@ -6,6 +6,7 @@ written as Parquet and read again for the next stage. All but the last return th
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tiza.llm import byte_bpe, mixing, ngram_join, pii, quality_rules
 from tiza.llm.common import shared_dir, table
@@ -31,9 +32,20 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed_order(docs)
 
 
+def placed(docs: DataFrame) -> DataFrame:
+    """(position, doc_id, text) of docs read from files that Spark wrote: positions are distinct and rise in the order of the files' rows.
+
+    A position is made of the number of the task that wrote the file, the file's number within the task, and the row's number in the file."""
+    at = lambda rx: F.regexp_extract("_metadata.file_name", rx, 1).cast("long")
+    position = F.shiftleft(at("^part-([0-9]+)"), 43) + F.shiftleft(at("-c([0-9]+)[.]"), 33) + F.col("_metadata.row_index")
+    return docs.select(position.alias("position"), "doc_id", "text")
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each document's tokens."""
-    return byte_bpe.digests(docs)
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, position) of each document's tokens; position is its place in the mixing order."""
+    rows = placed(docs)
+    made = byte_bpe.digests(rows, id_col="position").withColumnRenamed("doc_id", "position")
+    return made.join(rows.select("position", "doc_id"), "position").select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "position")
 
 
 STAGES = [("quality_rules", rules), ("ngram_join", near_duplicates), ("pii", mask), ("mixing", mixed), ("byte_bpe", tokens)]
@@ -42,11 +54,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows over documents; stages pass their documents on through files in the shared folder."""
+    """The last stage's rows over documents, sorted by position: in mixing order. Stages pass their documents on through files in the shared folder.
+
+    The position itself stays in the last stage's files; sorting their digests needs none of the texts."""
     docs = table(spark, sf_dir, "documents")
     folder = shared_dir(spark)
     for i, (name, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
         out.write.parquet(f"{folder}/{i}-{name}")
         docs = spark.read.parquet(f"{folder}/{i}-{name}")
-    return docs
+    return docs.orderBy("position").drop("position")

@@ -1,12 +1,14 @@
 import hashlib
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tests.llm.edge import ROWS, edge_docs
 from tests.llm.test_byte_bpe import as_library
 from tests.llm.test_native import base_spans, counts_of
 from tests.llm.test_ngram_join import expected
-from tiza.llm import pii
+from tiza.llm import mixing, pii
 
 
 def masked_plainly(text, spans):
@@ -57,3 +59,25 @@ def test_mixing_order_is_in_the_files(spark, sf_dir, tmp_path):
     for at in (400, 600, 800):  # every source has its share of every prefix but for a block and what ended early
         seen = Counter(sources[:at])
         assert all(abs(seen[s] - share[s] * at / len(sources)) <= 2 * 16 for s in share)
+
+
+def test_run_returns_the_mixing_order(spark, sf_dir, tmp_path):
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "7"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = [r.doc_id for r in corpus_pipeline.run(spark, sf_dir).collect()]
+        docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where(F.col("doc_id").isin(got))
+        assert got == [r.doc_id for r in mixing.mix(docs).orderBy("slot", "offset").select("row.doc_id").collect()] and len(got) > 500
+        # equal and missing ids: each row has a place of its own
+        d = edge_docs(spark, [(i % 50 or None, f"text {i}", "en", "s", 1) for i in range(400)])
+        d.repartition(5).write.option("maxRecordsPerFile", 30).parquet(str(tmp_path / "d"))
+        files = spark.read.parquet(str(tmp_path / "d"))
+        rows = corpus_pipeline.tokens(spark, files, None).orderBy("position").collect()
+        where = files.select("doc_id", "text", "_metadata.file_name", "_metadata.row_index").orderBy("file_name", "row_index").collect()
+        want = [(r.doc_id, hashlib.sha256(r.text.encode()).hexdigest()) for r in where]
+        assert [(r.doc_id, r.decoded_sha256) for r in rows] == want and len({r.position for r in rows}) == 400
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
