@@ -5,7 +5,8 @@ coordinate, so two sets share each token with probability equal to their Jaccard
 recursively: at each node of its tree a few coordinates, 1 / threshold on average, are drawn by a hash of the path so far, and
 a set goes on to one child for each, named by its token there. Similar sets stay together in some leaf with a probability that
 RUNS independent runs raise to the target recall (miss_rate). The first DEPTH levels need no other set, so they are computed
-where the set lies; only buckets that are still too large are split further, level by level.
+where the set lies; only buckets that are still too large are split further, level by level. They are split in AGAIN
+independent ways, as deeper trees alone would lose more pairs.
 
 Leaves are compared by brute force with exact similarities. Leaves with the same members count once. A pair that shares
 several leaves belongs to the first of them, so it is counted once without any shuffle of pairs. A leaf that no split makes
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from hashlib import blake2b
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,8 @@ THRESHOLD, WORDS = 0.8, 5
 COORDINATES, RUNS, DEPTH = 128, 12, 3
 #: Buckets larger than SPLIT sets are split further, for at most MORE_LEVELS levels.
 SPLIT, MORE_LEVELS = 2000, 3
+#: Independent ways in which such a bucket is split, so that pairs in it reach the target recall too.
+AGAIN = 3
 #: Sets in a chunk; a unit compares one or two chunks.
 CHUNK = 512
 MASK = (1 << 64) - 1
@@ -115,15 +119,28 @@ def leaves(sig: np.ndarray, runs: int = RUNS, depth: int = DEPTH) -> list[int]:
     return sorted(set(out))
 
 
-def miss_rate(similarity: float, runs: int = RUNS, depth: int = DEPTH) -> float:
-    """Probability that no run keeps two sets of this similarity together for `depth` levels."""
+def again(path: int, ways: int = AGAIN) -> list[int]:
+    """The nodes that stand for path where a bucket too large is first split: itself, and others that draw their coordinates independently."""
+    return [path, *(_mix_int(path ^ _mix_int(MASK - way)) for way in range(1, ways))]
+
+
+def miss_rate(similarity: float, runs: int = RUNS, depth: int = DEPTH, more_levels: int = 0, ways: int = AGAIN) -> float:
+    """Probability that no run keeps two sets of this similarity together for `depth` levels, and then in any of `ways` splits for `more_levels`."""
     two, gone = 1 / THRESHOLD - 1, 0.0
-    for _ in range(depth):
+    for level in range(more_levels + depth):
+        if level == more_levels:
+            gone = gone**ways
         lost = 1 - similarity + similarity * gone
         gone = (1 - two) * lost + two * lost * lost
     return gone**runs
 
 
+def shared_miss_rate(similarity: float, **tree) -> float:
+    """miss_rate where all runs draw from the same COORDINATES: the mean over the number of coordinates at which the two sets agree."""
+    n = COORDINATES
+    return sum(comb(n, i) * similarity**i * (1 - similarity) ** (n - i) * miss_rate(i / n, **tree) for i in range(n + 1))
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -150,12 +167,19 @@ def _sets(runs: int):
     return run
 
 
-def _deeper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(path, key, sig) -> the same sets one level further down."""
-    for b in batches:
-        out = [(_signed(c), k, s) for p, k, s in zip(*(c.to_pylist() for c in b.columns), strict=True) for c in children(p & MASK, np.frombuffer(s, "<u2").tolist())]
-        columns = list(zip(*out, strict=True)) or ((), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary()), strict=True)], ["path", "key", "sig"])
+def _deeper(ways: int):
+    """(path, key, sig) -> the same sets one level further down, in so many independent ways."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for p, k, s in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                tokens = np.frombuffer(s, "<u2").tolist()
+                out += [(_signed(c), k, s) for q in again(p & MASK, ways) for c in children(q, tokens)]
+            columns = list(zip(*out, strict=True)) or ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary()), strict=True)], ["path", "key", "sig"])
+
+    return run
 
 
 def _sliced(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
@@ -304,7 +328,7 @@ def _buckets(sets: DataFrame, split: int, more_levels: int) -> DataFrame:
         if last or large.isEmpty():
             return done
         deeper = rows.select("path", "key").join(large, "path").join(sets.select("key", "sig"), "key").select("path", "key", "sig")
-        rows = checkpointed(deeper.mapInArrow(_deeper, "path bigint, key binary, sig binary").select("path", "key").distinct())
+        rows = checkpointed(deeper.mapInArrow(_deeper(1 if level else AGAIN), "path bigint, key binary, sig binary").select("path", "key").distinct())
     return done
 
 
