@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.edge import ROWS, edge_docs
 from tiza.llm import ngram_join as nj
@@ -55,13 +56,14 @@ def test_shingles_equal_plain_sets():
 
 
 def test_target_recall():
-    assert nj.miss_rate(0.8) < 1e-4 and nj.miss_rate(0.72) < 1e-2
+    runs = nj.runs_for(0.8)
+    assert nj.miss_rate(0.8, runs) < 1e-4 and nj.miss_rate(0.72, runs) < 1e-2
     rng = np.random.default_rng(2)
     lost = 0
     for _ in range(300):
         s = rng.integers(0, 1 << 63, 360).astype(np.uint64)
         a, b = np.sort(s[:324]), np.sort(s[36:])  # 288 of 360: 0.8
-        lost += not set(nj.leaves(nj.signature(a))) & set(nj.leaves(nj.signature(b)))
+        lost += not set(nj.leaves(nj.signature(a), runs)) & set(nj.leaves(nj.signature(b), runs))
     assert lost <= 1
 
 
@@ -107,6 +109,59 @@ def test_keep_first(spark, family, tmp_path):
     assert {1, 2, 4} <= set(kept) and None not in kept
 
 
+def test_other_thresholds(spark, family):
+    """Links at 0.5 are found with the runs and the branching that the threshold asks for."""
+    assert nj.runs_for(0.5) > nj.runs_for(0.8) > nj.runs_for(0.95)
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    rows = []
+    for k in range(60):  # chains of texts that keep about three quarters of their words' neighbourhoods
+        w = [word() for _ in range(200)]
+        for i in range(4):
+            rows.append((10 * k + i, " ".join(w), "en", "s", 1))
+            at = rng.randrange(120)
+            w[at : at + 45] = [word() for _ in range(45)]
+    for t in (0.5, 0.9):
+        want = expected([r[:2] for r in rows], t)
+        links = lambda c: sum(k[2] * n for k, n in c.items())
+        got = Counter(map(tuple, nj.jaccard_join(edge_docs(spark, rows), threshold=t).collect()))
+        assert 0.9 * links(want) <= links(got) <= links(want) and (t > 0.5 or links(want) > 100)
+    with pytest.raises(ValueError):
+        nj.runs_for(0)
+
+
+def test_null_ids(spark):
+    """Many rows without an id, each with its own text and a near copy, meet nowhere by their missing ids."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    rows = []
+    for _ in range(200):
+        w = [word() for _ in range(100)]
+        rows += [(None, " ".join(w), "en", "s", 1), (None, " ".join([*w[:-1], word()]), "en", "s", 1)]
+    assert Counter(map(tuple, nj.jaccard_join(edge_docs(spark, rows)).collect())) == Counter({(None, None, 1, 0, 1): 400})
+    assert nj.keep_first(edge_docs(spark, rows)).count() == 200
+
+
+def test_same_rows_stay_when_files_are_split_otherwise(spark, family, tmp_path):
+    """Split sizes change with settings and live cores; between the call and its action they must not change the result."""
+    edge_docs(spark, family).repartition(5).write.option("parquet.block.size", 4096).parquet(str(tmp_path / "d"))
+    d = spark.read.parquet(str(tmp_path / "d"))
+    want = sorted(map(str, nj.keep_first(d).collect()))
+    name, old = "spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("3000", "100000000"):
+            spark.conf.set(name, old)
+            got = nj.keep_first(d)
+            spark.conf.set(name, size)
+            assert sorted(map(str, got.collect())) == want
+    finally:
+        spark.conf.set(name, old)
+    # rows that an explode makes share their place in the file, and are written first
+    twice = d.withColumn("doc_id", F.explode(F.array("doc_id", F.col("doc_id") + 100_000)))
+    ids = {r.doc_id for r in nj.keep_first(d).collect()}
+    assert {r.doc_id for r in nj.keep_first(twice).collect()} - {100_000 + i for i in (1, 2, 4)} - {None} == ids - {None}
+
+
 def test_empty(spark):
     d = edge_docs(spark).limit(0)
     assert nj.jaccard_join(d).collect() == [] and nj.keep_first(d).collect() == []
@@ -123,8 +178,10 @@ def test_bucket_of_a_million_keys(spark):
 
 def test_recall_of_split_buckets():
     """Pairs whose buckets are split to the deepest level reach the target as well."""
-    assert nj.shared_miss_rate(0.8) < 1e-4 and nj.shared_miss_rate(0.8, more_levels=nj.MORE_LEVELS) < 1e-4
-    assert nj.shared_miss_rate(0.8, more_levels=nj.MORE_LEVELS, ways=1) > 1e-3
+    for t in (0.5, 0.8, 0.9):
+        rate = lambda **tree: nj.shared_miss_rate(t, nj.runs_for(t), threshold=t, **tree)  # noqa: E731, B023
+        assert rate() < 1e-4 and rate(more_levels=nj.MORE_LEVELS) < 1e-4
+    assert nj.shared_miss_rate(0.8, nj.runs_for(0.8), more_levels=nj.MORE_LEVELS, ways=1) > 1e-3
     runs = 3  # so few that losses show
     names = pa.schema([("path", pa.int64()), ("key", pa.binary()), ("sig", pa.binary())])
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +63,22 @@ def packed(df: DataFrame) -> DataFrame:
     return df.select(F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("row"))
 
 
+def placed(docs: DataFrame) -> DataFrame:
+    """(file, place, row): every row of docs as a struct, named by its file and its number there.
+
+    The names are the same whenever docs is read again, however its files are then split among tasks. A docs whose rows don't
+    stem one by one from files (made in memory, joined, exploded) is first written to the shared folder. file is a hash of
+    the path: two of a million paths share one with probability 3e-8, and only rows of equal number would be confused."""
+    rows = packed(docs)
+    try:
+        out = rows.select(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"), "row")
+        if out.groupBy("file", "place").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+            return out
+    except AnalysisException:
+        pass
+    return stored(rows.select(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("place"), "row"))
+
+
 def beta_strength(total: Column, mean: Column, weighted_var: Column, groups: Column) -> Column:
     """Pseudo-count of a beta prior by the method of moments, between 1 and 1e6.
 

@@ -4,7 +4,7 @@ Texts become sets of 5-word shingles; equal sets form one class. Each set is emb
 coordinate, so two sets share each token with probability equal to their Jaccard similarity. A run splits all sets
 recursively: at each node of its tree a few coordinates, 1 / threshold on average, are drawn by a hash of the path so far, and
 a set goes on to one child for each, named by its token there. Similar sets stay together in some leaf with a probability that
-RUNS independent runs raise to the target recall (miss_rate). The first DEPTH levels need no other set, so they are computed
+independent runs, as many as the threshold and the target recall ask for (runs_for), raise to that target. The first DEPTH levels need no other set, so they are computed
 where the set lies; only buckets that are still too large are split further, level by level. They are split in AGAIN
 independent ways, as deeper trees alone would lose more pairs.
 
@@ -14,12 +14,14 @@ smaller, as with thousands of near copies, is cut into chunks, and each pair of
 pair leaves its task, only each set's counts and its group's smallest member do.
 
 Words are runs of letters, digits and non-ASCII characters of the lower-cased text; a text of one to four words has one
-shingle, its words. Null texts and texts without words are in no pair, and each is a class of its own.
+shingle, its words. Null texts and texts without words are in no pair, and each is a class of its own. Rows are told apart by
+their places in files (common.placed), so ids may repeat or be null, and copies of a row are linked like other copies.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 from hashlib import blake2b
 from math import comb
 
@@ -28,10 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tiza.llm.common import checkpointed, join_by_key, table
+from tiza.llm.common import checkpointed, join_by_key, placed, table
 
 THRESHOLD, WORDS = 0.8, 5
-COORDINATES, RUNS, DEPTH = 128, 12, 3
+COORDINATES, DEPTH = 128, 3
+#: Least probability that a pair at the threshold is found.
+TARGET_RECALL = 0.9999
 #: Buckets larger than SPLIT sets are split further, for at most MORE_LEVELS levels.
 SPLIT, MORE_LEVELS = 2000, 3
 #: Independent ways in which such a bucket is split, so that pairs in it reach the target recall too.
@@ -100,21 +104,22 @@ def signature(s: np.ndarray) -> np.ndarray:
     return (_mix(low[:, 0]) >> np.uint64(48)).astype("<u2")
 
 
-def children(path: int, tokens: list[int]) -> list[int]:
-    """The nodes below path that a set with these tokens goes to: one, or with probability 4 (1 / threshold - 1) / 4 two."""
+def children(path: int, tokens: list[int], threshold: float = THRESHOLD) -> list[int]:
+    """The nodes below path that a set with these tokens goes to: one for each coordinate drawn there, 1 / threshold draws on average."""
     r = _mix_int(path)
-    drawn = {r & 127}
-    if (r >> 8) & 0xFFFF < 0x10000 * (1 / THRESHOLD - 1):
-        drawn.add((r >> 32) & 127)
+    draws = int(1 / threshold)
+    if (r >> 8) & 0xFFFF < 0x10000 * (1 / threshold - draws):
+        draws += 1
+    drawn = {r & 127, *[(_mix_int(r + j) if j > 1 else r >> 32) & 127 for j in range(1, draws)]}
     return [_mix_int(path ^ (((i << 16 | tokens[i]) * 0x9E3779B97F4A7C15) & MASK)) for i in drawn]
 
 
-def leaves(sig: np.ndarray, runs: int = RUNS, depth: int = DEPTH) -> list[int]:
+def leaves(sig: np.ndarray, runs: int, depth: int = DEPTH, threshold: float = THRESHOLD) -> list[int]:
     tokens, out = sig.tolist(), []
     for run in range(runs):
         level = [_mix_int(run + 1)]
         for _ in range(depth):
-            level = [c for p in level for c in children(p, tokens)]
+            level = [c for p in level for c in children(p, tokens, threshold)]
         out += level
     return sorted(set(out))
 
@@ -124,50 +129,62 @@ def again(path: int, ways: int = AGAIN) -> list[int]:
     return [path, *(_mix_int(path ^ _mix_int(MASK - way)) for way in range(1, ways))]
 
 
-def miss_rate(similarity: float, runs: int = RUNS, depth: int = DEPTH, more_levels: int = 0, ways: int = AGAIN) -> float:
+def miss_rate(similarity: float, runs: int = 1, depth: int = DEPTH, more_levels: int = 0, ways: int = AGAIN, threshold: float = THRESHOLD) -> float:
     """Probability that no run keeps two sets of this similarity together for `depth` levels, and then in any of `ways` splits for `more_levels`."""
-    two, gone = 1 / THRESHOLD - 1, 0.0
+    draws = int(1 / threshold)
+    further, gone = 1 / threshold - draws, 0.0
     for level in range(more_levels + depth):
         if level == more_levels:
             gone = gone**ways
         lost = 1 - similarity + similarity * gone
-        gone = (1 - two) * lost + two * lost * lost
+        gone = (1 - further) * lost**draws + further * lost ** (draws + 1)
     return gone**runs
 
 
-def shared_miss_rate(similarity: float, **tree) -> float:
+def shared_miss_rate(similarity: float, runs: int = 1, **tree) -> float:
     """miss_rate where all runs draw from the same COORDINATES: the mean over the number of coordinates at which the two sets agree."""
     n = COORDINATES
-    return sum(comb(n, i) * similarity**i * (1 - similarity) ** (n - i) * miss_rate(i / n, **tree) for i in range(n + 1))
+    return sum(comb(n, i) * similarity**i * (1 - similarity) ** (n - i) * miss_rate(i / n, **tree) ** runs for i in range(n + 1))
+
+
+@cache
+def runs_for(threshold: float, target: float = TARGET_RECALL) -> int:
+    """Runs after which a pair at the threshold has been found with the target probability, wherever its buckets are split."""
+    if not 0 < threshold <= 1:
+        raise ValueError("a threshold is above 0 and at most 1")
+    runs = 1
+    while shared_miss_rate(threshold, runs, more_levels=MORE_LEVELS, threshold=threshold) > 1 - target:
+        runs += 1
+    return runs
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-SETS = "rid bigint, doc_id bigint, key binary, sig binary, paths array<bigint>"
+SETS = "file bigint, place bigint, doc_id bigint, key binary, sig binary, paths array<bigint>"
 
 
-def _sets(runs: int):
+def _sets(runs: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys, sigs, paths = [], [], []
-            for text in b.column(2):
+            for text in b.column(3):
                 s = shingles(text.as_py())
                 if len(s):
                     sig = signature(s)
                     keys.append(blake2b(s.tobytes(), digest_size=16).digest())
                     sigs.append(sig.tobytes())
-                    paths.append([_signed(p) for p in leaves(sig, runs)])
+                    paths.append([_signed(p) for p in leaves(sig, runs, threshold=threshold)])
                 else:
                     keys.append(None), sigs.append(None), paths.append(None)
-            arrays = [b.column(0), b.column(1), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary()), pa.array(paths, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["rid", "doc_id", "key", "sig", "paths"])
+            arrays = [*b.columns[:3], pa.array(keys, pa.binary()), pa.array(sigs, pa.binary()), pa.array(paths, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["file", "place", "doc_id", "key", "sig", "paths"])
 
     return run
 
 
-def _deeper(ways: int):
+def _deeper(ways: int, threshold: float = THRESHOLD):
     """(path, key, sig) -> the same sets one level further down, in so many independent ways."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +192,7 @@ def _deeper(ways: int):
             out = []
             for p, k, s in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 tokens = np.frombuffer(s, "<u2").tolist()
-                out += [(_signed(c), k, s) for q in again(p & MASK, ways) for c in children(q, tokens)]
+                out += [(_signed(c), k, s) for q in again(p & MASK, ways) for c in children(q, tokens, threshold)]
             columns = list(zip(*out, strict=True)) or ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary()), strict=True)], ["path", "key", "sig"])
 
@@ -190,12 +207,10 @@ def _sliced(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.R
 
 
 def _with_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, n_docs, buckets, text) -> the same with the text's shingles; rows whose text is of another class (an id used twice) go."""
+    """(key, n_docs, buckets, text) -> the same with the text's shingles."""
     for b in _sliced(batches):
-        own = [shingles(t.as_py()) for t in b.column(3)]
-        keep = [blake2b(s.tobytes(), digest_size=16).digest() == k for s, k in zip(own, b.column(0).to_pylist(), strict=True)]
-        full = pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([s.tobytes() for s in own], pa.binary())], ["key", "n_docs", "buckets", "shingles"])
-        yield full.filter(pa.array(keep, pa.bool_()))
+        own = [shingles(t.as_py()).tobytes() for t in b.column(3)]
+        yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(own, pa.binary())], ["key", "n_docs", "buckets", "shingles"])
 
 
 def _shared(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -313,7 +328,7 @@ def _sizes(rows: DataFrame) -> DataFrame:
     return rows.groupBy("path").agg(F.count("*").alias("n"), h(1).alias("x"), h(2).alias("y"))
 
 
-def _buckets(sets: DataFrame, split: int, more_levels: int) -> DataFrame:
+def _buckets(sets: DataFrame, split: int, more_levels: int, threshold: float) -> DataFrame:
     """(path, n, key): the members of every leaf of two or more sets, leaves with the same members once."""
     rows = sets.select(F.explode("paths").alias("path"), "key")
     done = None
@@ -328,20 +343,22 @@ def _buckets(sets: DataFrame, split: int, more_levels: int) -> DataFrame:
         if last or large.isEmpty():
             return done
         deeper = rows.select("path", "key").join(large, "path").join(sets.select("key", "sig"), "key").select("path", "key", "sig")
-        rows = checkpointed(deeper.mapInArrow(_deeper(1 if level else AGAIN), "path bigint, key binary, sig binary").select("path", "key").distinct())
+        rows = checkpointed(deeper.mapInArrow(_deeper(1 if level else AGAIN, threshold), "path bigint, key binary, sig binary").select("path", "key").distinct())
     return done
 
 
-def _groups(docs: DataFrame, threshold: float, runs: int, split: int, more_levels: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """Members (rid, doc_id, key) and classes (key, rep, n_docs, label, links, text_links)."""
-    d = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    members = checkpointed(d.mapInArrow(_sets(runs), SETS))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid", "sig", "paths"))
-    classes = checkpointed(members.where("key is not null").groupBy("key").agg(F.count("*").alias("n_docs"), first.alias("f")).select("key", "n_docs", F.col("f.doc_id").alias("rep"), "f.sig", "f.paths"))
-    found = _buckets(classes, split, more_levels).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("path", "n"))).alias("buckets"))
-    asked = classes.select("key", "n_docs", "rep").join(found, "key")
+def _groups(docs: DataFrame, threshold: float, runs: int | None, split: int, more_levels: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows of docs with their places, members (file, place, doc_id, key) and classes (key, rep, n_docs, label, links, text_links)."""
+    rows = placed(docs)
+    d = rows.select("file", "place", F.col(f"row.`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"row.`{text_col}`").alias("text"))
+    members = checkpointed(d.mapInArrow(_sets(runs or runs_for(threshold), threshold), SETS))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "file", "place", "sig", "paths"))
+    classes = members.where("key is not null").groupBy("key").agg(F.count("*").alias("n_docs"), first.alias("f"))
+    classes = checkpointed(classes.select("key", "n_docs", F.col("f.doc_id").alias("rep"), "f.file", "f.place", "f.sig", "f.paths"))
+    found = _buckets(classes, split, more_levels, threshold).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("path", "n"))).alias("buckets"))
     # only the texts of sets that share a leaf are compared
-    texts = d.select("doc_id", "text").join(asked, F.col("doc_id").eqNullSafe(F.col("rep"))).select("key", "n_docs", "buckets", "text")
+    asked = classes.select("file", "place", "key", "n_docs").join(found, "key")
+    texts = d.select("file", "place", "text").join(asked, ["file", "place"]).select("key", "n_docs", "buckets", "text")
     full = texts.mapInArrow(_with_shingles, "key binary, n_docs bigint, buckets array<struct<path:bigint,n:bigint>>, shingles binary")
     each = full.select("key", "n_docs", "shingles", F.transform("buckets", lambda x: x["path"]).alias("paths"), F.explode("buckets").alias("b"))
     chunks = F.ceil(F.col("b.n") / CHUNK).cast("int")
@@ -353,17 +370,18 @@ def _groups(docs: DataFrame, threshold: float, runs: int, split: int, more_level
     links = linked.groupBy("key").agg(F.sum("links").alias("links"), F.sum("text_links").alias("text_links"))
     labels = components(linked.select(F.col("key").alias("u"), F.col("root").alias("v")))
     out = classes.select("key", "n_docs", "rep").join(links, "key", "left").join(labels.withColumnRenamed("v", "key"), "key", "left")
-    return members.select("rid", "doc_id", "key"), checkpointed(out.withColumn("label", F.coalesce("label", "key")))
+    return rows, members.select("file", "place", "doc_id", "key"), checkpointed(out.withColumn("label", F.coalesce("label", "key")))
 
 
 def jaccard_join(
-    docs: DataFrame, threshold: float = THRESHOLD, runs: int = RUNS, split: int = SPLIT, more_levels: int = MORE_LEVELS, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, threshold: float = THRESHOLD, runs: int | None = None, split: int = SPLIT, more_levels: int = MORE_LEVELS, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """(doc_id, class_id, n_links, n_copies, n_text_links) for each row of docs.
 
     class_id: the smallest doc_id of the rows connected by links. n_links: other rows whose set has at least the threshold's
-    similarity; n_copies: those of them with the same set; n_text_links: the different sets among them."""
-    members, classes = _groups(docs, threshold, runs, split, more_levels, id_col, text_col)
+    similarity; n_copies: those of them with the same set; n_text_links: the different sets among them. A pair at the threshold
+    is found with probability TARGET_RECALL, unless `runs` sets the number of runs."""
+    _, members, classes = _groups(docs, threshold, runs, split, more_levels, id_col, text_col)
     ids = classes.groupBy("label").agg(F.min("rep").alias("class_id"), F.sum("n_docs").alias("n"))
     of_class = join_by_key(classes, ids, "label", "n").select("key", "n_docs", F.col("n_docs").alias("copies"), "class_id", "links", "text_links")
     out = join_by_key(members, of_class, "key", "n_docs")
@@ -374,18 +392,17 @@ def jaccard_join(
     )
 
 
-def keep_first(docs: DataFrame, threshold: float = THRESHOLD, runs: int = RUNS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that are connected to an earlier one: of each group the row with the smallest doc_id stays, all its columns unchanged.
-
-    Rows are told apart by their place in the files, so docs must be read from files."""
-    members, classes = _groups(docs, threshold, runs, SPLIT, MORE_LEVELS, id_col, text_col)
+def keep_first(docs: DataFrame, threshold: float = THRESHOLD, runs: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the rows that are connected to an earlier one: of each group the row with the smallest doc_id stays, all its columns unchanged; of rows
+    with equal ids the one that comes first in the files."""
+    numbered, members, classes = _groups(docs, threshold, runs, SPLIT, MORE_LEVELS, id_col, text_col)
     of = classes.select("key", "n_docs", "label")
     rows = join_by_key(members.where("key is not null"), of, "key", "n_docs")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
+    at = F.struct("file", "place")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", at.alias("at"))
     first = rows.groupBy("label").agg(F.min(order).alias("first"), F.count("*").alias("n"))
-    dropped = join_by_key(rows.select("rid", "label"), first, "label", "n").where("rid <> first.rid").select(F.col("rid").alias("_rid"))
-    numbered = docs.select(F.monotonically_increasing_id().alias("_rid"), F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"))
-    return numbered.join(dropped, "_rid", "left_anti").select("_row.*")
+    dropped = join_by_key(rows.select("file", "place", "label"), first, "label", "n").where(at != F.col("first.at")).select("file", "place")
+    return numbered.join(dropped, ["file", "place"], "left_anti").select("row.*")
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
