@@ -70,8 +70,19 @@ def test_query_equals_brute_force(spark, sf_dir):
     assert Counter(map(tuple, rs.op5_repeated_spans(spark, sf_dir).collect())) == want and sum(k[2] > 0 for k in want) > 50
 
 
-@pytest.mark.parametrize("hot", [4000, 3])
-def test_shared_passages_periods_and_edges(spark, tmp_path, hot):
+def test_weights_count_as_copies():
+    rng = random.Random(2)
+    for _ in range(30):
+        texts = [bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 40))) for _ in range(5)]
+        weights = [rng.randint(1, 2) for _ in texts]
+        plain = rs.repeats([t for t, w in zip(texts, weights, strict=True) for _ in range(w)], 6)
+        firsts = np.cumsum([0, *weights[:-1]])
+        assert [f.tolist() for f in rs.repeats(texts, 6, weights)] == [plain[i].tolist() for i in firsts]
+
+
+@pytest.mark.parametrize("text_bytes", [250_000, 1500])
+def test_shared_passages_periods_and_edges(spark, tmp_path, text_bytes):
+    """With short texts all hot names go through every length of anchors."""
     rng = random.Random(6)
     noise = lambda n: "".join(rng.choice("abcdefghij é😀 ") for _ in range(n))
     passage = noise(230)
@@ -79,10 +90,35 @@ def test_shared_passages_periods_and_edges(spark, tmp_path, hot):
     rows += [(100, "ab" * 3000, "en", "s", 1), (101, "x" * 199, "en", "s", 1), (102, "x" * 199, "en", "s", 1), (103, "y" * 200, "en", "s", 1), (104, "y" * 200, "en", "s", 1), (105, "z" * 201, "en", "s", 1)]
     rows += ROWS
     edge_docs(spark, rows).write.parquet(str(tmp_path / "d"))
-    got = rs.remove_repeats(spark.read.parquet(str(tmp_path / "d")), hot_pieces=hot, text_bytes=5000, with_kept=True).collect()
+    got = rs.remove_repeats(spark.read.parquet(str(tmp_path / "d")), text_bytes=text_bytes, with_kept=True).collect()
     assert Counter(tuple(r)[:5] for r in got) == expected([r[:2] for r in rows])
     assert all(hashlib.sha256(bytes(r.kept)).hexdigest() == r.kept_sha256 and len(r.kept) == r.n_bytes - r.n_removed for r in got)
 
 
+def test_same_result_when_files_are_split_otherwise(spark, tmp_path):
+    rng = random.Random(3)
+    passage = "".join(rng.choice("abcdefghij ") for _ in range(300))
+    noise = lambda: "".join(rng.choice("abcdefghij ") for _ in range(400))
+    rows = [(i, noise() + (passage if i % 3 else noise()), "en", "s", 1) for i in range(300)]
+    edge_docs(spark, rows).repartition(3).write.option("parquet.block.size", 4096).parquet(str(tmp_path / "d"))
+    name, old = "spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        got = rs.remove_repeats(spark.read.parquet(str(tmp_path / "d")))
+        spark.conf.set(name, "20000")
+        assert Counter(map(tuple, got.collect())) == expected([r[:2] for r in rows])
+    finally:
+        spark.conf.set(name, old)
+
+
+def test_clash_of_hashes_raises():
+    import pyarrow as pa
+
+    found = [{"start": 0, "windows": 1, "digest": b"other", "runs": rs.runs_of(np.ones(1, bool)).tobytes()}]
+    names = ["doc_id", "n_bytes", "sha", "text", "found"]
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([200]), pa.array([None], pa.string()), pa.array(["x" * 200]), pa.array([found])], names)
+    with pytest.raises(ValueError, match="share a hash"):
+        list(rs._remove(200, False)([batch]))
+
+
 def test_empty(spark):
     assert rs.remove_repeats(edge_docs(spark).limit(0)).collect() == []

@@ -2,19 +2,22 @@
 
 A byte goes if some LENGTH-byte string that covers it also starts elsewhere, in the same text or another.
 
-Every LENGTH-byte window is named by the least hash of the ANCHOR-byte strings in it, so equal windows have the same name
-wherever they stand. Neighbouring windows with the same name form a piece of text. Equal pieces are counted; names that occur
-once are done with, unless the piece holds the named string twice and so may repeat itself. Pieces that share a name but
-differ, and those last ones, go to one task for each name, in which they are joined to one text with a suffix
-order and its Burrows-Wheeler transform. Breadth-first backward extension then splits the interval of the empty string into
-the intervals of all strings of length 1, 2, 3, ...: each new boundary is a common prefix of the current length, found in
-increasing order. Expansion stops at LENGTH: suffixes still in one interval share a window there.
-
-So only names, counts and the few pieces in question are shuffled, never all suffixes. A name with too many different pieces
-for one task (HOT_PIECES) has its windows counted by their 128-bit hashes instead, spread over all tasks.
+Every LENGTH-byte window is named by the least hash of the anchor-length strings in it, so equal windows have the same name
+wherever they stand. Neighbouring windows with the same name form a piece of text. Names that occur once are done with, unless
+the piece holds the named string twice and so may repeat itself. Of the others' pieces one of each kind, weighted by its
+copies, goes to one task for each name, in which they are joined to one text with a suffix order and its Burrows-Wheeler
+transform. Breadth-first backward extension then splits the interval of the empty string into the intervals of all strings of
+length 1, 2, 3, ...: each new boundary is a common prefix of the current length, found in increasing order. Expansion stops at
+LENGTH: suffixes still in one interval share a window there, and the window is repeated if their weights add up to two or more.
+
+So only names, counts and one piece of each kind are shuffled, never all suffixes. Where a name's kinds are too long for one
+text, as with thousands of near copies, their windows get names from longer anchors, which fewer kinds share, and so on up to
+the whole window, which is a kind of its own: however hot a passage is, no task gathers it, and each window is still judged by
+expansion. Kinds are told apart by hashes of 64 bits, and before bytes go each piece is compared with its kind by a digest of
+128 bits; a clash raises an error.
 
 Null texts are empty. Texts are UTF-8 bytes; matches never cross texts. Repeated rows count as repeated texts. Rows are told
-apart by their place in the files, so docs must be read from files.
+apart by their places in files (common.placed). A task needs about 100 bytes of memory for each byte of its longest text.
 """
 
 from __future__ import annotations
@@ -27,11 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tiza.llm.common import join_by_key, stored, table
+from tiza.llm.common import join_by_key, placed, stored, table
 
-LENGTH, ANCHOR = 200, 40
-#: Bytes of pieces that are joined to one text, and the most different pieces of one name in it.
-TEXT_BYTES, HOT_PIECES = 250_000, 4000
+LENGTH = 200
+#: Lengths of anchors as shares of LENGTH: first that of all windows, then those of windows whose names are too hot.
+ANCHORS = (0.2, 0.6, 0.9, 1.0)
+#: Bytes of pieces that are joined to one text; a name with more gets longer anchors.
+TEXT_BYTES = 250_000
+#: Windows of a hot piece that are put together at a time, and bytes that a task makes before it passes them on.
+GATHER, FLUSH = 1 << 16, 8_000_000
 _ODD = np.uint64(0xD1B54A32D192ED03)
 _INVERSE = np.uint64(pow(0xD1B54A32D192ED03, -1, 1 << 64))
 
@@ -67,8 +74,10 @@ def _least(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(h[: len(h) - (width - span)], h[width - span :])
 
 
-def pieces(data: bytes, length: int = LENGTH, anchor: int = ANCHOR) -> tuple[np.ndarray, ...]:
-    """Names, content hashes, first windows and numbers of windows of a text's pieces, and whether they hold the named string twice."""
+def pieces(data: bytes, length: int = LENGTH, anchor: int = int(ANCHORS[0] * LENGTH)) -> tuple[np.ndarray, ...]:
+    """Names, content hashes, first windows and numbers of windows of a text's pieces, and whether they hold the named string twice.
+
+    With whole windows as anchors each window is a piece."""
     b = np.frombuffer(data, np.uint8)
     n = len(b)
     if n < length:
@@ -77,7 +86,7 @@ def pieces(data: bytes, length: int = LENGTH, anchor: int = ANCHOR) -> tuple[np.
     # the running sums give the hash of every anchor-length string
     strings = _mix((h.sums[anchor:] - h.sums[:-anchor]) * h.down[: n - anchor + 1])
     name = _least(strings, length - anchor + 1)
-    starts = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
+    starts = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]])) if anchor < length else np.arange(len(name))
     counts = np.diff(np.append(starts, len(name)))
     content = _mix(h.of(starts, starts + counts + length - 1) + counts.astype(np.uint64) * _ODD)
     spans = counts + length - anchor
@@ -89,7 +98,7 @@ def suffix_order(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray
     """Suffixes of the texts, each ended by a mark of its own, in the order of their first `depth` bytes at least.
 
     Marks sort before bytes and by text. Returns the joined bytes (marks are 0), the order, and each text's first place.
-    Prefix doubling: each round sorts by twice as many bytes."""
+    Prefix doubling: each round sorts what is still tied by twice as many bytes."""
     lengths = np.array([len(t) + 1 for t in texts])
     firsts = np.cumsum(lengths) - lengths
     joined = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)
@@ -106,20 +115,23 @@ def suffix_order(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray
         if i < n:
             key[: n - i] |= np.where(places[: n - i] + i < last[: n - i], value[i:], 0)
     order = np.argsort(key)
+    at, fresh = np.arange(n), np.concatenate([[True], np.diff(key[order]) != 0])  # places in the order that are still in question
     ranks = np.empty(n, np.int64)
-    ranks[order] = np.cumsum(np.concatenate([[0], np.diff(key[order]) != 0]))
-    # suffixes shorter than seven bytes are told apart by their text
     while True:
-        ahead = places + k
-        inside = ahead <= last
-        second = np.where(inside, ranks[np.minimum(ahead, n - 1)] + len(texts), text_of)
-        key = ranks * (n + len(texts) + 1) + second
-        order = np.argsort(key)
-        step = np.diff(key[order]) != 0
-        ranks[order] = np.cumsum(np.concatenate([[0], step]))
-        k *= 2
-        if k >= depth or step.all():
+        ranks[order[at]] = np.maximum.accumulate(np.where(fresh, at, 0))  # a group's rank is its first place in the order
+        tied = ~fresh | ~np.append(fresh[1:], True)
+        at = at[tied]
+        if k >= depth or not len(at):
             return joined, order, firsts
+        # groups keep their places; within them suffixes go by what follows, those that have ended first and by text
+        suffixes = order[at]
+        ahead = suffixes + k
+        second = np.where(ahead <= last[suffixes], ranks[np.minimum(ahead, n - 1)] + len(texts), text_of[suffixes])
+        key = ranks[suffixes] * (n + len(texts) + 1) + second
+        by = np.argsort(key)
+        order[at] = suffixes[by]
+        fresh = np.concatenate([[True], np.diff(key[by]) != 0])
+        k *= 2
 
 
 def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -169,15 +181,17 @@ def expand(last_column: np.ndarray, has_symbol: np.ndarray, marks: int, length:
     return first, end[first]
 
 
-def repeats(texts: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
-    """For each text, whether each of its length-byte windows also starts elsewhere in these texts."""
+def repeats(texts: list[bytes], length: int = LENGTH, weights: list[int] | None = None) -> list[np.ndarray]:
+    """For each text, whether each of its length-byte windows also starts elsewhere in these texts, of which there are so many copies."""
     joined, order, firsts = suffix_order(texts, length + 1)
     is_first = np.zeros(len(joined), bool)
     is_first[firsts] = True
     first, end = expand(joined[order - 1], ~is_first[order], len(texts), length)
+    weight = np.repeat(np.ones(len(texts), np.int64) if weights is None else np.array(weights), [len(t) + 1 for t in texts])
+    sums = np.concatenate([[0], np.cumsum(weight[order])])
     shared = np.zeros(len(joined), bool)
-    shared[order[end - first > 1]] = True
-    # an interval of two or more suffixes is left only where `length` bytes agree, and none of them can be a mark
+    shared[order[sums[end] - sums[first] > 1]] = True
+    # suffixes of `length` bytes are in one interval where these agree, and none of them can be a mark
     return [shared[f : f + max(0, len(t) - length + 1)] for f, t in zip(firsts.tolist(), texts, strict=True)]
 
 
@@ -192,20 +206,31 @@ def _batch(schema: list[tuple[str, pa.DataType]], rows: list[tuple]) -> pa.Recor
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, schema, strict=True)], [n for n, _ in schema])
 
 
+PIECES = "name bigint, content bigint, file bigint, place bigint, start int, windows int, twice boolean"
+
+
 def _all_pieces(length: int, anchor: int):
+    """(file, place, text) -> PIECES."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split()[0] for x in PIECES.split(", ")]
         for b in batches:
             if not len(b):
                 continue
-            found = [pieces((t.as_py() or "").encode(), length, anchor) for t in b.column(1)]
+            found = [pieces((t.as_py() or "").encode(), length, anchor) for t in b.column(2)]
             name, content, start, count, twice = (np.concatenate([f[k] for f in found]) for k in range(5))
-            rid = np.repeat(b.column(0).to_numpy(), [len(f[0]) for f in found])
-            yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(content.view(np.int64)), pa.array(rid), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(twice)], ["name", "content", "rid", "start", "windows", "twice"])
+            own = pa.array(np.repeat(np.arange(len(b)), [len(f[0]) for f in found]))
+            columns = [name.view(np.int64), content.view(np.int64), b.column(0).take(own), b.column(1).take(own), start.astype(np.int32), count.astype(np.int32), twice]
+            yield pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], names)
 
     return run
 
 
-ASKED = [("name", pa.int64()), ("content", pa.int64()), ("copies", pa.int64()), ("hot", pa.bool_()), ("data", pa.binary())]
+KINDS = [("name", pa.int64()), ("content", pa.int64()), ("copies", pa.int64()), ("digest", pa.binary()), ("data", pa.binary())]
+
+
+def _digest(data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=16).digest()
 
 
 def _cut(length: int):
@@ -213,11 +238,17 @@ def _cut(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
+            rows, size = [], 0
             for text, asked in zip(b.column(0), b.column(1), strict=True):
                 data = (text.as_py() or "").encode()
-                rows += [(a["name"], a["content"], a["copies"], a["hot"], data[a["start"] : a["start"] + a["windows"] + length - 1]) for a in asked.as_py()]
-            yield _batch(ASKED, rows)
+                for a in asked.as_py():
+                    own = data[a["start"] : a["start"] + a["windows"] + length - 1]
+                    rows.append((a["name"], a["content"], a["copies"], _digest(own), own))
+                    size += len(own)
+                if size > FLUSH:
+                    yield _batch(KINDS, rows)
+                    rows, size = [], 0
+            yield _batch(KINDS, rows)
 
     return run
 
@@ -226,17 +257,11 @@ FOUND = [("name", pa.int64()), ("content", pa.int64()), ("runs", pa.binary())]
 
 
 def _expand_groups(length: int, text_bytes: int):
-    """Pieces sorted by name -> their repeated windows. Whole names are joined to texts of about text_bytes."""
+    """(name, content, copies, data) sorted by name -> their repeated windows. Whole names are joined to texts of about text_bytes."""
 
     def solve(rows: list[tuple]) -> list[tuple]:
-        flags = repeats([r[3] for r in rows], length)
-        out = []
-        for (name, content, copies, _), f in zip(rows, flags, strict=True):
-            if copies > 1:
-                f = np.ones(len(f), bool)
-            if f.any():
-                out.append((name, content, runs_of(f).tobytes()))
-        return out
+        flags = repeats([r[3] for r in rows], length, [r[2] for r in rows])
+        return [(name, content, runs_of(f).tobytes()) for (name, content, *_), f in zip(rows, flags, strict=True) if f.any()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size, at = [], 0, None
@@ -254,51 +279,64 @@ def _expand_groups(length: int, text_bytes: int):
     return run
 
 
-WINDOWS = [("a", pa.int64()), ("b", pa.int64()), ("name", pa.int64()), ("content", pa.int64()), ("at", pa.int32()), ("copies", pa.int64())]
+PARTS = [("name", pa.int64()), ("content", pa.int64()), ("copies", pa.int64()), ("data", pa.binary()), ("of_name", pa.int64()), ("of_content", pa.int64()), ("start", pa.int32())]
 
 
-def _hot_windows(length: int):
-    """Pieces -> a row for each window, named by two hashes."""
+def _refine(length: int, anchor: int):
+    """(name, content, copies, data) -> the pieces that longer anchors make of each, which know where they come from."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            rows, size = [], 0
             for name, content, copies, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                raw = np.frombuffer(data, np.uint8)
-                n = len(raw) - length + 1
-                starts = np.arange(n)
-                one, other = _Hashes(raw), _Hashes(255 - raw[::-1])
-                a, z = one.of(starts, starts + length), other.of(len(raw) - starts - length, len(raw) - starts)
-                columns = [a.view(np.int64), z.view(np.int64), np.full(n, name), np.full(n, content), starts.astype(np.int32), np.full(n, copies)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, WINDOWS, strict=True)], [x for x, _ in WINDOWS])
+                for n, c, start, windows in zip(*(x.tolist() for x in (y.view(np.int64) for y in pieces(data, length, anchor)[:4])), strict=True):
+                    rows.append((n, c, copies, data[start : start + windows + length - 1], name, content, start))
+                    size += windows + length + 100
+                    if size > FLUSH:
+                        yield _batch(PARTS, rows)
+                        rows, size = [], 0
+            yield _batch(PARTS, rows)
 
     return run
 
 
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(name, content, parts) -> FOUND; parts are runs of windows, each counted from its start."""
+    for b in batches:
+        rows = []
+        for name, content, parts in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            runs = np.concatenate([np.frombuffer(x["runs"], "<i4").reshape(-1, 2) + x["start"] for x in parts])
+            low = int(runs.min())
+            steps = np.zeros(int(runs.max()) - low + 1, np.int32)
+            np.add.at(steps, runs[:, 0] - low, 1)
+            np.add.at(steps, runs[:, 1] - low, -1)
+            rows.append((name, content, (runs_of(np.cumsum(steps)[:-1] > 0) + low).astype("<i4").tobytes()))
+        yield _batch(FOUND, rows)
+
+
 RESULT = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())]
 
 
 def _remove(length: int, with_kept: bool):
-    """(doc_id, n_bytes, sha, text, whole, found) -> the result. whole: pieces to remove entirely; found: pieces with their repeated windows."""
+    """(doc_id, n_bytes, sha, text, found) -> the result. found: pieces with their repeated windows and their kinds' digests."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for doc_id, n, sha, text, whole, found in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if not whole and not found:
-                    data = text.encode() if text is not None else b""
+            for doc_id, n, sha, text, found in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                data = text.encode() if text is not None else b""
+                if not found:
                     rows.append((doc_id, n, 0, 0, sha if sha is not None else hashlib.sha256(data).hexdigest(), data if with_kept else None))
                     continue
-                data = np.frombuffer(text.encode(), np.uint8)
                 steps = np.zeros(len(data) + 1, np.int64)
-                for w in whole or ():
-                    steps[w["start"]] += 1
-                    steps[w["start"] + w["windows"] + length - 1] -= 1
-                for f in found or ():
+                for f in found:
+                    if _digest(data[f["start"] : f["start"] + f["windows"] + length - 1]) != f["digest"]:
+                        raise ValueError(f"two pieces share a hash; one is in document {doc_id}: use other hash constants")
                     runs = np.frombuffer(f["runs"], "<i4").astype(np.int64) + f["start"]
                     np.add.at(steps, runs[::2], 1)
                     np.add.at(steps, runs[1::2] + length - 1, -1)
                 gone = np.cumsum(steps[:-1]) > 0
-                kept = data[~gone].tobytes()
+                kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
                 rows.append((doc_id, n, int(gone.sum()), len(runs_of(gone)) // 2, hashlib.sha256(kept).hexdigest(), kept if with_kept else None))
             yield _batch(RESULT, rows)
 
@@ -310,60 +348,65 @@ def _sql(schema: list) -> str:
     return ", ".join(f"{n} {names[t]}" for n, t in schema)
 
 
+def _repeated(kinds: DataFrame, length: int, anchors: tuple[int, ...], text_bytes: int) -> DataFrame:
+    """FOUND for kinds(name, content, copies, data), which are stored: those of narrow names by expansion, the others by way of longer anchors."""
+    cool, rest = kinds, None
+    if anchors:
+        wide = kinds.groupBy("name").agg(F.sum(F.length("data")).alias("bytes"), F.count("*").alias("kinds")).where(F.col("bytes") > text_bytes)
+        wide = stored(wide.select("name", "kinds", F.lit(True).alias("wide")))
+        if not wide.isEmpty():
+            marked = join_by_key(kinds, wide, "name", "kinds")
+            cool = marked.where("wide is null").drop("wide")
+            parts = stored(marked.where("wide").drop("wide").mapInArrow(_refine(length, anchors[0]), _sql(PARTS)))
+            # equal pieces of different kinds are one kind here
+            finer = stored(parts.groupBy("name", "content").agg(F.sum("copies").alias("copies"), F.min("data").alias("data")))
+            hit = _repeated(finer, length, anchors[1:], text_bytes)
+            key = F.struct("name", "content").alias("piece")
+            uses = parts.groupBy("name", "content").agg(F.count("*").alias("uses"))
+            hit = hit.join(uses, ["name", "content"]).select(key, "uses", "runs")
+            back = join_by_key(parts.select(key, "of_name", "of_content", "start"), hit, "piece", "uses").where("runs is not null")
+            rest = back.select(F.col("of_name").alias("name"), F.col("of_content").alias("content"), "start", "runs")
+            # first stretches of a piece, then the piece: a very long one is not gathered window by window
+            some = rest.groupBy("name", "content", F.floor(F.col("start") / GATHER).alias("block")).agg(F.collect_list(F.struct("start", "runs")).alias("parts"))
+            some = some.select("name", "content", "parts").mapInArrow(_gather, _sql(FOUND))
+            whole = some.groupBy("name", "content").agg(F.collect_list(F.struct(F.lit(0).alias("start"), "runs")).alias("parts"))
+            rest = whole.mapInArrow(_gather, _sql(FOUND))
+    cool = cool.select("name", "content", "copies", "data").repartition("name").sortWithinPartitions("name")
+    found = cool.mapInArrow(_expand_groups(length, text_bytes), _sql(FOUND))
+    return stored(found if rest is None else found.unionByName(rest))
+
+
 def remove_repeats(
-    docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, text_bytes: int = TEXT_BYTES, hot_pieces: int = HOT_PIECES, with_kept: bool = False, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, length: int = LENGTH, anchors: tuple[float, ...] = ANCHORS, text_bytes: int = TEXT_BYTES, with_kept: bool = False, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for each row, and the remaining bytes as `kept` if with_kept."""
-    d = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    every = d.select("rid", "text").mapInArrow(_all_pieces(length, anchor), "name bigint, content bigint, rid bigint, start int, windows int, twice boolean")
+    widths = sorted({max(1, round(a * length)) for a in anchors} | {length})
+    at = ["file", "place"]
+    rows = placed(docs)
+    d = rows.select(*at, F.col(f"row.`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"row.`{text_col}`").alias("text"))
+    every = d.select(*at, "text").mapInArrow(_all_pieces(length, widths[0]), PIECES)
     # first the names alone, as most occur once; contents are looked at where names are left
     names = every.groupBy("name").agg(F.count("*").alias("total"), F.bool_or("twice").alias("twice"))
-    names = names.where("total > 1 or twice").select("name", "total", F.lit(True).alias("left"))
+    names = stored(names.where("total > 1 or twice").select("name", "total", F.lit(True).alias("left")))
     left = stored(join_by_key(every.drop("twice"), names, "name", "total").where("left").drop("left"))
-    equal = left.groupBy("name").agg(F.count("*").alias("total"), ((F.min("content") == F.max("content")) & (F.count("*") > 1)).alias("same"))
-    known = stored(join_by_key(left, equal, "name", "total"))
-    whole = known.where("same").groupBy("rid").agg(F.collect_list(F.struct("start", "windows")).alias("whole"))
-    mixed = known.where("not same").select("name", "content", "rid", "start", "windows")
-    kinds = mixed.groupBy("name", "content").agg(F.count("*").alias("copies"), F.min(F.struct("rid", "start", "windows")).alias("at"))
-    widths = kinds.groupBy("name").agg(F.count("*").alias("kinds"))
-    kinds = join_by_key(kinds, widths.withColumn("wide", F.col("kinds") > hot_pieces), "name", "kinds")
-    asked = kinds.groupBy(F.col("at.rid").alias("rid")).agg(F.collect_list(F.struct("name", "content", "copies", F.col("wide").alias("hot"), "at.start", "at.windows")).alias("asked"))
-    touched = mixed.select("rid").distinct()
-    per = whole.join(asked, "rid", "full").join(touched.withColumn("touched", F.lit(True)), "rid", "full")
+    kinds = left.groupBy("name", "content").agg(F.count("*").alias("copies"), F.min(F.struct(*at, "start", "windows")).alias("at"))
+    asked = kinds.groupBy("at.file", "at.place").agg(F.collect_list(F.struct("name", "content", "copies", "at.start", "at.windows")).alias("asked"))
+    per = left.select(*at).distinct().withColumn("open", F.lit(True)).join(asked, at, "left")
     # texts move once; those in which nothing can repeat leave their digest and stay behind
     data = F.coalesce("text", F.lit("")).cast("binary")
-    t = d.join(per, "rid", "left").withColumn("open", F.col("whole").isNotNull() | F.col("touched").isNotNull())
+    t = d.join(per, at, "left").withColumn("open", F.coalesce("open", F.lit(False)))
     needed = F.col("open") if not with_kept else F.lit(True)
-    t = stored(t.select("rid", "doc_id", F.length(data).cast("bigint").alias("n_bytes"), F.when(~F.col("open"), F.sha2(data, 256)).alias("sha"), F.when(needed, F.coalesce("text", F.lit(""))).alias("text"), "whole", "asked"))
-    cut = stored(t.where("asked is not null").select("text", "asked").mapInArrow(_cut(length), _sql(ASKED)))
-    cool = cut.where("not hot").select("name", "content", "copies", "data").repartition("name").sortWithinPartitions("name")
-    found = cool.mapInArrow(_expand_groups(length, text_bytes), _sql(FOUND))
-    windows = cut.where("hot").select("name", "content", "copies", "data").mapInArrow(_hot_windows(length), _sql(WINDOWS))
-    # a window is repeated if it occurs twice or its piece does
-    often = windows.groupBy("a", "b").agg(F.sum("copies").alias("n")).where("n > 1")
-    keyed = windows.select(F.struct("a", "b").alias("w"), "name", "content", "at")
-    hot = join_by_key(keyed, often.select(F.struct("a", "b").alias("w"), "n", F.lit(True).alias("hit")), "w", "n").where("hit")
-    hot = hot.groupBy("name", "content").agg(F.sort_array(F.collect_list("at")).alias("ats"))
-    hot = hot.mapInArrow(_pack_windows, _sql(FOUND))
-    found = stored(found.unionByName(hot))
+    t = stored(t.select(*at, "doc_id", F.length(data).cast("bigint").alias("n_bytes"), F.when(~F.col("open"), F.sha2(data, 256)).alias("sha"), F.when(needed, F.coalesce("text", F.lit(""))).alias("text"), "asked"))
+    cut = stored(t.where("asked is not null").select("text", "asked").mapInArrow(_cut(length), _sql(KINDS)))
+    found = _repeated(cut.drop("digest"), length, tuple(widths[1:]), text_bytes)
     key = F.struct("name", "content").alias("piece")
-    weights = found.select("name", "content", "runs").join(kinds.select("name", "content", "copies"), ["name", "content"]).select(key, "copies", "runs")
-    hits = join_by_key(mixed.select(key, "rid", "start"), weights, "piece", "copies").where("runs is not null")
-    per_text = hits.groupBy("rid").agg(F.collect_list(F.struct("start", "runs")).alias("found"))
-    last = t.join(per_text, "rid", "left").select("doc_id", "n_bytes", "sha", "text", "whole", "found")
+    weights = found.join(cut.select("name", "content", "copies", "digest"), ["name", "content"]).select(key, "copies", "digest", "runs")
+    hits = join_by_key(left.select(key, *at, "start", "windows"), weights, "piece", "copies").where("runs is not null")
+    per_text = hits.groupBy(*at).agg(F.collect_list(F.struct("start", "windows", "digest", "runs")).alias("found"))
+    last = t.join(per_text, at, "left").select("doc_id", "n_bytes", "sha", "text", "found")
     out = last.mapInArrow(_remove(length, with_kept), _sql(RESULT))
     return out if with_kept else out.drop("kept")
 
 
-def _pack_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        rows = []
-        for name, content, ats in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            flags = np.zeros(ats[-1] + 1, bool)
-            flags[ats] = True
-            rows.append((name, content, runs_of(flags).tobytes()))
-        yield _batch(FOUND, rows)
-
-
 def op5_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
