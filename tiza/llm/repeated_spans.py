@@ -74,10 +74,10 @@ def _least(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(h[: len(h) - (width - span)], h[width - span :])
 
 
-def pieces(data: bytes, length: int = LENGTH, anchor: int = int(ANCHORS[0] * LENGTH)) -> tuple[np.ndarray, ...]:
+def pieces(data: bytes, length: int = LENGTH, anchor: int = int(ANCHORS[0] * LENGTH), contents: bool = True, twice: bool = True) -> tuple[np.ndarray, ...]:
     """Names, content hashes, first windows and numbers of windows of a text's pieces, and whether they hold the named string twice.
 
-    With whole windows as anchors each window is a piece."""
+    With whole windows as anchors each window is a piece. contents, twice: whether these are worked out."""
     b = np.frombuffer(data, np.uint8)
     n = len(b)
     if n < length:
@@ -88,9 +88,11 @@ def pieces(data: bytes, length: int = LENGTH, anchor: int = int(ANCHORS[0] * LEN
     name = _least(strings, length - anchor + 1)
     starts = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]])) if anchor < length else np.arange(len(name))
     counts = np.diff(np.append(starts, len(name)))
-    content = _mix(h.of(starts, starts + counts + length - 1) + counts.astype(np.uint64) * _ODD)
-    spans = counts + length - anchor
-    held = np.add.reduceat(strings[_ranges(starts, spans)] == np.repeat(name[starts], spans), np.cumsum(spans) - spans, dtype=np.int64)
+    content = _mix(h.of(starts, starts + counts + length - 1) + counts.astype(np.uint64) * _ODD) if contents else np.zeros(len(starts), np.uint64)
+    held = np.zeros(len(starts), np.int64)
+    if twice:
+        spans = counts + length - anchor
+        held = np.add.reduceat(strings[_ranges(starts, spans)] == np.repeat(name[starts], spans), np.cumsum(spans) - spans, dtype=np.int64)
     return name[starts], content, starts, counts, held > 1
 
 
@@ -206,7 +208,20 @@ def _batch(schema: list[tuple[str, pa.DataType]], rows: list[tuple]) -> pa.Recor
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, schema, strict=True)], [n for n, _ in schema])
 
 
-PIECES = "name bigint, content bigint, file bigint, place bigint, start int, windows int, twice boolean"
+NAMES = "name bigint, twice boolean"
+PIECES = "name bigint, content bigint, file bigint, place bigint, start int, windows int"
+
+
+def _names(length: int, anchor: int):
+    """(text) -> NAMES of all pieces."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [pieces((t.as_py() or "").encode(), length, anchor, contents=False) for t in b.column(0)]
+            name, twice = (np.concatenate([np.zeros(0, x), *[f[k] for f in found]]) for k, x in ((0, np.uint64), (4, bool)))
+            yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(twice)], ["name", "twice"])
+
+    return run
 
 
 def _all_pieces(length: int, anchor: int):
@@ -217,10 +232,10 @@ def _all_pieces(length: int, anchor: int):
         for b in batches:
             if not len(b):
                 continue
-            found = [pieces((t.as_py() or "").encode(), length, anchor) for t in b.column(2)]
-            name, content, start, count, twice = (np.concatenate([f[k] for f in found]) for k in range(5))
+            found = [pieces((t.as_py() or "").encode(), length, anchor, twice=False) for t in b.column(2)]
+            name, content, start, count = (np.concatenate([f[k] for f in found]) for k in range(4))
             own = pa.array(np.repeat(np.arange(len(b)), [len(f[0]) for f in found]))
-            columns = [name.view(np.int64), content.view(np.int64), b.column(0).take(own), b.column(1).take(own), start.astype(np.int32), count.astype(np.int32), twice]
+            columns = [name.view(np.int64), content.view(np.int64), b.column(0).take(own), b.column(1).take(own), start.astype(np.int32), count.astype(np.int32)]
             yield pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], names)
 
     return run
@@ -289,7 +304,7 @@ def _refine(length: int, anchor: int):
         for b in batches:
             rows, size = [], 0
             for name, content, copies, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                for n, c, start, windows in zip(*(x.tolist() for x in (y.view(np.int64) for y in pieces(data, length, anchor)[:4])), strict=True):
+                for n, c, start, windows in zip(*(x.tolist() for x in (y.view(np.int64) for y in pieces(data, length, anchor, twice=False)[:4])), strict=True):
                     rows.append((n, c, copies, data[start : start + windows + length - 1], name, content, start))
                     size += windows + length + 100
                     if size > FLUSH:
@@ -384,11 +399,11 @@ def remove_repeats(
     at = ["file", "place"]
     rows = placed(docs)
     d = rows.select(*at, F.col(f"row.`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"row.`{text_col}`").alias("text"))
-    every = d.select(*at, "text").mapInArrow(_all_pieces(length, widths[0]), PIECES)
     # first the names alone, as most occur once; contents are looked at where names are left
-    names = every.groupBy("name").agg(F.count("*").alias("total"), F.bool_or("twice").alias("twice"))
+    names = d.select("text").mapInArrow(_names(length, widths[0]), NAMES).groupBy("name").agg(F.count("*").alias("total"), F.bool_or("twice").alias("twice"))
     names = stored(names.where("total > 1 or twice").select("name", "total", F.lit(True).alias("left")))
-    left = stored(join_by_key(every.drop("twice"), names, "name", "total").where("left").drop("left"))
+    every = d.select(*at, "text").mapInArrow(_all_pieces(length, widths[0]), PIECES)
+    left = stored(join_by_key(every, names, "name", "total").where("left").drop("left"))
     kinds = left.groupBy("name", "content").agg(F.count("*").alias("copies"), F.min(F.struct(*at, "start", "windows")).alias("at"))
     asked = kinds.groupBy("at.file", "at.place").agg(F.collect_list(F.struct("name", "content", "copies", "at.start", "at.windows")).alias("asked"))
     per = left.select(*at).distinct().withColumn("open", F.lit(True)).join(asked, at, "left")
