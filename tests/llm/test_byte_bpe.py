@@ -32,6 +32,20 @@ def test_encode_and_decode_equal_library(spark, sf_dir):
         assert bytes(got[k].ids) == as_library(t) and bytes(got[k].bytes) == t.encode() and got[k].n_tokens == len(got[k].ids) // 4
 
 
+def test_texts_are_cut_once(spark, sf_dir, monkeypatch):
+    """Both uses of the cut texts read one shuffle, which sequences leave no more: two shuffles in all."""
+    import re
+
+    monkeypatch.setattr(byte_bpe, "SMALL", 1_000_000)
+    out = byte_bpe.encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), block_chars=200_000)
+    assert out.count() > 0
+    df = out.groupBy().count()
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    final = plan[: plan.index("Initial Plan")] if "Initial Plan" in plan else plan
+    assert "ReusedExchange" in final and len(re.findall(r"- Exchange hashpartitioning", final)) == 2
+
+
 def test_edge_rows(spark):
     got = Counter((r.doc_id, bytes(r.ids)) for r in byte_bpe.encode(edge_docs(spark)).collect())
     assert got == Counter((r[0], as_library(r[1])) for r in ROWS)

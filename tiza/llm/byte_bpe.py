@@ -2,13 +2,14 @@
 
 1. Texts are cut into pre-tokens. Each block of documents keeps its pre-tokens as numbers of its own distinct words, in
    order: that is every pre-token's position, packed.
-2. A block's distinct words are dealt by hash to word buckets. All blocks' copies of a word meet in one bucket, where the
-   word is merged once, and its ids go back to the blocks that asked.
-3. Each block joins the ids to its positions and emits the ids of each document.
+2. One shuffle deals out both: a block's distinct words by hash to word buckets, its sequence by the block's name. All blocks'
+   copies of a word meet in one bucket, where the word is merged once, and only its ids go on to the blocks that asked.
+3. Each block, whose sequence lies there already, joins the ids to its positions and emits the ids of each document.
 4. Decoding joins ids to the table of token bytes, which is as small as the vocabulary.
 
-Hot words weigh nothing: a block sends a word once, however often it occurs. Memory: a block (BLOCK_CHARS of text, or one
-longer text) or a bucket's distinct words. A text is never cut: a single very long one makes one block.
+Texts are read once, but for a sum of their lengths, from which the numbers of partitions and buckets follow. Hot words weigh
+nothing: a block sends a word once, however often it occurs. Memory: a block (BLOCK_CHARS of text, or one longer text) or a
+bucket's distinct words. A text is never cut: a single very long one makes one block.
 
 Null texts count as empty: no ids, no bytes. Rows and doc_ids may repeat; each row gives one row.
 """
@@ -25,6 +26,7 @@ from hashlib import blake2b
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -35,12 +37,12 @@ from tiza.llm.common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 BLOCK_CHARS = 8_000_000
-#: Word buckets: twice spark.sql.shuffle.partitions within these bounds. A task holds the distinct words of one bucket at a
-#: time, at most CACHE of them.
-BUCKETS = (256, 4096)
-CACHE = 400_000
+#: Characters of text for each partition of the shuffle: SMALL until there are MANY partitions, then LARGE.
+SMALL, LARGE, MANY = 16_000_000, 64_000_000, 200
+#: Word buckets for each partition, within bounds: few words a bucket make poor payloads, many a large table.
+PER_PARTITION, BUCKETS = 4, (256, 65_536)
 SEQUENCE = -1  # bucket number of a block's own row
-SEGMENT = "block bigint, bucket int, payload binary"
+SEGMENT = "key bigint, block bigint, bucket int, payload binary"
 ENCODED = "doc_id bigint, n_tokens bigint, ids binary"
 
 
@@ -124,8 +126,8 @@ def _words(payload: bytes) -> list[bytes]:
     return [raw[a:b] for a, b in zip(starts, ends.tolist(), strict=True)]
 
 
-def _segments(buckets: int, block_chars: int, pattern: str, words_only: bool):
-    """Blocks' words by bucket (words_only), or else their sequences. Both cut the same blocks and number words alike."""
+def _segments(buckets: int, block_chars: int, pattern: str):
+    """(doc_id, text, part) -> SEGMENT: blocks' words by bucket (key: the bucket) and their sequences (key: the block)."""
     split = regex.compile(pattern).findall
 
     def block_rows(numbers: dict[str, int], ids: list, codes: list[np.ndarray], digest: bytes) -> Iterator[tuple]:
@@ -134,16 +136,14 @@ def _segments(buckets: int, block_chars: int, pattern: str, words_only: bool):
         of = np.fromiter((zlib.crc32(w) % buckets for w in words), np.uint32, len(words))
         order = np.argsort(of, kind="stable")
         bounds = np.searchsorted(of[order], np.arange(buckets + 1))
-        for b in np.flatnonzero(np.diff(bounds)).tolist() if words_only else ():
+        for b in np.flatnonzero(np.diff(bounds)).tolist():
             own = [words[i] for i in order[bounds[b] : bounds[b + 1]]]
             lengths = np.array([len(own), *map(len, own)], "<u4").tobytes()
-            yield block, b, zstandard.compress(lengths + b"".join(own), 3)
-        if words_only:
-            return
+            yield b, block, b, zstandard.compress(lengths + b"".join(own), 3)
         none = np.array([i is None for i in ids], np.uint32)
         whole = np.array([0 if i is None else i for i in ids], np.int64).view("<u4")
         seq = np.concatenate(codes) if codes else np.zeros(0, np.uint32)
-        yield block, SEQUENCE, _pack(none, whole, np.array([len(c) for c in codes], np.uint32), seq, of)
+        yield block, block, SEQUENCE, _pack(none, whole, np.array([len(c) for c in codes], np.uint32), seq, of)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = 0
@@ -155,8 +155,8 @@ def _segments(buckets: int, block_chars: int, pattern: str, words_only: bool):
             return d, [], [], 0, blake2b(f"{index}".encode(), digest_size=8)
 
         def out(rows: Iterator[tuple]) -> pa.RecordBatch:
-            block, bucket, payload = list(zip(*rows, strict=True)) or ((), (), ())
-            return pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(bucket, pa.int32()), pa.array(payload, pa.binary())], ["block", "bucket", "payload"])
+            key, block, bucket, payload = zip(*rows, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(block, pa.int64()), pa.array(bucket, pa.int32()), pa.array(payload, pa.binary())], ["key", "block", "bucket", "payload"])
 
         numbers, ids, codes, size, digest = fresh()
         for batch in batches:
@@ -179,22 +179,25 @@ def _segments(buckets: int, block_chars: int, pattern: str, words_only: bool):
 
 
 def _merger(shared_ranks):
+    """SEGMENT sorted by bucket -> for each block's words of a bucket their ids, keyed by the block. Sequences are left out."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, known, at = shared_ranks.value, {}, None
         for batch in batches:
+            batch = batch.filter(pc.not_equal(batch.column(2), SEQUENCE))
             payloads = []
-            for bucket, payload in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if bucket != at or len(known) > CACHE:
+            for bucket, payload in zip(batch.column(2).to_pylist(), batch.column(3), strict=True):
+                if bucket != at:
                     known, at = {}, bucket
                 counts, ids = [], []
-                for w in _words(payload):
+                for w in _words(payload.as_py()):
                     got = known.get(w)
                     if got is None:
                         got = known[w] = tuple(merge(w, ranks))
                     counts.append(len(got))
                     ids.extend(got)
                 payloads.append(_pack(np.array(counts, np.uint32), np.array(ids, np.uint32)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(payloads, pa.binary())], ["block", "bucket", "payload"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(1), batch.column(2), pa.array(payloads, pa.binary())], ["key", "block", "bucket", "payload"])
 
     return run
 
@@ -205,15 +208,16 @@ def _runs(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - counts), counts)
 
 
-def _assemble(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The documents of one block."""
-    seq, parts = None, {}
-    for b in rows:
-        for bucket, payload in zip(b.column("bucket").to_pylist(), b.column("payload").to_pylist(), strict=True):
-            if bucket == SEQUENCE:
-                seq = _unpack(payload)
-            else:
-                parts[bucket] = _unpack(payload)
+RESULT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
+
+
+def _assemble(own: pa.Table, merged: pa.Table) -> pa.Table:
+    """The documents of one block, from its sequence and its words' ids. Word buckets, which lie there as well, give none."""
+    own = own.filter(pc.equal(own.column("bucket"), SEQUENCE))
+    if not len(own):
+        return RESULT.empty_table()
+    seq = _unpack(own.column("payload")[0].as_py())
+    parts = {bucket: _unpack(payload.as_py()) for bucket, payload in zip(merged.column("bucket").to_pylist(), merged.column("payload"), strict=True)}
     none, whole, sizes, codes, of = seq
     doc_ids = whole.view(np.int64)
     order = np.argsort(of, kind="stable")
@@ -223,31 +227,26 @@ def _assemble(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     start, count = np.empty(len(of), np.int64), np.empty(len(of), np.int64)
     start[order], count[order] = np.cumsum(counts_by) - counts_by, counts_by
     at, out = 0, []
-    held = 0
-    for i, n in enumerate(sizes.tolist()):
+    for n in sizes.tolist():
         c = codes[at : at + n]
         at += n
-        own = ids[_runs(start[c], count[c])].astype("<u4")
-        out.append((None if none[i] else int(doc_ids[i]), len(own), own.tobytes()))
-        held += len(own)
-        if held > 1_000_000 or i == len(sizes) - 1:
-            a, b, d = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(d, pa.binary())], ["doc_id", "n_tokens", "ids"])
-            out, held = [], 0
+        out.append(ids[_runs(start[c], count[c])].astype("<u4").tobytes())
+    doc_id = pa.array(doc_ids, mask=none.astype(bool))
+    return pa.table([doc_id, pa.array([len(x) // 4 for x in out], pa.int64()), pa.array(out, pa.binary())], schema=RESULT)
 
 
 def encode(docs: DataFrame, path: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN, buckets: int | None = None, block_chars: int = BLOCK_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids): ids are packed as little-endian unsigned 32-bit integers.
-
-    docs is read twice, once for the words and once for the sequences: that costs less than moving the sequences along with
-    the words. It must read the same rows in the same order each time, as files do."""
-    if not buckets:
-        buckets = min(max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), BUCKETS[0]), BUCKETS[1])
-    ranks = docs.sparkSession.sparkContext.broadcast(load_ranks(path))  # bounded by the vocabulary
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), F.spark_partition_id().alias("part"))
-    words, sequences = (rows.mapInArrow(_segments(buckets, block_chars, pattern, w), SEGMENT) for w in (True, False))
-    merged = words.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_merger(ranks), SEGMENT)
-    return merged.unionByName(sequences).groupBy("block").applyInArrow(_assemble, ENCODED)
+    """(doc_id, n_tokens, ids): ids are packed as little-endian unsigned 32-bit integers."""
+    spark = docs.sparkSession
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    chars = rows.agg(F.sum(F.char_length("text"))).first()[0] or 0  # one number
+    partitions = max(1, min(MANY, -(-chars // SMALL)), -(-chars // LARGE))
+    buckets = buckets or min(max(PER_PARTITION * partitions, BUCKETS[0]), BUCKETS[1])
+    ranks = spark.sparkContext.broadcast(load_ranks(path))  # bounded by the vocabulary
+    cut = rows.withColumn("part", F.spark_partition_id()).mapInArrow(_segments(buckets, block_chars, pattern), SEGMENT).repartition(partitions, "key")
+    merged = cut.sortWithinPartitions("bucket").mapInArrow(_merger(ranks), SEGMENT)
+    # both sides read the one shuffle of `cut`; sequences stay where it put them, and only the words' ids move again
+    return cut.groupBy("key").cogroup(merged.groupBy("key")).applyInArrow(_assemble, ENCODED)
 
 
 def decode(encoded: DataFrame, path: str = VOCABULARY, ids_col: str = "ids", out_col: str = "bytes") -> DataFrame:
