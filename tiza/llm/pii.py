@@ -3,6 +3,8 @@
 All of it is built-in expressions on the row, so a scan of the texts is the whole job: no shuffle. Texts without the
 characters that a kind needs skip its expression. Patterns are written with possessive quantifiers and anchored at the start
 of a run, which gives the same leftmost matches as the plain forms but keeps long runs linear and free of deep recursion.
+Spans know their byte offsets as well: bytes are cut out at any offset at once, whereas code points are counted from the start
+of the text, which would make many spans in a long text cost their number times its length.
 
 Null and empty texts have no spans. Offsets are code points, ends exclusive. Spans of different kinds may overlap.
 """
@@ -34,7 +36,7 @@ CONTEXT = {
 NEAR = 40  # code points before a span that are searched for context words
 SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "ssn": 0.3}
 BASE = ("email", "ip", "card", "phone")
-SPAN = "array<struct<start:int,rank:int,end:int,kind:string,score:double>>"
+SPAN = "array<struct<start:int,rank:int,end:int,kind:string,score:double,from_byte:int,to_byte:int>>"
 
 
 def _sum(a: Column) -> Column:
@@ -47,9 +49,17 @@ def _starts(lengths: Column, first: Column) -> Column:
     return F.aggregate(lengths, zero, lambda acc, x: F.struct((acc["s"] + x).alias("s"), F.concat(acc["a"], F.array(acc["s"])).alias("a")), lambda acc: acc["a"])
 
 
+def _with(value: Column, use) -> Column:
+    """use(value), where the value is worked out once, however often and in whatever inner function it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _prefix(lengths: Column) -> Column:
-    chunks = F.transform(F.sequence(F.lit(0), ((F.size(lengths) - 1) / CHUNK).cast("int")), lambda c: F.slice(lengths, c * CHUNK + 1, CHUNK))
-    return F.flatten(F.transform(F.arrays_zip(chunks.alias("c"), _starts(F.transform(chunks, _sum), F.lit(0)).alias("s")), lambda z: _starts(z["c"], z["s"])))
+    def of(own: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(0), ((F.size(own) - 1) / CHUNK).cast("int")), lambda c: F.slice(own, c * CHUNK + 1, CHUNK))
+        return _with(chunks, lambda cs: F.flatten(F.transform(F.arrays_zip(cs.alias("c"), _starts(F.transform(cs, _sum), F.lit(0)).alias("s")), lambda z: _starts(z["c"], z["s"]))))
+
+    return _with(lengths, of)
 
 
 def digits(s: Column) -> Column:
@@ -92,29 +102,44 @@ def _spans(text: Column, rank: int, kind: str, pattern: str, possible: Column) -
     hits, pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
 
     def located(both: Column) -> Column:
-        h, p = both["h"], both["p"]
-        lengths = F.transform(h, lambda m, i: F.length(m) + F.length(F.get(p, i)))
-        rows = F.transform(_prefix(lengths), lambda s, i: F.struct((s + F.length(F.get(p, i))).alias("start"), F.get(h, i).alias("m")))
+        h, p, raw = both["h"], both["p"], both["raw"]
+
+        def starts(size) -> Column:
+            """Each match's offset, where size measures strings: the exclusive sums of what stands before."""
+            return _prefix(F.transform(h, lambda m, i: size(m) + size(F.get(p, i))))
+
+        rows = F.transform(
+            F.arrays_zip(starts(F.length).alias("c"), starts(F.octet_length).alias("b")),
+            lambda z, i: F.struct((z["c"] + F.length(F.get(p, i))).alias("start"), (z["b"] + F.octet_length(F.get(p, i))).alias("from"), F.get(h, i).alias("m")),
+        )
         return F.transform(
             F.filter(rows, lambda r: _valid(kind, r["m"])),
             lambda r: F.struct(
-                r["start"].alias("start"), F.lit(rank).alias("rank"), (r["start"] + F.length(r["m"])).alias("end"), F.lit(kind).alias("kind"), _score(text, kind, r["start"]).alias("score")
+                r["start"].alias("start"),
+                F.lit(rank).alias("rank"),
+                (r["start"] + F.length(r["m"])).alias("end"),
+                F.lit(kind).alias("kind"),
+                _score(raw, kind, r["from"]).alias("score"),
+                r["from"].alias("from_byte"),
+                (r["from"] + F.octet_length(r["m"])).alias("to_byte"),
             ),
         )
 
     none = F.array().cast(SPAN)
-    bound = F.get(F.transform(F.array(F.struct(hits.alias("h"), pieces.alias("p"))), lambda b: F.when(F.size(b["h"]) == 0, none).otherwise(located(b))), F.lit(0))
-    return F.when(possible, bound).otherwise(none)
+    both = F.struct(hits.alias("h"), pieces.alias("p"), text.cast("binary").alias("raw"))
+    return F.when(possible, _with(both, lambda b: F.when(F.size(b["h"]) == 0, none).otherwise(located(b)))).otherwise(none)
 
 
-def _score(text: Column, kind: str, start: Column) -> Column:
-    before = F.lower(F.substring(text, F.greatest(start - NEAR + 1, F.lit(1)), F.least(start, F.lit(NEAR))))
+def _score(raw: Column, kind: str, start: Column) -> Column:
+    """The kind's score, higher if a context word stands in the NEAR code points before byte `start`, which take at most 4 bytes each."""
+    width = F.least(start, F.lit(4 * NEAR))
+    before = F.lower(F.right(F.substring(raw, start - width + 1, width).cast("string"), F.lit(NEAR)))
     near = F.exists(F.array(*[F.lit(w) for w in CONTEXT[kind]]), lambda w: F.contains(before, w))
     return F.lit(SCORES[kind]) + F.when(near, (1 - SCORES[kind]) * 0.75).otherwise(0.0)
 
 
 def find_pii(text: Column, min_score: float = 0.5) -> Column:
-    """Array of struct(start, rank, end, kind, score) by start, then kind.
+    """Array of struct(start, rank, end, kind, score, from_byte, to_byte) by start, then kind.
 
     Base kinds (email, ip, card, phone) that pass their checks always stay. Account numbers must pass mod-97, and the
     identity numbers, which have no checksum, need a context word to reach min_score."""
@@ -135,27 +160,32 @@ def _line(spans: Column) -> Column:
 
 
 def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, spans): one row for each row of docs."""
+    """(doc_id, spans): one row for each row of docs; repeated rows stay repeated."""
     return docs.select(F.col(id_col).alias("doc_id"), find_pii(F.col(text_col)).alias("spans"))
 
 
 def masked(text: Column, spans: Column) -> Column:
     """text with each stretch that spans cover replaced by [KIND], the kind of the span that begins it."""
-    # overlapping spans count as one stretch; `out` alternates kept text and marks
+    # overlapping spans count as one stretch; `out` alternates kept text and marks. Offsets are bytes, cut from `raw`
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        mark = F.array(F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], F.concat(acc["out"], mark)).otherwise(acc["out"]).alias("out"))
+    def filled(b: Column) -> Column:
+        raw, own = b["raw"], b["spans"]
+
+        def step(acc: Column, s: Column) -> Column:
+            kept = F.substring(raw, acc["at"] + 1, F.greatest(s["from_byte"] - acc["at"], F.lit(0))).cast("string")
+            mark = F.array(kept, F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
+            return F.struct(F.greatest(acc["at"], s["to_byte"]).alias("at"), F.when(s["from_byte"] >= acc["at"], F.concat(acc["out"], mark)).otherwise(acc["out"]).alias("out"))
+
+        # spans go in chunks, each chunk's marks joined before the next, so that long lists stay cheap
+        def chunk(acc: Column, c: Column) -> Column:
+            done = F.aggregate(c, F.struct(acc["at"].alias("at"), F.array().cast("array<string>").alias("out")), step)
+            return _with(done, lambda d: F.struct(d["at"].alias("at"), F.concat(acc["out"], F.array(F.array_join(d["out"], ""))).alias("out")))
 
-    # spans go in chunks, each chunk's marks joined before the next, so that long lists stay cheap
-    def chunk(acc: Column, c: Column) -> Column:
-        done = F.aggregate(c, F.struct(acc["at"].alias("at"), F.array().cast("array<string>").alias("out")), step)
-        return F.struct(done["at"].alias("at"), F.concat(acc["out"], F.array(F.array_join(done["out"], ""))).alias("out"))
+        chunks = F.transform(F.sequence(F.lit(0), ((F.size(own) - 1) / CHUNK).cast("int")), lambda c: F.slice(own, c * CHUNK + 1, CHUNK))
+        return F.aggregate(chunks, zero, chunk, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(raw, acc["at"] + 1, F.length(raw)).cast("string")))
 
-    chunks = F.transform(F.sequence(F.lit(0), ((F.size(spans) - 1) / CHUNK).cast("int")), lambda c: F.slice(spans, c * CHUNK + 1, CHUNK))
-    rest = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text)))
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(chunks, zero, chunk, rest))
+    return F.when(F.size(spans) == 0, text).otherwise(_with(F.struct(text.cast("binary").alias("raw"), spans.alias("spans")), filled))
 
 
 def mask_pii(docs: DataFrame, text_col: str = "text", count_col: str | None = "n_chars") -> DataFrame:
