@@ -131,6 +131,21 @@ def test_quality_hosts(spark):
     assert quality_rules.keep_good(d.limit(0)).count() == 0 and quality_rules.host_rules(d.limit(0)).count() == 0
 
 
+def test_quality_hosts_by_other_rules(spark):
+    """A host whose documents mostly fail a rule that doesn't reject by itself goes as a whole."""
+    words = [f"word{i}" for i in range(60)]
+    odd = {"symbols": " ".join(f"{w}##" for w in words), "lines": "\n".join([" ".join(words), *["again"] * 20]), "letters": " ".join(w * 4 for w in words)}
+    rows = [(1000 * k + i, text, "en", f"odd {name}", 1) for k, (name, text) in enumerate(odd.items()) for i in range(60)]
+    rows += [(9000 + i, " ".join(words), "en", f"ok{i % 5}", 1) for i in range(200)]
+    for name in odd:
+        rows.append((8000, " ".join(words), "en", f"odd {name}", 1))
+    got = quality_rules.host_rules(edge_docs(spark, rows)).collect()
+    assert not any(r.base_failed for r in got) and {r.doc_id for r in got if r.kept} == set(range(9000, 9200))
+    for k, name in enumerate(odd):
+        assert all(r[name] and sum(r[x] for x in quality_rules.RULES) == 1 for r in got if 1000 * k <= r.doc_id < 1000 * k + 60)
+    assert quality_rules.host_rules(edge_docs(spark)).count() == len(ROWS)
+
+
 def test_url_rules_and_hosts(spark):
     pages = spark.createDataFrame(
         [

@@ -1,8 +1,11 @@
 """Quality rules with host verdicts.
 
-Each text gets counts and base rules; failures are aggregated by host (documents: the source column), a host's rate is
-shrunk by a beta prior fitted to all hosts, and hosts whose lower posterior bound passes a limit are rejected with all
-their documents. Null text counts as empty. Documents without a host are judged by the base rules alone.
+Each text is counted and judged by RULES. Each rule's failures are aggregated by host (documents: the source column), a host's
+rate is shrunk by a beta prior fitted to all hosts' rates of that rule, and hosts whose lower posterior bound passes a limit
+for any rule are rejected with all their documents. The rules in BASE also reject a document by themselves.
+
+Null text counts as empty. Documents without a host are judged by the base rules alone. Repeated rows are judged alike and
+count each. A text of any length is counted whole, in one row's expressions; its words take some 50 bytes of memory each.
 """
 
 from __future__ import annotations
@@ -10,9 +13,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tiza.llm.common import BLANK_RE, BLANKS, beta_strength, checkpointed, join_by_key, packed, table, words_of
+from tiza.llm.common import BLANK_RE, BLANKS, beta_strength, join_by_key, packed, stored, table, words_of
 
 SYMBOLS = "#*$%&|<>"
+#: What fails a text, over its counts; the same text in Spark and in DuckDB.
+RULES = {
+    "short": "n_words < 50",
+    "repeated": "100 * n_repeat_words > 50 * n_words",
+    "symbols": "100 * n_symbols > 10 * word_chars",
+    "lines": "100 * n_dup_lines > 50 * n_lines",
+    "letters": "word_chars < 2 * n_words OR word_chars > 15 * n_words",
+}
+BASE = ("short", "repeated")
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 #: Low bits of a sort key hold a window's place in the text: 30 bits number the words of any string Spark can hold.
 PLACE_BITS = 30
 PLACES = (1 << PLACE_BITS) - 1
@@ -46,7 +59,7 @@ def _covered(places: Column) -> Column:
 
 
 def text_counts(df: DataFrame, text: str) -> DataFrame:
-    """df plus `counts`, a struct of n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, and the partition's number.
+    """df plus `counts`, a struct of COUNTS, and the partition's number.
 
     All of it is built-in expressions on the row: no shuffle. Repeated windows are found by sorting hashes; where two
     different windows share a hash, the windows' own strings are sorted instead, so the count is exact."""
@@ -77,47 +90,56 @@ def text_counts(df: DataFrame, text: str) -> DataFrame:
         (F.char_length(t) - F.char_length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         _covered(F.col("_places")).alias("n_repeat_words"),
+        F.size("_lines").cast("long").alias("n_lines"),
     )
     # the second column depends on the place, so no filter above is pushed below and multiplies these expressions
     return d.withColumns({"counts": counts, PLACE: F.spark_partition_id()}).drop("_words", "_lines", "_near", "_places")
 
 
-def base_failed(counts: str, min_words: int = 50, max_repeat_pct: int = 50) -> Column:
-    c = F.col(counts)
-    return (c["n_words"] < min_words) | (100 * c["n_repeat_words"] > max_repeat_pct * c["n_words"])
+def failures(d: DataFrame) -> DataFrame:
+    """d(counts, ...) with the counts as columns, a boolean for each rule, and base_failed."""
+    rest = [c for c in d.columns if c not in ("counts", PLACE)]
+    # the filter on the place keeps later filters on the rules from being pushed below, where they would count again
+    d = d.where(F.col(PLACE) >= 0).select(*rest, "counts.*")
+    d = d.select("*", *[F.expr(rule).alias(name) for name, rule in RULES.items()])
+    return d.withColumn("base_failed", F.expr(" OR ".join(BASE)))
 
 
 def host_verdicts(judged: DataFrame, limit: float = 0.5, z: float = 1.64) -> DataFrame:
-    """(host, n, host_ok) from judged(host, failed): one row per host, n its documents; the heavy rows are pre-aggregated where they lie."""
-    hosts = judged.where(F.col("host").isNotNull()).groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("failed").cast("long")).alias("f"))
-    hosts = checkpointed(hosts)  # small, and used several times below and by the join
-    s = hosts.agg(F.sum("n").alias("N"), F.count("*").alias("G"), F.sum("f").alias("A"), F.sum(F.col("f") * F.col("f") / F.col("n")).alias("Q"))
-    m = F.col("A") / F.col("N")
-    prior = s.where("N > 0").select(m.alias("m"), beta_strength(F.col("N"), m, F.col("Q") / F.col("N") - m * m, F.col("G")).alias("k"))
-    mean = (F.col("f") + F.col("k") * F.col("m")) / (F.col("n") + F.col("k"))
-    bound = mean - z * F.sqrt(mean * (1 - mean) / (F.col("n") + F.col("k") + 1))
-    return hosts.join(F.broadcast(prior)).select("host", "n", (bound <= limit).alias("host_ok"))
+    """(host, n, host_ok) from judged(host, <rules>): one row per host, n its documents; the heavy rows are pre-aggregated where they lie."""
+    hosts = judged.where(F.col("host").isNotNull()).groupBy("host").agg(F.count("*").alias("n"), *[F.count_if(r).alias(r) for r in RULES])
+    hosts = stored(hosts)  # small, and used several times below
+    moments = [x for r in RULES for x in (F.sum(r).alias(f"{r}_A"), F.sum(F.col(r) * F.col(r) / F.col("n")).alias(f"{r}_Q"))]
+    s = hosts.agg(F.sum("n").alias("N"), F.count("*").alias("G"), *moments).where("N > 0")
+
+    def prior(r: str) -> list[Column]:
+        m = F.col(f"{r}_A") / F.col("N")
+        return [m.alias(f"{r}_m"), beta_strength(F.col("N"), m, F.col(f"{r}_Q") / F.col("N") - m * m, F.col("G")).alias(f"{r}_k")]
+
+    ok = F.lit(True)
+    for r in RULES:
+        mean = (F.col(r) + F.col(f"{r}_k") * F.col(f"{r}_m")) / (F.col("n") + F.col(f"{r}_k"))
+        ok = ok & (mean - z * F.sqrt(mean * (1 - mean) / (F.col("n") + F.col(f"{r}_k") + 1)) <= limit)
+    # one row of priors; the verdicts are written, so that the planner knows whether they are small enough to broadcast
+    return stored(hosts.join(F.broadcast(s.select(*[x for r in RULES for x in prior(r)]))).select("host", "n", ok.alias("host_ok")))
 
 
 def host_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """(doc_id, n_words, ..., base_failed, kept). The counts are worked out once and kept in the checkpoint folder."""
+    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_lines, <rules>). Texts are counted once; the counts are kept in the shared folder."""
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).alias("host"), F.col(text_col).alias("text"))
-    d = text_counts(d, "text").drop("text").withColumn("base_failed", base_failed("counts"))
-    d = checkpointed(d.select("doc_id", "host", "counts.*", "base_failed"))
-    verdicts = host_verdicts(d.select("host", F.col("base_failed").alias("failed")))
+    d = stored(failures(text_counts(d, "text").drop("text")))
+    verdicts = host_verdicts(d)
     kept = ~F.col("base_failed") & F.coalesce("host_ok", F.lit(True))
-    return join_by_key(d, verdicts, "host", "n").select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept")
-    )
+    return join_by_key(d, verdicts, "host", "n").select("doc_id", *COUNTS[:5], "base_failed", kept.alias("kept"), "n_lines", *RULES)
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """The documents that host_rules keeps, all their columns unchanged. Counts are worked out twice rather than shuffling texts."""
-    r = packed(docs).select("row", F.col(f"row.{text_col}").alias("text"), F.col(f"row.{host_col}").alias("host"))
-    judged = text_counts(r, "text").withColumn("failed", base_failed("counts"))
-    verdicts = host_verdicts(judged.select("host", "failed"))
-    good = judged.where((F.col(PLACE) >= 0) & ~F.col("failed")).select("row", "text", "host")
-    return join_by_key(good, verdicts, "host", "n", spread=["text"]).where(F.coalesce("host_ok", F.lit(True))).select("row.*")
+    """The documents that host_rules keeps, all their columns unchanged. What the base rules keep is written once with its rules, and then filtered by host."""
+    r = packed(docs).select("row", F.col(f"row.`{text_col}`").alias("text"), F.col(f"row.`{host_col}`").alias("host"))
+    judged = failures(text_counts(r, "text").drop("text"))
+    judged = stored(judged.select(F.when(~F.col("base_failed"), F.col("row")).alias("row"), "host", *RULES))
+    good = judged.where("row is not null").select("row", "host", F.xxhash64(f"row.`{text_col}`").alias("spread"))
+    return join_by_key(good, host_verdicts(judged), "host", "n", spread=["spread"]).where(F.coalesce("host_ok", F.lit(True))).select("row.*")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,16 +153,18 @@ g AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g
       FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 1, 1))) AS i FROM w)),
 r AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g) WHERE c > 1),
 rc AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM r, (VALUES (0), (1), (2)) AS x(k) GROUP BY 1),
-l AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n
+l AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n, count(*) AS lines
       FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY 1),
 c AS (SELECT w.doc_id, w.source, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '{BLANK_RE}', '', 'g'))::BIGINT AS word_chars,
         (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
-        coalesce(l.n, 0)::BIGINT AS n_dup_lines, coalesce(rc.n, 0)::BIGINT AS n_repeat_words
+        coalesce(l.n, 0)::BIGINT AS n_dup_lines, coalesce(rc.n, 0)::BIGINT AS n_repeat_words, coalesce(l.lines, 0)::BIGINT AS n_lines
       FROM w LEFT JOIN l USING (doc_id) LEFT JOIN rc USING (doc_id)),
-b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c),
-h AS (SELECT source, count(*)::DOUBLE AS n, sum(base_failed::INT)::DOUBLE AS f FROM b WHERE source IS NOT NULL GROUP BY 1),
-p AS (SELECT m, least(greatest(m * (1 - m) / greatest(q / n - m * m - m * (1 - m) * g / n, 1e-9) - 1, 1.0), 1e6) AS k
-      FROM (SELECT sum(n) AS n, count(*) AS g, sum(f) / sum(n) AS m, sum(f * f / n) AS q FROM h)),
-v AS (SELECT source, mean - 1.64 * sqrt(mean * (1 - mean) / (n + k + 1)) <= 0.5 AS ok FROM (SELECT *, (f + k * m) / (n + k) AS mean FROM h, p))
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(ok, TRUE) AS kept
+b AS (SELECT *, {', '.join(f'({rule}) AS {name}' for name, rule in RULES.items())} FROM c),
+h AS (SELECT source, count(*)::DOUBLE AS n, {', '.join(f'count_if({r})::DOUBLE AS {r}' for r in RULES)} FROM b WHERE source IS NOT NULL GROUP BY 1),
+s AS (SELECT sum(n) AS total, count(*) AS g, {', '.join(f'sum({r}) / sum(n) AS {r}_m, sum({r} * {r} / n) AS {r}_q' for r in RULES)} FROM h),
+p AS (SELECT {', '.join(f'{r}_m, least(greatest({r}_m * (1 - {r}_m) / greatest({r}_q / total - {r}_m * {r}_m - {r}_m * (1 - {r}_m) * g / total, 1e-9) - 1, 1.0), 1e6) AS {r}_k' for r in RULES)} FROM s),
+e AS (SELECT source, n, {', '.join(f'({r} + {r}_k * {r}_m) / (n + {r}_k) AS {r}_e, {r}_k' for r in RULES)} FROM h, p),
+v AS (SELECT source, {' AND '.join(f'{r}_e - 1.64 * sqrt({r}_e * (1 - {r}_e) / (n + {r}_k + 1)) <= 0.5' for r in RULES)} AS ok FROM e)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {' OR '.join(BASE)} AS base_failed,
+  NOT ({' OR '.join(BASE)}) AND coalesce(ok, TRUE) AS kept, n_lines, {', '.join(RULES)}
 FROM b LEFT JOIN v USING (source)"""
