@@ -171,6 +171,26 @@ def test_url_rules_and_hosts(spark):
     assert {r.verdict for r in none.where("rule is null").collect()} == {"allow"} and url_filter.filter_urls(pages.limit(0), labels).count() == 0
 
 
+def test_url_levels(spark):
+    hosts = ["a.b.co.uk", "co.uk", "x.com:80", "y.x.com", "localhost", "10.0.0.1:8080", "10.0.1.1", "me.github.io", "[::1]", ""]
+    d = spark.createDataFrame([(h,) for h in hosts], "host string")
+    got = {r.host: (r.d, r.s) for r in d.select("host", *[x.alias(n) for x, n in zip(url_filter._levels(F.col("host")), "ds", strict=True)]).collect()}
+    assert got == {
+        "a.b.co.uk": ("b.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "x.com:80": ("x.com", "com"), "y.x.com": ("x.com", "com"), "localhost": ("localhost", "localhost"),
+        "10.0.0.1:8080": ("10.0.0.1", "10.0.0.1"), "10.0.1.1": ("10.0.1.1", "10.0.1.1"), "me.github.io": ("me.github.io", "github.io"), "[::1]": ("[::1]", "[::1]"), "": ("", ""),
+    }
+
+
+def test_url_hosts_of_one_suffix_keep_apart(spark):
+    """Sites under a two-label suffix have priors of their own; repeated pages and labels count each."""
+    pages = [(i, f"http://h{i}.bad.co.uk/") for i in range(60)] + [(100 + i, f"http://h{i}.good.co.uk/") for i in range(60)]
+    pages += [(200, "http://new.bad.co.uk/"), (201, "http://new.good.co.uk/"), (201, "http://new.good.co.uk/"), (0, "http://h0.bad.co.uk/")]
+    labels = [(i, 1) for i in range(60)] + [(100 + i, 0) for i in range(60)] + [(0, 1)]
+    d = spark.createDataFrame(pages, "page_id bigint, url string")
+    got = url_filter.filter_urls(d, spark.createDataFrame(labels, "page_id bigint, bad int")).collect()
+    assert len(got) == len(pages) and {r.verdict for r in got if ".bad." in r.host} == {"block"} and {r.verdict for r in got if ".good." in r.host} == {"allow"}
+
+
 def edf(shares, slots):
     """The schedule by brute force."""
     k, out = dict.fromkeys(shares, 0), []
