@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tiza.functions import json_repair, numeric, similarity, text
+from tiza.functions import checks, dates, json_repair, numeric, similarity, text
 
 
 def values(spark, expr, rows, schema):
@@ -67,7 +67,9 @@ def test_texts(spark):
     assert one(text.slug, "Ana M. 1") == ["Ana_M__1"] and one(text.label, "a_b_c") == ["a b c"] and one(text.line_breaks, "a\nb") == ["a<br>b"]
     assert one(lambda c: text.plan_of_subject(c, "shop-plan-"), "shop-plan-Pro", "other", None) == ["pro", None, None]
     assert one(text.without_slashes, "http://a//") == ["http://a"] and one(text.masked_secret, "0123456789abcdef") == ["012345…cdef"]
-    assert one(text.repaired_url, "[x](https://h/v1)", "'h.org/'") == ["https://h", "https://h.org"]
+    default = "https://api.mistral.ai/v1"
+    assert one(text.repaired_url, "[x](https://h/v1)", "'h.org/'", " http://h.net ", "not a url", "", None) == ["https://h/v1", "https://h.org/v1", "http://h.net/v1", default, default, default]
+    assert one(lambda c: text.shortened(c, 3), "abcd", "é", None) == ["abc", "é", None]
     assert one(lambda c: text.valid_email(c), "a@b.c", "x a@b.c", "a@b") == [True, False, False]
     assert one(lambda c: text.valid_email(c, "loose"), "x a@b.c") == [True] and one(lambda c: text.valid_email(c, "basic"), "a@b", "a@bc") == [False, True]
     assert [tuple(x) for x in one(text.score_parts, "3/5")] == [("3", "5")]
@@ -120,6 +122,31 @@ def test_json(spark):
     assert values(spark, json_repair.first_of(F.col("a"), F.col("b")), [("", "x"), ("y", "x")], "a string, b string") == ["x", "y"]
 
 
+def test_json_cut(spark):
+    raw = ["```json\n {\"a\":1} \n``` x", "x {\"a\":1} y", " plain ", "x {\"a\":\n1 y} z", None]
+    assert values(spark, json_repair.cut_json(F.col("x")), [(r,) for r in raw], "x string") == ['{"a":1}', '{"a":1}', "plain", '{\\"a\\": 1 y}', None]
+    m = spark.createDataFrame([({"b": "2", "a": "1"},), (None,)], "m map<string,string>")
+    assert [r[0] and [tuple(e) for e in r[0]] for r in m.select(json_repair.entries(F.col("m"))).collect()] == [[("a", "1"), ("b", "2")], None]
+
+
+def test_checks(spark):
+    rows = [("10.5",), ("0",), ("-1",), ("x",), (None,), ("5000.4",), ("5000.5",), ("Infinity",)]
+    assert values(spark, checks.positive_amount(F.col("x")), rows, "x string") == [True, False, False, False, False, True, True, False]
+    assert values(spark, checks.payable(F.col("x")), rows[:7], "x string") == [True, True, False, False, False, True, False]
+    assert values(spark, checks.payable(F.col("x"), 0), [("9999",)], "x string") == [True]
+    assert values(spark, checks.price_fits(F.col("p"), F.col("q")), [("5", 5), ("5", 6), ("0", 0), ("5", None)], "p string, q int") == [True, False, False, False]
+    assert values(spark, checks.paid(F.col("x")), [("PAID",), ("open",), (None,)], "x string") == [True, False, False]
+    assert values(spark, checks.exactly_paid(F.col("x")), [("PAID",), ("paid",), (None,)], "x string") == [False, True, False]
+    assert values(spark, checks.present(F.col("a"), F.col("b")), [("x", 1), ("", 1), ("x", 0), (None, 1)], "a string, b int") == [True, False, False, False]
+    assert values(spark, checks.pending(F.col("f"), F.col("a"), F.col("b")), [(["x"], False, None), ([], False, False), (None, None, None), (["x"], True, False)], "f array<string>, a boolean, b boolean") == [True, False, False, False]
+
+
+def test_dates(spark):
+    ts = F.lit("2024-02-28 23:55:01.5").cast("timestamp")
+    one = spark.range(1).select(dates.iso_utc(ts), dates.iso_utc(dates.code_expiry(ts)), dates.day_month_year(dates.days_later(ts, 2)), dates.days_later(ts, F.lit(None).cast("int"))).first()
+    assert tuple(one) == ("2024-02-28T23:55:01.500Z", "2024-02-29T00:05:01.500Z", "01/03/2024", None)
+
+
 @pytest.mark.parametrize("rule", ["strict", "loose", "basic"])
 def test_null_email(spark, rule):
     assert values(spark, text.valid_email(F.col("x"), rule), [(None,)], "x string") == [None]

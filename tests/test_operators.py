@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from tiza.operators import batching, fuzzy_join, ledger, merge, names, omr, parse, scoring
+from tiza.operators import batching, evaluate, fuzzy_join, ledger, merge, names, omr, parse, scoring
 from tiza.operators.dedupe import first_of_each, first_wins, last_wins
 from tiza.plans import registry
 
@@ -84,12 +84,47 @@ def test_mark_rows(spark):
 
 
 def test_mark_rows_of_orders_equal_a_plain_fold(spark, sf_dir):
-    got = Counter((r.l_orderkey, r.row) for r in registry.QUERIES["omr_rows"](spark, sf_dir).collect())
+    got = Counter((r.l_orderkey, r.l_linestatus, r.row, r.confidence) for r in registry.QUERIES["omr_rows"](spark, sf_dir).collect())
     pages = {}
-    for r in spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_orderkey", "l_linenumber", "l_quantity").agg((1 - F.max("l_discount")).alias("c")).collect():
+    for r in spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_orderkey", "l_linestatus", "l_linenumber", "l_quantity").agg((1 - F.max("l_discount")).alias("c")).collect():
         if r.c >= 0.85:
-            pages.setdefault(r.l_orderkey, []).append((r.l_quantity, float(r.l_linenumber)))
-    assert got == Counter((k, i) for k, m in pages.items() for i in range(len(fold(m))))
+            pages.setdefault((r.l_orderkey, r.l_linestatus), []).append((r.l_quantity, float(r.l_linenumber), r.c))
+    assert got == Counter((*k, i, min(m[2] for m in row)) for k, marks in pages.items() for i, row in enumerate(fold(marks)))
+
+
+def test_ids_count_through_a_sheet(spark):
+    mark = "array<struct<state:string,confidence:double,polygon:array<struct<x:double,y:double>>>>"
+    make = lambda y: ("selected", 0.9, [(1.0, float(y)), (2.0, y + 0.0), (2.0, y + 1.0)])
+    pages = [(1, 2, [make(10), make(90)]), (1, 1, [make(10), make(50), make(90)]), (1, 3, []), (1, 4, [make(5)]), (2, 1, [make(5)])]
+    got = omr.read_pages(spark.createDataFrame(pages, f"sheet int, page int, marks {mark}"), ["sheet"], "page").orderBy("sheet", "page", "row").collect()
+    assert [(r.sheet, r.page, r.row, r.id) for r in got] == [(1, 1, 0, "P1"), (1, 1, 1, "P2"), (1, 1, 2, "P3"), (1, 2, 0, "P4"), (1, 2, 1, "P5"), (1, 4, 0, "P6"), (2, 1, 0, "P1")]
+
+
+def test_evaluation_of_an_exam(spark):
+    exams = spark.createDataFrame([(1, "SM1:1; VF1:2; SM10:3; PDesarrollo1:5", "SM1:A; VF1:V; SM10:c", 51)], "exam int, sheet string, key string, declared bigint")
+    answers = spark.createDataFrame(
+        [(1, "ana", 0, "sm1", "A) yes", None), (1, "ana", 1, "SM1", "B", None), (1, "ana", 2, "VF1", "f", None), (1, "ana", 3, "SM10", "C", None), (1, "ana", 4, "SM77", "A", None), (9, "eva", 0, "SM1", "A", None)],
+        "exam int, student string, pos int, question string, given string, mode string",
+    )
+    details = spark.createDataFrame([(1, "ana", "PDesarrollo1", "4/5"), (1, "luz", "PDesarrollo1", "x")], "exam int, student string, item string, points string")
+    run = lambda compat: {r.student: r for r in evaluate.evaluated(exams, answers, details, compat=compat).collect()}
+    # with compat SM10 gets the first match SM1, whose right answer is A
+    assert tuple(run(True)["ana"])[2:] == (1, 4, 1, 0, "5/11", 3.1, 7, 11) and tuple(run(True)["luz"])[2:] == (0, 0, 0, 0, "0/11", 1.0, 7, 11)
+    assert tuple(run(False)["ana"])[2:] == (4, 4, 2, 0, "8/11", 4.8, 7, 11) and set(run(False)) == {"ana", "luz"}
+
+
+@pytest.mark.parametrize("piece", [1, 3, 500])
+def test_long_lists_go_in_pieces(spark, monkeypatch, piece):
+    monkeypatch.setattr(names, "PIECE", piece)
+    monkeypatch.setattr(fuzzy_join, "PIECE", piece)
+    roll = [(i, f"Name{chr(97 + i)} {chr(97 + i * 7 % 26)}o") for i in range(12)]
+    texts = spark.createDataFrame([("Nameb ho",), ("zz",)], "text string")
+    got = {r.text: r.suggestions for r in names.top_names(texts, spark.createDataFrame(roll, "pos int, name string")).collect()}
+    assert got["Nameb ho"][0] == "Nameb ho" and got["zz"] == [n for _, n in roll[:3]] and all(len(x) == 3 for x in got.values())
+    items = spark.createDataFrame([(i, f"SM{i}", i) for i in range(12)], "pos int, id string, max_score int")
+    q = spark.createDataFrame([("SM11",), ("SM1",), ("none",)], "question string")
+    assert {r.question: r.item_id for r in fuzzy_join.match_items(q, items, compat=True).collect()} == {"SM11": "SM1", "SM1": "SM1", "none": None}
+    assert fuzzy_join.match_items(q, items.limit(0)).count() == 3 and names.top_names(texts, spark.createDataFrame([], "pos int, name string")).count() == 2
 
 
 def test_ledger(spark):

@@ -19,7 +19,11 @@ def test_data_urls_and_types(spark):
     z = spark.createDataFrame([(["a", "", None, "d"], ["1", "2", "3", "4"])], "u array<string>, m array<string>").select(readers.with_types(F.col("u"), F.col("m"))).first()[0]
     assert [tuple(x) for x in z] == [("a", "1"), ("d", "4")]
     assert readers.accepted(spark.createDataFrame([("image/png",), ("video/mp4",)], "mime string")).count() == 1
-    assert readers.plans(spark).count() == 4
+    assert readers.plans(spark).count() == 4 and [r.id for r in readers.plans_by_price(readers.plans(spark, [*readers.PLANS, ("none", "x", None, 1, 1)])).collect()][:2] == ["free", "none"]
+    f = readers.upload(spark.createDataFrame([("a.png", '["x","y"]'), ("b.png", "zzz")], "file string, n string"), F.col("n")).collect()
+    assert [r.names for r in f] == [["x", "y"], []]
+    pages = spark.createDataFrame([([["a", "b"], ["c"]],)], "p array<array<string>>").select(readers.layer_text(F.col("p")))
+    assert pages.first()[0] == "a b\nc"
 
 
 LINES = [

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tiza.functions.text import strip
+
 SCHEMA = (
     "puntaje string, nota double, retroalimentacion struct<correccion_detallada:array<struct<seccion:string,detalle:string>>,"
     "evaluacion_habilidades:array<struct<habilidad:string,evaluacion:string,evidencia:string>>,resumen_general:struct<fortalezas:string,areas_mejora:string>,"
@@ -13,9 +15,17 @@ SCHEMA = (
 
 
 def cut_json(raw: Column) -> Column:
-    """What a fenced block holds; else from the first brace to the last; else the text itself."""
-    fenced = F.regexp_extract(raw, r"(?s)```json\n(.*?)\n```", 1)
-    return F.coalesce(F.nullif(fenced, F.lit("")), F.nullif(braces(raw), F.lit("")), raw)
+    """What a fenced block holds, trimmed; else from the first brace to the last; else the trimmed text. Outside a fence, what is no JSON then has its characters repaired."""
+    fence = r"(?s)```json\n(.*?)\n```"
+    cut = F.coalesce(F.nullif(braces(raw), F.lit("")), strip(raw))
+    whole = F.when(F.try_parse_json(cut).isNotNull(), cut).otherwise(repaired_characters(cut))
+    return F.when(raw.rlike(fence), strip(F.regexp_extract(raw, fence, 1))).otherwise(whole)
+
+
+def repaired_characters(text: Column) -> Column:
+    """Line breaks as spaces, backslashes doubled, and quotes escaped but for one at the start."""
+    plain = F.replace(F.regexp_replace(text, "\r\n|\n|\r", " "), F.lit("\\"), F.lit("\\\\"))
+    return F.regexp_replace(plain, '([^\\\\])"', '$1\\\\"')
 
 
 def braces(raw: Column) -> Column:
@@ -48,6 +58,16 @@ def string_list(raw: Column) -> Column:
     return F.coalesce(F.from_json(raw, "array<string>"), F.array().cast("array<string>"))
 
 
+def entries(value: Column) -> Column:
+    """A map as an array of struct(key, value), in the order of keys, for exploding to rows."""
+    return F.array_sort(F.map_entries(value))
+
+
+def json_text(value: Column) -> Column:
+    """A map, struct or array as JSON text; null fields are left out."""
+    return F.to_json(value)
+
+
 def as_text(value: Column) -> Column:
     """The value as a string, empty for null."""
     return F.coalesce(value.cast("string"), F.lit(""))

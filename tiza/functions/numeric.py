@@ -70,6 +70,11 @@ def percent(part: Column, whole: Column) -> Column:
     return F.when(whole != 0, F.least(F.lit(100.0), 100.0 * part / F.nullif(whole, F.lit(0).cast("double"))))
 
 
+def confidence_percent(confidence: Column, digits: int = 1) -> Column:
+    """A confidence from 0 to 1 as a percentage, halves up."""
+    return round_half_up(100.0 * confidence, digits)
+
+
 def progress(done: Column, total: Column) -> Column:
     return F.when(total > 0, round_half_up(100.0 * done / F.nullif(total, F.lit(0)))).otherwise(0)
 

@@ -107,17 +107,22 @@ def without_slashes(url: Column) -> Column:
     return F.regexp_replace(url, "/+$", "")
 
 
-def repaired_url(url: Column) -> Column:
-    """A configured address without link markup, quotes, trailing slashes and version, with a scheme."""
+def repaired_url(url: Column, version: str = "/v1", default: str = "https://api.mistral.ai/v1") -> Column:
+    """A configured address without link markup and quotes, with a scheme and ending in the version; the default where there is none or it has no host."""
     u = strip(F.regexp_replace(F.regexp_replace(strip(url), r"^\[[^\]]*\]\(([^)]*)\)$", "$1"), "[\"'`]", ""))
-    u = F.when(u.rlike("(?i)^https?://"), u).otherwise(F.concat(F.lit("https://"), u))
-    return without_slashes(F.regexp_replace(without_slashes(u), "/v1$", ""))
+    u = F.when(u.startswith("http"), u).otherwise(F.concat(F.lit("https://"), u))
+    u = F.when(u.endswith(version), u).otherwise(F.concat(F.regexp_replace(u, "/$", ""), F.lit(version)))
+    return F.when((F.coalesce(url, F.lit("")) != "") & u.rlike(r"^https?://[^\s/?#\[\]()<>]+(?:[/?#]\S*)?$"), u).otherwise(F.lit(default))
 
 
 def masked_secret(secret: Column) -> Column:
     return F.concat(F.left(secret, F.lit(6)), F.lit("…"), F.right(secret, F.lit(4)))
 
 
+def shortened(text: Column, most: int = 500) -> Column:
+    return F.left(text, F.lit(most))
+
+
 def score_parts(score: Column) -> Column:
     """struct(obtained, maximum) of `n/m`."""
     return F.struct(F.split_part(score, F.lit("/"), F.lit(1)).alias("obtained"), F.split_part(score, F.lit("/"), F.lit(2)).alias("maximum"))

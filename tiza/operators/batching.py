@@ -7,20 +7,27 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 CHUNK, WAVE = 45, 3
+#: Rows in a range that one task sorts, and the most ranges, whose bounds pass through the driver.
+RANGE_ROWS, MOST_RANGES = 500_000, 4096
 
 
 def _ranges(df: DataFrame, order: str, parts: int) -> DataFrame:
     """df plus _range: the number of the quantile bounds of the order column below it; the bounds are `parts` - 1 numbers."""
     bounds = sorted(set(df.select(F.col(order).cast("double").alias("x")).approxQuantile("x", [i / parts for i in range(1, parts)], 0.2 / parts))) if parts > 1 else []
-    x = F.col(order).cast("double")
-    return df.withColumn("_range", sum((F.coalesce((x > b).cast("int"), F.lit(0)) for b in bounds), F.lit(0)))
+    below = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < F.col(order).cast("double"))) if bounds else F.lit(0)
+    return df.withColumn("_range", F.when(F.col(order).isNull(), 0).otherwise(below))
 
 
-def running(df: DataFrame, order: str, ties: list[str], counters: dict[str, Column], parts: int = 32) -> DataFrame:
+def _parts(df: DataFrame, parts: int | None) -> int:
+    return parts or max(1, min(MOST_RANGES, -(-df.count() // RANGE_ROWS)))
+
+
+def running(df: DataFrame, order: str, ties: list[str], counters: dict[str, Column], parts: int | None = None) -> DataFrame:
     """df plus running totals of the counters over all rows in the order of a numeric column.
 
-    Each range of the order is summed by a task of its own and begins with the totals of the ranges before it."""
-    d = _ranges(df, order, parts)
+    Each range of the order is summed by a task of its own and begins with the totals of the ranges before it; without
+    `parts` there are as many as the number of rows asks for."""
+    d = _ranges(df, order, _parts(df, parts))
     names = list(counters)
     d = d.withColumns({f"_c_{n}": c.cast("long") for n, c in counters.items()})
     sums = d.groupBy("_range").agg(*[F.sum(f"_c_{n}").alias(f"_s_{n}") for n in names])
@@ -31,7 +38,7 @@ def running(df: DataFrame, order: str, ties: list[str], counters: dict[str, Colu
     return out.withColumns({n: (F.col(n) + F.col(f"_o_{n}")).cast("long") for n in names}).select(*df.columns, *names)
 
 
-def chunked(df: DataFrame, order: str, ties: list[str], size: int = CHUNK, wave: int = WAVE, parts: int = 32) -> DataFrame:
+def chunked(df: DataFrame, order: str, ties: list[str], size: int = CHUNK, wave: int = WAVE, parts: int | None = None) -> DataFrame:
     """df plus item_no from 0, chunk_no and wave_no."""
     out = running(df, order, ties, {"item_no": F.lit(1)}, parts).withColumn("item_no", F.col("item_no") - 1)
     chunk = F.floor(F.col("item_no") / size)

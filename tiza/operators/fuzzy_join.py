@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from tiza.functions.text import normal_key
 
 
+#: Positions of a sheet whose items are compared in one row.
+PIECE = 500
+
+
 def match_items(questions: DataFrame, items: DataFrame, on: list[str] | None = None, compat: bool = False) -> DataFrame:
     """questions(question, ...) with item_id and item_max: the matching item of items(pos, id, max_score).
 
@@ -15,12 +19,12 @@ def match_items(questions: DataFrame, items: DataFrame, on: list[str] | None = N
     position; compat takes the first by position alone, so SM10 gets SM1. No match: null and 1.
 
     on: columns that both sides share, such as the exam; they make it an equi-join. Distinct names are matched once and joined
-    back, so the size of questions doesn't enter the comparison. Without on, items is one sheet: its names, gathered in one
-    row, are compared within each row."""
+    back, so the size of questions doesn't enter the comparison. Items are gathered in pieces of PIECE positions, each a row,
+    and compared within it; a question's best piece counts, so no row grows with the list."""
     on = on or []
-    q, i = questions.select(*on, "question").distinct(), items.select(*on, F.struct("pos", "id", "max_score").alias("item"))
-    sheets = (i.groupBy(*on) if on else i.groupBy()).agg(F.collect_list("item").alias("_sheet"))
-    q = q.join(sheets, on, "left") if on else q.join(F.broadcast(sheets))
+    q, i = questions.select(*on, "question").distinct(), items.select(*on, F.floor(F.col("pos") / PIECE).alias("_piece"), F.struct("pos", "id", "max_score").alias("item"))
+    sheets = i.groupBy(*on, "_piece").agg(F.collect_list("item").alias("_sheet")).drop("_piece")
+    q = q.join(sheets, on) if on else q.join(sheets)
     name = normal_key(F.col("question"))
 
     def rank(x):
@@ -31,7 +35,7 @@ def match_items(questions: DataFrame, items: DataFrame, on: list[str] | None = N
     fits = F.filter("_sheet", lambda x: (normal_key(x["id"]) == name) | F.contains(normal_key(x["id"]), name) | F.contains(name, normal_key(x["id"])))
     best = q.select(*on, "question", F.array_min(F.transform(fits, rank)).alias("_best"))
     names = [*on, "question"]
-    best = best.select(*[F.col(c).alias(f"_r_{c}") for c in names], "_best")
+    best = best.where("_best is not null").groupBy(*[F.col(c).alias(f"_r_{c}") for c in names]).agg(F.min("_best").alias("_best"))
     same = None
     for c in names:
         same = F.col(c).eqNullSafe(F.col(f"_r_{c}")) if same is None else same & F.col(c).eqNullSafe(F.col(f"_r_{c}"))

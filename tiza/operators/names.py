@@ -8,13 +8,21 @@ from pyspark.sql import functions as F
 from tiza.functions.similarity import dice_of, pairs
 
 
+#: Names that are rated in one row.
+PIECE = 500
+
+
 def top_names(texts: DataFrame, names: DataFrame, k: int = 3) -> DataFrame:
     """texts(text, ...) with suggestions: of the k most similar of names(pos, name), ties by position, the distinct ones.
 
-    Every text is rated against every name of one list, so the list, with pairs cut once, is gathered in one row and rated
-    within each text's row: no pair of text and name becomes a row. The list is a class roll; longer lists belong in an index."""
-    one = names.select(F.struct("pos", "name", pairs(F.col("name")).alias("cut")).alias("n")).agg(F.array_sort(F.collect_list("n")).alias("_names"))
-    distinct = texts.select("text").distinct().withColumn("_cut", pairs(F.col("text"))).join(F.broadcast(one))
+    Every text is rated against every name, as the least similar ones still count. Names, with pairs cut once, are gathered in
+    pieces of about PIECE, each a row; each distinct text meets each piece, and the best of the pieces' k best are kept. So
+    no row and no broadcast grows with the list, and no pair of text and name becomes a row."""
+    pieces = max(1, -(-names.count() // PIECE))
+    n = names.select(F.pmod(F.xxhash64("pos", "name"), F.lit(pieces)).alias("_piece"), F.struct("pos", "name", pairs(F.col("name")).alias("cut")).alias("n"))
+    lists = n.groupBy("_piece").agg(F.collect_list("n").alias("_names")).drop("_piece")
+    distinct = texts.select("text").distinct().withColumn("_cut", pairs(F.col("text"))).join(lists)
     rate = F.transform("_names", lambda n: F.struct((-dice_of(F.col("text"), n["name"], F.col("_cut"), n["cut"])).alias("r"), n["pos"].alias("pos"), n["name"].alias("name")))
-    best = F.array_distinct(F.transform(F.slice(F.array_sort(rate), 1, k), lambda s: s["name"]))
-    return texts.join(distinct.select("text", best.alias("suggestions")), "text", "left")
+    some = distinct.select("text", F.slice(F.array_sort(rate), 1, k).alias("_some"))
+    best = some.groupBy("text").agg(F.slice(F.array_sort(F.flatten(F.collect_list("_some"))), 1, k).alias("_best"))
+    return texts.join(best.select("text", F.array_distinct(F.transform("_best", lambda s: s["name"])).alias("suggestions")), "text", "left")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 LETTERS = ("A", "B", "C", "D", "E", "F", "G")
 TOLERANCE, CONFIDENCE = 15.0, 0.85
@@ -31,20 +32,26 @@ def mark_rows(marks: Column, tolerance: float = TOLERANCE) -> Column:
     return F.transform(grouped, lambda r: F.transform(F.array_sort(F.transform(r, lambda m: F.struct(at(m)["x"].alias("x"), m.alias("m")))), lambda s: s["m"]))
 
 
-def read_pages(pages: DataFrame, keys: list[str], marks: str = "marks", prefix: str = "P") -> DataFrame:
-    """(keys..., row, id, type, value, confidence, box): an item for each row of marks of each page.
+def read_pages(pages: DataFrame, keys: list[str], page: str | None = None, marks: str = "marks", prefix: str = "P") -> DataFrame:
+    """(keys..., page, row, id, type, value, confidence, box): an item for each row of marks of each page.
 
-    The value is the letter of the number of marks; two marks are true or false. Ids count through a sheet's pages by
-    (keys..., row) of the page rows given."""
-    rows = pages.select(*keys, F.posexplode(mark_rows(usable_marks(F.col(marks)))).alias("row", "_marks"))
+    The value is the letter of the number of marks; two marks are true or false. Ids count through all pages of a sheet, which
+    the keys name, in the order of `page`; without it each sheet is one page. row counts from 0 on each page."""
+    own = [*keys, page] if page else keys
+    rows = pages.select(*own, mark_rows(usable_marks(F.col(marks))).alias("_rows"))
+    before = F.lit(0)
+    if page:  # a sheet has few pages, each one row here
+        earlier = W.partitionBy(*keys).orderBy(page).rowsBetween(W.unboundedPreceding, -1)
+        before = F.coalesce(F.sum(F.size("_rows")).over(earlier), F.lit(0))
+    rows = rows.withColumn("_before", before).select(*own, "_before", F.posexplode("_rows").alias("row", "_marks"))
     n, first, last = F.size("_marks"), F.get("_marks", F.lit(0)), F.element_at("_marks", -1)
     corner, far = F.get(first["polygon"], F.lit(0)), F.coalesce(F.get(last["polygon"], F.lit(2)), F.element_at(last["polygon"], -1))
     box = F.array(corner["x"], corner["y"], far["x"] - corner["x"], far["y"] - corner["y"])
     letters = F.array(*[F.lit(x) for x in LETTERS])
     return rows.select(
-        *keys,
+        *own,
         "row",
-        F.concat(F.lit(prefix), (F.col("row") + 1).cast("string")).alias("id"),
+        F.concat(F.lit(prefix), (F.col("_before") + F.col("row") + 1).cast("string")).alias("id"),
         F.when(n == 2, "true_false").otherwise("multiple_choice").alias("type"),
         F.element_at(letters, F.least(n, F.lit(len(LETTERS)))).alias("value"),
         F.array_min(F.transform("_marks", lambda m: m["confidence"])).alias("confidence"),

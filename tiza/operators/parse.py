@@ -38,6 +38,11 @@ def answer_key(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     return last_wins(p.select(*keys, "pos", "id", F.col("value").alias("answer")), [*keys, "id"], ["pos"]).drop("pos")
 
 
+def answer_key_upper(df: DataFrame, text: str) -> DataFrame:
+    """As the pairs of an answer key, answers in upper case; repeated ids stay."""
+    return pairs(df, text).where("id <> '' and value <> ''").withColumn("answer", F.upper("value")).drop("value")
+
+
 def line_key(df: DataFrame, text: str) -> DataFrame:
     """Columns sm and vf: the comma lists of the last lines that begin with SM: and VF:."""
     lines = F.transform(F.split(F.col(text), "\n"), strip)

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tiza.functions import json_repair, numeric, text
-from tiza.operators import batching, fuzzy_join, ledger, merge, names, omr, parse, scoring
+from pyspark.sql import Window as W
+
+from tiza.functions import checks, dates, json_repair, numeric, text
+from tiza.operators import batching, evaluate, fuzzy_join, ledger, merge, names, omr, parse, scoring
 from tiza.operators.dedupe import first_wins
+from tiza.sources import readers
 from tiza.sources.readers import joined_pages, table
 
 QUERIES: dict = {}
@@ -108,10 +111,15 @@ def score_sheet_parse(spark, d):
 @query(
     "max_reconcile",
     f"""SELECT p_brand, sum(CASE WHEN starts_with(id, 'P') THEN 0 ELSE max_score END)::BIGINT AS closed_max, sum(CASE WHEN starts_with(id, 'P') THEN max_score ELSE 0 END)::BIGINT AS development_max,
-    sum(max_score)::BIGINT AS item_max, sum(max_score)::BIGINT AS total_max FROM ({_ITEMS}) WHERE max_score > 0 GROUP BY 1""",
+    sum(max_score)::BIGINT AS item_max, sum(max_score)::BIGINT AS total_max FROM ({_ITEMS}) WHERE max_score > 0 GROUP BY 1
+    UNION ALL SELECT 'declared ' || d, 0, 0, 0, CASE WHEN d = 0 THEN 100 ELSE d END FROM (VALUES (0), (51)) AS x(d)""",
 )
 def max_reconcile(spark, d):
-    return scoring.maximum(parse.score_sheet(_sheets(spark, d), "sheet"), ["p_brand"], F.lit(60).cast("long"))
+    """The items' sum for each brand; and, for sheets without items, the declared total, or 100 where that is 0."""
+    own = scoring.maximum(parse.score_sheet(_sheets(spark, d), "sheet"), ["p_brand"], F.lit(60).cast("long"))
+    none = F.lit(0).cast("long")
+    bare = spark.createDataFrame([(0,), (51,)], "d bigint").select(F.concat(F.lit("declared "), F.col("d").cast("string")).alias("p_brand"), *[none.alias(c) for c in ("closed_max", "development_max", "item_max")], scoring.reconciled(none, F.col("d")).alias("total_max"))
+    return own.unionByName(bare)
 
 
 @query(
@@ -255,14 +263,12 @@ def latest_code(spark, d):
 
 @query("history_by_student", "SELECT o_custkey, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)::INT AS entry FROM orders")
 def history_by_student(spark, d):
-    from pyspark.sql import Window as W
-
     o = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice", "o_orderdate")
     return o.withColumn("entry", F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))).drop("o_orderdate")
 
 
 _BIGRAMS = "list_transform(range(1, length({0})), lambda i: {0}[i:i + 1])"
-_TOP3 = f"""WITH n AS (SELECT row_number() OVER (ORDER BY name) - 1 AS pos, name, replace(name, ' ', '') AS b FROM (SELECT DISTINCT p_name AS name FROM part WHERE p_partkey % 10 = 0)),
+_TOP3 = f"""WITH n AS (SELECT row_number() OVER (ORDER BY name) - 1 AS pos, name, replace(name, ' ', '') AS b FROM (SELECT DISTINCT p_name AS name FROM part)),
 t AS (SELECT DISTINCT p_name AS text, replace(p_name, ' ', '') AS b FROM part),
 nb AS (SELECT name, g, row_number() OVER (PARTITION BY name, g) AS k FROM (SELECT name, unnest({_BIGRAMS.format('b')}) AS g FROM n)),
 tb AS (SELECT text, g, row_number() OVER (PARTITION BY text, g) AS k FROM (SELECT text, unnest({_BIGRAMS.format('b')}) AS g FROM t)),
@@ -275,11 +281,8 @@ SELECT p_partkey, suggestions FROM part JOIN (SELECT text, string_agg(name, '|'
 
 @query("name_top3", _TOP3)
 def name_top3(spark, d):
-    from pyspark.sql import Window as W
-
     part = table(spark, d, "part")
-    # the roll: a few distinct names, numbered in one small task
-    roll = part.where("p_partkey % 10 = 0").select(F.col("p_name").alias("name")).distinct().withColumn("pos", F.row_number().over(W.orderBy("name")) - 1)
+    roll = part.select(F.col("p_name").alias("pos"), F.col("p_name").alias("name")).distinct()  # in the order of names
     out = names.top_names(part.select("p_partkey", F.col("p_name").alias("text")), roll)
     return out.select("p_partkey", F.array_join("suggestions", "|").alias("suggestions"))
 
@@ -349,10 +352,24 @@ def batch_progress(spark, d):
     return r.join(F.broadcast(total)).select("event_id", c, "succeeded", (c - F.col("succeeded")).alias("failed"), (F.floor((c - 1) / batching.CHUNK) + 1).alias("batch"), numeric.progress(c, F.col("total")).alias("percent"))
 
 
-@query("json_defaults", "SELECT event_id, coalesce(json_extract_string(props, '$.k')::INT, 0) AS k, json_extract_string(props, '$.k') IS NOT NULL AS usable FROM events")
+@query(
+    "json_defaults",
+    """SELECT event_id, event_id % 4 IN (0, 1) AS usable, CASE WHEN event_id % 4 = 0 THEN json_extract_string(props, '$.k')::DOUBLE WHEN event_id % 4 = 1 THEN 0.0::DOUBLE END AS nota,
+    CASE WHEN event_id % 4 < 2 THEN (event_id % 4 = 0)::INT END AS corrections, CASE WHEN event_id % 4 < 2 THEN 0 END AS skills, CASE WHEN event_id % 4 < 2 THEN '' END AS strengths FROM events""",
+)
 def json_defaults(spark, d):
-    k = F.get_json_object("props", "$.k")
-    return table(spark, d, "events").select("event_id", F.coalesce(k.try_cast("int"), F.lit(0)).alias("k"), k.isNotNull().alias("usable"))
+    """Replies: whole ones, ones with empty feedback, ones without a score, and texts that are no JSON."""
+    k, s = F.get_json_object("props", "$.k"), lambda x: F.lit(x)
+    reply = (
+        F.when(F.col("event_id") % 4 == 0, F.concat(s('{"puntaje":"1/2","nota":'), k, s(',"retroalimentacion":{"correccion_detallada":[{"seccion":"a","detalle":"b"}]}}')))
+        .when(F.col("event_id") % 4 == 1, s('{"puntaje":"1/2","nota":"x","retroalimentacion":{}}'))
+        .when(F.col("event_id") % 4 == 2, s('{"nota":3,"retroalimentacion":{}}'))
+        .otherwise(s("no reply"))
+    )
+    e = table(spark, d, "events").select("event_id", json_repair.parsed(reply).alias("v")).select("event_id", json_repair.usable(F.col("v")).alias("usable"), json_repair.with_defaults(F.col("v")).alias("w"))
+    own = lambda x: F.when(F.col("usable"), x)
+    r = F.col("w.retroalimentacion")
+    return e.select("event_id", "usable", own(F.col("w.nota")).alias("nota"), own(F.size(r["correccion_detallada"])).alias("corrections"), own(F.size(r["evaluacion_habilidades"])).alias("skills"), own(r["resumen_general"]["fortalezas"]).alias("strengths"))
 
 
 @query("json_repair", "SELECT event_id, props AS json, json_extract_string(props, '$.k')::INT AS k FROM events")
@@ -375,10 +392,16 @@ def control_clean(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha2(text.clean_control(F.col("text")), 256).alias("digest"))
 
 
-@query("feedback_prefix", "SELECT conv_id, turn, 'Estudiante ' || conv_id || ' ' || lower(text[1]) || text[2:] AS feedback FROM conversations")
+@query(
+    "feedback_prefix",
+    """SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'Estudiante ' || conv_id || ' ' || lower(text[1]) || text[2:] WHEN 1 THEN 'Ana Soto ana Soto muestra ' || text ELSE 'El estudiante ' || text END AS feedback FROM conversations""",
+)
 def feedback_prefix(spark, d):
-    known = F.concat(F.lit("Estudiante "), F.col("conv_id").cast("string"))
-    return table(spark, d, "conversations").select("conv_id", "turn", text.prefixed_feedback(F.col("text"), known).alias("feedback"))
+    """A known name, a name that the text itself gives, and texts that speak of the student already."""
+    t = F.col("turn") % 3
+    known = F.when(t == 0, F.concat(F.lit("Estudiante "), F.col("conv_id").cast("string"))).otherwise("Estudiante")
+    said = F.when(t == 0, F.col("text")).when(t == 1, F.concat(F.lit("Ana Soto muestra "), F.col("text"))).otherwise(F.concat(F.lit("El estudiante "), F.col("text")))
+    return table(spark, d, "conversations").select("conv_id", "turn", text.prefixed_feedback(said, known).alias("feedback"))
 
 
 @query("text_concat_pages", "SELECT conv_id, string_agg(text, chr(10) || '--- PAGE ---' || chr(10) ORDER BY turn, text) AS text FROM conversations GROUP BY 1")
@@ -386,24 +409,206 @@ def text_concat_pages(spark, d):
     return joined_pages(table(spark, d, "conversations").select("conv_id", "turn", "text"), ["conv_id"], "turn", "text", "\n--- PAGE ---\n")
 
 
-@query("omr_rows")
+@query(
+    "omr_rows",
+    """WITH RECURSIVE m AS (SELECT l_orderkey, l_linestatus, l_linenumber::DOUBLE AS x, l_quantity AS y, 1 - max(l_discount) AS c FROM lineitem GROUP BY ALL HAVING 1 - max(l_discount) >= 0.85::DOUBLE),
+    o AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linestatus ORDER BY y, x, c) AS n FROM m),
+    f AS (SELECT l_orderkey, l_linestatus, n, x, y, c, [y] AS firsts, 1::BIGINT AS r FROM o WHERE n = 1
+      UNION ALL SELECT o.l_orderkey, o.l_linestatus, o.n, o.x, o.y, o.c, CASE WHEN p > 0 THEN firsts ELSE list_append(firsts, o.y) END, CASE WHEN p > 0 THEN p ELSE len(firsts) + 1 END
+      FROM (SELECT f.l_orderkey AS k, f.l_linestatus AS s, f.n + 1 AS nn, firsts, coalesce(list_position(list_transform(firsts, lambda v: abs(v - z.y) < 15), TRUE), 0) AS p FROM f JOIN o AS z ON z.l_orderkey = f.l_orderkey AND z.l_linestatus = f.l_linestatus AND z.n = f.n + 1)
+      JOIN o ON o.l_orderkey = k AND o.l_linestatus = s AND o.n = nn),
+    g AS (SELECT l_orderkey, l_linestatus, (r - 1)::INT AS row, count(*) AS marks, min(c) AS confidence, arg_min({'x': x, 'y': y}, (x, c, y)) AS a, arg_max({'x': x, 'y': y}, (x, c, y)) AS z FROM f GROUP BY ALL)
+    SELECT l_orderkey, l_linestatus, row, 'P' || row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linestatus, row) AS id, CASE WHEN marks = 2 THEN 'true_false' ELSE 'multiple_choice' END AS type,
+      ['A', 'B', 'C', 'D', 'E', 'F', 'G'][least(marks, 7)] AS value, confidence, a.x AS "left", a.y AS top, z.x + 1 - a.x AS width, z.y + 1 - a.y AS height FROM g""",
+)
 def omr_rows(spark, d):
+    """An order is a sheet, its line states are its pages, and lines are marks."""
     p = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
     x, y = F.col("l_linenumber"), F.col("l_quantity")
-    li = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber", "l_quantity").agg(F.max("l_discount").alias("disc"))
+    li = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linestatus", "l_linenumber", "l_quantity").agg(F.max("l_discount").alias("disc"))
     mark = F.struct(F.lit("selected").alias("state"), (1 - F.col("disc")).alias("confidence"), F.array(p(x, y), p(x + 1, y), p(x + 1, y + 1)).alias("polygon"))
-    return omr.read_pages(li.groupBy("l_orderkey").agg(F.collect_list(mark).alias("marks")), ["l_orderkey"])
+    items = omr.read_pages(li.groupBy("l_orderkey", "l_linestatus").agg(F.collect_list(mark).alias("marks")), ["l_orderkey"], "l_linestatus")
+    return items.select("*", *[F.get("box", F.lit(i)).alias(n) for i, n in enumerate(("left", "top", "width", "height"))]).drop("box")
 
 
 @query(
     "mime_filter",
-    """SELECT doc_id, mime, mime = 'image/png' OR mime LIKE 'application/pdf' AS readable, mime = 'image/png' AS photo FROM (
-    SELECT doc_id, CASE lang WHEN 'en' THEN 'image/png' WHEN 'fr' THEN 'application/pdf' ELSE 'text/plain' END AS mime FROM documents)""",
+    """SELECT doc_id, urls, mime, mime = 'image/png' OR mime = 'application/pdf' AS readable, mime = 'image/png' AS photo FROM (
+    SELECT doc_id, CASE lang WHEN 'en' THEN 'image/png' WHEN 'fr' THEN 'application/pdf' ELSE 'text/plain' END AS mime, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 2 END AS urls FROM documents)""",
 )
 def mime_filter(spark, d):
+    """Each document has a missing URL before its own: types stay with their URLs when empty ones drop out."""
     mime = F.when(F.col("lang") == "en", "image/png").when(F.col("lang") == "fr", "application/pdf").otherwise("text/plain")
-    m = table(spark, d, "documents").select("doc_id", mime.alias("mime"))
-    return m.select("doc_id", "mime", text.readable_type(F.col("mime")).alias("readable"), text.photo_type(F.col("mime")).alias("photo"))
+    u = F.col("doc_id").cast("string")
+    both = readers.with_types(F.array(F.when(F.col("doc_id") % 2 == 0, "").otherwise("x"), u), F.array(F.lit("video/mp4"), mime))
+    m = table(spark, d, "documents").select("doc_id", both.alias("files")).select("doc_id", F.size("files").alias("urls"), F.element_at("files", -1)["mime"].alias("mime"))
+    return m.select("doc_id", "urls", "mime", text.readable_type(F.col("mime")).alias("readable"), text.photo_type(F.col("mime")).alias("photo"))
+
+
+# Exams: a region each, whose nations are the items; every fifth is a development item. An order is a student's answers.
+_EXAM_ITEMS = "SELECT n_regionkey AS exam, n_nationkey AS pos, CASE WHEN n_nationkey % 5 = 0 THEN 'P' WHEN n_nationkey % 3 = 0 THEN 'VF' ELSE 'SM' END || n_nationkey AS id, n_nationkey % 4 + 1 AS worth, substr('ABCDEVF', n_nationkey % 7 + 1, 1) AS answer FROM nation"
+_EXAM_ANSWERS = """SELECT l_orderkey % 5 AS exam, l_orderkey AS student, l_linenumber AS pos, CASE WHEN l_partkey % 2 = 0 THEN 'SM' ELSE 'VF' END || l_partkey % 25 AS q,
+    substr('ABCDEVF', l_suppkey::INT % 7 + 1, 1) AS given, row_number() OVER (PARTITION BY l_orderkey, l_partkey % 2, l_partkey % 25 ORDER BY l_linenumber, l_suppkey) AS rn FROM lineitem"""
+
+
+def _exams(spark, d) -> DataFrame:
+    k = F.col("n_nationkey")
+    kind = F.when(k % 5 == 0, "P").when(k % 3 == 0, "VF").otherwise("SM")
+    n = table(spark, d, "nation").select(F.col("n_regionkey").alias("exam"), k.alias("pos"), F.concat(kind, k.cast("string")).alias("id"), (k % 4 + 1).cast("string").alias("worth"), F.substring(F.lit("ABCDEVF"), (k % 7 + 1).cast("int"), F.lit(1)).alias("answer"))
+    text_of = lambda c: joined_pages(n.select("exam", "pos", F.concat_ws(":", "id", c).alias("t")), ["exam"], "pos", "t", "; ")
+    return text_of("worth").withColumnRenamed("text", "sheet").join(text_of("answer").withColumnRenamed("text", "key"), "exam").withColumn("declared", F.lit(51).cast("long"))
+
+
+def _exam_answers(spark, d) -> DataFrame:
+    p, s = F.col("l_partkey"), F.col("l_suppkey")
+    given = F.substring(F.lit("ABCDEVF"), (s % 7 + 1).cast("int"), F.lit(1))
+    return table(spark, d, "lineitem").select(
+        (F.col("l_orderkey") % 5).alias("exam"), F.col("l_orderkey").alias("student"), F.struct("l_linenumber", "l_suppkey").alias("pos"),
+        F.concat(F.when(p % 2 == 0, " sm").otherwise("VF"), (p % 25).cast("string")).alias("question"), given.alias("given"), F.lit("sm_vf").alias("mode"),
+    )
+
+
+@query(
+    "evaluate_route",
+    f"""WITH i AS ({_EXAM_ITEMS}), t AS (SELECT exam, sum(worth)::BIGINT AS max_score FROM i GROUP BY 1),
+    a AS (SELECT * FROM ({_EXAM_ANSWERS}) WHERE rn = 1),
+    x AS (SELECT a.exam, student, q, given, arg_min(i.id, i.pos) AS item, coalesce(arg_min(worth, i.pos), 1) AS worth FROM a LEFT JOIN i ON i.exam = a.exam AND NOT starts_with(i.id, 'P') AND (contains(i.id, q) OR contains(q, i.id)) GROUP BY 1, 2, 3, 4),
+    r AS (SELECT x.*, coalesce(k.answer = given, FALSE) AS correct FROM x LEFT JOIN i AS k ON k.exam = x.exam AND k.id = coalesce(x.item, x.q)),
+    c AS (SELECT exam, student, sum(CASE WHEN correct THEN worth ELSE 0 END)::BIGINT AS closed_score, count_if(correct AND contains(q, 'SM'))::BIGINT AS sm_right, count_if(correct AND contains(q, 'VF'))::BIGINT AS vf_right FROM r GROUP BY 1, 2),
+    dv AS (SELECT l_orderkey % 5 AS exam, l_orderkey AS student, sum(n)::BIGINT AS development_score FROM (SELECT l_orderkey, l_linenumber, CASE WHEN min(l_quantity) % 2 = 0 THEN floor(min(l_quantity))::BIGINT % 3 ELSE 0 END AS n FROM lineitem GROUP BY 1, 2) GROUP BY 1, 2),
+    s AS (SELECT c.*, development_score, closed_score + development_score AS score, max_score FROM c JOIN dv USING (exam, student) JOIN t USING (exam))
+    SELECT exam, student, closed_score, development_score, sm_right, vf_right, score || '/' || max_score AS result, {_grade_sql('score::DOUBLE', 'max_score::DOUBLE')} AS grade, ceil(max_score * 0.6::DOUBLE)::BIGINT AS pass_points, max_score FROM s""",
+)
+def evaluate_route(spark, d):
+    li = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_quantity").alias("q"))
+    points = F.concat((F.floor("q") % 3).cast("string"), F.when(F.col("q") % 2 == 0, "/3").otherwise(" de 3"))
+    details = li.select((F.col("l_orderkey") % 5).alias("exam"), F.col("l_orderkey").alias("student"), F.concat(F.lit("P"), F.col("l_linenumber").cast("string")).alias("item"), points.alias("points"))
+    return evaluate.evaluated(_exams(spark, d), _exam_answers(spark, d), details)
+
+
+@query("item_list", f"SELECT exam, coalesce(string_agg(id || ' (Máx: ' || worth || ' puntos)', ', ' ORDER BY pos) FILTER (starts_with(id, 'P')), '') AS items FROM ({_EXAM_ITEMS}) GROUP BY 1")
+def item_list(spark, d):
+    return evaluate.item_list(parse.score_sheet(_exams(spark, d), "sheet"), ["exam"])
+
+
+@query(
+    "report_rows",
+    """SELECT conv_id AS student, turn::INT AS pos, role AS section, text AS detail FROM conversations
+    UNION ALL SELECT conv_id, NULL, 'Pregunta Desarrollo: P ' || turn, role FROM conversations WHERE turn < 2""",
+)
+def report_rows(spark, d):
+    c = table(spark, d, "conversations")
+    name = F.concat(F.lit("P_"), F.col("turn").cast("string"))
+    details = c.where("turn < 2").select(F.col("conv_id").alias("student"), F.create_map(name, "role").alias("detail"))
+    return evaluate.report_rows(c.select(F.col("conv_id").alias("student"), F.col("turn").alias("pos"), F.col("role").alias("section"), F.col("text").alias("detail")), details)
+
+
+@query(
+    "objective_counts",
+    """WITH g AS (SELECT l_orderkey, list(upper(l_returnflag) ORDER BY l_linenumber, l_suppkey, l_partkey, l_returnflag) AS k, list(l_linestatus ORDER BY l_linenumber, l_suppkey, l_partkey, l_returnflag) AS v FROM lineitem GROUP BY 1)
+    SELECT l_orderkey, len(list_filter(range(1, len(k) + 1), lambda i: k[i] = v[i] OR (k[i] = 'N' AND v[i] = 'O')))::INT AS correct FROM g""",
+)
+def objective_counts(spark, d):
+    """The key is the flag; an answer is the state in lower case with blanks, O standing for N, in the order of lines."""
+    said = F.when((F.col("l_linestatus") == "O") & (F.col("l_returnflag") == "N"), " n ").otherwise(F.lower("l_linestatus"))
+    at = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey", "l_partkey", "l_returnflag", said.alias("said"))))
+    g = table(spark, d, "lineitem").groupBy("l_orderkey").agg(at.alias("a"))
+    return g.select("l_orderkey", evaluate.objective_counts(F.transform("a", lambda x: x["l_returnflag"]), F.transform("a", lambda x: x["said"])).alias("correct"))
+
+
+@query(
+    "rescored",
+    """SELECT p_partkey, 'SM' || p_partkey % 40 AS question, coalesce(n_regionkey + 1, 1)::INT AS item_max, CASE WHEN p_size % 2 = 0 THEN coalesce(n_regionkey + 1, 1) ELSE 0 END::INT AS points FROM part LEFT JOIN nation ON n_nationkey = p_partkey % 40""",
+)
+def rescored(spark, d):
+    a = table(spark, d, "part").select("p_partkey", F.lit(1).alias("exam"), F.concat(F.lit("SM"), (F.col("p_partkey") % 40).cast("string")).alias("question"), (F.col("p_size") % 2).alias("given"), F.lit(0).alias("right"))
+    i = table(spark, d, "nation").select(F.lit(1).alias("exam"), F.col("n_nationkey").alias("pos"), F.concat(F.lit("SM"), F.col("n_nationkey").cast("string")).alias("id"), (F.col("n_regionkey") + 1).alias("max_score"))
+    return evaluate.rescored(a, i, ["exam"]).select("p_partkey", "question", "item_max", "points")
+
+
+@query(
+    "payment_checks",
+    """SELECT o_orderkey, o_totalprice > 0 AS positive, floor(o_totalprice + 0.5::DOUBLE) <= 5000 AS payable, CASE o_custkey % 3 WHEN 0 THEN o_orderkey % 2 = 0 WHEN 1 THEN o_orderkey % 2 = 1 ELSE FALSE END AS price_fits,
+    o_orderstatus IN ('F', 'O') AS paid, o_orderstatus = 'F' AS exactly_paid, o_custkey % 3 <> 2 AND o_orderstatus <> 'P' AS complete, CASE o_custkey % 3 WHEN 0 THEN 640 WHEN 1 THEN 1280 END AS credits,
+    CASE WHEN o_orderkey % 2 = 0 THEN NULL ELSE 1200 END::INT AS credits_of_price FROM orders""",
+)
+def payment_checks(spark, d):
+    o = table(spark, d, "orders")
+    plan = F.when(F.col("o_custkey") % 3 == 0, "intermediate").when(F.col("o_custkey") % 3 == 1, "pro").otherwise("")
+    status = F.when(F.col("o_orderstatus") == "F", "paid").when(F.col("o_orderstatus") == "O", "Completed")
+    price = F.when(F.col("o_orderkey") % 2 == 0, 29900).otherwise(49900)
+    return o.select(
+        "o_orderkey", checks.positive_amount(F.col("o_totalprice")).alias("positive"), checks.payable(F.col("o_totalprice")).alias("payable"),
+        checks.price_fits(price, readers.looked_up(plan, readers.PLAN_PRICE)).alias("price_fits"), checks.paid(status).alias("paid"), checks.exactly_paid(status).alias("exactly_paid"),
+        checks.present(plan, status).alias("complete"), readers.looked_up(plan, readers.PLAN_CREDITS).alias("credits"),
+        readers.looked_up(F.when(F.col("o_orderkey") % 2 == 0, 1).otherwise(49990), readers.PRICE_CREDITS).alias("credits_of_price"),
+    )
+
+
+@query(
+    "pending_groups",
+    """WITH g AS (SELECT o_custkey, list(o_orderkey) FILTER (o_orderstatus <> 'P') AS files, o_custkey % 3 = 0 AS done, o_custkey % 5 = 0 AS busy FROM orders GROUP BY 1)
+    SELECT o_custkey, coalesce(len(files), 0) > 0 AND NOT done AND NOT busy AS pending, done AS evaluated FROM g""",
+)
+def pending_groups(spark, d):
+    k = F.col("o_custkey")
+    g = table(spark, d, "orders").groupBy("o_custkey").agg(F.collect_list(F.when(F.col("o_orderstatus") != "P", F.col("o_orderkey"))).alias("files"))
+    return g.select("o_custkey", checks.pending(F.col("files"), k % 3 == 0, k % 5 == 0).alias("pending"), (k % 3 == 0).alias("evaluated"))
+
+
+@query(
+    "class_state",
+    """SELECT o_orderpriority, bool_or(o_orderstatus = 'P') AS any_running, bool_and(o_totalprice > 1000) AS all_ready, count(*) FILTER (o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0))::BIGINT AS chosen FROM orders GROUP BY 1""",
+)
+def class_state(spark, d):
+    """Whether any and whether all groups of a class are in a state; and how many are among the chosen ids."""
+    ids = table(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"))
+    o = table(spark, d, "orders")
+    chosen = o.join(ids, "o_custkey", "left_semi").groupBy("o_orderpriority").agg(F.count("*").alias("chosen"))
+    s = o.groupBy("o_orderpriority").agg(F.bool_or(F.col("o_orderstatus") == "P").alias("any_running"), F.bool_and(F.col("o_totalprice") > 1000).alias("all_ready"))
+    return s.join(chosen, "o_orderpriority", "left").withColumn("chosen", F.coalesce("chosen", F.lit(0)))
+
+
+@query(
+    "date_texts",
+    """SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS iso, strftime(ts, '%d/%m/%Y') AS day, strftime(ts + INTERVAL 10 MINUTE, '%d/%m/%Y %H:%M') AS expires, strftime(ts + to_days((event_id % 60)::INT), '%d/%m/%Y') AS valid_until FROM events""",
+)
+def date_texts(spark, d):
+    ts = F.col("ts")
+    e = table(spark, d, "events")
+    return e.select("event_id", dates.iso_utc(ts).alias("iso"), dates.day_month_year(ts).alias("day"), F.date_format(dates.code_expiry(ts), "dd/MM/yyyy HH:mm").alias("expires"), dates.day_month_year(dates.days_later(ts, (F.col("event_id") % 60).cast("int"))).alias("valid_until"))
+
+
+@query("upper_key", "SELECT p_brand, pos, id, upper(value) AS answer FROM (SELECT p_brand, p_partkey AS pos, 'Q' || p_partkey % 7 AS id, p_type AS value FROM part)")
+def upper_key(spark, d):
+    p = table(spark, d, "part").select("p_brand", F.col("p_partkey").alias("key_of"), F.concat(F.lit("Q"), (F.col("p_partkey") % 7).cast("string"), F.lit(": "), F.lower("p_type"), F.lit(" ; ")).alias("pair"))
+    return parse.answer_key_upper(p, "pair").select("p_brand", F.col("key_of").alias("pos"), "id", "answer")
+
+
+@query(
+    "short_texts",
+    """SELECT doc_id, coalesce(text, '')[1:500] AS start, length(coalesce(text, '')[1:500]) AS n, floor(100.0::DOUBLE * (doc_id % 997) / 997 * 10.0::DOUBLE + 0.5::DOUBLE) / 10.0::DOUBLE AS percent,
+    CASE doc_id % 4 WHEN 0 THEN 'https://h/v1' WHEN 1 THEN 'https://h.org/v1' WHEN 2 THEN 'https://api.mistral.ai/v1' ELSE 'http://h.net/v1' END AS url FROM documents""",
+)
+def short_texts(spark, d):
+    k = F.col("doc_id")
+    url = F.when(k % 4 == 0, "[x](https://h/v1)").when(k % 4 == 1, "'h.org/' ").when(k % 4 == 2, "not a url").otherwise("http://h.net")
+    start = text.shortened(F.coalesce("text", F.lit("")))
+    return table(spark, d, "documents").select("doc_id", start.alias("start"), F.length(start).cast("long").alias("n"), numeric.confidence_percent((k % 997) / F.lit(997.0)).alias("percent"), text.repaired_url(url).alias("url"))
+
+
+@query("plans_by_price", "SELECT id, credits, row_number() OVER (ORDER BY price, id)::INT AS place FROM (VALUES ('free', 0, 10), ('basic', 5000, 90), ('flow400', 12990, 400), ('intermediate', 29990, 640), ('pro', 49990, 1280)) AS p(id, price, credits)")
+def plans_by_price(spark, d):
+    """The second plan list, a handful of rows, by price."""
+    p = readers.plans_by_price(readers.plans(spark, readers.SHOP_PLANS))
+    return p.select("id", "credits", F.row_number().over(W.orderBy("price", "id")).alias("place"))
+
+
+@query("json_entries", "SELECT event_id, 'a' AS key, json_extract_string(props, '$.k') AS value, '{\"a\":\"' || json_extract_string(props, '$.k') || '\",\"b\":\"' || event_type || '\"}' AS json FROM events UNION ALL SELECT event_id, 'b', event_type, '{\"a\":\"' || json_extract_string(props, '$.k') || '\",\"b\":\"' || event_type || '\"}' FROM events")
+def json_entries(spark, d):
+    m = F.create_map(F.lit("a"), F.get_json_object("props", "$.k"), F.lit("b"), F.col("event_type"))
+    e = table(spark, d, "events").select("event_id", m.alias("m"))
+    return e.select("event_id", json_repair.json_text(F.col("m")).alias("json"), F.explode(json_repair.entries(F.col("m"))).alias("e")).select("event_id", "e.key", "e.value", "json")
 
 
 @query("first_wins", f"SELECT * EXCLUDE (rn) FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY {ANSWER_SQL}) AS rn FROM lineitem) WHERE rn = 1")

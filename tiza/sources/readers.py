@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tiza.functions.json_repair import string_list
+
 EVENT = "type string, batchIndex int, groupId string, success boolean, data string, error string, totalItems int, totalBatches int"
 #: File types that are taken in: fixed values.
 ACCEPTED = (
@@ -25,12 +27,46 @@ PLANS = [
 ]
 
 
+#: The plans as a second list shows them: one more, and other prices. Fixed values.
+SHOP_PLANS = [
+    ("free", "Plan Gratuito", 0, 10, 30),
+    ("basic", "Plan Básico", 5000, 90, 30),
+    ("flow400", "Plan 400 créditos", 12990, 400, 60),
+    ("intermediate", "Plan Intermedio", 29990, 640, 60),
+    ("pro", "Plan Pro", 49990, 1280, 90),
+]
+#: Plan to price and credits where plans are bought, and price to credits where payments are notified. Fixed values.
+PLAN_PRICE = {"intermediate": 29900, "pro": 49900}
+PLAN_CREDITS = {"intermediate": 640, "pro": 1280}
+PRICE_CREDITS = {29990: 560, 49990: 1200, 12990: 400}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def plans(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(PLANS, "id string, name string, price bigint, credits int, days int")
+def plans(spark: SparkSession, rows: list = PLANS) -> DataFrame:
+    return spark.createDataFrame(rows, "id string, name string, price bigint, credits int, days int")
+
+
+def plans_by_price(plans: DataFrame) -> DataFrame:
+    """Plans by rising price; one without a price goes as 0."""
+    return plans.orderBy(F.coalesce("price", F.lit(0)), "id")
+
+
+def looked_up(key: Column, values: dict) -> Column:
+    """The value of a key in a short fixed dictionary; null for others."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), key)
+
+
+def upload(files: DataFrame, name_list: Column) -> DataFrame:
+    """files with the names of a form's JSON list; anything but a list of strings gives none."""
+    return files.withColumn("names", string_list(name_list))
+
+
+def layer_text(pages: Column) -> Column:
+    """The text of a document's pages, each an array of items: items joined by spaces, pages by newlines."""
+    return F.array_join(F.transform(pages, lambda p: F.array_join(p, " ")), "\n")
 
 
 def form(body: Column) -> Column:
