@@ -60,6 +60,24 @@ def test_edge_rows(spark):
     assert lz.fingerprints(edge_docs(spark)).count() == len(ROWS)
 
 
+def test_equal_and_missing_ids_are_cut_into_ranges(spark):
+    """Rows that share an id, or have none, are dealt to many ranges; equal rows are one another's next."""
+    from pyspark.sql import functions as F
+
+    rows = [(7, "one text", "en", "s", 1)] * 120 + [(None, f"text {i} of many", "en", "s", 1) for i in range(120)] + [(9, "first", "en", "s", 1), (-(2**63), "least", "en", "s", 1)]
+    ordered = lz._in_order(edge_docs(spark, rows), 20, "doc_id", "text")
+    sizes = Counter(r.bucket for r in ordered.where("not borrowed").collect())
+    assert len(sizes) > 6 and max(sizes.values()) < 80 and sum(sizes.values()) == len(rows)
+    got = lz.edited_likeness(edge_docs(spark, rows), bucket_rows=20).collect()
+    assert Counter(r.doc_id for r in got) == Counter(r[0] for r in rows)
+    a, b = lz.fingerprint("one text"), lz.fingerprint("least")
+    assert Counter(r.near_next for r in got if r.doc_id == 7) == Counter({1.0: 119, lz.likeness(a, b): 1})
+    hashes = {r.text: r.h for r in edge_docs(spark, rows).select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted((r[1] for r in rows if r[0] is None), key=lambda t: -hashes[t])
+    shas = [hashlib.sha256(lz.edited(t, u).encode()).hexdigest() for t, u in zip(order, [*order[1:], "first"], strict=True)]
+    assert Counter(r.edited_sha256 for r in got if r.doc_id is None) == Counter(shas)
+
+
 def test_likeness():
     a = lz.fingerprint("the quick brown fox jumps over the lazy dog " * 20)
     assert lz.likeness(a, a) == 1 and lz.likeness(lz.fingerprint(""), lz.fingerprint(None)) == 1 and lz.likeness(a, lz.fingerprint("")) == 0

@@ -5,7 +5,8 @@ The hashes of the phrase set form a set whose minimum-hash signature, its SIGNAT
 fingerprints' likeness is the share of the smallest hashes of their union that both hold, an estimate of the phrase sets'
 Jaccard likeness. Like compression it rates shared substrings of all lengths.
 
-Null and empty texts have the empty fingerprint, which is like itself (1) and unlike others (0).
+Null and empty texts have the empty fingerprint, which is like itself (1) and unlike others (0). Null ids come last. Rows may
+share an id or be equal in all: they go by their texts' hashes, then by their places in files, so that ranges cut them too.
 """
 
 from __future__ import annotations
@@ -14,16 +15,18 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tiza.llm.common import table
+from tiza.llm.common import placed, stored, table
 
 SIGNATURE = 64
-#: Documents in a range bucket, and the most buckets: their bounds are the only thing that passes through the driver.
-BUCKET_ROWS, MAX_BUCKETS = 2000, 4096
+#: Documents in a range bucket, and the most buckets, whose bounds, 40 bytes each, pass through the driver. Tasks stream through
+#: their buckets, so that with more rows than both allow a task takes longer but needs no more memory.
+BUCKET_ROWS, MAX_BUCKETS = 2000, 100_000
 RESULT = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
@@ -103,30 +106,42 @@ def fingerprints(docs: DataFrame, size: int = SIGNATURE, id_col: str = "doc_id",
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id bigint, fingerprint string")
 
 
-def _in_order(docs: DataFrame, bucket_rows: int) -> DataFrame:
+PLACE = ["doc_id", "tie", "file", "place"]
+
+
+def _codes(doc_id: np.ndarray, missing: np.ndarray, *rest: np.ndarray) -> np.ndarray:
+    """Strings of bytes that sort as the documents do: descending by id, missing ids last, then descending by the rest."""
+    falling = [~(x.astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)) for x in (np.where(missing, 0, doc_id), *rest)]
+    return np.ascontiguousarray(np.stack([missing.astype(np.uint64), *falling], 1).astype(">u8")).view(f"S{8 * len(falling) + 8}").ravel()
+
+
+def _in_order(docs: DataFrame, bucket_rows: int, id_col: str, text_col: str) -> DataFrame:
     """(bucket, borrowed, doc_id, text), sorted in each partition so that every document is followed by the next one.
 
-    Order: descending doc_id, null ids last, equal ids by a hash of the text; after the last comes the first. Ids are cut
-    into ranges at quantiles; each range also borrows the first document of the range after it. Only one text per range moves twice."""
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
-    n = rows.select("doc_id").count()
-    parts = max(1, min(MAX_BUCKETS, n // bucket_rows))
-    bounds = np.array(sorted(set(rows.select(F.col("doc_id").cast("double")).approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts) if parts > 1 else [])), np.float64)
-
-    @F.pandas_udf("int")
-    def bucket_of(ids):
-        return ids.astype("float64").map(lambda x: -1 if x != x else int(np.searchsorted(bounds, x)))
-
-    rows = rows.withColumn("bucket", bucket_of(F.col("doc_id")))
-    # one row per range, at most MAX_BUCKETS + 1
-    firsts = rows.groupBy("bucket").agg(F.max(F.struct("doc_id", "tie")).alias("first")).orderBy(F.desc("bucket")).collect()
-    lend = [(b.first.doc_id, b.first.tie, a.bucket) for a, b in zip(firsts, [*firsts[1:], *firsts[:1]], strict=True)]
-    lend = docs.sparkSession.createDataFrame(lend, "lend_id bigint, lend_tie bigint, lend_to int")
-    with_loans = rows.join(F.broadcast(lend), rows["doc_id"].eqNullSafe(lend["lend_id"]) & (rows["tie"] == lend["lend_tie"]), "left")
-    places = F.array(F.struct("bucket", F.lit(False).alias("borrowed")), F.struct(F.col("lend_to").alias("bucket"), F.lit(True).alias("borrowed")))
-    dealt = with_loans.select("doc_id", "text", "tie", F.explode(F.filter(places, lambda p: p["bucket"].isNotNull())).alias("p"))
-    dealt = dealt.select("p.bucket", "p.borrowed", "doc_id", "text", "tie")
-    return dealt.repartition("bucket").sortWithinPartitions("bucket", "borrowed", F.desc_nulls_last("doc_id"), F.desc("tie")).drop("tie")
+    Order: as PLACE, descending, null ids last; after the last comes the first. The places are range-partitioned; each range's
+    first place is a bound. A range also borrows the first document of the range after it, so one text per range moves twice."""
+    rows = placed(docs).select("file", "place", F.col(f"row.`{id_col}`").cast("bigint").alias("doc_id"), F.coalesce(F.col(f"row.`{text_col}`"), F.lit("")).alias("text"))
+    rows = rows.withColumn("tie", F.xxhash64("text"))
+    keys = stored(rows.select(*PLACE))
+    parts = max(1, min(MAX_BUCKETS, -(-keys.count() // bucket_rows)))
+    ranges = keys.repartitionByRange(parts, F.desc_nulls_last("doc_id"), *[F.desc(c) for c in PLACE[1:]]).withColumn("part", F.spark_partition_id())
+    # one row per range, at most MAX_BUCKETS
+    firsts = ranges.groupBy("part").agg(F.max(F.struct(F.col("doc_id").isNotNull().alias("known"), *PLACE)).alias("first")).select("first.*").collect()
+    columns = [np.array([r[c] if r[c] is not None else 0 for r in firsts], np.int64) for c in PLACE]
+    bounds = np.sort(_codes(columns[0], np.array([not r.known for r in firsts], bool), *columns[1:]))
+
+    @F.pandas_udf("bucket int, lend_to int")
+    def bucket_of(ids, missing, tie, file, place):
+        codes = _codes(ids.to_numpy(), missing.to_numpy(), tie.to_numpy(), file.to_numpy(), place.to_numpy())
+        bucket = np.searchsorted(bounds, codes, "right") - 1
+        lend = np.where(bounds[bucket] == codes, (bucket - 1) % len(bounds), -1)
+        return pd.DataFrame({"bucket": bucket.astype(np.int32), "lend_to": lend.astype(np.int32)})
+
+    at = bucket_of(F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull(), "tie", "file", "place")
+    places = F.array(F.struct(F.col("at.bucket").alias("bucket"), F.lit(False).alias("borrowed")), F.struct(F.col("at.lend_to").alias("bucket"), F.lit(True).alias("borrowed")))
+    dealt = rows.withColumn("at", at).select(*PLACE, "text", F.inline(F.filter(places, lambda p: p["bucket"] >= 0)))
+    dealt = dealt.repartition(max(1, len(bounds)), "bucket").sortWithinPartitions("bucket", "borrowed", F.desc_nulls_last("doc_id"), *[F.desc(c) for c in PLACE[1:]])
+    return dealt.select("bucket", "borrowed", "doc_id", "text")
 
 
 def edited_likeness(docs: DataFrame, size: int = SIGNATURE, bucket_rows: int = BUCKET_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -163,8 +178,7 @@ def edited_likeness(docs: DataFrame, size: int = SIGNATURE, bucket_rows: int = B
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), types, strict=True)], names)
                 done = []
 
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    return _in_order(rows, bucket_rows).mapInArrow(run, RESULT)
+    return _in_order(docs, bucket_rows, id_col, text_col).mapInArrow(run, RESULT)
 
 
 def op8_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
