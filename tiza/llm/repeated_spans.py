@@ -65,13 +65,13 @@ class _Hashes:
         return _mix((self.sums[ends] - self.sums[starts]) * self.down[starts])
 
 
-def _least(h: np.ndarray, width: int) -> np.ndarray:
-    """Minimum of each run of `width` values."""
+def _least(h: np.ndarray, width: int, of=np.minimum) -> np.ndarray:
+    """Minimum of each run of `width` values, or what else `of` keeps of two."""
     span = 1
     while span * 2 <= width:
-        h = np.minimum(h[:-span], h[span:])
+        h = of(h[:-span], h[span:])
         span *= 2
-    return np.minimum(h[: len(h) - (width - span)], h[width - span :])
+    return of(h[: len(h) - (width - span)], h[width - span :])
 
 
 def pieces(data: bytes, length: int = LENGTH, anchor: int = int(ANCHORS[0] * LENGTH), contents: bool = True, twice: bool = True) -> tuple[np.ndarray, ...]:
@@ -89,10 +89,18 @@ def pieces(data: bytes, length: int = LENGTH, anchor: int = int(ANCHORS[0] * LEN
     starts = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]])) if anchor < length else np.arange(len(name))
     counts = np.diff(np.append(starts, len(name)))
     content = _mix(h.of(starts, starts + counts + length - 1) + counts.astype(np.uint64) * _ODD) if contents else np.zeros(len(starts), np.uint64)
-    held = np.zeros(len(starts), np.int64)
+    held = np.ones(len(starts), np.int64)
     if twice:
-        spans = counts + length - anchor
-        held = np.add.reduceat(strings[_ranges(starts, spans)] == np.repeat(name[starts], spans), np.cumsum(spans) - spans, dtype=np.int64)
+        # strings that name a window: those as large as the largest name of the windows that hold them
+        width = length - anchor + 1
+        around = np.zeros(width - 1, np.uint64)
+        naming = np.flatnonzero(strings == _least(np.concatenate([around, name, around]), width, np.maximum))
+        named = strings[naming]
+        ordered = np.sort(named)
+        if (ordered[1:] == ordered[:-1]).any():
+            low, high = np.searchsorted(naming, starts), np.searchsorted(naming, starts + counts + width - 1)
+            spans = high - low
+            held = np.add.reduceat(named[_ranges(low, spans)] == np.repeat(name[starts], spans), np.cumsum(spans) - spans, dtype=np.int64)
     return name[starts], content, starts, counts, held > 1
 
 
@@ -145,42 +153,53 @@ def expand(last_column: np.ndarray, has_symbol: np.ndarray, marks: int, length:
     """First row and end of the interval that each row is in after backward extension to `length` symbols.
 
     last_column: the Burrows-Wheeler transform; has_symbol: False where a text begins. The first `marks` rows are the marks.
-    `fresh` holds the boundaries whose common prefix has just been found to be one shorter than `level`. Only intervals that
-    they split can yield boundaries for the next level: rows of one interval with the same symbol before them are
-    neighbours one symbol further on, and a boundary comes between those that are now apart."""
+    `fresh` holds the boundaries whose common prefix has just been found to be one shorter than the level. Rows of one interval
+    with the same symbol before them are neighbours one symbol further on, and a boundary comes between those that are now
+    apart. Of the parts of a split interval the first keeps the interval's number and only the others' rows are looked at:
+    of any two parts one at least is among them."""
     n = len(last_column)
-    rows_by_symbol = np.concatenate([np.flatnonzero(~has_symbol), np.flatnonzero(has_symbol)[np.argsort(last_column[has_symbol], kind="stable")]])
-    # rows without a symbol lead nowhere; the others map, in order, to the rows after the marks
-    ahead = np.full(n, -1, np.int64)
-    symbol_rows = rows_by_symbol[marks:]
+    symbol_rows = np.flatnonzero(has_symbol)
+    symbol_rows = symbol_rows[np.argsort(last_column[symbol_rows], kind="stable")]
+    # the row one symbol further on, and the rows before and after this one with the same symbol; rows without a symbol lead nowhere
+    ahead, before, after = np.zeros(n, np.int64), np.arange(n), np.arange(n)
     ahead[symbol_rows] = np.arange(marks, n)
-    first, end = np.zeros(n, np.int32), np.full(n, n, np.int32)
+    column = last_column[symbol_rows]
+    same = np.flatnonzero(column[1:] == column[:-1])
+    before[symbol_rows[same + 1]] = symbol_rows[same]
+    after[symbol_rows[same]] = symbol_rows[same + 1]
+    number, used = np.zeros(n, np.int32), 1
+    first, end = np.zeros(n + 1, np.int64), np.full(n + 1, n, np.int64)  # by interval number
     bound = np.zeros(n + 1, bool)
     bound[[0, n]] = True
-    column = last_column[symbol_rows]
     fresh = np.concatenate([np.arange(1, marks + 1), marks + 1 + np.flatnonzero(column[1:] != column[:-1])])
     fresh = fresh[fresh < n]
     for _ in range(length):
         if not len(fresh):
             break
         bound[fresh] = True
-        split = first[fresh]  # ascending, as fresh is
-        split = split[np.concatenate([[True], split[1:] != split[:-1]])]
-        rows = _ranges(split.astype(np.int64), (end[split] - split).astype(np.int64))
-        starts = np.flatnonzero(bound[rows])
-        sizes = np.diff(np.append(starts, len(rows)))
-        first[rows] = np.repeat(rows[starts], sizes)
-        end[rows[starts]] = rows[starts] + sizes
+        # each boundary starts a part with a number of its own, which ends at the next boundary or with the split interval
+        of = number[fresh]  # equal numbers are neighbours, as fresh ascends
+        last = np.append(of[1:] != of[:-1], True)
+        ends = np.append(fresh[1:], n)
+        ends[last] = end[of[last]]
+        heads = np.append(True, last[:-1])
+        end[of[heads]] = fresh[heads]
+        own = np.arange(used, used + len(fresh), dtype=np.int32)
+        first[used : used + len(own)], end[used : used + len(own)] = fresh, ends
+        used += len(own)
+        sizes = ends - fresh
+        rows, of = _ranges(fresh, sizes), np.repeat(own, sizes)
+        number[rows] = of
         if len(rows) * 3 > n:
-            at, to = symbol_rows, np.arange(marks, n)
+            of = number[symbol_rows]
+            fresh = marks + 1 + np.flatnonzero(of[1:] != of[:-1])
+            fresh = fresh[~bound[fresh]]
         else:
             to = ahead[rows]
-            to = np.sort(to[to >= 0])
-            at = symbol_rows[to - marks]
-        apart = (first[at[1:]] != first[at[:-1]]) & (to[1:] == to[:-1] + 1)
-        fresh = to[1:][apart]
-        fresh = fresh[~bound[fresh]]
-    return first, end[first]
+            fresh = np.concatenate([to[number[before[rows]] != of], to[number[after[rows]] != of] + 1])
+            fresh = np.sort(fresh[~bound[fresh]])
+            fresh = fresh[np.append(fresh[1:] != fresh[:-1], True)[: len(fresh)]]
+    return first[number], end[number]
 
 
 def repeats(texts: list[bytes], length: int = LENGTH, weights: list[int] | None = None) -> list[np.ndarray]:
