@@ -1,6 +1,6 @@
 """The subpackage's queries and their SQL, by name."""
 
-from tiza.llm import byte_bpe, language_id, lz_fingerprint, mixing, ngram_join, pii, quality_rules, repeated_spans, url_filter, warc
+from tiza.llm import byte_bpe, language_id, lz_fingerprint, mixing, ngram_join, pii, quality_rules, repeated_spans, spelling_variants, url_filter, warc
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_lz_fingerprint": lz_fingerprint.op8_lz_fingerprint,
     "op9_byte_bpe": byte_bpe.op9_byte_bpe,
     "op10_warc": warc.op10_warc,
+    "op11_spelling_variants": spelling_variants.op11_spelling_variants,
 }
 ORACLES = {
     "op1_url_filter": url_filter.ORACLE,
@@ -20,4 +21,5 @@ ORACLES = {
     "op4_quality_rules": quality_rules.ORACLE,
     "op6_mixing": mixing.ORACLE,
     "op10_warc": warc.ORACLE,
+    "op11_spelling_variants": spelling_variants.ORACLE,
 }
