@@ -1,6 +1,6 @@
 """The subpackage's queries and their SQL, by name."""
 
-from tiza.llm import byte_bpe, language_id, lz_fingerprint, mixing, ngram_join, pii, quality_rules, repeated_spans, spelling_variants, url_filter, warc
+from tiza.llm import byte_bpe, hard_negatives, language_id, lz_fingerprint, mixing, ngram_join, pii, quality_rules, repeated_spans, resharding, spelling_variants, url_filter, warc
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -14,6 +14,8 @@ QUERIES = {
     "op9_byte_bpe": byte_bpe.op9_byte_bpe,
     "op10_warc": warc.op10_warc,
     "op11_spelling_variants": spelling_variants.op11_spelling_variants,
+    "op12_hard_negatives": hard_negatives.op12_hard_negatives,
+    "op13_resharding": resharding.op13_resharding,
 }
 ORACLES = {
     "op1_url_filter": url_filter.ORACLE,
@@ -22,4 +24,5 @@ ORACLES = {
     "op6_mixing": mixing.ORACLE,
     "op10_warc": warc.ORACLE,
     "op11_spelling_variants": spelling_variants.ORACLE,
+    "op12_hard_negatives": hard_negatives.ORACLE,
 }
