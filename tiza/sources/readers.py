@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import _parse_datatype_string
 
 from tiza.functions.json_repair import string_list
 
@@ -102,6 +103,16 @@ def event_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(EVENT).option("mode", "DROPMALFORMED").json(path)
 
 
+def parsed_lines(lines: DataFrame, value: str = "value") -> DataFrame:
+    """lines with the fields of their events and `malformed`: the text of a line that is no event, else null. No line is lost."""
+    e = F.from_json(value, f"{EVENT}, malformed string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "malformed"})
+    fields = [f.name for f in _parse_datatype_string(EVENT).fields]
+    kept = [c for c in lines.columns if c != value]
+    e = lines.select(*kept, value, e.alias("_e"))
+    bad = F.coalesce("_e.malformed", F.when(F.coalesce(*[F.col(f"_e.{f}").cast("string") for f in fields]).isNull(), F.col(value)))
+    return e.select(*kept, *[F.col(f"_e.{f}").alias(f) for f in fields], bad.alias("malformed"))
+
+
 def joined_pages(df: DataFrame, keys: list[str], pos: str, text: str, separator: str) -> DataFrame:
     """(keys..., text): the texts of each key in order with a separator."""
     pages = F.array_sort(F.collect_list(F.struct(pos, text)))
