@@ -52,13 +52,7 @@ def test_stream_equals_batch(spark, lines, tmp_path):
     assert sorted(map(tuple, spark.table("counts").collect())) == sorted(map(tuple, batch.collect())) == [(False, 1), (True, 2)]
 
 
-def test_latest_state_and_closing(spark, lines, tmp_path):
-    events = progress.event_stream(spark, str(lines), 2).where("type = 'result'")
-    q = progress.keep_latest(events, str(tmp_path / "state"), str(tmp_path / "ck"), ["groupId"], ["data"])
-    q.awaitTermination(120)
-    newest = max(int(p.name) for p in (tmp_path / "state").iterdir() if p.name.isdigit())
-    got = {r.groupId: r.data for r in spark.read.parquet(str(tmp_path / "state" / str(newest))).collect()}
-    assert got == {"a": "2", "b": None}
+def test_closing(spark, lines):
     open_groups = spark.createDataFrame([("a",), ("c",)], "group_id string")
     assert [tuple(r) for r in progress.closed(open_groups, readers.event_lines(spark, str(lines)), "lost").collect()] == [("c", "lost")]
 

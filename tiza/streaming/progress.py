@@ -1,12 +1,10 @@
-"""Structured Streaming over event lines: counters, latest states, debits that count once, closing."""
+"""Structured Streaming over event lines: counters, debits that count once, closing."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 
-from tiza.operators.dedupe import last_wins
 from tiza.sources.readers import EVENT
 
 
@@ -20,21 +18,6 @@ def counters(events: DataFrame) -> DataFrame:
     return events.where("type = 'result'").groupBy("success").agg(F.count("*").alias("n"))
 
 
-def keep_latest(events: DataFrame, target: str, checkpoint: str, keys: list[str], order: list[str]) -> StreamingQuery:
-    """Upserts each micro-batch into a Parquet snapshot per batch below `target`; the newest folder is the current state.
-
-    A batch that runs again after a failure reads the snapshot before it and overwrites its own, so it counts once."""
-
-    def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        new = last_wins(batch, keys, order)
-        if number:
-            new = last_wins(spark.read.parquet(f"{target}/{number - 1}").unionByName(new), keys, order)
-        new.write.mode("overwrite").parquet(f"{target}/{number}")
-
-    return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 def once_within(entries: DataFrame, keys: list[str], time: str, delay: str) -> DataFrame:
     """Entries whose operation hasn't occurred within the watermark's delay: the state forgets what is older."""
     return entries.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay).dropDuplicatesWithinWatermark([*keys])
