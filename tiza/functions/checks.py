@@ -42,10 +42,13 @@ def exactly_paid(status: Column) -> Column:
 
 
 def present(*fields: Column) -> Column:
-    """Whether all required fields are there: neither null, empty nor 0."""
+    """Whether all required fields are there: neither null, an empty string, false, nor the number 0 or NaN. The string "0" is there."""
     all_of = F.lit(True)
     for f in fields:
-        all_of = all_of & _sure(~f.cast("string").isin("", "0", "0.0"))
+        text = f.cast("string")
+        number = text.try_cast("double")
+        there = F.when(F.typeof(f) == "string", text != "").otherwise((text != "false") & F.coalesce((number != 0) & ~F.isnan(number), F.lit(True)))
+        all_of = all_of & _sure(there)
     return all_of
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tiza.functions.json_repair import value_text
 from tiza.functions.numeric import grade, pass_points
 from tiza.functions.text import label, normal_key, normalise_answer
 from tiza.operators import parse, scoring
@@ -68,9 +69,10 @@ def result(score: Column, maximum: Column) -> Column:
 def report_rows(corrections: DataFrame, details: DataFrame) -> DataFrame:
     """(student, pos, section, detail): a report's corrections and, after them, its development items.
 
-    corrections(student, pos, section, detail); details(student, detail): a map by item, whose names get spaces for underscores."""
+    corrections(student, pos, section, detail); details(student, detail): a map by item, whose names get spaces for underscores
+    and whose values, JSON or plain text, are written out (see value_text)."""
     each = details.select("student", F.explode(F.array_sort(F.map_entries("detail"))).alias("e"))
-    more = each.select("student", F.lit(None).cast("int").alias("pos"), F.concat(F.lit("Pregunta Desarrollo: "), label(F.col("e.key"))).alias("section"), F.col("e.value").alias("detail"))
+    more = each.select("student", F.lit(None).cast("int").alias("pos"), F.concat(F.lit("Pregunta Desarrollo: "), label(F.col("e.key"))).alias("section"), value_text(F.col("e.value")).alias("detail"))
     return corrections.select("student", F.col("pos").cast("int").alias("pos"), "section", "detail").unionByName(more)
 
 
