@@ -85,10 +85,17 @@ def test_names_and_feedback(spark):
 def test_signing(spark):
     import hashlib
     import hmac
-
-    df = spark.createDataFrame([({"b": "x y", "A": "1", "c": "ñ"},)], "p map<string,string>").select(text.query_string(F.col("p")).alias("q"))
-    r = df.select("q", text.signer("key")("q").alias("s")).first()
-    assert r.q == "A=1&b=x%20y&c=%C3%B1" and r.s == hmac.new(b"key", r.q.encode(), hashlib.sha256).hexdigest()
+    from urllib.parse import quote
+
+    params = {"b": "x y+z", "A": "1", "a": "", "ñ": "ñ", "n": "!~*'()", "o": "€", "É": "%", "e": "a&b=c", "B": "/?", "z": "-_."}
+    df = spark.createDataFrame([(params,)], "p map<string,string>").select(text.query_string(F.col("p")).alias("q"))
+    q = df.first().q
+    assert q == "&".join(f"{quote(k, safe='')}={quote(params[k], safe="!~*'()")}" for k in ["a", "A", "b", "B", "e", "É", "n", "ñ", "o", "z"])
+    for secret in ("key", "k" * 64, "clé" * 40, ""):
+        for t in ("", q, "x" * 1000):
+            got = spark.range(1).select(text.signed(F.lit(t), secret)).first()[0]
+            assert got == hmac.new(secret.encode(), t.encode(), hashlib.sha256).hexdigest()
+    assert spark.range(1).select(text.signed(F.lit(None).cast("string"), "k")).first()[0] is None
 
 
 def dice_plain(a, b):

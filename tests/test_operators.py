@@ -113,10 +113,9 @@ def test_evaluation_of_an_exam(spark):
     assert tuple(run(False)["ana"])[2:] == (4, 4, 2, 0, "8/11", 4.8, 7, 11) and set(run(False)) == {"ana", "luz"}
 
 
-@pytest.mark.parametrize("piece", [1, 3, 500])
-def test_long_lists_go_in_pieces(spark, monkeypatch, piece):
-    monkeypatch.setattr(names, "PIECE", piece)
-    monkeypatch.setattr(fuzzy_join, "PIECE", piece)
+@pytest.mark.parametrize("first", [1, 3, 500])
+def test_long_lists(spark, monkeypatch, first):
+    monkeypatch.setattr(names, "FIRST", first)
     roll = [(i, f"Name{chr(97 + i)} {chr(97 + i * 7 % 26)}o") for i in range(12)]
     texts = spark.createDataFrame([("Nameb ho",), ("zz",)], "text string")
     got = {r.text: r.suggestions for r in names.top_names(texts, spark.createDataFrame(roll, "pos int, name string")).collect()}

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import hmac
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -128,21 +127,31 @@ def score_parts(score: Column) -> Column:
     return F.struct(F.split_part(score, F.lit("/"), F.lit(1)).alias("obtained"), F.split_part(score, F.lit("/"), F.lit(2)).alias("maximum"))
 
 
-def query_string(params: Column) -> Column:
-    """A map as key=value pairs in the order of lower-cased keys, percent-encoded."""
-    pairs = F.array_sort(F.transform(F.map_entries(params), lambda e: F.struct(F.lower(e["key"]).alias("o"), e["key"].alias("k"), e["value"].alias("v"))))
-    enc = lambda c: F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))
-    return F.array_join(F.transform(pairs, lambda e: F.concat(enc(e["k"]), F.lit("="), enc(e["v"]))), "&")
+def percent_encoded(text: Column) -> Column:
+    """All but letters, digits and -_.!~*'() as %XX of the UTF-8 bytes."""
+    out = F.url_encode(text)
+    for code, char in (("+", "%20"), ("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%7E", "~")):
+        out = F.replace(out, F.lit(code), F.lit(char))
+    return out
 
 
-def signer(secret: str):
-    """A pandas UDF for the hex HMAC-SHA256 of a string: there is no built-in keyed hash."""
+def query_string(params: Column, collation: str = "UNICODE") -> Column:
+    """A map as key=value pairs, percent-encoded, in the order that the collation gives the keys: letters before case and accents."""
+    ranked = F.array_sort(F.transform(F.map_entries(params), lambda e: F.struct(F.collate(e["key"], collation).alias("o"), e["key"].alias("k"), e["value"].alias("v"))))
+    return F.array_join(F.transform(ranked, lambda e: F.concat(percent_encoded(e["k"]), F.lit("="), percent_encoded(e["v"]))), "&")
 
-    @F.pandas_udf("string")
-    def sign(text):
-        return text.map(lambda t: None if t is None else hmac.new(secret.encode(), t.encode(), hashlib.sha256).hexdigest())
 
-    return sign
+def key_pads(secret: str) -> tuple[bytes, bytes]:
+    """The inner and outer block of a keyed SHA-256."""
+    key = secret.encode()
+    block = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    return bytes(b ^ 0x36 for b in block), bytes(b ^ 0x5C for b in block)
+
+
+def signed(text: Column, secret: str) -> Column:
+    """The hex HMAC-SHA256 of a text. The key's blocks stand in the plan, as a literal secret would."""
+    inner, outer = (F.lit(p) for p in key_pads(secret))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, F.encode(text, "UTF-8")), 256))), 256)
 
 
 def valid_email(text: Column, rule: str = "strict") -> Column:

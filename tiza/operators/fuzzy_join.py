@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tiza.functions.text import normal_key
 
 
-#: Positions of a sheet whose items are compared in one row.
-PIECE = 500
+def _lengths(df: DataFrame, key: str) -> Column:
+    """The distinct lengths of a column's texts, as an array: no more than the longest one is long."""
+    return df.agg(F.array_sort(F.collect_set(F.length(key)))).scalar()
+
+
+def substrings(text: Column, lengths: Column) -> Column:
+    """The distinct parts of a text that have one of the lengths."""
+    n = F.length(text)
+    starts = lambda m: F.when(m <= n, F.sequence(F.lit(1), F.when(m == 0, 1).otherwise(n - m + 1)))
+    return F.array_distinct(F.flatten(F.transform(F.filter(lengths, lambda m: m <= n), lambda m: F.transform(starts(m), lambda i: F.substr(text, i, m)))))
 
 
 def match_items(questions: DataFrame, items: DataFrame, on: list[str] | None = None, compat: bool = False) -> DataFrame:
@@ -18,26 +26,25 @@ def match_items(questions: DataFrame, items: DataFrame, on: list[str] | None = N
     Names match if equal or if one contains the other, after trimming and upper case. Equal names go first, then the first by
     position; compat takes the first by position alone, so SM10 gets SM1. No match: null and 1.
 
-    on: columns that both sides share, such as the exam; they make it an equi-join. Distinct names are matched once and joined
-    back, so the size of questions doesn't enter the comparison. Items are gathered in pieces of PIECE positions, each a row,
-    and compared within it; a question's best piece counts, so no row grows with the list."""
+    on: columns that both sides share, such as the exam. Parts of the names are joined by equality: a question's parts, of the
+    lengths that item names have, with the items; an item's parts, of the lengths that questions have, with the questions. Each
+    part keeps its first item before the join, and distinct questions are matched once, so neither a long list nor many
+    questions meet all at once."""
     on = on or []
-    q, i = questions.select(*on, "question").distinct(), items.select(*on, F.floor(F.col("pos") / PIECE).alias("_piece"), F.struct("pos", "id", "max_score").alias("item"))
-    sheets = i.groupBy(*on, "_piece").agg(F.collect_list("item").alias("_sheet")).drop("_piece")
-    q = q.join(sheets, on) if on else q.join(sheets)
-    name = normal_key(F.col("question"))
-
-    def rank(x):
-        key = normal_key(x["id"])
-        equal = F.lit(0) if compat else F.when(key == name, 0).otherwise(1)
-        return F.struct(equal.alias("far"), x["pos"].alias("pos"), x["id"].alias("id"), x["max_score"].alias("max_score"))
-
-    fits = F.filter("_sheet", lambda x: (normal_key(x["id"]) == name) | F.contains(normal_key(x["id"]), name) | F.contains(name, normal_key(x["id"])))
-    best = q.select(*on, "question", F.array_min(F.transform(fits, rank)).alias("_best"))
+    q = questions.select(*on, "question", normal_key(F.col("question")).alias("_key")).where("_key is not null").distinct()
+    i = items.select(*on, normal_key(F.col("id")).alias("_key"), F.struct("pos", "id", "max_score").alias("_item")).where("_key is not null")
+    own = i.groupBy(*on, "_key").agg(F.min("_item").alias("_item"))
+    cut = lambda df, other: df.withColumn("_lengths", _lengths(other, "_key")).withColumn("_part", F.explode(substrings(F.col("_key"), F.col("_lengths"))))
+    parts = cut(own, q).groupBy(*on, F.col("_part").alias("_key")).agg(F.min("_item").alias("_holds"))
+    held = cut(q, own).join(own.withColumnRenamed("_key", "_part"), [*on, "_part"])
+    held = held.groupBy(*on, "_key").agg(F.min("_item").alias("_held"))
+    found = q.join(own.withColumnRenamed("_item", "_equal"), [*on, "_key"], "left").join(parts, [*on, "_key"], "left").join(held, [*on, "_key"], "left")
+    first = F.least("_holds", "_held")
+    best = found.select(*on, "question", (first if compat else F.coalesce("_equal", first)).alias("_best")).where("_best is not null")
     names = [*on, "question"]
-    best = best.where("_best is not null").groupBy(*[F.col(c).alias(f"_r_{c}") for c in names]).agg(F.min("_best").alias("_best"))
-    same = None
+    best = best.select(*[F.col(c).alias(f"_r_{c}") for c in names], "_best")
+    same = F.lit(True)
     for c in names:
-        same = F.col(c).eqNullSafe(F.col(f"_r_{c}")) if same is None else same & F.col(c).eqNullSafe(F.col(f"_r_{c}"))
+        same = same & (F.col(c) == F.col(f"_r_{c}"))
     out = questions.join(best, same, "left")
     return out.select(*questions.columns, F.col("_best.id").alias("item_id"), F.coalesce(F.col("_best.max_score"), F.lit(1)).alias("item_max"))

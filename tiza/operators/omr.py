@@ -18,18 +18,24 @@ def usable_marks(marks: Column, confidence: float = CONFIDENCE) -> Column:
 def mark_rows(marks: Column, tolerance: float = TOLERANCE) -> Column:
     """Marks grouped by height: in the order (y, x), a mark joins the first row whose first mark is less than tolerance away.
 
-    A fold over one page's marks."""
+    Marks come by rising y and first marks stand at least the tolerance apart, so only the last row can fit: one pass over a page's
+    marks finds where rows begin, and the rows are cut out there."""
     at = lambda m: F.get(m["polygon"], F.lit(0))
-    ordered = F.transform(F.array_sort(F.transform(marks, lambda m: F.struct(at(m)["y"].alias("y"), at(m)["x"].alias("x"), m.alias("m")))), lambda s: s["m"])
-    none = F.slice(F.array(marks), 1, 0)  # no rows, of the right type
-
-    def step(rows: Column, m: Column) -> Column:
-        near = F.transform(rows, lambda r: F.abs(at(F.get(r, F.lit(0)))["y"] - at(m)["y"]) < tolerance)
-        k = F.array_position(near, F.lit(True))
-        return F.when(k == 0, F.concat(rows, F.array(F.array(m)))).otherwise(F.transform(rows, lambda r, i: F.when(i == k - 1, F.concat(r, F.array(m))).otherwise(r)))
-
-    grouped = F.aggregate(ordered, none, step)
-    return F.transform(grouped, lambda r: F.transform(F.array_sort(F.transform(r, lambda m: F.struct(at(m)["x"].alias("x"), m.alias("m")))), lambda s: s["m"]))
+    ordered = F.array_sort(F.transform(marks, lambda m: F.struct(at(m)["y"].alias("y"), at(m)["x"].alias("x"), m.alias("m"))))
+    none = F.array().cast("array<int>")
+    first = F.struct(F.lit(None).cast("double").alias("y"), F.lit(1).alias("next"), none.alias("starts"))
+
+    def step(a: Column, m: Column) -> Column:
+        fits = F.coalesce(F.abs(a["y"] - m["y"]) < tolerance, F.lit(False))
+        return F.struct(
+            F.when(fits, a["y"]).otherwise(m["y"]).alias("y"), (a["next"] + 1).alias("next"),
+            F.when(fits, a["starts"]).otherwise(F.concat(a["starts"], F.array(a["next"]))).alias("starts"),
+        )
+
+    starts = F.aggregate(ordered, first, step, lambda a: a["starts"])
+    # bound once by transform over a single element: otherwise each row would sort and fold the page again
+    page = F.transform(F.array(F.struct(ordered.alias("marks"), starts.alias("starts"))), lambda p: F.transform(p["starts"], lambda s, i: F.slice(p["marks"], s, F.coalesce(F.get(p["starts"], i + 1), F.size(p["marks"]) + 1) - s)))
+    return F.transform(F.flatten(page), lambda r: F.transform(F.array_sort(F.transform(r, lambda m: F.struct(m["x"].alias("x"), m["m"].alias("m")))), lambda s: s["m"]))
 
 
 def read_pages(pages: DataFrame, keys: list[str], page: str | None = None, marks: str = "marks", prefix: str = "P") -> DataFrame:
