@@ -8,17 +8,18 @@ from pyspark.sql import Window as W
 
 from tiza.functions.similarity import dice_of, pairs
 from tiza.functions.text import BLANK
+from tiza.operators.lineage import checkpointed
 
 #: Of a text's pairs the rarest ones that are looked up first.
 FIRST = 3
 
 
 def _pairs_by_rarity(texts: DataFrame, names: DataFrame) -> DataFrame:
-    """texts(text, cut) with `rare`: those of the text's pairs that any name has, the rarest first."""
+    """texts(text, cut) with `rare`: those of the text's pairs that any name has, the rarest first; null without any."""
     often = names.select(F.explode("cut").alias("pair")).groupBy("pair").agg(F.count("*").alias("n"))
     at = texts.select("text", F.explode("cut").alias("pair")).join(often, "pair")
     rare = at.groupBy("text").agg(F.array_sort(F.collect_list(F.struct("n", "pair"))).alias("r"))  # as many as the text's pairs
-    return texts.join(rare.select("text", F.transform("r", lambda x: x["pair"]).alias("rare")), "text")
+    return texts.join(rare.select("text", F.transform("r", lambda x: x["pair"]).alias("rare")), "text", "left")
 
 
 def _best(texts: DataFrame, names: DataFrame, k: int) -> DataFrame:
@@ -50,9 +51,9 @@ def top_names(texts: DataFrame, names: DataFrame, k: int = 3) -> DataFrame:
     An index of the names' character pairs serves the texts. Each text looks up its rarest pairs first; the kth likeness found
     bounds how many more it must look up, and which sizes of names can count. Names without a common pair have the likeness 0
     and fill what is missing by position; of those the first 2 k suffice."""
-    n = names.select("pos", "name", pairs(F.col("name")).alias("cut"))
-    t = texts.select("text").distinct().withColumn("cut", pairs(F.col("text")))
-    indexed = _pairs_by_rarity(t.where(F.size("cut") > 0), n)
+    n = checkpointed(names.select("pos", "name", pairs(F.col("name")).alias("cut")))
+    t = checkpointed(_pairs_by_rarity(texts.select("text").distinct().withColumn("cut", pairs(F.col("text"))), n))
+    indexed = t.where("rare is not null")
     first = _best(indexed.select("text", "cut", F.slice("rare", 1, FIRST).alias("prefix"), F.lit(0.0).alias("least")), n, k)
     kth = first.groupBy("text").agg(F.when(F.count("*") == k, F.min("r")).otherwise(0.0).alias("least"))
     further = indexed.join(kth, "text", "left").withColumn("least", F.coalesce("least", F.lit(0.0)))
