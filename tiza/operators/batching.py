@@ -6,36 +6,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-CHUNK, WAVE = 45, 3
-#: Rows in a range that one task sorts, and the most ranges, whose bounds pass through the driver.
-RANGE_ROWS, MOST_RANGES = 500_000, 4096
-
+from tiza.operators.lineage import checkpointed
 
-def _ranges(df: DataFrame, order: str, parts: int) -> DataFrame:
-    """df plus _range: the number of the quantile bounds of the order column below it; the bounds are `parts` - 1 numbers."""
-    bounds = sorted(set(df.select(F.col(order).cast("double").alias("x")).approxQuantile("x", [i / parts for i in range(1, parts)], 0.2 / parts))) if parts > 1 else []
-    below = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < F.col(order).cast("double"))) if bounds else F.lit(0)
-    return df.withColumn("_range", F.when(F.col(order).isNull(), 0).otherwise(below))
+CHUNK, WAVE = 45, 3
+#: Rows in a range that one task sorts.
+RANGE_ROWS = 500_000
 
 
 def _parts(df: DataFrame, parts: int | None) -> int:
-    return parts or max(1, min(MOST_RANGES, -(-df.count() // RANGE_ROWS)))
+    return parts or max(1, -(-df.count() // RANGE_ROWS))
 
 
 def running(df: DataFrame, order: str, ties: list[str], counters: dict[str, Column], parts: int | None = None) -> DataFrame:
-    """df plus running totals of the counters over all rows in the order of a numeric column.
-
-    Each range of the order is summed by a task of its own and begins with the totals of the ranges before it; without
-    `parts` there are as many as the number of rows asks for."""
-    d = _ranges(df, order, _parts(df, parts))
+    """df plus running totals of the counters over all rows in the order of a column, then of the ties.
+
+    Rows are dealt to ranges of the order; rows that are equal in it are dealt on, so that no value holds a range of its own
+    together. Each range is summed by a task and begins with the totals of the ranges before it; without `parts` there are as
+    many as the number of rows asks for."""
+    n = _parts(df, parts)
+    dealt = df.withColumns({f"_c_{c}": x.cast("long") for c, x in counters.items()}).withColumn("_tie", F.rand(11))
+    dealt = dealt.repartitionByRange(n, order, *ties, "_tie").withColumn("_range", F.spark_partition_id())
+    d = checkpointed(dealt) if n > 1 else dealt  # ranges must be the same for their sums and their rows
     names = list(counters)
-    d = d.withColumns({f"_c_{n}": c.cast("long") for n, c in counters.items()})
-    sums = d.groupBy("_range").agg(*[F.sum(f"_c_{n}").alias(f"_s_{n}") for n in names])
+    sums = d.groupBy("_range").agg(*[F.sum(f"_c_{c}").alias(f"_s_{c}") for c in names])
     before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)  # over one row per range
-    offsets = sums.select("_range", *[F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in names])
-    inner = W.partitionBy("_range").orderBy(order, *ties).rowsBetween(W.unboundedPreceding, 0)
-    out = d.withColumns({n: F.sum(f"_c_{n}").over(inner) for n in names}).join(F.broadcast(offsets), "_range")
-    return out.withColumns({n: (F.col(n) + F.col(f"_o_{n}")).cast("long") for n in names}).select(*df.columns, *names)
+    offsets = sums.select("_range", *[F.coalesce(F.sum(f"_s_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in names])
+    inner = W.partitionBy("_range").orderBy(order, *ties, "_tie").rowsBetween(W.unboundedPreceding, 0)
+    out = d.withColumns({c: F.sum(f"_c_{c}").over(inner) for c in names}).join(offsets, "_range")
+    return out.withColumns({c: (F.col(c) + F.col(f"_o_{c}")).cast("long") for c in names}).select(*df.columns, *names)
 
 
 def chunked(df: DataFrame, order: str, ties: list[str], size: int = CHUNK, wave: int = WAVE, parts: int | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tiza.functions import checks, dates, json_repair, numeric, text
-from tiza.operators import batching, evaluate, fuzzy_join, ledger, merge, names, omr, parse, scoring
+from tiza.operators import batching, evaluate, fuzzy_join, ledger, merge, names, omr, parse, scoring, validated
 from tiza.operators.dedupe import first_wins
 from tiza.sources import readers
 from tiza.sources.readers import joined_pages, table
@@ -91,45 +91,50 @@ def stats_by_area(spark, d):
     return j.groupBy("area").agg(F.count("*").alias("n"), F.count_if(F.col("score") >= F.col("pass_points")).alias("approved"), F.sum("score").alias("points"), F.min("grade").alias("lowest"), F.max("grade").alias("highest"))
 
 
+#: Part numbers of a sheet.
+SHEET = 200
+
+
 def _sheets(spark, d) -> DataFrame:
-    """A score sheet per brand: development items where the size is a multiple of five."""
+    """A score sheet for each brand and block of part numbers: development items where the size is a multiple of five."""
     item = F.concat(F.when(F.col("p_size") % 5 == 0, F.lit("P")).otherwise("SM"), F.col("p_partkey").cast("string"), F.lit(":"), F.col("p_size").cast("string"))
-    p = table(spark, d, "part").select("p_brand", "p_partkey", item.alias("item"))
-    return joined_pages(p, ["p_brand"], "p_partkey", "item", "; ").select("p_brand", F.col("text").alias("sheet"))
+    p = table(spark, d, "part").select("p_brand", F.floor(F.col("p_partkey") / SHEET).alias("block"), "p_partkey", item.alias("item"))
+    return joined_pages(p, ["p_brand", "block"], "p_partkey", "item", "; ").select("p_brand", "block", F.col("text").alias("sheet"))
 
 
-_ITEMS = """SELECT p_brand, pos, trim(split_part(pair, ':', 1)) AS id, trim(split_part(pair, ':', 2))::INT AS max_score FROM (
-  SELECT p_brand, unnest(string_split(sheet, ';')) AS pair, unnest(range(len(string_split(sheet, ';'))))::INT AS pos FROM (
-    SELECT p_brand, string_agg((CASE WHEN p_size % 5 = 0 THEN 'P' ELSE 'SM' END) || p_partkey || ':' || p_size, '; ' ORDER BY p_partkey) AS sheet FROM part GROUP BY 1))"""
+_ITEMS = f"""SELECT p_brand, block, pos, trim(split_part(pair, ':', 1)) AS id, trim(split_part(pair, ':', 2))::INT AS max_score FROM (
+  SELECT p_brand, block, unnest(string_split(sheet, ';')) AS pair, unnest(range(len(string_split(sheet, ';'))))::INT AS pos FROM (
+    SELECT p_brand, (p_partkey // {SHEET})::BIGINT AS block, string_agg((CASE WHEN p_size % 5 = 0 THEN 'P' ELSE 'SM' END) || p_partkey || ':' || p_size, '; ' ORDER BY p_partkey) AS sheet FROM part GROUP BY 1, 2))"""
 
 
 @query("score_sheet_parse", f"SELECT *, starts_with(id, 'P') AS is_development FROM ({_ITEMS}) WHERE max_score > 0")
 def score_sheet_parse(spark, d):
-    return parse.score_sheet(_sheets(spark, d), "sheet").select("p_brand", "pos", "id", "max_score", "is_development")
+    return parse.score_sheet(_sheets(spark, d), "sheet").select("p_brand", "block", "pos", "id", "max_score", "is_development")
 
 
 @query(
     "max_reconcile",
-    f"""SELECT p_brand, sum(CASE WHEN starts_with(id, 'P') THEN 0 ELSE max_score END)::BIGINT AS closed_max, sum(CASE WHEN starts_with(id, 'P') THEN max_score ELSE 0 END)::BIGINT AS development_max,
-    sum(max_score)::BIGINT AS item_max, sum(max_score)::BIGINT AS total_max FROM ({_ITEMS}) WHERE max_score > 0 GROUP BY 1
-    UNION ALL SELECT 'declared ' || d, 0, 0, 0, CASE WHEN d = 0 THEN 100 ELSE d END FROM (VALUES (0), (51)) AS x(d)""",
+    f"""SELECT p_brand AS sheet_of, block, sum(CASE WHEN starts_with(id, 'P') THEN 0 ELSE max_score END)::BIGINT AS closed_max, sum(CASE WHEN starts_with(id, 'P') THEN max_score ELSE 0 END)::BIGINT AS development_max,
+    sum(max_score)::BIGINT AS item_max, sum(max_score)::BIGINT AS total_max FROM ({_ITEMS}) WHERE max_score > 0 GROUP BY 1, 2
+    UNION ALL SELECT s_name, NULL, 0, 0, 0, CASE WHEN s_nationkey % 5 = 0 THEN 100 ELSE s_nationkey END FROM supplier""",
 )
 def max_reconcile(spark, d):
-    """The items' sum for each brand; and, for sheets without items, the declared total, or 100 where that is 0."""
-    own = scoring.maximum(parse.score_sheet(_sheets(spark, d), "sheet"), ["p_brand"], F.lit(60).cast("long"))
+    """The items' sum for each sheet; and, for suppliers, whose sheets have no items, the total they declare (the nation's number, 0 where 5 divides it), or 100 where that is 0."""
+    own = scoring.maximum(parse.score_sheet(_sheets(spark, d), "sheet"), ["p_brand", "block"], F.lit(60).cast("long")).withColumnRenamed("p_brand", "sheet_of")
     none = F.lit(0).cast("long")
-    bare = spark.createDataFrame([(0,), (51,)], "d bigint").select(F.concat(F.lit("declared "), F.col("d").cast("string")).alias("p_brand"), *[none.alias(c) for c in ("closed_max", "development_max", "item_max")], scoring.reconciled(none, F.col("d")).alias("total_max"))
+    declared = F.when(F.col("s_nationkey") % 5 == 0, 0).otherwise(F.col("s_nationkey")).cast("long")
+    bare = table(spark, d, "supplier").select(F.col("s_name").alias("sheet_of"), F.lit(None).cast("long").alias("block"), *[none.alias(c) for c in ("closed_max", "development_max", "item_max")], scoring.reconciled(none, declared).alias("total_max"))
     return own.unionByName(bare)
 
 
 @query(
     "answer_key_map",
-    """SELECT p_brand, 'Q' || (p_partkey % 7) AS id, upper(substr(arg_max(p_type, p_partkey), 1, 1)) AS answer FROM part GROUP BY 1, 2""",
+    f"""SELECT p_brand, (p_partkey // {SHEET})::BIGINT AS block, 'Q' || (p_partkey % 7) AS id, upper(substr(arg_max(p_type, p_partkey), 1, 1)) AS answer FROM part GROUP BY 1, 2, 3""",
 )
 def answer_key_map(spark, d):
     pair = F.concat(F.lit("Q"), (F.col("p_partkey") % 7).cast("string"), F.lit(": "), F.upper(F.substring("p_type", 1, 1)))
-    p = table(spark, d, "part").select("p_brand", "p_partkey", pair.alias("pair"))
-    return parse.answer_key(joined_pages(p, ["p_brand"], "p_partkey", "pair", ";"), ["p_brand"], "text")
+    p = table(spark, d, "part").select("p_brand", F.floor(F.col("p_partkey") / SHEET).alias("block"), "p_partkey", pair.alias("pair"))
+    return parse.answer_key(joined_pages(p, ["p_brand", "block"], "p_partkey", "pair", ";"), ["p_brand", "block"], "text")
 
 
 _QID = "CASE doc_id % 4 WHEN 0 THEN 'SM1' WHEN 1 THEN 'VF2' WHEN 2 THEN 'TP3' ELSE 'X' END"
@@ -494,12 +499,13 @@ def item_list(spark, d):
 @query(
     "report_rows",
     """SELECT conv_id AS student, turn::INT AS pos, role AS section, text AS detail FROM conversations
-    UNION ALL SELECT conv_id, NULL, 'Pregunta Desarrollo: P ' || turn, role FROM conversations WHERE turn < 2""",
+    UNION ALL SELECT conv_id, NULL, 'Pregunta Desarrollo: P ' || turn, CASE WHEN turn % 2 = 0 THEN role ELSE 'Puntaje: ' || turn || '/9' || chr(10) || 'Respuesta Estudiante: "' || role || '"' || chr(10) || 'Justificación: x' END FROM conversations""",
 )
 def report_rows(spark, d):
     c = table(spark, d, "conversations")
     name = F.concat(F.lit("P_"), F.col("turn").cast("string"))
-    details = c.where("turn < 2").select(F.col("conv_id").alias("student"), F.create_map(name, "role").alias("detail"))
+    graded = F.concat(F.lit('{"puntaje": "'), F.col("turn").cast("string"), F.lit('/9", "justificacion": "x", "cita_estudiante": "'), F.col("role"), F.lit('"}'))
+    details = c.select(F.col("conv_id").alias("student"), F.create_map(name, F.when(F.col("turn") % 2 == 0, F.col("role")).otherwise(graded)).alias("detail"))
     return evaluate.report_rows(c.select(F.col("conv_id").alias("student"), F.col("turn").alias("pos"), F.col("role").alias("section"), F.col("text").alias("detail")), details)
 
 
@@ -597,11 +603,70 @@ def short_texts(spark, d):
     return table(spark, d, "documents").select("doc_id", start.alias("start"), F.length(start).cast("long").alias("n"), numeric.confidence_percent((k % 997) / F.lit(997.0)).alias("percent"), text.repaired_url(url).alias("url"))
 
 
-@query("plans_by_price", "SELECT id, credits, row_number() OVER (ORDER BY price, id)::INT AS place FROM (VALUES ('free', 0, 10), ('basic', 5000, 90), ('flow400', 12990, 400), ('intermediate', 29990, 640), ('pro', 49990, 1280)) AS p(id, price, credits)")
+@query(
+    "plans_by_price",
+    "SELECT id, credits, row_number() OVER (ORDER BY coalesce(price, 0), id)::BIGINT AS place FROM (SELECT p_partkey AS id, p_size AS credits, CASE WHEN p_partkey % 10 <> 0 THEN p_retailprice END AS price FROM part)",
+)
 def plans_by_price(spark, d):
-    """The second plan list, a handful of rows, by price."""
-    p = readers.plans_by_price(readers.plans(spark, readers.SHOP_PLANS))
-    return p.select("id", "credits", F.row_number().over(W.orderBy("price", "id")).alias("place"))
+    """Parts as plans, numbered by rising price; every tenth has none, which goes as 0."""
+    k = F.col("p_partkey")
+    p = table(spark, d, "part").select(k.alias("id"), F.col("p_size").alias("credits"), F.when(k % 10 != 0, F.col("p_retailprice")).alias("price"))
+    return batching.running(p.withColumn("price", readers.plan_price(F.col("price"))), "price", ["id"], {"place": F.lit(1)}).select("id", "credits", "place")
+
+
+@query(
+    "required_fields",
+    """SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN TRUE WHEN 1 THEN FALSE WHEN 2 THEN n_chars % 2 <> 0 WHEN 3 THEN FALSE ELSE length(coalesce(text, '')) > 0 END AS complete FROM documents""",
+)
+def required_fields(spark, d):
+    """The text "0" counts as there; an empty text, a missing one and the number 0 don't."""
+    k = F.col("doc_id") % 5
+    rubric = F.when(k == 0, "0").when(k == 1, "").when(k == 3, F.lit(None).cast("string")).when(k == 4, F.col("text")).otherwise("r")
+    total = F.when(k == 2, F.col("n_chars") % 2).otherwise(F.lit(1).cast("long"))
+    return table(spark, d, "documents").select("doc_id", checks.present(rubric, total).alias("complete"))
+
+
+@query("balance_replies", "SELECT event_id, event_id % 4 IN (0, 3) AS found, CASE WHEN event_id % 4 = 0 THEN json_extract_string(props, '$.k')::DOUBLE END AS remaining FROM events")
+def balance_replies(spark, d):
+    """What a balance service replies: a number, null, no row, and a text that is no number."""
+    r, k = F.col("event_id") % 4, F.get_json_object("props", "$.k")
+    raw = F.when(r == 0, F.concat(F.lit('[{"remaining":'), k, F.lit("}]"))).when(r == 1, '[{"remaining":null}]').when(r == 2, "[]").otherwise('[{"remaining":"many"}]')
+    e = table(spark, d, "events").select("event_id", raw.alias("raw"))
+    return e.select("event_id", json_repair.path_exists(F.col("raw"), "$[0].remaining").alias("found"), json_repair.path_number(F.col("raw"), "$[0].remaining").alias("remaining"))
+
+
+@query(
+    "reply_reasons",
+    """SELECT event_id, CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'no puntaje' WHEN 2 THEN 'no retroalimentacion' ELSE 'no JSON object|no puntaje|no retroalimentacion' END AS reasons,
+    CASE WHEN event_id % 4 = 0 THEN json_extract_string(props, '$.k')::BIGINT END AS points, CASE WHEN event_id % 4 = 0 THEN 2 END AS items FROM events""",
+)
+def reply_reasons(spark, d):
+    """Replies that pass or don't, with reasons, and the points of the development items that those who pass name."""
+    k = F.get_json_object("props", "$.k")
+    raw = (
+        F.when(F.col("event_id") % 4 == 0, F.concat(F.lit('Here: {"puntaje":"1/2","nota":3,"retroalimentacion":{"detalle_puntaje_desarrollo":{"P1":{"puntaje":"'), k, F.lit('/50","cita_estudiante":"c"},"P2":{"puntaje":"many"}}}} bye')))
+        .when(F.col("event_id") % 4 == 1, '{"puntaje":"","retroalimentacion":{}}')
+        .when(F.col("event_id") % 4 == 2, '```json\n{"puntaje":"1/2"}\n```')
+        .otherwise("no reply")
+    )
+    e = validated.parsed_replies(table(spark, d, "events").select("event_id", raw.alias("raw")), F.col("raw"))
+    details = json_repair.development_details(F.col("reply"))
+    good = F.size("reasons") == 0
+    return e.select("event_id", F.array_join("reasons", "|").alias("reasons"), F.when(good, scoring.development_points(details)).alias("points"), F.when(good, F.size(details)).alias("items"))
+
+
+_SECRET = "tiza"
+_PADS = ["".join(f"\\x{b:02X}" for b in pad) for pad in text.key_pads(_SECRET)]
+_PARAMS = "'amount=' || o_custkey || '&Order=' || o_orderkey || '&status=' || replace(o_orderpriority, ' ', '%20') || '&Status=' || o_orderstatus"
+
+
+@query("signed_orders", f"SELECT o_orderkey, q AS query, sha256('{_PADS[1]}'::BLOB || unhex(sha256('{_PADS[0]}'::BLOB || encode(q)))) AS signature FROM (SELECT o_orderkey, {_PARAMS} AS q FROM orders)")
+def signed_orders(spark, d):
+    """Parameters in the order of a locale, in which case counts after letters, and their signature."""
+    pairs = {"status": "o_orderpriority", "Status": "o_orderstatus", "Order": "o_orderkey", "amount": "o_custkey"}
+    params = F.create_map(*[x for k, c in pairs.items() for x in (F.lit(k), F.col(c).cast("string"))])
+    q = table(spark, d, "orders").select("o_orderkey", text.query_string(params).alias("query"))
+    return q.select("o_orderkey", "query", text.signed(F.col("query"), _SECRET).alias("signature"))
 
 
 @query("json_entries", "SELECT event_id, 'a' AS key, json_extract_string(props, '$.k') AS value, '{\"a\":\"' || json_extract_string(props, '$.k') || '\",\"b\":\"' || event_type || '\"}' AS json FROM events UNION ALL SELECT event_id, 'b', event_type, '{\"a\":\"' || json_extract_string(props, '$.k') || '\",\"b\":\"' || event_type || '\"}' FROM events")

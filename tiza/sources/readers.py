@@ -50,9 +50,14 @@ def plans(spark: SparkSession, rows: list = PLANS) -> DataFrame:
     return spark.createDataFrame(rows, "id string, name string, price bigint, credits int, days int")
 
 
+def plan_price(price: Column) -> Column:
+    """What a plan is sorted by: one without a price goes as 0."""
+    return F.coalesce(price, F.lit(0))
+
+
 def plans_by_price(plans: DataFrame) -> DataFrame:
-    """Plans by rising price; one without a price goes as 0."""
-    return plans.orderBy(F.coalesce("price", F.lit(0)), "id")
+    """Plans by rising price."""
+    return plans.orderBy(plan_price(F.col("price")), "id")
 
 
 def looked_up(key: Column, values: dict) -> Column:
