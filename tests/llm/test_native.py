@@ -195,14 +195,14 @@ def edf(shares, slots):
     """The schedule by brute force."""
     k, out = dict.fromkeys(shares, 0), []
     for t in range(slots):
-        due = [(-(-(k[s] + 1) * slots // a), s) for s, a in sorted(shares.items()) if k[s] * slots // a <= t]
-        s = min(due)[1]
+        due = [(-(-(k[s] + 1) * slots // a), -a, s) for s, a in sorted(shares.items()) if k[s] * slots // a <= t]
+        s = min(due)[2]
         out.append(s)
         k[s] += 1
     return out
 
 
-@pytest.mark.parametrize("shares", [{"a": 1}, {"a": 3, "b": 7}, {"a": 33, "b": 1, "c": 1, "d": 5}, {"a": 50, "b": 50}])
+@pytest.mark.parametrize("shares", [{"a": 1}, {"a": 3, "b": 7}, {"a": 33, "b": 1, "c": 1, "d": 5}, {"a": 50, "b": 50}, {f"s{i:02}": 1 + i % 3 for i in range(40)}])
 def test_schedule_is_pfair(spark, shares):
     slots = sum(shares.values())
     plan = mixing.schedule(spark.createDataFrame(sorted(shares.items()), "src string, a bigint"), slots).collect()
@@ -235,22 +235,46 @@ def test_mix_edge_rows(spark):
     assert mixing.mixed_order(edge_docs(spark)).count() == len(ROWS)
 
 
-def test_mix_more_sources_than_slots(spark):
-    rows = [(i, "t", "en", f"s{i % 1100}" if i % 3 else "big", 1) for i in range(6600)]
-    got = mixing.mix(edge_docs(spark, rows), block=1).select("row.doc_id", "src", "slot", "offset").collect()
+def test_many_sources_are_within_one_block(spark):
+    """More sources than slots, a hot one among them; every source at every slot."""
+    counts = {f"s{i}": 4 + i % 5 for i in range(1100)} | {"big": 2200}
+    plan, q = mixing._plan(spark.createDataFrame(sorted(counts.items()), "src string, n bigint"), mixing.SLOTS)
+    plan = {r.src: r for r in plan.collect()}
+    assert q == 20 * 1101 == sum(r.a for r in plan.values()) and sorted(t for r in plan.values() for t in r.places) == list(range(q))
+    total = sum(n**0.7 for n in counts.values())
+    for s, r in plan.items():
+        assert r.a == len(r.places) and abs(r.a - q * counts[s] ** 0.7 / total) < 2 + q * counts[s] ** 0.7 / total / mixing.FINE
+        # k blocks before the slot of block k and k + 1 after it, so these are where the deviation is greatest
+        assert all(k * q - r.a * t < q and r.a * t - k * q < q and (k + 1) * q - r.a * (t + 1) < q for k, t in enumerate(r.places))
+
+
+@pytest.mark.parametrize("n", [300, 900])
+def test_equal_sources_get_equal_shares(spark, n):
+    shares = mixing._plan(spark.createDataFrame([(f"s{i}", 50) for i in range(n)], "src string, n bigint"), mixing.SLOTS)[0].collect()
+    assert len(shares) == n and max(r.a for r in shares) - min(r.a for r in shares) <= 0.05 * min(r.a for r in shares)
+
+
+def test_mix_more_sources_than_are_sent(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_SENT", 10)
+    rows = [(i, "t", "en", f"s{i % 110}" if i % 3 else "big", 1) for i in range(3300)]
+    got = mixing.mix(edge_docs(spark, rows), block=1, piece=100).select("row.doc_id", "src", "slot", "offset").collect()
     assert Counter(r.doc_id for r in got) == Counter(r[0] for r in rows)
     assert len({(r.slot, r.offset) for r in got}) == len(got) and all(r.slot >= 0 for r in got)
-    plan = {r.src: r for r in mixing._plan(spark.createDataFrame(sorted(Counter(r.src for r in got).items()), "src string, n bigint"), mixing.SLOTS).collect()}
-    groups = defaultdict(set)
-    for r in plan.values():
-        assert r.a == len(r.places) >= 1 and r.group_a == len(r.group_places) >= 1
-        groups[tuple(r.group_places)].add(r.src)
-    assert len(plan) == 1101 > mixing.SLOTS and sorted(t for g in groups for t in g) == list(range(plan["big"].group_q))
-    for g in groups.values():
-        assert sorted(t for s in g for t in plan[s].places) == list(range(plan[min(g)].q))
+
+
+def test_rows_without_ids_spread(spark, tmp_path):
+    """Null, equal and distinct ids of one source: numbers without gaps, in small pieces, in an order that stays."""
+    df = spark.range(30_000).selectExpr("CASE WHEN id % 3 = 0 THEN NULL WHEN id % 3 = 1 THEN 7 ELSE id END AS doc_id", "CASE WHEN id % 10 = 0 THEN 'a' END AS source")
+    df.repartition(3).write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    mixed = mixing.mix(docs, piece=500, block=1)
+    got = mixed.select("row.doc_id", "src", "slot").collect()
+    assert len({r.slot for r in got}) == 30_000 and Counter(r.doc_id for r in got) == Counter(r.doc_id for r in docs.collect())
     by = defaultdict(list)
-    for r in got:
-        by[r.src].append(r.slot)
-    for s, slots in by.items():  # within two blocks of its share at each of its own blocks
-        share = Fraction(plan[s].a * plan[s].group_a, plan[s].q * plan[s].group_q)
-        assert all(abs(share * (t + 1) - (k + 1)) < 2 for k, t in enumerate(sorted(slots)))
+    for r in sorted(got, key=lambda r: r.slot):
+        by[r.src].append(hashlib.md5(str("" if r.doc_id is None else r.doc_id).encode()).hexdigest())
+    assert all(k == sorted(k) for k in by.values()) and len(by[""]) == 27_000
+    r = mixing.placed(docs).select(F.lit("x").alias("src"), "row", F.md5(F.coalesce(F.col("row.doc_id").cast("string"), F.lit(""))).alias("key"), F.xxhash64("row", "file", "place").alias("tie"))
+    counts = r.groupBy("src").agg(F.count("*").alias("n"))
+    assert sorted(x["at"] for x in mixing._numbered(r, counts, 1, 500).collect()) == list(range(30_000))
+    assert mixing._cut(r, counts, 1, 500).groupBy("src", "piece").count().agg(F.max("count")).first()[0] < 1000

@@ -2,33 +2,35 @@
 
 Each source's rows are cut into blocks. With a source's share a / Q of Q slots, its block k is released at slot
 floor(k Q / a) and due before slot ceil((k + 1) Q / a); in each slot, the released block with the earliest deadline goes
-next. This keeps every source within less than one block of its share of the slots so far. The schedule repeats after Q
-slots, so Q slots are worked out once, by a fold in one row, and every block's slot follows from its number by arithmetic:
-no task sees a whole source or the whole schedule.
+next, of equal ones that of the larger share, then of the first name. This keeps every source within less than one block of
+its share of the slots so far. The schedule repeats after Q slots, so Q slots are worked out once, by a fold in one row, and
+every block's slot follows from its number by arithmetic: no task sees a whole source or the whole schedule.
 
-More than SLOTS sources are dealt into about sqrt(S) groups by a hash of their names. The groups share the slots as sources
-do, and the sources of a group share its blocks by a period of their own, so every fold stays small however many sources
-there are; a source is then within two blocks of its share.
+Q is SLOTS, or FINE slots for each source if that is more. Sources of equal share have their blocks released and due
+together and take turns, so the fold keeps a counter for each distinct share, of which there are fewer than sqrt(2 Q). A share
+differs from Q times its weight by less than two slots and a FINEth of it.
 
 No row is dropped: a source that ends early leaves its later slots empty, and the others go on in their proportions.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tiza.llm.common import packed, table
+from tiza.llm.common import join_by_key, placed, stored, table
 
-#: Slots in a period; shares are multiples of 1 / SLOTS. More sources than that are mixed in groups.
-SLOTS = 1000
-#: Slots in the period of groups, or of one group's sources, for each of them, if that is more than SLOTS.
-FINE = 20
+#: Slots in a period at least, and for each source at least; shares are whole numbers of slots.
+SLOTS, FINE = 1000, 20
 #: Rows in a block.
 BLOCK = 16
 #: Rows that one task numbers within a source.
 PIECE = 2_000
+#: Sources whose plan, some 200 bytes each, is sent to every task; with more, only heavy ones' is, and the others are joined.
+MOST_SENT = 100_000
 NO_SOURCE = ""
 
 
@@ -36,111 +38,120 @@ def temperature_shares(counts: DataFrame, exponent: float = 0.7, slots: int = SL
     """(src, a): whole shares of `slots` in proportion to n ** exponent, 1 at least, from counts(src, n) of at most `slots` sources.
 
     Largest remainders get what rounding leaves; ties go by name."""
-    c = counts.select("src", F.pow(F.col("n").cast("double"), exponent).alias("w"), F.lit(slots).cast("long").alias("q"), F.lit(0).alias("grp"))
-    return _shares(c).select("src", "a")
-
-
-def _shares(weighted: DataFrame) -> DataFrame:
-    """(grp, q, src, a): each group's q slots, shared out in proportion to w, from weighted(grp, q, src, w)."""
-    own = W.partitionBy("grp")  # over one row per source of the group
-    c = weighted.withColumn("S", F.count("*").over(own)).withColumn("T", F.sum("w").over(own.orderBy("src").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
-    c = c.withColumn("x", F.round(F.col("w") / F.col("T") * (F.col("q") - F.col("S")), 9)).withColumn("fl", F.floor("x"))
-    c = c.withColumn("left", F.col("q") - F.col("S") - F.sum("fl").over(own))
-    rank = F.row_number().over(own.orderBy(F.desc(F.col("x") - F.col("fl")), "src"))
-    return c.select("grp", "q", "src", (1 + F.col("fl") + (rank <= F.col("left")).cast("long")).alias("a"))
+    c = counts.select("src", F.pow(F.col("n").cast("double"), exponent).alias("w"))
+    total = c.agg(F.count("*").alias("S"), F.aggregate(F.array_sort(F.collect_list(F.struct("src", "w"))), F.lit(0.0), lambda t, x: t + x["w"]).alias("T"))  # in the order of names, so that it is always the same
+    c = c.join(F.broadcast(total))  # one row
+    c = c.withColumn("x", F.round(F.col("w") / F.col("T") * (slots - F.col("S")), 9)).withColumn("fl", F.floor("x"))
+    # a list of the sources, as the fold over the schedule holds it as well
+    ranked = c.agg(F.array_sort(F.collect_list(F.struct((-(F.col("x") - F.col("fl"))).alias("o"), "src", "fl"))).alias("r"), (slots - F.max("S") - F.sum("fl")).alias("left"))
+    return ranked.select(F.posexplode("r").alias("i", "r"), "left").select("r.src", (1 + F.col("r.fl") + (F.col("i") < F.col("left")).cast("long")).alias("a"))
 
 
 def schedule(shares: DataFrame, slots: int = SLOTS) -> DataFrame:
     """(src, a, places): the slots of one period that each source gets, from shares(src, a) that add up to `slots`.
 
-    A single row holds all shares; the fold over its slots is bounded by `slots` times the number of sources."""
-    return _schedules(shares.select(F.lit(0).alias("grp"), F.lit(slots).cast("long").alias("q"), "src", "a")).select("src", "a", "places")
-
-
-def _schedules(shares: DataFrame) -> DataFrame:
-    """(grp, q, src, a, places): as schedule() for each group's period of q slots, one row a group; from shares(grp, q, src, a)."""
-    one = shares.groupBy("grp", "q").agg(F.array_sort(F.collect_list(F.struct("src", "a"))).alias("s"))
-    n = F.col("q")
-
-    def urgent(state: Column, t: Column, s: Column) -> Column:
-        """Index of the released source with the earliest deadline."""
-        jobs = F.transform(state, lambda k, i: F.struct(F.floor(((k + 1) * n + F.get(s, i)["a"] - 1) / F.get(s, i)["a"]).alias("due"), i.alias("i"), F.floor(k * n / F.get(s, i)["a"]).alias("from")))
-        return F.array_min(F.filter(jobs, lambda j: j["from"] <= t))["i"]
+    A single row holds the shares and the period; the fold takes `slots` times the number of distinct shares. What it has worked
+    out is kept in runs of about sqrt(slots), so that appending to it stays cheap."""
+    q = F.lit(slots).cast("long")
+    classes = shares.groupBy("a").agg(F.array_sort(F.collect_list("src")).alias("names"))
+    one = classes.agg(F.array_sort(F.collect_list(F.struct((-F.col("a")).alias("o"), "a", F.size("names").cast("long").alias("m"), "names"))).alias("s"))
+    run = math.isqrt(max(slots - 1, 0)) + 1
 
     def slot(acc: Column, t: Column) -> Column:
-        best = F.array(urgent(acc["k"], t, F.col("s")))
-        return F.get(
-            F.transform(best, lambda b: F.struct(F.transform(acc["k"], lambda k, i: F.when(i == b, k + 1).otherwise(k)).alias("k"), F.concat(acc["o"], F.array(b)).alias("o"))), F.lit(0)
-        )
-
-    zero = F.struct(F.transform("s", lambda _: F.lit(0).cast("long")).alias("k"), F.array().cast("array<int>").alias("o"))
-    order = F.aggregate(F.sequence(F.lit(0).cast("long"), n - 1), zero, slot, lambda acc: acc["o"])
-    one = one.withColumn("o", order)
-    each = one.select("grp", "q", "o", F.posexplode("s").alias("i", "x"))
-    places = F.filter(F.transform("o", lambda b, t: F.when(b == F.col("i"), t).otherwise(-1)), lambda t: t >= 0)
-    return each.select("grp", "q", "x.src", "x.a", places.alias("places"))
-
-
-def _plan(counts: DataFrame, slots: int, exponent: float = 0.7) -> DataFrame:
-    """(src, q, a, places, group_q, group_a, group_places) from counts(src, n): a source's places in its group's period of q blocks, and the group's in the period of group_q slots.
-
-    Up to `slots` sources are one group, which has every slot."""
-    period = lambda n: F.greatest(F.lit(slots), FINE * n).cast("long")
-    total = counts.agg(F.count("*").alias("sources"))  # one row
-    c = counts.join(F.broadcast(total)).select("src", F.pow(F.col("n").cast("double"), exponent).alias("w"), F.when(F.col("sources") <= slots, 1).otherwise(F.ceil(F.sqrt("sources"))).alias("groups"))
-    c = c.withColumn("grp", F.pmod(F.xxhash64("src"), F.col("groups")).cast("int"))
-    q = F.when(F.col("groups") == 1, F.lit(slots).cast("long")).otherwise(period(F.count("*").over(W.partitionBy("grp"))))
-    inner = _schedules(_shares(c.select("grp", q.alias("q"), "src", "w")))
-    groups = c.groupBy(F.col("grp").alias("src")).agg(F.sum("w").alias("w"))
-    groups = groups.join(F.broadcast(groups.agg(F.count("*").alias("groups"))))  # one row
-    outer = _schedules(_shares(groups.select(F.lit(0).alias("grp"), period(F.col("groups")).alias("q"), "src", "w")))
-    outer = outer.select(F.col("src").alias("grp"), F.col("q").alias("group_q"), F.col("a").alias("group_a"), F.col("places").alias("group_places"))
-    # one row per group, of which there are about sqrt(S)
-    return inner.join(F.broadcast(outer), "grp").drop("grp")
-
-
-def _numbered(rows: DataFrame, key: str, piece: int) -> DataFrame:
-    """rows(src, row, <key>) plus `at`, each row's number within its source in the order of the key.
-
-    The key is a uniform hash: its leading digits cut each source into pieces that different tasks number, however
-    large the source is; counts of the pieces before give each piece its first number."""
-    total = rows.groupBy("src").agg(F.count("*").alias("n"))
-    wide = total.select("src", F.least(F.lit(65536), F.ceil(F.col("n") / piece)).alias("pieces"))
-    # one small row per source: how many pieces it is cut into
-    cut = rows.join(F.broadcast(wide), rows["src"].eqNullSafe(wide["src"])).drop(wide["src"])
-    cut = cut.withColumn("piece", F.floor(F.conv(F.substring(key, 1, 4), 16, 10).cast("long") * F.col("pieces") / 65536))
+        # n-th block of a class: the (n // m)-th one of its (n % m)-th source
+        jobs = F.transform(F.arrays_zip(acc["n"].alias("n"), F.col("s").alias("s")), lambda x, i: F.struct(
+            F.floor((F.floor(x["n"] / x["s"]["m"]) * q + q + x["s"]["a"] - 1) / x["s"]["a"]).alias("due"), i.alias("i"), F.floor(F.floor(x["n"] / x["s"]["m"]) * q / x["s"]["a"]).alias("from")))
+        best = F.array(F.array_min(F.filter(jobs, lambda j: j["from"] <= t))["i"])
+        return F.get(F.transform(best, lambda b: F.struct(F.transform(acc["n"], lambda n, i: F.when(i == b, n + 1).otherwise(n)).alias("n"), F.concat(acc["o"], F.array(b)).alias("o"))), F.lit(0))
+
+    def stretch(acc: Column, r: Column) -> Column:
+        none = F.array().cast("array<int>")
+        inner = F.aggregate(F.sequence(r * run, F.least(r * run + run, q) - 1), F.struct(acc["n"].alias("n"), none.alias("o")), slot)
+        return F.get(F.transform(F.array(inner), lambda x: F.struct(x["n"].alias("n"), F.concat(acc["o"], F.array(x["o"])).alias("o"))), F.lit(0))
+
+    zero = F.struct(F.transform("s", lambda _: F.lit(0).cast("long")).alias("n"), F.array().cast("array<array<int>>").alias("o"))
+    order = F.flatten(F.aggregate(F.sequence(F.lit(0).cast("long"), F.lit((slots - 1) // run).cast("long")), zero, stretch, lambda acc: acc["o"]))
+    each = one.where(F.size("s") > 0).select("s", order.alias("o")).select("o", F.posexplode("s").alias("i", "x"))
+    own = F.filter(F.transform("o", lambda b, t: F.when(b == F.col("i"), t).otherwise(-1)), lambda t: t >= 0)
+    each = each.select("x", own.alias("own")).select("x.a", "x.m", "own", F.posexplode("x.names").alias("j", "src"))
+    places = F.transform(F.sequence(F.lit(0).cast("long"), F.col("a") - 1), lambda k: F.get("own", (k * F.col("m") + F.col("j")).cast("int")))
+    return each.select("src", "a", places.alias("places"))
+
+
+def _plan(counts: DataFrame, slots: int, exponent: float = 0.7) -> tuple[DataFrame, int]:
+    """(src, a, places) from counts(src, n), and the period: a source's places among its slots."""
+    period = max(slots, FINE * counts.count())
+    return schedule(temperature_shares(counts, exponent, period), period), period
+
+
+def _cut(rows: DataFrame, counts: DataFrame, sources: int, piece: int) -> DataFrame:
+    """rows(src, row, key, tie) with `piece`: parts of each source, in the order of key and tie, of about so many rows; counts(src, n).
+
+    The key is a uniform hash of the id, whose leading digits cut each source. Where a piece is crowded because many rows share an id or have
+    none, those rows are cut again by the tie, a hash of the row and its place."""
+    wide = counts.select("src", "n", F.least(F.lit(2**30), F.ceil(F.col("n") / piece)).alias("pieces"))
+    cut = _with(rows, wide, sources, ["pieces"]).withColumn("piece", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * F.col("pieces") / 2**32)).drop("pieces")
+    crowded = stored(cut.groupBy("src", "piece").agg(F.count("*").alias("c")).where(F.col("c") > 4 * piece))
+    zone, part = F.lit(0), F.lit(0)
+    if not crowded.isEmpty():
+        hot = cut.join(_small(crowded), ["src", "piece"], "left_semi").groupBy("src", "piece", "key").agg(F.count("*").alias("c")).where(F.col("c") > piece)
+        # a list of at most c / piece keys for each crowded piece
+        hot = hot.groupBy("src", "piece").agg(F.sort_array(F.collect_list(F.struct("key", F.ceil(F.col("c") / piece).alias("parts")))).alias("hot"))
+        cut = cut.join(_small(stored(hot)), ["src", "piece"], "left")
+        own = F.get(F.filter("hot", lambda h: h["key"] == F.col("key")), F.lit(0))
+        # rows between hot keys, and those of each hot key, are zones of their own
+        zone = F.coalesce(2 * F.size(F.filter("hot", lambda h: h["key"] < F.col("key"))) + F.when(own.isNotNull(), 1).otherwise(0), F.lit(0))
+        part = F.coalesce(F.floor((F.col("tie") / 2.0**64 + 0.5) * own["parts"]), F.lit(0)).cast("int")
+    return cut.withColumn("piece", F.struct("piece", zone.alias("zone"), part.alias("part"))).drop("hot")
+
+
+def _numbered(rows: DataFrame, counts: DataFrame, sources: int, piece: int) -> DataFrame:
+    """rows(src, row, key, tie) plus `at`, each row's number within its source in the order of key and tie; counts(src, n).
+
+    Pieces are numbered by different tasks, however large a source is; counts of the pieces before give each its first number."""
+    cut = _cut(rows, counts, sources, piece)
     sizes = cut.groupBy("src", "piece").agg(F.count("*").alias("c"))
-    before = F.coalesce(F.sum("c").over(W.partitionBy("src").orderBy("piece").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(F.sum("c").over(W.partitionBy("src").orderBy("piece").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # over a row for each piece
     first = sizes.select(F.col("src").alias("s2"), F.col("piece").alias("p2"), before.alias("before"))
-    inner = F.row_number().over(W.partitionBy("src", "piece").orderBy(key, "tie"))
+    inner = F.row_number().over(W.partitionBy("src", "piece").orderBy("key", "tie"))
     out = cut.withColumn("inner", inner)
     return out.join(first, (out["src"] == first["s2"]) & (out["piece"] == first["p2"])).select("src", "row", (F.col("inner") - 1 + F.col("before")).alias("at"))
 
 
+def _small(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """df, to be sent to every task if it has few rows."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def _with(rows: DataFrame, values: DataFrame, sources: int, names: list[str]) -> DataFrame:
+    """rows(src, ...) with the columns `names` of values(src, n, names...): sent to every task if their number allows it, else joined without a hot task."""
+    if sources <= MOST_SENT:
+        return rows.join(F.broadcast(values.select("src", *names)), "src", "left")
+    return join_by_key(rows, values.select("src", "n", *names), "src", "n")
+
+
 def mix(docs: DataFrame, weights: dict[str, int] | None = None, slots: int = SLOTS, block: int = BLOCK, piece: int = PIECE, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """(row, src, slot, offset): every row of docs with its slot and its place in that slot's block.
 
-    weights: whole shares of `slots` by source, so at most `slots` of them; without it any number of sources can be mixed, and shares follow the counts to the power 0.7. A null source is a source of its own,
-    named ''. Rows of a source go in the order of md5(doc_id), then of all columns. Sources missing in weights raise an error."""
-    r = packed(docs)
+    weights: whole shares of `slots` by source; without it shares follow the counts to the power 0.7, of `slots` or FINE for each
+    source. A null source is a source of its own, named ''. Rows of a source go in the order of md5(doc_id), a null one as an
+    empty text; rows of equal doc_id by a hash of their columns and place. Sources missing in weights raise an error."""
     text = F.coalesce(F.col(f"row.`{id_col}`").cast("string"), F.lit(""))
-    r = r.select(F.coalesce(F.col(f"row.`{source_col}`").cast("string"), F.lit(NO_SOURCE)).alias("src"), "row", F.md5(text).alias("key"), F.xxhash64("row").alias("tie"))
+    r = placed(docs).select(F.coalesce(F.col(f"row.`{source_col}`").cast("string"), F.lit(NO_SOURCE)).alias("src"), "row", F.md5(text).alias("key"), F.xxhash64("row", "file", "place").alias("tie"))
+    counts = stored(r.groupBy("src").agg(F.count("*").alias("n")))
+    sources = counts.count()
     if weights is None:
-        plan = _plan(r.groupBy("src").agg(F.count("*").alias("n")), slots)
+        plan, period = _plan(counts, slots)
     else:
         if sum(weights.values()) != slots or min(weights.values()) < 1:
             raise ValueError(f"weights are whole numbers from 1 that add up to {slots}")
-        shares = docs.sparkSession.createDataFrame(sorted(weights.items()), "src string, a bigint")
-        whole = F.lit(slots).cast("long")
-        plan = schedule(shares, slots).select("src", whole.alias("q"), "a", "places", whole.alias("group_q"), whole.alias("group_a"), F.sequence(F.lit(0).cast("long"), whole - 1).alias("group_places"))
-    numbered = _numbered(r, "key", piece)
-    out = numbered.join(F.broadcast(plan), "src", "left")
+        plan, period = schedule(docs.sparkSession.createDataFrame(sorted(weights.items()), "src string, a bigint"), slots), slots
+    numbered = _numbered(r, counts, sources, piece)
+    out = _with(numbered, stored(plan).join(counts, "src"), sources, ["a", "places"])
     b = F.floor(F.col("at") / block)
     known = F.when(F.col("a").isNull(), F.raise_error(F.concat(F.lit("no weight for source "), F.col("src"))).cast("bigint")).otherwise(F.col("a"))
-    nth = F.floor(b / known) * F.col("q") + F.get("places", (b % F.col("a")).cast("int"))  # of the group's blocks
-    out = out.select("row", "src", (F.col("at") % block).alias("offset"), nth.alias("nth"), "group_q", "group_a", "group_places")
-    slot = F.floor(F.col("nth") / F.col("group_a")) * F.col("group_q") + F.get("group_places", (F.col("nth") % F.col("group_a")).cast("int"))
-    return out.select("row", "src", slot.alias("slot"), "offset")
+    slot = F.floor(b / known) * period + F.get("places", (b % F.col("a")).cast("int"))
+    return out.select("row", "src", slot.alias("slot"), (F.col("at") % block).alias("offset"))
 
 
 def mixed_order(docs: DataFrame, **options) -> DataFrame:
@@ -157,7 +168,7 @@ ORACLE = f"""
 WITH RECURSIVE c AS (SELECT coalesce(source, '') AS src, count(*) AS n FROM documents GROUP BY 1),
 x AS (SELECT src, count(*) OVER () AS S, round(pow(n::DOUBLE, 0.7) / (sum(pow(n::DOUBLE, 0.7)) OVER ()) * ({SLOTS} - count(*) OVER ()), 9) AS x FROM c),
 a AS (SELECT src, (1 + floor(x) + (row_number() OVER (ORDER BY x - floor(x) DESC, src) <= {SLOTS} - S - sum(floor(x)) OVER ())::INT)::BIGINT AS a FROM x),
-l AS (SELECT list(a ORDER BY src) AS a, list(src ORDER BY src) AS s FROM a),
+l AS (SELECT list(a ORDER BY a DESC, src) AS a, list(src ORDER BY a DESC, src) AS s FROM a),
 step AS (
   SELECT 0::BIGINT AS t, list_transform(a, lambda v: 0::BIGINT) AS k, 0::BIGINT AS pick FROM l
   UNION ALL
