@@ -106,7 +106,7 @@ def failures(d: DataFrame) -> DataFrame:
 
 
 def host_verdicts(judged: DataFrame, limit: float = 0.5, z: float = 1.64) -> DataFrame:
-    """(host, n, host_ok) from judged(host, <rules>): one row per host, n its documents; the heavy rows are pre-aggregated where they lie."""
+    """(host, n, host_bound, host_ok) from judged(host, <rules>): one row per host, n its documents, host_bound the greatest of its rules' bounds; the heavy rows are pre-aggregated where they lie."""
     hosts = judged.where(F.col("host").isNotNull()).groupBy("host").agg(F.count("*").alias("n"), *[F.count_if(r).alias(r) for r in RULES])
     hosts = stored(hosts)  # small, and used several times below
     moments = [x for r in RULES for x in (F.sum(r).alias(f"{r}_A"), F.sum(F.col(r) * F.col(r) / F.col("n")).alias(f"{r}_Q"))]
@@ -116,21 +116,21 @@ def host_verdicts(judged: DataFrame, limit: float = 0.5, z: float = 1.64) -> Dat
         m = F.col(f"{r}_A") / F.col("N")
         return [m.alias(f"{r}_m"), beta_strength(F.col("N"), m, F.col(f"{r}_Q") / F.col("N") - m * m, F.col("G")).alias(f"{r}_k")]
 
-    ok = F.lit(True)
-    for r in RULES:
+    def bound(r: str) -> Column:
         mean = (F.col(r) + F.col(f"{r}_k") * F.col(f"{r}_m")) / (F.col("n") + F.col(f"{r}_k"))
-        ok = ok & (mean - z * F.sqrt(mean * (1 - mean) / (F.col("n") + F.col(f"{r}_k") + 1)) <= limit)
+        return mean - z * F.sqrt(mean * (1 - mean) / (F.col("n") + F.col(f"{r}_k") + 1))
+
     # one row of priors; the verdicts are written, so that the planner knows whether they are small enough to broadcast
-    return stored(hosts.join(F.broadcast(s.select(*[x for r in RULES for x in prior(r)]))).select("host", "n", ok.alias("host_ok")))
+    return stored(hosts.join(F.broadcast(s.select(*[x for r in RULES for x in prior(r)]))).select("host", "n", F.greatest(*[bound(r) for r in RULES]).alias("host_bound")).withColumn("host_ok", F.col("host_bound") <= limit))
 
 
 def host_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_lines, <rules>). Texts are counted once; the counts are kept in the shared folder."""
+    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, host_bound, n_lines, <rules>); host_bound is null without a host. Texts are counted once; the counts are kept in the shared folder."""
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).alias("host"), F.col(text_col).alias("text"))
     d = stored(failures(text_counts(d, "text").drop("text")))
     verdicts = host_verdicts(d)
     kept = ~F.col("base_failed") & F.coalesce("host_ok", F.lit(True))
-    return join_by_key(d, verdicts, "host", "n").select("doc_id", *COUNTS[:5], "base_failed", kept.alias("kept"), "n_lines", *RULES)
+    return join_by_key(d, verdicts, "host", "n").select("doc_id", *COUNTS[:5], "base_failed", kept.alias("kept"), "host_bound", "n_lines", *RULES)
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source") -> DataFrame:
@@ -143,7 +143,8 @@ def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return host_rules(table(spark, sf_dir, "documents"))
+    """All documents with their counts, and the bound of their host's worst rule to six places."""
+    return host_rules(table(spark, sf_dir, "documents")).withColumn("host_bound", F.round("host_bound", 6))
 
 
 ORACLE = f"""
@@ -164,7 +165,7 @@ h AS (SELECT source, count(*)::DOUBLE AS n, {', '.join(f'count_if({r})::DOUBLE A
 s AS (SELECT sum(n) AS total, count(*) AS g, {', '.join(f'sum({r}) / sum(n) AS {r}_m, sum({r} * {r} / n) AS {r}_q' for r in RULES)} FROM h),
 p AS (SELECT {', '.join(f'{r}_m, least(greatest({r}_m * (1 - {r}_m) / greatest({r}_q / total - {r}_m * {r}_m - {r}_m * (1 - {r}_m) * g / total, 1e-9) - 1, 1.0), 1e6) AS {r}_k' for r in RULES)} FROM s),
 e AS (SELECT source, n, {', '.join(f'({r} + {r}_k * {r}_m) / (n + {r}_k) AS {r}_e, {r}_k' for r in RULES)} FROM h, p),
-v AS (SELECT source, {' AND '.join(f'{r}_e - 1.64 * sqrt({r}_e * (1 - {r}_e) / (n + {r}_k + 1)) <= 0.5' for r in RULES)} AS ok FROM e)
+v AS (SELECT source, greatest({', '.join(f'{r}_e - 1.64 * sqrt({r}_e * (1 - {r}_e) / (n + {r}_k + 1))' for r in RULES)}) AS bound FROM e)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {' OR '.join(BASE)} AS base_failed,
-  NOT ({' OR '.join(BASE)}) AND coalesce(ok, TRUE) AS kept, n_lines, {', '.join(RULES)}
+  NOT ({' OR '.join(BASE)}) AND coalesce(bound <= 0.5, TRUE) AS kept, round(bound, 6) AS host_bound, n_lines, {', '.join(RULES)}
 FROM b LEFT JOIN v USING (source)"""

@@ -134,10 +134,11 @@ def filter_urls(
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on all pages, with the bound of the host's posterior bad rate to six places."""
     labels = table(spark, sf_dir, "labels").select(
         F.col("doc_id").alias("page_id"), F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0).alias("bad")
     )
-    return filter_urls(table(spark, sf_dir, "pages"), labels).drop("bad_bound")
+    return filter_urls(table(spark, sf_dir, "pages"), labels).withColumn("bad_bound", F.round("bad_bound", 6))
 
 
 def _oracle() -> str:
@@ -171,7 +172,7 @@ v AS (SELECT host, coalesce(h_bound, d_bound, s_bound, o_mean - 1.64 * sqrt(o_me
       FROM lv LEFT JOIN hp USING (host) LEFT JOIN dp USING (domain) LEFT JOIN sp USING (suffix), o),
 r AS (SELECT page_id, host, path, CASE {case} END AS hit FROM p)
 SELECT page_id, host, path, split_part(hit, ' ', 2) AS rule,
-       CASE WHEN hit IS NOT NULL THEN split_part(hit, ' ', 1) WHEN b > 0.5 THEN 'block' ELSE 'allow' END AS verdict
+       CASE WHEN hit IS NOT NULL THEN split_part(hit, ' ', 1) WHEN b > 0.5 THEN 'block' ELSE 'allow' END AS verdict, round(b, 6) AS bad_bound
 FROM r LEFT JOIN v USING (host)"""
 
 
