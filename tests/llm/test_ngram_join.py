@@ -97,6 +97,25 @@ def test_large_groups_in_chunks_and_splits(spark, family, monkeypatch):
     assert Counter(map(tuple, got.collect())) == expected([r[:2] for r in family])
 
 
+def test_long_sets_make_small_chunks(spark, family, monkeypatch):
+    monkeypatch.setattr(nj, "CHUNK", 16)
+    monkeypatch.setattr(nj, "LONG", 20)
+    rows = [r for r in family if r[0] is not None and r[0] < 1000][:60]
+    assert Counter(map(tuple, nj.jaccard_join(edge_docs(spark, rows)).collect())) == expected([r[:2] for r in rows])
+
+
+def test_a_hub_and_a_heavy_path_are_no_hot_keys(spark):
+    """A vertex with most edges, and a path that most rows share: their joins are by broadcast, and the rows are dealt out by a hash."""
+    star = spark.range(1, 3000).selectExpr("id AS u", "0L AS v").union(spark.range(5000, 5100).selectExpr("id AS u", "id + 1 AS v"))
+    got = {r.v: r.label for r in nj.components(star).collect()}
+    assert got == {i: 0 for i in range(3000)} | {i: 5000 for i in range(5000, 5101)}
+    rows = spark.range(100_000).selectExpr("CASE WHEN id % 3 = 0 THEN id ELSE -1 END AS path", "CAST(CAST(id AS STRING) AS BINARY) AS key", "1L AS size")
+    found = nj._of(rows, nj._sizes(rows).where("n > 1").select("path", "n", "weight"))
+    assert found.count() == found.where("path = -1").count() == rows.where("path = -1").count()
+    dealt = found.groupBy(F.spark_partition_id()).count().collect()
+    assert len(dealt) > 1 and max(r["count"] for r in dealt) < 0.9 * 66_667
+
+
 def test_keep_first(spark, family, tmp_path):
     edge_docs(spark, family).write.parquet(str(tmp_path / "d"))
     d = spark.read.parquet(str(tmp_path / "d"))
@@ -171,8 +190,8 @@ def test_bucket_of_a_million_keys(spark):
     n = 1_000_000
     keys = spark.range(n).selectExpr("id % 2 AS half", "sha(CAST(id AS STRING)) AS key")
     both = keys.selectExpr("1L AS path", "key").union(keys.selectExpr("2L AS path", "key")).union(keys.selectExpr("10 + half AS path", "key"))
-    got = {r.path: r for r in nj._sizes(both).collect()}
-    assert (got[1].n, got[10].n, got[11].n) == (n, n // 2, n // 2)
+    got = {r.path: r for r in nj._sizes(both.selectExpr("path", "key", "2500L AS size")).collect()}
+    assert got[1].weight == 3 * n and (got[1].n, got[10].n, got[11].n) == (n, n // 2, n // 2)
     assert got[1][1:] == got[2][1:] and len({(r.x, r.y) for r in got.values()}) == 3
 
 
@@ -183,10 +202,11 @@ def test_recall_of_split_buckets():
         assert rate() < 1e-4 and rate(more_levels=nj.MORE_LEVELS) < 1e-4
     assert nj.shared_miss_rate(0.8, nj.runs_for(0.8), more_levels=nj.MORE_LEVELS, ways=1) > 1e-3
     runs = 3  # so few that losses show
-    names = pa.schema([("path", pa.int64()), ("key", pa.binary()), ("sig", pa.binary())])
+    names = pa.schema([("path", pa.int64()), ("key", pa.binary()), ("size", pa.int64()), ("sig", pa.binary())])
 
     def deepest(sig):
-        rows = pa.RecordBatch.from_arrays([pa.array([nj._signed(p) for p in nj.leaves(sig, runs)]), *[pa.array([x] * len(nj.leaves(sig, runs)), pa.binary()) for x in (b"", sig.tobytes())]], schema=names)
+        paths = [nj._signed(p) for p in nj.leaves(sig, runs)]
+        rows = pa.RecordBatch.from_arrays([pa.array(paths), *[pa.array([x] * len(paths), t) for x, t in ((b"", pa.binary()), (9, pa.int64()), (sig.tobytes(), pa.binary()))]], schema=names)
         for level in range(nj.MORE_LEVELS):
             (rows,) = nj._deeper(1 if level else nj.AGAIN)([rows])
         return set(rows.column(0).to_pylist())

@@ -40,8 +40,8 @@ TARGET_RECALL = 0.9999
 SPLIT, MORE_LEVELS = 2000, 3
 #: Independent ways in which such a bucket is split, so that pairs in it reach the target recall too.
 AGAIN = 3
-#: Sets in a chunk; a unit compares one or two chunks.
-CHUNK = 512
+#: Sets in a chunk, and shingles of a set that count as one: longer sets make smaller chunks. A unit compares one or two chunks.
+CHUNK, LONG = 512, 1000
 MASK = (1 << 64) - 1
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -162,15 +162,16 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-SETS = "file bigint, place bigint, doc_id bigint, key binary, sig binary, paths array<bigint>"
+SETS = "file bigint, place bigint, doc_id bigint, key binary, size bigint, sig binary, paths array<bigint>"
 
 
 def _sets(runs: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, sigs, paths = [], [], []
+            keys, sizes, sigs, paths = [], [], [], []
             for text in b.column(3):
                 s = shingles(text.as_py())
+                sizes.append(len(s))
                 if len(s):
                     sig = signature(s)
                     keys.append(blake2b(s.tobytes(), digest_size=16).digest())
@@ -178,23 +179,23 @@ def _sets(runs: int, threshold: float):
                     paths.append([_signed(p) for p in leaves(sig, runs, threshold=threshold)])
                 else:
                     keys.append(None), sigs.append(None), paths.append(None)
-            arrays = [*b.columns[:3], pa.array(keys, pa.binary()), pa.array(sigs, pa.binary()), pa.array(paths, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["file", "place", "doc_id", "key", "sig", "paths"])
+            arrays = [*b.columns[:3], pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(paths, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["file", "place", "doc_id", "key", "size", "sig", "paths"])
 
     return run
 
 
 def _deeper(ways: int, threshold: float = THRESHOLD):
-    """(path, key, sig) -> the same sets one level further down, in so many independent ways."""
+    """(path, key, size, sig) -> the same sets one level further down, in so many independent ways."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for p, k, s in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for p, k, n, s in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 tokens = np.frombuffer(s, "<u2").tolist()
-                out += [(_signed(c), k, s) for q in again(p & MASK, ways) for c in children(q, tokens, threshold)]
-            columns = list(zip(*out, strict=True)) or ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary()), strict=True)], ["path", "key", "sig"])
+                out += [(_signed(c), k, n, s) for q in again(p & MASK, ways) for c in children(q, tokens, threshold)]
+            columns = list(zip(*out, strict=True)) or ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.int64(), pa.binary()), strict=True)], ["path", "key", "size", "sig"])
 
     return run
 
@@ -309,41 +310,49 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Each round takes the least label of a vertex and its neighbours, then that label's own label, so distances halve;
     each round's labels are checkpointed. Rounds end when nothing changes."""
-    both = checkpointed(edges.where("u <> v").select("u", "v").union(edges.where("u <> v").select("v", "u")).distinct())
-    labels = checkpointed(both.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("label")).select("v", F.least("v", "label").alias("label")))
+    pairs = edges.where("u <> v")
+    both = checkpointed(pairs.select("u", "v").union(pairs.select("v", "u")).distinct())
+    # the smallest vertex of a large group is a hub: joins serve vertices with many rows by broadcast
+    labels = checkpointed(both.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("label"), F.count("*").alias("n")).select("v", "n", F.least("v", "label").alias("label")))
     for _ in range(max_rounds):
-        near = both.join(labels.select(F.col("v").alias("u"), "label"), "u").groupBy("v").agg(F.min("label").alias("near"))
-        low = labels.join(near, "v").select("v", F.col("label").alias("old"), F.least("label", "near").alias("low"))
-        jump = labels.select(F.col("v").alias("low"), F.col("label").alias("next"))
-        after = checkpointed(low.join(jump, "low", "left").select("v", "old", F.least("low", F.coalesce("next", "low")).alias("label")))
-        labels = after.select("v", "label")
+        near = join_by_key(both, labels.select(F.col("v").alias("u"), "n", "label"), "u", "n").groupBy("v").agg(F.min("label").alias("near"))
+        low = labels.join(near, "v").select("v", "n", F.col("label").alias("old"), F.least("label", "near").alias("low"))
+        jump = low.groupBy("low").agg(F.count("*").alias("m")).join(labels.select(F.col("v").alias("low"), F.col("label").alias("next")), "low")
+        after = checkpointed(join_by_key(low, jump, "low", "m").select("v", "n", "old", F.least("low", F.coalesce("next", "low")).alias("label")))
+        labels = after.select("v", "n", "label")
         if after.where("label <> old").isEmpty():
-            return labels
+            return labels.select("v", "label")
     raise RuntimeError("components did not settle")
 
 
 def _sizes(rows: DataFrame) -> DataFrame:
-    """(path, n, x, y) from rows(path, key): each bucket's size and two hashes of its members, which can't overflow."""
+    """(path, n, weight, x, y) from rows(path, key, size): each bucket's number of sets, their weight in sets of LONG shingles, and two hashes of its members, which can't overflow."""
     h = lambda seed: F.bit_xor(F.xxhash64("key", F.lit(seed)))
-    return rows.groupBy("path").agg(F.count("*").alias("n"), h(1).alias("x"), h(2).alias("y"))
+    return rows.groupBy("path").agg(F.count("*").alias("n"), F.sum(F.greatest(F.lit(1), F.ceil(F.col("size") / LONG))).alias("weight"), h(1).alias("x"), h(2).alias("y"))
+
+
+def _of(rows: DataFrame, buckets: DataFrame) -> DataFrame:
+    """rows(path, key, size) of these buckets(path, n, ...), with their columns. A family of copies shares its paths: heavy ones are looked up in a broadcast, so no task takes a whole path."""
+    found = join_by_key(rows.select("path", "key", "size"), buckets.select("path", "n", F.struct(*buckets.columns).alias("of")), "path", "n")
+    return found.where("of is not null").select("key", "size", "of.*")
 
 
 def _buckets(sets: DataFrame, split: int, more_levels: int, threshold: float) -> DataFrame:
-    """(path, n, key): the members of every leaf of two or more sets, leaves with the same members once."""
-    rows = sets.select(F.explode("paths").alias("path"), "key")
+    """(path, weight, key): the members of every leaf of two or more sets, leaves with the same members once."""
+    rows = sets.select(F.explode("paths").alias("path"), "key", "size")
     done = None
     for level in range(more_levels + 1):
         sizes = checkpointed(_sizes(rows).where("n > 1"))
         last = level == more_levels
         leaf = sizes if last else sizes.where(F.col("n") <= split)
-        leaf = leaf.groupBy("n", "x", "y").agg(F.min("path").alias("path")).select("path", "n")
-        members = rows.select("path", "key").join(leaf, "path")
+        leaf = leaf.groupBy("n", "x", "y").agg(F.min("path").alias("path"), F.max("weight").alias("weight")).select("path", "n", "weight")
+        members = _of(rows, leaf).select("path", "weight", "key")
         done = members if done is None else done.unionByName(members)
-        large = sizes.where(F.col("n") > split).select("path")
+        large = sizes.where(F.col("n") > split).select("path", "n")
         if last or large.isEmpty():
             return done
-        deeper = rows.select("path", "key").join(large, "path").join(sets.select("key", "sig"), "key").select("path", "key", "sig")
-        rows = checkpointed(deeper.mapInArrow(_deeper(1 if level else AGAIN, threshold), "path bigint, key binary, sig binary").select("path", "key").distinct())
+        deeper = _of(rows, large).join(sets.select("key", "sig"), "key").select("path", "key", "size", "sig")
+        rows = checkpointed(deeper.mapInArrow(_deeper(1 if level else AGAIN, threshold), "path bigint, key binary, size bigint, sig binary").select("path", "key", "size").distinct())
     return done
 
 
@@ -352,16 +361,16 @@ def _groups(docs: DataFrame, threshold: float, runs: int | None, split: int, mor
     rows = placed(docs)
     d = rows.select("file", "place", F.col(f"row.`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"row.`{text_col}`").alias("text"))
     members = checkpointed(d.mapInArrow(_sets(runs or runs_for(threshold), threshold), SETS))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "file", "place", "sig", "paths"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "file", "place", "size", "sig", "paths"))
     classes = members.where("key is not null").groupBy("key").agg(F.count("*").alias("n_docs"), first.alias("f"))
-    classes = checkpointed(classes.select("key", "n_docs", F.col("f.doc_id").alias("rep"), "f.file", "f.place", "f.sig", "f.paths"))
-    found = _buckets(classes, split, more_levels, threshold).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("path", "n"))).alias("buckets"))
+    classes = checkpointed(classes.select("key", "n_docs", F.col("f.doc_id").alias("rep"), "f.file", "f.place", "f.size", "f.sig", "f.paths"))
+    found = _buckets(classes, split, more_levels, threshold).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("path", "weight"))).alias("buckets"))
     # only the texts of sets that share a leaf are compared
     asked = classes.select("file", "place", "key", "n_docs").join(found, "key")
     texts = d.select("file", "place", "text").join(asked, ["file", "place"]).select("key", "n_docs", "buckets", "text")
-    full = texts.mapInArrow(_with_shingles, "key binary, n_docs bigint, buckets array<struct<path:bigint,n:bigint>>, shingles binary")
+    full = texts.mapInArrow(_with_shingles, "key binary, n_docs bigint, buckets array<struct<path:bigint,weight:bigint>>, shingles binary")
     each = full.select("key", "n_docs", "shingles", F.transform("buckets", lambda x: x["path"]).alias("paths"), F.explode("buckets").alias("b"))
-    chunks = F.ceil(F.col("b.n") / CHUNK).cast("int")
+    chunks = F.ceil(F.col("b.weight") / CHUNK).cast("int")
     each = each.select("key", "n_docs", "shingles", "paths", "b.path", F.pmod(F.xxhash64("key"), chunks).cast("int").alias("chunk"), chunks.alias("chunks"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.struct(F.least("chunk", j).alias("one"), F.greatest("chunk", j).alias("other")))
     units = each.select("key", "n_docs", "shingles", "paths", "path", "chunk", F.inline(pairs))
