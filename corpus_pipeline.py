@@ -1,7 +1,11 @@
 """A training corpus from raw documents: quality rules, near-duplicate removal, masking, mixing, tokens.
 
 Each stage takes (spark, docs, sf_dir), works on all documents that its predecessor kept, and returns a DataFrame, which is
-written as Parquet and read again for the next stage. All but the last return the columns of documents."""
+written as Parquet and read again for the next stage. All but the last return the columns of documents.
+
+A null or empty text has no words, so the quality rules drop it; a null id, source or language is passed on, and so are repeated
+rows, of which the near-duplicate stage keeps one. Texts are taken whole, however long. Columns besides those of documents go
+through, whatever their names. An empty table gives an empty result."""
 
 from __future__ import annotations
 
@@ -32,12 +36,19 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed_order(docs)
 
 
+#: Bits of a position for the number of a task's file and of a file's row.
+FILE_BITS, ROW_BITS = 18, 24
+
+
 def placed(docs: DataFrame) -> DataFrame:
     """(position, doc_id, text) of docs read from files that Spark wrote: positions are distinct and rise in the order of the files' rows.
 
-    A position is made of the number of the task that wrote the file, the file's number within the task, and the row's number in the file."""
+    A position is made of the number of the task that wrote the file, the file's number within the task, and the row's number in
+    the file; numbers that don't fit their bits raise an error."""
     at = lambda rx: F.regexp_extract("_metadata.file_name", rx, 1).cast("long")
-    position = F.shiftleft(at("^part-([0-9]+)"), 43) + F.shiftleft(at("-c([0-9]+)[.]"), 33) + F.col("_metadata.row_index")
+    task, file, row = at("^part-([0-9]+)"), at("-c([0-9]+)[.]"), F.col("_metadata.row_index")
+    fits = (task < 1 << 63 - FILE_BITS - ROW_BITS) & (file < 1 << FILE_BITS) & (row < 1 << ROW_BITS)
+    position = F.when(fits, F.shiftleft(task, FILE_BITS + ROW_BITS) + F.shiftleft(file, ROW_BITS) + row).otherwise(F.raise_error(F.lit("too many tasks, files or rows for a position")).cast("bigint"))
     return docs.select(position.alias("position"), "doc_id", "text")
 
 
