@@ -81,3 +81,13 @@ def test_run_returns_the_mixing_order(spark, sf_dir, tmp_path):
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
+
+
+def test_positions_of_many_files(spark, tmp_path):
+    d = edge_docs(spark, [(i, f"text {i}", "en", "s", 1) for i in range(2300)])
+    d.coalesce(2).write.option("maxRecordsPerFile", 1).parquet(str(tmp_path / "d"))
+    rows = corpus_pipeline.placed(spark.read.parquet(str(tmp_path / "d")).withColumn("file", F.col("_metadata.file_name"))).collect()
+    assert len({r.position for r in rows}) == 2300
+    files = spark.read.parquet(str(tmp_path / "d")).select("doc_id", "_metadata.file_name").collect()
+    task_file = lambda n: tuple(map(int, (n[5:10], n.rsplit("-c", 1)[1].split(".")[0])))
+    assert [r.doc_id for r in sorted(rows, key=lambda r: r.position)] == [r.doc_id for r in sorted(files, key=lambda r: task_file(r.file_name))]
