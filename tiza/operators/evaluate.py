@@ -11,6 +11,7 @@ from tiza.functions.text import label, normal_key, normalise_answer
 from tiza.operators import parse, scoring
 from tiza.operators.dedupe import first_wins
 from tiza.operators.fuzzy_join import match_items
+from tiza.operators.lineage import checkpointed
 
 
 def item_list(items: DataFrame, keys: list[str]) -> DataFrame:
@@ -27,13 +28,17 @@ def marked(exams: DataFrame, answers: DataFrame, compat: bool = True) -> DataFra
     that of the item's id as written, or of the question where no item matches; without one no answer is correct."""
     closed = parse.score_sheet(exams.select("exam", "sheet"), "sheet").where("not is_development")
     keys = parse.answer_key(exams.select("exam", "key"), ["exam"], "key")
-    first = first_wins(answers.withColumn("question", normal_key(F.col("question"))), ["exam", "student", "question"], ["pos"])
+    asked = answers.withColumn("question", normal_key(F.col("question")))
+    first = first_wins(asked, ["exam", "student", "question"], ["pos"])
     read = first.withColumn("_n", normalise_answer(F.col("given"), F.col("question"), F.col("mode")))
     read = read.select("exam", "student", "question", F.col("_n.text").alias("given"), F.col("_n.confidence").alias("confidence"))
-    found = match_items(read, closed.select("exam", "pos", "id", "max_score"), ["exam"], compat)
+    # items and right answers are looked up once for each question of an exam, not for each student
+    found = match_items(checkpointed(asked.select("exam", "question").distinct()), closed.select("exam", "pos", "id", "max_score"), ["exam"], compat)
     right = keys.select(F.col("exam").alias("_exam"), F.col("id").alias("_id"), normal_key(F.col("answer")).alias("right"))
     same = (F.col("exam") == F.col("_exam")) & (F.coalesce("item_id", "question") == F.col("_id"))
-    out = found.join(right, same, "left").drop("_exam", "_id")
+    found = found.join(right, same, "left").drop("_exam", "_id").withColumnsRenamed({"exam": "_exam", "question": "_question"})
+    out = read.join(found, (F.col("exam") == F.col("_exam")) & (F.col("question") == F.col("_question")), "left").drop("_exam", "_question")
+    out = out.withColumn("item_max", F.coalesce("item_max", F.lit(1)))
     return out.withColumn("correct", F.coalesce((F.col("right") != "") & (F.col("right") == F.col("given")), F.lit(False)))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tiza.functions.text import normal_key
+from tiza.operators.lineage import checkpointed
 
 
 def _lengths(df: DataFrame, key: str) -> Column:
@@ -31,9 +32,10 @@ def match_items(questions: DataFrame, items: DataFrame, on: list[str] | None = N
     part keeps its first item before the join, and distinct questions are matched once, so neither a long list nor many
     questions meet all at once."""
     on = on or []
-    q = questions.select(*on, "question", normal_key(F.col("question")).alias("_key")).where("_key is not null").distinct()
+    # both are looked at several times; written, they are worked out once, and their sizes are known
+    q = checkpointed(questions.select(*on, "question", normal_key(F.col("question")).alias("_key")).where("_key is not null").distinct())
     i = items.select(*on, normal_key(F.col("id")).alias("_key"), F.struct("pos", "id", "max_score").alias("_item")).where("_key is not null")
-    own = i.groupBy(*on, "_key").agg(F.min("_item").alias("_item"))
+    own = checkpointed(i.groupBy(*on, "_key").agg(F.min("_item").alias("_item")))
     cut = lambda df, other: df.withColumn("_lengths", _lengths(other, "_key")).withColumn("_part", F.explode(substrings(F.col("_key"), F.col("_lengths"))))
     parts = cut(own, q).groupBy(*on, F.col("_part").alias("_key")).agg(F.min("_item").alias("_holds"))
     held = cut(q, own).join(own.withColumnRenamed("_key", "_part"), [*on, "_part"])
