@@ -40,6 +40,7 @@ def test_equals_brute_force_over_many_lists(spark, monkeypatch):
     """Tight groups, ties, a third of all rows equal; many small parts, blocks and rounds."""
     monkeypatch.setattr(hn, "PART", 7)
     monkeypatch.setattr(hn, "BLOCK", 5)
+    monkeypatch.setattr(hn, "AT_ONCE", 3)
     monkeypatch.setattr(hn, "FIRST", 2)
     monkeypatch.setattr(hn, "GROWTH", 2)
     rng = random.Random(3)
@@ -86,8 +87,12 @@ def test_scores_are_exact(large):
         hn.best_of(a | {"q": q * 2.0**30}, own | {"q": q * 2.0**30}, 3, 4, True)
 
 
-def test_pruned_lists_hold_nothing(spark):
-    """Far lists are left out: an anchor sees only the lists whose bound reaches its kth score."""
+def test_pruned_lists_hold_nothing(spark, monkeypatch):
+    """Far lists are left out: the search ends before the last round where no bound reaches a kth score."""
+    monkeypatch.setattr(hn, "GROWTH", 2)
+    rounds = []
+    best = hn._best
+    monkeypatch.setattr(hn, "_best", lambda *a: rounds.append(1) or best(*a))
     rng = np.random.default_rng(2)
     mids = rng.normal(size=(20, 8)) * 10
     rows = [(i, (mids[i % 20] + rng.normal(size=8) * 0.01).tolist(), i % 3, "x", 1, "y") for i in range(1200)]
@@ -96,4 +101,4 @@ def test_pruned_lists_hold_nothing(spark):
     lists = hn.in_lists(r, c)
     assert len(c) > 8 and lists.agg(F.max("distance")).first()[0] < 256 * 60
     got = found(hn.mine(r, F.col("id") % 50 == 0))
-    assert set(got) == brute_force(whole(rows), lambda i: i % 50 == 0)
+    assert set(got) == brute_force(whole(rows), lambda i: i % 50 == 0) and 2 <= len(rounds) < 4

@@ -27,8 +27,8 @@ from tiza.llm.common import stored, table
 SAMPLE = 20_000
 #: Lists at most; the centres, a row each, are sent to every task.
 MOST_LISTS = 512
-#: Rows of a list that are scored as one part, and anchors that travel together.
-PART, BLOCK = 4096, 2048
+#: Rows of a list that are scored as one part, anchors that travel together, and those of them that are scored at a time.
+PART, BLOCK, AT_ONCE = 4096, 16_384, 512
 #: Lists that an anchor visits in the first round, and how many times as many in each further one.
 FIRST, GROWTH = 8, 8
 #: An anchor's positives, and the negatives of each.
@@ -158,9 +158,15 @@ def search(anchors: DataFrame, lists: DataFrame, c: np.ndarray, radius: np.ndarr
         current = current.select("id", "label", "q", "lo", "hi")
         go = current.mapInArrow(visits, f"list int, parts int, id bigint, label bigint, q array<double>, lo {_LONGS}, hi {_LONGS}")
         go = go.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+        held = lists
+        if found is not None:  # of the lists only those are sent on that some anchor still visits
+            asked = [r["list"] for r in go.select("list").distinct().collect()]  # at most a row for each list
+            if not asked:
+                break
+            held = lists.where(F.col("list").isin(asked))
         by = F.create_map(*[F.lit(int(x)) for pair in enumerate(parts) for x in pair]) if (parts > 1).any() else F.lit(None)
         many = F.coalesce(by[F.col("list")], F.lit(1)) if (parts > 1).any() else F.lit(1)
-        there = lists.select("list", F.pmod(F.xxhash64("id"), many).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "id", "label", "q")
+        there = held.select("list", F.pmod(F.xxhash64("id"), many).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "id", "label", "q")
 
         def score(_, left, right):
             if not len(left) or not len(right):
@@ -168,8 +174,11 @@ def search(anchors: DataFrame, lists: DataFrame, c: np.ndarray, radius: np.ndarr
             right = right.sort_by("id")
             a, r = ({"id": x.column("id").to_numpy(), "label": x.column("label").to_numpy(), "q": matrix(x.column("q"), width)} for x in (left, right))
             a |= {x: longs(left.column(x)) for x in ("lo", "hi")}
-            i, w, j, s = best_of(a, r, width, k, same)
-            return pa.table({"id": a["id"][i], "window": w.astype(np.int32), "score": s, "other": r["id"][j]})
+            found = []
+            for at in range(0, len(a["id"]), AT_ONCE):
+                i, w, j, s = best_of({x: v[at : at + AT_ONCE] for x, v in a.items()}, r, width, k, same)
+                found.append((a["id"][i + at], w.astype(np.int32), s, r["id"][j]))
+            return pa.table(dict(zip(("id", "window", "score", "other"), map(np.concatenate, zip(*found)))))
 
         key = ["list", "part", "block"]
         new = go.groupBy(*key).cogroup(there.groupBy(*key)).applyInArrow(score, "id bigint, window int, score bigint, other bigint")
