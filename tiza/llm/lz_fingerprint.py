@@ -6,7 +6,8 @@ fingerprints' likeness is the share of the smallest hashes of their union that b
 Jaccard likeness. Like compression it rates shared substrings of all lengths.
 
 Null and empty texts have the empty fingerprint, which is like itself (1) and unlike others (0). Null ids come last. Rows may
-share an id or be equal in all: they go by their texts' hashes, then by their places in files, so that ranges cut them too.
+share an id or be equal in all: they go by their texts' hashes, then by their places in files, so that ranges cut them too. Texts
+are parsed whole, however long; a task holds a text, its neighbour and their phrases. An empty table gives no rows.
 """
 
 from __future__ import annotations

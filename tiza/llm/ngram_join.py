@@ -14,7 +14,7 @@ smaller, as with thousands of near copies, is cut into chunks, and each pair of
 pair leaves its task, only each set's counts and its group's smallest member do.
 
 Words are runs of letters, digits and non-ASCII characters of the lower-cased text; a text of one to four words has one
-shingle, its words. Null texts and texts without words are in no pair, and each is a class of its own. Rows are told apart by
+shingle, its words. Texts are taken whole, however long: a long one is a set of many shingles. Null texts and texts without words are in no pair, and each is a class of its own. Rows are told apart by
 their places in files (common.placed), so ids may repeat or be null, and copies of a row are linked like other copies.
 """
 

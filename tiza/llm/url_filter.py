@@ -9,7 +9,7 @@ A registered domain is a public suffix and one label more; `suffixes` lists the
 label is one. An IP address is its own domain and suffix. A page_id that occurs more than once gives each of its rows' hosts
 its outcomes, and an id with several labels several outcomes.
 
-Null or malformed urls have empty host and path and use the overall rate. Repeated rows stay repeated. Without labels all
+Null or malformed urls have empty host and path and use the overall rate; very long ones are read whole, like others. Repeated rows stay repeated. Without labels all
 that no rule blocks is allowed.
 """
 
