@@ -9,7 +9,7 @@ two lookups give the response of a filter up to four bytes wide.
 
 Texts that are null or have no letter get `und` with score 0, as do all texts when nothing is labelled. Very long texts are
 judged by all their windows, some at a time. Repeated rows are rows like others, each with its prediction, which equal texts share;
-an empty table gives no rows. Of equally likely languages the first in order of frequency wins.
+an empty table gives no rows. Of equally likely languages the first by name wins.
 """
 
 from __future__ import annotations
