@@ -9,8 +9,8 @@ from pyspark.sql import Window as W
 
 from tiza.functions import checks, dates, json_repair, numeric, text
 from tiza.operators import batching, evaluate, fuzzy_join, ledger, merge, names, omr, parse, scoring, validated
-from tiza.operators.dedupe import first_wins
-from tiza.sources import readers
+from tiza.operators.dedupe import first_of_each, first_wins
+from tiza.sources import readers, sinks
 from tiza.sources.readers import joined_pages, table
 
 QUERIES: dict = {}
@@ -680,3 +680,122 @@ def json_entries(spark, d):
 def first_wins_query(spark, d):
     li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *ANSWER_ORDER)
     return first_wins(li, ["l_orderkey", "l_linenumber"], ANSWER_ORDER).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+
+
+@query(
+    "form_bodies",
+    """SELECT o_orderkey, CASE o_orderkey % 3 WHEN 2 THEN NULL ELSE o_orderpriority END AS priority, CASE o_orderkey % 3 WHEN 0 THEN '' END AS empty, CASE WHEN o_orderkey % 3 < 2 THEN o_custkey::VARCHAR END AS customer FROM orders""",
+)
+def form_bodies(spark, d):
+    """Request bodies: a form with a repeated key and an empty value, a JSON object, and one of no known type."""
+    k, c = F.col("o_orderkey") % 3, F.col("o_custkey").cast("string")
+    priority = F.replace(F.replace(F.col("o_orderpriority"), F.lit(" "), F.lit("+")), F.lit("-"), F.lit("%2D"))
+    form = F.concat(F.lit("priority="), priority, F.lit("&empty=&customer="), c, F.lit("&customer=x&"))
+    json = F.concat(F.lit('{"priority":"'), F.col("o_orderpriority"), F.lit('","customer":"'), c, F.lit('"}'))
+    raw = F.when(k == 0, form).when(k == 1, json).otherwise("neither")
+    kind = F.when(k == 0, "application/x-www-form-urlencoded;charset=UTF-8").otherwise("application/json")
+    o = table(spark, d, "orders").select("o_orderkey", readers.body(kind, raw).alias("b"))
+    at = lambda name: F.try_element_at("b", F.lit(name))
+    return o.select("o_orderkey", at("priority").alias("priority"), at("empty").alias("empty"), at("customer").alias("customer"))
+
+
+@query(
+    "data_urls",
+    """SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'text/plain' WHEN 1 THEN 'image/png' ELSE 'application/octet-stream' END AS mime, sha256(encode(coalesce(text, ''))) AS digest, doc_id % 3 <> 2 AS accepted FROM documents""",
+)
+def data_urls(spark, d):
+    """Texts as data URLs, with a type, with a type and a character set, and bare; of which the accepted types."""
+    k, body = F.col("doc_id") % 3, F.base64(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
+    url = F.concat(F.when(k == 0, "data:text/plain;charset=utf-8;base64,").when(k == 1, "data:image/png;base64,").otherwise(""), F.replace(body, F.lit("\r\n")))
+    f = table(spark, d, "documents").select("doc_id", readers.data_url(url).alias("f")).select("doc_id", "f.mime", F.sha2("f.content", 256).alias("digest"))
+    kept = readers.accepted(f).select("doc_id", F.lit(True).alias("accepted"))
+    return f.join(kept, "doc_id", "left").withColumn("accepted", F.coalesce("accepted", F.lit(False)))
+
+
+@query(
+    "number_texts",
+    """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN o_custkey::DOUBLE ELSE 0.0 END AS whole, CASE o_orderkey % 4 WHEN 0 THEN o_custkey::DOUBLE WHEN 1 THEN o_custkey + 0.5 ELSE 0.0 END AS leading,
+    CASE WHEN o_orderkey % 4 < 2 THEN o_custkey::INT END AS integer, CASE o_orderkey % 4 WHEN 0 THEN least(7.0::DOUBLE, greatest(1.0::DOUBLE, o_custkey::DOUBLE)) ELSE 1.0 END AS clamped,
+    CASE WHEN o_totalprice > 1000 THEN o_totalprice ELSE floor(o_totalprice + 0.5::DOUBLE) END AS amount FROM orders""",
+)
+def number_texts(spark, d):
+    """Numbers with blanks, before a unit, after one, and missing."""
+    k, c = F.col("o_orderkey") % 4, F.col("o_custkey").cast("string")
+    t = F.when(k == 0, F.concat(F.lit(" "), c, F.lit("\t"))).when(k == 1, F.concat(c, F.lit(".5 pts"))).when(k == 2, F.concat(F.lit("pts "), c))
+    return table(spark, d, "orders").select("o_orderkey", numeric.parse_number(t).alias("whole"), numeric.parse_leading_number(t).alias("leading"), numeric.parse_int(t).alias("integer"), numeric.clamp_grade(t).alias("clamped"), numeric.amount(F.col("o_totalprice")).alias("amount"))
+
+
+@query(
+    "text_variants",
+    """SELECT doc_id, 'Doc_' || doc_id || '_' || coalesce(lang, '') || '_pdf' AS slug, 'Doc ' || doc_id AS label, 'a<br>' || doc_id AS breaks, 'see' || chr(10) || 'end' AS unmarked, CASE WHEN doc_id % 2 = 0 THEN 'pro-' || doc_id END AS plan,
+    'https://h/' || doc_id AS url, 'secret…' || right('000' || doc_id, 4) AS masked, (doc_id % 7)::VARCHAR AS obtained, '7' AS maximum, doc_id % 4 = 0 AS strict, doc_id % 4 IN (0, 1) AS loose, doc_id % 4 <> 3 AS basic FROM documents""",
+)
+def text_variants(spark, d):
+    k = F.col("doc_id").cast("string")
+    mail = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("a"), k, F.lit("@x.org"))).when(F.col("doc_id") % 4 == 1, F.concat(F.lit("mail a"), k, F.lit("@x.org now"))).when(F.col("doc_id") % 4 == 2, F.concat(F.lit("a@"), k, F.lit("0"))).otherwise("none")
+    score = text.score_parts(F.concat((F.col("doc_id") % 7).cast("string"), F.lit("/7")))
+    return table(spark, d, "documents").select(
+        "doc_id", text.slug(F.concat(F.lit("Doc "), k, F.lit("-"), F.coalesce("lang", F.lit("")), F.lit(".pdf"))).alias("slug"), text.label(F.concat(F.lit("Doc_"), k)).alias("label"),
+        text.line_breaks(F.concat(F.lit("a\n"), k)).alias("breaks"), text.strip_marks(F.concat(F.lit("see\n[OMR_MARK] x="), k, F.lit("\nend"))).alias("unmarked"),
+        text.plan_of_subject(F.concat(F.when(F.col("doc_id") % 2 == 0, "Plan:PRO-").otherwise("Other:PRO-"), k), "plan:").alias("plan"), text.without_slashes(F.concat(F.lit("https://h/"), k, F.lit("//"))).alias("url"),
+        text.masked_secret(F.concat(F.lit("secret-key-000"), k)).alias("masked"), score["obtained"].alias("obtained"), score["maximum"].alias("maximum"),
+        *[text.valid_email(mail, rule).alias(rule) for rule in ("strict", "loose", "basic")],
+    )
+
+
+@query(
+    "line_keys",
+    """SELECT conv_id, list_transform(string_split('A,B' || max(turn), ','), lambda x: upper(x)) AS sm, CASE WHEN count(*) > 2 THEN ['V', 'F'] ELSE [] END AS vf FROM conversations GROUP BY 1""",
+)
+def line_keys(spark, d):
+    """Keys by lines, of which the last of each kind counts."""
+    n = F.col("last").cast("string")
+    key = F.concat(F.lit("SM:x,y\n note\nSM: a , b"), n, F.when(F.col("turns") > 2, "\n VF: v,f").otherwise(""))
+    c = table(spark, d, "conversations").groupBy("conv_id").agg(F.max("turn").alias("last"), F.count("*").alias("turns")).select("conv_id", key.alias("key"))
+    return parse.line_key(c, "key").select("conv_id", "sm", "vf")
+
+
+@query(
+    "ledger_gates",
+    """WITH b AS (SELECT user_id, sum(CASE WHEN event_type = 'purchase' THEN 10 ELSE -4 END)::BIGINT AS balance FROM events WHERE event_type IN ('purchase', 'click') GROUP BY 1),
+    u AS (SELECT user_id, count(*)::BIGINT AS n FROM events GROUP BY 1),
+    w AS (SELECT user_id, count(*)::BIGINT AS fresh FROM events AS e WHERE event_id NOT IN (SELECT event_id FROM events WHERE event_type = 'purchase') GROUP BY 1)
+    SELECT user_id, coalesce(balance, 0) <= 0 AS blocked, coalesce(fresh, 0)::BIGINT AS fresh, ceil(n / 45.0)::BIGINT AS chunks, CASE WHEN user_id % 3 = 0 THEN TRUE ELSE user_id % 100 < 98 END AS confirm FROM u LEFT JOIN b USING (user_id) LEFT JOIN w USING (user_id)""",
+)
+def ledger_gates(spark, d):
+    """Users without credit, their events that aren't among the paid ones, the chunks of their events, and captures that need confirming."""
+    e = table(spark, d, "events").select("event_id", "user_id", "event_type")
+    balance = ledger.balances(_entries(spark, d, -4).withColumnRenamed("user_id", "owner")).withColumnRenamed("owner", "user_id")
+    fresh = ledger.new_orders(e.select("event_id", "user_id"), e.where("event_type = 'purchase'"), "event_id").groupBy("user_id").agg(F.count("*").alias("fresh"))
+    u = e.groupBy("user_id").agg(F.count("*").alias("n")).join(balance, "user_id", "left").join(fresh, "user_id", "left")
+    sure = F.when(F.col("user_id") % 3 == 0, 0.5).otherwise((F.col("user_id") % 100) / F.lit(100.0))
+    return u.select("user_id", ledger.blocked(F.col("balance")).alias("blocked"), F.coalesce("fresh", F.lit(0)).alias("fresh"), batching.chunks_needed(F.col("n")).alias("chunks"), omr.to_confirm(sure).alias("confirm"))
+
+
+@query(
+    "answer_lists",
+    """WITH g AS (SELECT conv_id, list(role ORDER BY turn, text) AS r, list(turn ORDER BY turn, text) AS t FROM conversations GROUP BY 1)
+    SELECT conv_id, list_transform(r[:5], lambda x: x) AS first_ones, greatest(len(r) - 5, 0)::INT AS others, (SELECT list(x ORDER BY i) FROM (SELECT x, min(i) AS i FROM (SELECT unnest(r) AS x, unnest(range(len(r))) AS i) GROUP BY x)) AS distinct_roles,
+    CASE WHEN conv_id % 2 = 0 THEN [conv_id::VARCHAR] ELSE r END AS answers, CASE WHEN conv_id % 2 = 0 THEN 'submitted' ELSE r[1] END AS source, CASE WHEN conv_id % 3 = 0 THEN ['a', conv_id::VARCHAR] ELSE [] END AS names,
+    '{"a":"' || conv_id || '"}' AS braces FROM g""",
+)
+def answer_lists(spark, d):
+    """First five and others, distinct ones in order, submitted answers over extracted ones, lists in JSON, text between braces."""
+    k = F.col("conv_id").cast("string")
+    roles = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text", "role"))), lambda x: x["role"])
+    g = table(spark, d, "conversations").groupBy("conv_id").agg(roles.alias("r"))
+    first, rest = sinks.first_and_rest(F.col("r"))
+    own = F.when(F.col("conv_id") % 2 == 0, F.array(k)).otherwise(F.array().cast("array<string>"))
+    listed = F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit('["a","'), k, F.lit('"]'))).otherwise("no list")
+    alias = F.when(F.col("conv_id") % 2 == 0, "submitted").otherwise("")
+    return g.select(
+        "conv_id", first.alias("first_ones"), F.size(rest).alias("others"), first_of_each(F.col("r"), lambda x: x).alias("distinct_roles"), scoring.overridden(own, F.col("r")).alias("answers"),
+        json_repair.first_of(alias, F.lit(None).cast("string"), F.get("r", F.lit(0))).alias("source"), json_repair.string_list(listed).alias("names"), json_repair.braces(F.concat(F.lit("so: {"), F.lit('"a":"'), k, F.lit('"} ok'))).alias("braces"),
+    )
+
+
+@query("mean_confidence", "SELECT round(coalesce(avg(c), 0.0), 9) AS confidence FROM (SELECT 1 - max(l_discount) AS c FROM lineitem GROUP BY l_orderkey, l_linestatus, l_linenumber, l_quantity)")
+def mean_confidence(spark, d):
+    """The mean over all marks, to nine places, as the order of a sum is not fixed."""
+    m = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linestatus", "l_linenumber", "l_quantity").agg((1 - F.max("l_discount")).alias("confidence"))
+    return omr.mean_confidence(m).select(F.round("confidence", 9).alias("confidence"))
