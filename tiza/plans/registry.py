@@ -10,8 +10,11 @@ from pyspark.sql import Window as W
 from tiza.functions import checks, dates, json_repair, numeric, text
 from tiza.operators import batching, evaluate, fuzzy_join, ledger, merge, names, omr, parse, scoring, validated
 from tiza.operators.dedupe import first_of_each, first_wins
+from tiza.operators.lineage import new_folder
 from tiza.sources import readers, sinks
+from tiza.sources.lines import growing_lines
 from tiza.sources.readers import joined_pages, table
+from tiza.streaming import completion, state
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -491,6 +494,18 @@ def evaluate_route(spark, d):
     return evaluate.evaluated(_exams(spark, d), _exam_answers(spark, d), details)
 
 
+@query("evaluate_replies", ORACLES["evaluate_route"])
+def evaluate_replies(spark, d):
+    """As evaluate_route; the development points come from a reply for each student, JSON within other text."""
+    li = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_quantity").alias("q"))
+    points = F.concat((F.floor("q") % 3).cast("string"), F.when(F.col("q") % 2 == 0, "/3").otherwise(" de 3"))
+    entry = F.concat(F.lit('"P'), F.col("l_linenumber").cast("string"), F.lit('":{"puntaje":"'), points, F.lit('"}'))
+    r = li.groupBy("l_orderkey").agg(F.array_join(F.collect_list(entry), ",").alias("items"))
+    raw = F.concat(F.lit('Reply: {"puntaje":"1/2","retroalimentacion":{"detalle_puntaje_desarrollo":{'), F.col("items"), F.lit("}}} end"))
+    replies = validated.parsed_replies(r.select((F.col("l_orderkey") % 5).alias("exam"), F.col("l_orderkey").alias("student"), raw.alias("raw")), F.col("raw"))
+    return evaluate.evaluated(_exams(spark, d), _exam_answers(spark, d), evaluate.reply_details(replies))
+
+
 @query("item_list", f"SELECT exam, coalesce(string_agg(id || ' (Máx: ' || worth || ' puntos)', ', ' ORDER BY pos) FILTER (starts_with(id, 'P')), '') AS items FROM ({_EXAM_ITEMS}) GROUP BY 1")
 def item_list(spark, d):
     return evaluate.item_list(parse.score_sheet(_exams(spark, d), "sheet"), ["exam"])
@@ -799,3 +814,80 @@ def mean_confidence(spark, d):
     """The mean over all marks, to nine places, as the order of a sum is not fixed."""
     m = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linestatus", "l_linenumber", "l_quantity").agg((1 - F.max("l_discount")).alias("confidence"))
     return omr.mean_confidence(m).select(F.round("confidence", 9).alias("confidence"))
+
+
+@query(
+    "protocol_lines",
+    """WITH r AS (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS n, event_type FROM events), t AS (SELECT count(*) AS n FROM events)
+    SELECT -1 AS place, '{"type":"meta","totalItems":' || n || ',"totalBatches":' || ceil(n / 45.0)::BIGINT || ',"batchSize":45,"maxConcurrent":3}' AS value FROM t
+    UNION ALL SELECT n, '{"type":"result","batchIndex":' || n // 45 || ',"groupId":"' || event_id || '","success":' || CASE WHEN event_type = 'error' THEN 'false,"error":"bad"}' ELSE 'true,"data":"' || event_type || '"}' END FROM r
+    UNION ALL SELECT 4611686018427387904, '{"type":"done"}'""",
+)
+def protocol_lines(spark, d):
+    """All events as the results of one batch."""
+    bad = F.col("event_type") == "error"
+    e = table(spark, d, "events").select("event_id", F.col("event_id").cast("string").alias("groupId"), (~bad).alias("success"), F.when(~bad, F.col("event_type")).alias("data"), F.when(bad, "bad").alias("error"))
+    return sinks.protocol(e, "event_id")
+
+
+def _ran(stream) -> None:
+    """Waits for a stream that ends with its input."""
+    stream.awaitTermination()
+    if stream.exception():
+        raise stream.exception()
+
+
+@query(
+    "stream_split",
+    """SELECT CASE WHEN event_id % 50 = 0 THEN 'rejected' ELSE 'accepted' END AS outcome, CASE WHEN event_id % 50 <> 0 THEN event_type <> 'error' END AS success, count(*)::BIGINT AS n FROM events GROUP BY 1, 2""",
+)
+def stream_split(spark, d):
+    """Events as lines of growing files, some of them malformed; a stream that splits them; its counts."""
+    folder = new_folder(spark)
+    line = F.to_json(F.struct(F.lit("result").alias("type"), F.col("user_id").cast("string").alias("groupId"), (F.col("event_type") != "error").alias("success")))
+    table(spark, d, "events").select(F.when(F.col("event_id") % 50 == 0, F.concat(F.lit("{bad "), line)).otherwise(line)).write.text(f"{folder}/lines")
+    lines = readers.parsed_lines(growing_lines(spark, f"{folder}/lines"))
+    _ran(validated.split_stream(validated.with_reasons(lines, {"malformed line": F.col("malformed").isNull()}), f"{folder}/split", f"{folder}/offsets"))
+    return spark.read.parquet(f"{folder}/split").groupBy("outcome", "success").agg(F.count("*").alias("n"))
+
+
+@query(
+    "stream_outcomes",
+    """SELECT o_custkey::VARCHAR AS stream, o_orderkey::VARCHAR AS "groupId", o_orderkey % 4 <> 0 AND o_orderstatus = 'F' AS success,
+    CASE WHEN o_orderkey % 4 <> 0 THEN CASE WHEN o_orderstatus <> 'F' THEN 'bad page' END WHEN o_custkey % 3 = 0 THEN 'HTTP 500' ELSE 'No result in the stream' END AS error,
+    CASE WHEN o_orderkey % 4 <> 0 THEN 'result' WHEN o_custkey % 3 = 0 THEN 'failed' ELSE 'done' END AS closed_by FROM orders""",
+)
+def stream_outcomes(spark, d):
+    """A customer's orders are the items of a stream; every fourth has no result; streams end or fail."""
+    folder, o = new_folder(spark), table(spark, d, "orders")
+    good, none, text_none = F.col("o_orderstatus") == "F", F.lit(None).cast("boolean"), F.lit(None).cast("string")
+    stream, item = F.col("o_custkey").cast("string").alias("stream"), F.col("o_orderkey").cast("string")
+    results = o.where("o_orderkey % 4 <> 0").select(stream, F.col("o_orderkey").cast("long").alias("order"), F.lit("result").alias("type"), item.alias("groupId"), good.alias("success"), text_none.alias("data"), F.when(~good, "bad page").alias("error"))
+    lost = F.col("o_custkey") % 3 == 0
+    ends = o.select("o_custkey").distinct().select(stream, F.lit(2**62).alias("order"), F.when(lost, "failed").otherwise("done").alias("type"), text_none.alias("groupId"), none.alias("success"), text_none.alias("data"), F.when(lost, "HTTP 500").alias("error"))
+    starts = completion.started(o.select(item.alias("item"), stream), "stream", "item")
+    events = starts.unionByName(results).unionByName(ends)
+    events.write.parquet(f"{folder}/events")
+    # without the second one a stream with timers of processing time goes on after its input, as they may still be due
+    settings = {"spark.sql.streaming.stateStore.providerClass": completion.PROVIDER, "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        out = completion.completed(spark.readStream.schema(events.schema).parquet(f"{folder}/events"))
+        _ran(out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/offsets").trigger(availableNow=True).start())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    return spark.read.schema(completion.OUTCOME).parquet(f"{folder}/out").drop("data")
+
+
+@query("stream_latest", "SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, max(ts) AS ts FROM events GROUP BY 1")
+def stream_latest(spark, d):
+    """The latest event of each user by two micro-batches into a state of buckets."""
+    folder, e = new_folder(spark), table(spark, d, "events").select("user_id", "ts", "event_id", "event_type")
+    for part in (0, 1):
+        e.where(F.col("event_id") % 2 == part).write.mode("append").parquet(f"{folder}/events")
+        stream = spark.readStream.schema(e.schema).parquet(f"{folder}/events")
+        _ran(state.keep_latest(stream, f"{folder}/state", f"{folder}/offsets", ["user_id"], ["ts", "event_id"], 16))
+    return state.latest_state(spark, f"{folder}/state", e.schema).drop("event_id")

@@ -27,38 +27,37 @@ class Completion(StatefulProcessor):
         self.handle = handle
         self.open = handle.getMapState("open", "groupId string", "started bigint")
 
-    def _close(self, stream: str, error: str, closed_by: str) -> Iterator[Row]:
-        for (group,) in sorted(self.open.keys()):
-            yield _ROW(stream, group, False, None, error, closed_by)
-        self.open.clear()
-
-    def _wait(self, now: int | None) -> None:
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        if now is not None:
-            self.handle.registerTimer(now + self.silent)
+    def _closed(self, stream: str, groups, error: str, closed_by: str) -> list[Row]:
+        return [_ROW(stream, group, False, None, error, closed_by) for group in sorted(groups)]
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         (stream,) = key
-        latest = 0
+        # the state is read once and only what has changed is written: each access to it is a message to the JVM
+        before = {group: since for (group,), (since,) in self.open.iterator()} if self.open.exists() else {}
+        still, latest = dict(before), 0
         for r in sorted(rows, key=lambda r: r.order):  # at most what a request holds, and its results
             latest = max(latest, r.at or 0)
             if r.type == "start" and r.groupId is not None:
-                self.open.updateValue((r.groupId,), (r.order,))
+                still[r.groupId] = r.order
             elif r.type == "result":
                 yield _ROW(stream, r.groupId, bool(r.success), r.data, r.error, "result")
-                if r.groupId is not None and self.open.containsKey((r.groupId,)):
-                    self.open.removeKey((r.groupId,))
-            elif r.type == "done":
-                yield from self._close(stream, self.ended, "done")
-            elif r.type == "failed":
-                yield from self._close(stream, r.error or self.lost, "failed")
-        still = next(iter(self.open.keys()), None)
-        now = latest if self.event_time else timerValues.getCurrentProcessingTimeInMs()
-        self._wait(None if still is None else now)
+                still.pop(r.groupId, None)
+            elif r.type in ("done", "failed"):
+                yield from self._closed(stream, still, self.ended if r.type == "done" else r.error or self.lost, r.type)
+                still.clear()
+        for group in before.keys() - still.keys():
+            self.open.removeKey((group,))
+        for group in still.keys() - before.keys():
+            self.open.updateValue((group,), (still[group],))
+        if before:  # a stream has a timer as long as items are open
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
+        if still:
+            self.handle.registerTimer((latest if self.event_time else timerValues.getCurrentProcessingTimeInMs()) + self.silent)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        yield from self._close(key[0], self.lost, "timeout")
+        yield from self._closed(key[0], [group for (group,) in self.open.keys()], self.lost, "timeout")
+        self.open.clear()
 
     def close(self) -> None:
         pass
@@ -69,7 +68,8 @@ def completed(events: DataFrame, silent: int = 300_000, event_time: bool = False
 
     events(stream, order, at, type, groupId, success, data, error): `order` orders a stream's events, starts first. Results come as they are; a
     later one of an item comes as well. `done` and `failed` close what is open; so does a timer after `silent` milliseconds without
-    events, of processing time, or of event time by the column `at` (a timestamp with a watermark). The session must use PROVIDER."""
+    events, of processing time, or of event time by the column `at` (a timestamp with a watermark). The session must use PROVIDER; a stream
+    that is to end with its input needs spark.sql.streaming.noDataMicroBatches.enabled off with timers of processing time."""
     at = F.unix_millis("at") if event_time else F.lit(None).cast("long")
     named = events.select("stream", F.col("order").cast("long").alias("order"), *(["at"] if event_time else []), "type", "groupId", "success", "data", "error", at.alias("_at"))
     # the event-time column itself stays among the rows: the watermark goes by it
