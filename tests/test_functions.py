@@ -82,6 +82,11 @@ def test_names_and_feedback(spark):
     assert values(spark, text.prefixed_feedback(F.col("t"), F.col("k")), rows, "t string, k string") == ["Luz buen trabajo", "El estudiante avanza"]
 
 
+def test_a_name_ends_before_the_first_verb(spark):
+    rows = [("Ana Soto muestra Tiened the", "Estudiante"), ("Ana Soto muestra haen tienea", "Estudiante"), ("Ana María Soto Vera tiene ideas", "")]
+    assert values(spark, text.student_name(F.col("t"), F.col("k")), rows, "t string, k string") == ["Ana Soto", "Ana Soto", "Ana María Soto Vera"]
+
+
 def test_signing(spark):
     import hashlib
     import hmac

@@ -70,9 +70,9 @@ def clean_control(text: Column) -> Column:
 def student_name(text: Column, known: Column) -> Column:
     """The known name; else one that the text gives after a word for student or before a verb; else a default phrase."""
     word = "[A-ZÁÉÍÓÚÑ][a-záéíóúñ]+"
-    # fixed phrases of the texts in question
+    # fixed phrases of the texts in question; a name ends before the first verb, though a later word may begin like one
     after = rf"(?i)(?:el estudiante|la estudiante|alumno|alumna)\s+({word}(?:\s+{word})*)"
-    before = rf"(?i)^({word}(?:\s+{word}){{1,3}})\s+(?:demuestra|muestra|presenta|tiene)"
+    before = rf"(?i)^({word}(?:\s+{word}){{1,3}}?)\s+(?:demuestra|muestra|presenta|tiene)"
     given = F.when((strip(known) != "") & (known != "Estudiante"), known)
     found = [F.nullif(strip(F.regexp_extract(text, p, 1)), F.lit("")) for p in (after, before)]
     return F.coalesce(given, *found, F.lit("El estudiante"))
