@@ -23,6 +23,20 @@ def test_score_sheet(spark):
     assert [r.max_score for r in parse.score_sheet_lenient(df.where("e = 2"), "s").orderBy("pos").collect()][:4] == [3, 3, 0, 0]
 
 
+def test_score_sheet_in_pieces(spark):
+    pieces = ["SM1:1; SM2:0", "", None, "P3:2; ; VF4:4", "SM5:5"]
+    df = spark.createDataFrame([(e, i, p) for e in ("a", None) for i, p in enumerate(pieces)], "e string, i int, s string")
+    whole = spark.createDataFrame([(e, "; ".join(p for p in pieces if p)) for e in ("a", None)], "e string, s string")
+    columns = ["e", "pos", "id", "max_score", "is_development"]
+    assert rows(parse.score_sheet_pieces(df, ["e"], "i", "s").select(columns)) == rows(parse.score_sheet(whole, "s").select(columns))
+
+
+def test_a_brand_has_one_sheet(spark, sf_dir):
+    got = registry.QUERIES["score_sheet_parse"](spark, sf_dir)
+    assert got.groupBy("p_brand", "pos").count().where("count > 1").isEmpty()
+    assert got.columns == ["p_brand", "pos", "id", "max_score", "is_development"]
+
+
 def test_keys(spark):
     df = spark.createDataFrame([(1, "SM1:A; SM2:C; VF1:V; SM1:B")], "e int, k string")
     assert rows(parse.answer_key(df, ["e"], "k")) == [(1, "SM1", "B"), (1, "SM2", "C"), (1, "VF1", "V")]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tiza.functions.numeric import parse_int
@@ -27,6 +28,16 @@ def score_sheet(df: DataFrame, text: str) -> DataFrame:
     return p.withColumn("is_development", is_development(F.col("id"))).drop("value")
 
 
+def score_sheet_pieces(df: DataFrame, keys: list[str], piece: str, text: str) -> DataFrame:
+    """As score_sheet of each key's pieces put together in their order by semicolons: pos counts through all of them.
+
+    A piece ends between two pairs, and a piece without text is none. No row holds more than a piece."""
+    own = df.where(F.col(text) != "").withColumn("_n", F.size(F.split(F.col(text), ";")))
+    before = W.partitionBy(*keys).orderBy(piece).rowsBetween(W.unboundedPreceding, -1)
+    own = own.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    return score_sheet(own, text).withColumn("pos", (F.col("pos") + F.col("_before")).cast("int")).drop("_n", "_before")
+
+
 def score_sheet_lenient(df: DataFrame, text: str) -> DataFrame:
     """As score_sheet, but scores that are no numbers count as 0 and stay."""
     return pairs(df, text).where("id <> ''").withColumn("max_score", F.coalesce(parse_int(F.col("value")), F.lit(0))).drop("value")

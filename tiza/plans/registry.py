@@ -110,9 +110,15 @@ _ITEMS = f"""SELECT p_brand, block, pos, trim(split_part(pair, ':', 1)) AS id, t
     SELECT p_brand, (p_partkey // {SHEET})::BIGINT AS block, string_agg((CASE WHEN p_size % 5 = 0 THEN 'P' ELSE 'SM' END) || p_partkey || ':' || p_size, '; ' ORDER BY p_partkey) AS sheet FROM part GROUP BY 1, 2))"""
 
 
-@query("score_sheet_parse", f"SELECT *, starts_with(id, 'P') AS is_development FROM ({_ITEMS}) WHERE max_score > 0")
+_WHOLE_ITEMS = """SELECT p_brand, pos, trim(split_part(pair, ':', 1)) AS id, trim(split_part(pair, ':', 2))::INT AS max_score FROM (
+  SELECT p_brand, unnest(string_split(sheet, ';')) AS pair, unnest(range(len(string_split(sheet, ';'))))::INT AS pos FROM (
+    SELECT p_brand, string_agg((CASE WHEN p_size % 5 = 0 THEN 'P' ELSE 'SM' END) || p_partkey || ':' || p_size, '; ' ORDER BY p_partkey) AS sheet FROM part GROUP BY 1))"""
+
+
+@query("score_sheet_parse", f"SELECT *, starts_with(id, 'P') AS is_development FROM ({_WHOLE_ITEMS}) WHERE max_score > 0")
 def score_sheet_parse(spark, d):
-    return parse.score_sheet(_sheets(spark, d), "sheet").select("p_brand", "block", "pos", "id", "max_score", "is_development")
+    """A brand's whole sheet, which comes in pieces."""
+    return parse.score_sheet_pieces(_sheets(spark, d), ["p_brand"], "block", "sheet").select("p_brand", "pos", "id", "max_score", "is_development")
 
 
 @query(
