@@ -1,4 +1,5 @@
 import json
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -67,3 +68,38 @@ def test_growing_files_to_outcomes(stateful, tmp_path):
     with open(folder / "q", "a") as f:
         f.write('{"type": "failed", "error": "HTTP 502"}\n')
     assert step() == sorted([*first, ("q", "q1", False, "HTTP 502", "failed")])
+
+
+def test_batches_settle_as_the_state_does(spark, tmp_path):
+    """Random events in batches: the outcomes that a dictionary of open items gives; each batch runs twice."""
+    folder, rng, silent = str(tmp_path / "out"), random.Random(3), 1000
+    schema = "stream string, order long, type string, groupId string, success boolean, data string, error string"
+    want, still, seen = [], {}, {}
+    for number, now in enumerate((0, 500, 900, 2500, 2600)):
+        rows = []
+        for s in rng.sample("abcdefgh", 5 if number else 8):
+            for o in sorted(rng.sample(range(50), 9)):
+                t = rng.choice(["start", "start", "start", "result", "result", "meta", rng.choice(["done", "failed"])])
+                rows.append((s, o, t, rng.choice("xyz") if t in ("start", "result") else None, rng.choice([True, False, None]), None, rng.choice(["e", "", None])))
+        rng.shuffle(rows)
+        for s in {r[0] for r in rows} | still.keys():
+            own, opened = sorted((r for r in rows if r[0] == s), key=lambda r: r[1]), still.setdefault(s, set())
+            for _, _, t, g, ok, _, e in own:
+                if t == "start":
+                    opened.add(g)
+                elif t == "result":
+                    want.append((s, g, bool(ok), e, "result"))
+                    opened.discard(g)
+                elif t != "meta":
+                    want += [(s, x, False, "No result in the stream" if t == "done" else e or "The stream was lost", t) for x in opened]
+                    opened.clear()
+            if own:
+                seen[s] = now
+            elif opened and seen[s] + silent <= now:
+                want += [(s, x, False, "The stream was lost", "timeout") for x in opened]
+                opened.clear()
+        for _ in range(2):
+            completion.settle_batch(spark.createDataFrame(rows, schema), number, folder, silent, now=now)
+    key = lambda r: tuple(map(str, r))
+    got = [(r.stream, r.groupId, r.success, r.error, r.closed_by) for r in completion.outcomes(spark, folder).collect()]
+    assert sorted(got, key=key) == sorted(want, key=key) and any(r[-1] == "timeout" for r in got)

@@ -874,18 +874,8 @@ def stream_outcomes(spark, d):
     starts = completion.started(o.select(item.alias("item"), stream), "stream", "item")
     events = starts.unionByName(results).unionByName(ends)
     events.write.parquet(f"{folder}/events")
-    # without the second one a stream with timers of processing time goes on after its input, as they may still be due
-    settings = {"spark.sql.streaming.stateStore.providerClass": completion.PROVIDER, "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
-    before = {k: spark.conf.get(k) for k in settings}
-    for k, v in settings.items():
-        spark.conf.set(k, v)
-    try:
-        out = completion.completed(spark.readStream.schema(events.schema).parquet(f"{folder}/events"))
-        _ran(out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/offsets").trigger(availableNow=True).start())
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
-    return spark.read.schema(completion.OUTCOME).parquet(f"{folder}/out").drop("data")
+    _ran(completion.complete_batches(spark.readStream.schema(events.schema).parquet(f"{folder}/events"), f"{folder}/out", f"{folder}/offsets"))
+    return completion.outcomes(spark, f"{folder}/out").drop("data")
 
 
 @query("stream_latest", "SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, max(ts) AS ts FROM events GROUP BY 1")

@@ -1,15 +1,22 @@
 """The end of streams of results: every item that was started gets an outcome, whatever becomes of its stream.
 
 A stream's events are start (one for each item), result, done and failed. Items that are open when their stream ends, fails or
-falls silent get an error row. The state of a stream is its open items, at most as many as a request may hold."""
+falls silent get an error row. The state of a stream is its open items, at most as many as a request may hold.
+
+completed() keeps a few streams with timers of their own; complete_batches() settles the many streams of a micro-batch at once by
+windows, with the open items in files."""
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+
+from tiza.streaming.state import folder_of, numbers
 
 #: What transformWithState needs: state that holds several variables and timers.
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -77,6 +84,66 @@ def completed(events: DataFrame, silent: int = 300_000, event_time: bool = False
     return rows.groupBy("stream").transformWithState(Completion(silent, event_time, ended, lost), OUTCOME, "Append", "EventTime" if event_time else "ProcessingTime")
 
 
+#: What a batch writes: outcomes, and the items still open, with when their stream was last heard of.
+SETTLED = f"{OUTCOME}, seen bigint, open boolean"
+
+
+def settled(events: DataFrame, still: DataFrame, now: int, silent: int, ended: str, lost: str) -> DataFrame:
+    """SETTLED rows from a batch's events and the items still(stream, groupId, seen) open before it, at the time now in milliseconds.
+
+    An item is closed by the first end after its start, unless its result, or another start of it, comes before that end."""
+    is_end, none = F.col("type").isin("done", "failed"), F.lit(None).cast("string")
+    new = events.select("stream", "groupId", "type", F.lit(1).alias("round"), F.col("order").cast("long").alias("order"), "success", "data", "error", F.lit(now).cast("long").alias("seen"))
+    old = still.select("stream", "groupId", F.lit("start").alias("type"), F.lit(0).alias("round"), F.lit(0).cast("long").alias("order"), F.lit(None).cast("boolean").alias("success"), none.alias("data"), none.alias("error"), "seen")
+    rows = new.unionByName(old).withColumn("rank", F.when(F.col("type") == "start", 0).when(is_end, 2).otherwise(1))
+    rows = rows.withColumn("at", F.struct("round", "order", "rank")).withColumn("of_item", F.col("type").isin("start", "result"))
+    back = [F.col(c).desc() for c in ("round", "order", "rank")]
+    later = W.partitionBy("stream").orderBy(*back).rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumn("heard", F.max("seen").over(W.partitionBy("stream").orderBy(*back).rowsBetween(W.unboundedPreceding, 0)))
+    rows = rows.withColumn("end", F.last(F.when(is_end, F.struct("at", "type", "error")), ignorenulls=True).over(later))
+    rows = rows.withColumn("next", F.lag("at").over(W.partitionBy("stream", "of_item", "groupId").orderBy(*back))).where("of_item")
+    result = F.col("type") == "result"
+    closed = F.col("end").isNotNull() & (F.col("next").isNull() | (F.col("end.at") < F.col("next")))
+    waits = F.col("end").isNull() & F.col("next").isNull()
+    late = waits & (F.col("heard") + silent <= now)
+    failed = F.coalesce(F.nullif("end.error", F.lit("")), F.lit(lost))
+    error = F.when(result, F.col("error")).when(late, lost).when(closed & (F.col("end.type") == "done"), ended).when(closed, failed)
+    by = F.when(result, "result").when(late, "timeout").when(closed, F.col("end.type"))
+    kept = rows.where(result | (F.col("groupId").isNotNull() & (closed | waits)))
+    good = F.coalesce(result & F.col("success"), F.lit(False))
+    return kept.select("stream", "groupId", good.alias("success"), F.when(result, F.col("data")).alias("data"), error.alias("error"), by.alias("closed_by"), F.col("heard").alias("seen"), by.isNull().alias("open"))
+
+
+def settle_batch(batch: DataFrame, number: int, folder: str, silent: int = 300_000, ended: str = "No result in the stream", lost: str = "The stream was lost", now: int | None = None) -> None:
+    """Writes a batch's outcomes and open items below folder in one pass; a batch that runs again starts from the same items and writes over its own rows."""
+    spark = batch.sparkSession
+
+    def whole(n: int) -> bool:
+        fs, p = folder_of(spark, f"{folder}/batch={n}/_SUCCESS")
+        return fs.exists(p)
+
+    earlier = [n for n in numbers(spark, folder, "batch=") if n < number and whole(n)]
+    still = spark.read.schema(SETTLED).parquet(f"{folder}/batch={earlier[-1]}").where("open") if earlier else spark.createDataFrame([], SETTLED)
+    now = int(time.time() * 1000) if now is None else now
+    settled(batch, still.select("stream", "groupId", "seen"), now, silent, ended, lost).write.mode("overwrite").partitionBy("open").parquet(f"{folder}/batch={number}")
+    for n in earlier[:-1]:  # this batch and the one before it are enough to go on or to run again
+        fs, p = folder_of(spark, f"{folder}/batch={n}/open=true")
+        fs.delete(p, True)
+
+
+def complete_batches(events: DataFrame, folder: str, checkpoint: str, silent: int = 300_000, ended: str = "No result in the stream", lost: str = "The stream was lost") -> StreamingQuery:
+    """As completed() without event time, for many streams: each micro-batch of the events settles all its streams by windows.
+
+    The open items of all streams are written anew with each batch. There are no timers: a stream that has been silent for too long, by
+    processing time, is closed by the next batch that has rows."""
+    return events.writeStream.foreachBatch(lambda batch, number: settle_batch(batch, number, folder, silent, ended, lost)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def outcomes(spark: SparkSession, folder: str) -> DataFrame:
+    """The outcomes of all batches that complete_batches() has written below folder."""
+    return spark.read.schema(SETTLED).parquet(folder).where("not open").drop("seen", "open", "batch")
+
+
 def started(items: DataFrame, stream: str | Column, group: str) -> DataFrame:
     """Start events of items that are sent off, to be put together with a stream's own events."""
     s = F.col(stream) if isinstance(stream, str) else stream

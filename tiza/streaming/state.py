@@ -16,15 +16,15 @@ from tiza.operators.dedupe import last_wins
 BUCKETS = 256
 
 
-def _folder(spark: SparkSession, path: str):
+def folder_of(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def _numbers(spark: SparkSession, path: str, prefix: str) -> list[int]:
+def numbers(spark: SparkSession, path: str, prefix: str) -> list[int]:
     """The numbers of the finished folders `<prefix><n>` below the path, rising."""
-    fs, p = _folder(spark, path)
+    fs, p = folder_of(spark, path)
     names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
     return sorted(int(n.removeprefix(prefix)) for n in names if n.removeprefix(prefix).isdigit())
 
@@ -37,10 +37,10 @@ def _list(spark: SparkSession, target: str, number: int | None) -> dict[int, int
 def _finished(spark: SparkSession, target: str, before: int | None = None) -> int | None:
     """The newest finished list, or the newest of a batch before this one."""
     def whole(n: int) -> bool:
-        fs, p = _folder(spark, f"{target}/lists/{n}/_SUCCESS")
+        fs, p = folder_of(spark, f"{target}/lists/{n}/_SUCCESS")
         return fs.exists(p)
 
-    return next((n for n in reversed(_numbers(spark, f"{target}/lists", "")) if (before is None or n < before) and whole(n)), None)
+    return next((n for n in reversed(numbers(spark, f"{target}/lists", "")) if (before is None or n < before) and whole(n)), None)
 
 
 def _rows(spark: SparkSession, target: str, versions: dict[int, int], schema) -> DataFrame:
@@ -71,16 +71,16 @@ def merge_batch(batch: DataFrame, number: int, target: str, keys: list[str], ord
     finally:
         new.unpersist()
     needed = {*before.items(), *after.items()}
-    fs, root = _folder(spark, target)
-    for v in _numbers(spark, target, "v="):
-        for b in _numbers(spark, f"{target}/v={v}", "bucket="):
+    fs, root = folder_of(spark, target)
+    for v in numbers(spark, target, "v="):
+        for b in numbers(spark, f"{target}/v={v}", "bucket="):
             if (b, v) not in needed:
-                fs.delete(_folder(spark, f"{target}/v={v}/bucket={b}")[1], True)
+                fs.delete(folder_of(spark, f"{target}/v={v}/bucket={b}")[1], True)
         if not any(x == v for _, x in needed):
-            fs.delete(_folder(spark, f"{target}/v={v}")[1], True)
-    for n in _numbers(spark, f"{target}/lists", ""):
+            fs.delete(folder_of(spark, f"{target}/v={v}")[1], True)
+    for n in numbers(spark, f"{target}/lists", ""):
         if n not in (at, number):
-            fs.delete(_folder(spark, f"{target}/lists/{n}")[1], True)
+            fs.delete(folder_of(spark, f"{target}/lists/{n}")[1], True)
 
 
 def keep_latest(events: DataFrame, target: str, checkpoint: str, keys: list[str], order: list[str], buckets: int = BUCKETS) -> StreamingQuery:
