@@ -101,3 +101,9 @@ def test_protocol_stands_once(spark, tmp_path):
         q.awaitTermination(120)
     events = readers.event_lines(spark, str(tmp_path / "s"))
     assert sorted(map(tuple, events.groupBy("batch", "type").count().collect())) == [(b, t, n) for b in (0, 1) for t, n in (("done", 1), ("meta", 1), ("result", 50))]
+
+
+def test_the_cut_text_is_worked_out_once(spark):
+    df = spark.createDataFrame([('x {"a":1} y',), ("no\nJSON",), ("```json\n{}\n```",)], "t string").select(json_repair.cut_json(F.col("t")).alias("c"))
+    assert [r.c for r in df.collect()] == ['{"a":1}', "no JSON", "{}"]
+    assert df._jdf.queryExecution().analyzed().toString().count(r"\{.*\}") == 1

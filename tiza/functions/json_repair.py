@@ -18,8 +18,9 @@ SCHEMA = (
 def cut_json(raw: Column) -> Column:
     """What a fenced block holds, trimmed; else from the first brace to the last; else the trimmed text. Outside a fence, what is no JSON then has its characters repaired."""
     fence = r"(?s)```json\n(.*?)\n```"
-    cut = F.coalesce(F.nullif(braces(raw), F.lit("")), strip(raw))
-    whole = F.when(F.try_parse_json(cut).isNotNull(), cut).otherwise(repaired_characters(cut))
+    held = F.get(F.regexp_extract_all(raw, F.lit(r"(?s)(\{.*\})"), 1), F.lit(0))
+    # within transform() the cut text has a name, so that it is worked out once
+    whole = F.get(F.transform(F.array(F.coalesce(held, strip(raw))), lambda cut: F.when(F.try_parse_json(cut).isNotNull(), cut).otherwise(repaired_characters(cut))), F.lit(0))
     return F.when(raw.rlike(fence), strip(F.regexp_extract(raw, fence, 1))).otherwise(whole)
 
 

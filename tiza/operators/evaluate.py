@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tiza.functions.json_repair import development_details, value_text
+from tiza.functions.json_repair import value_text
 from tiza.functions.numeric import grade, pass_points
 from tiza.functions.text import label, normal_key, normalise_answer
 from tiza.operators import parse, scoring
@@ -68,8 +68,10 @@ def evaluated(exams: DataFrame, answers: DataFrame, details: DataFrame, pct: flo
 
 def reply_details(replies: DataFrame) -> DataFrame:
     """(exam, student, item, points) of replies(exam, student, reply), as validated.parsed_replies() makes them: the development items that evaluated() counts. Unusable replies have none."""
-    each = replies.select("exam", "student", F.explode(F.map_entries(development_details(F.col("reply")))).alias("e"))
-    return each.select("exam", "student", F.col("e.key").alias("item"), F.col("e.value.puntaje").alias("points"))
+    items = F.map_entries(F.col("reply.retroalimentacion.detalle_puntaje_desarrollo"))
+    each = replies.select("exam", "student", F.explode(items).alias("e"))
+    # of an item only the points are parsed
+    return each.select("exam", "student", F.col("e.key").alias("item"), F.from_json(F.col("e.value"), "puntaje string")["puntaje"].alias("points"))
 
 
 def result(score: Column, maximum: Column) -> Column:
