@@ -218,3 +218,16 @@ def test_recall_of_split_buckets():
         a, b = np.sort(s[:324]), np.sort(s[36:])  # 288 of 360: 0.8
         lost += not deepest(nj.signature(a)) & deepest(nj.signature(b))
     assert lost / 400 < 0.1 < nj.shared_miss_rate(0.8, runs=runs, more_levels=nj.MORE_LEVELS, ways=1)
+
+
+def test_texts_come_in_short_batches(spark):
+    """The Arrow batches of a step that _in_batches() runs, and the setting after it."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+    def lengths(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(b)], pa.int64())], ["n"])
+
+    got = nj._in_batches(spark, nj.BATCH, lambda: nj.checkpointed(spark.range(3000, numPartitions=1).mapInArrow(lengths, "n bigint")))
+    n = [r.n for r in got.collect()]
+    assert sum(n) == 3000 and max(n) <= nj.BATCH and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before

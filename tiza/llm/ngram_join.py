@@ -20,7 +20,7 @@ their places in files (common.placed), so ids may repeat or be null, and copies
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 from hashlib import blake2b
 from math import comb
@@ -42,6 +42,8 @@ SPLIT, MORE_LEVELS = 2000, 3
 AGAIN = 3
 #: Sets in a chunk, and shingles of a set that count as one: longer sets make smaller chunks. A unit compares one or two chunks.
 CHUNK, LONG = 512, 1000
+#: Rows in an Arrow batch of texts or shingles.
+BATCH = 256
 MASK = (1 << 64) - 1
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -325,6 +327,17 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def _in_batches(spark: SparkSession, rows: int, made: Callable[[], DataFrame]) -> DataFrame:
+    """What made() works out at once, with at most so many rows in an Arrow batch."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        return made()
+    finally:
+        spark.conf.set(name, before)
+
+
 def _sizes(rows: DataFrame) -> DataFrame:
     """(path, n, weight, x, y) from rows(path, key, size): each bucket's number of sets, their weight in sets of LONG shingles, and two hashes of its members, which can't overflow."""
     h = lambda seed: F.bit_xor(F.xxhash64("key", F.lit(seed)))
@@ -360,7 +373,7 @@ def _groups(docs: DataFrame, threshold: float, runs: int | None, split: int, mor
     """The rows of docs with their places, members (file, place, doc_id, key) and classes (key, rep, n_docs, label, links, text_links)."""
     rows = placed(docs)
     d = rows.select("file", "place", F.col(f"row.`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"row.`{text_col}`").alias("text"))
-    members = checkpointed(d.mapInArrow(_sets(runs or runs_for(threshold), threshold), SETS))
+    members = _in_batches(docs.sparkSession, BATCH, lambda: checkpointed(d.mapInArrow(_sets(runs or runs_for(threshold), threshold), SETS)))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "file", "place", "size", "sig", "paths"))
     classes = members.where("key is not null").groupBy("key").agg(F.count("*").alias("n_docs"), first.alias("f"))
     classes = checkpointed(classes.select("key", "n_docs", F.col("f.doc_id").alias("rep"), "f.file", "f.place", "f.size", "f.sig", "f.paths"))
@@ -375,7 +388,8 @@ def _groups(docs: DataFrame, threshold: float, runs: int | None, split: int, mor
     pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.struct(F.least("chunk", j).alias("one"), F.greatest("chunk", j).alias("other")))
     units = each.select("key", "n_docs", "shingles", "paths", "path", "chunk", F.inline(pairs))
     units = units.repartition("path", "one", "other").sortWithinPartitions("path", "one", "other")
-    linked = checkpointed(units.mapInArrow(_units(threshold), COUNTS))
+    # texts and shingles come in short batches: a long one would stand both beside the Java heap and in each Python worker
+    linked = _in_batches(docs.sparkSession, BATCH, lambda: checkpointed(units.mapInArrow(_units(threshold), COUNTS)))
     links = linked.groupBy("key").agg(F.sum("links").alias("links"), F.sum("text_links").alias("text_links"))
     labels = components(linked.select(F.col("key").alias("u"), F.col("root").alias("v")))
     out = classes.select("key", "n_docs", "rep").join(links, "key", "left").join(labels.withColumnRenamed("v", "key"), "key", "left")
