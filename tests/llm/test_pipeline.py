@@ -1,6 +1,10 @@
 import hashlib
+import re
 from collections import Counter
+from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -8,7 +12,7 @@ from tests.llm.edge import ROWS, edge_docs
 from tests.llm.test_byte_bpe import as_library
 from tests.llm.test_native import base_spans, counts_of
 from tests.llm.test_ngram_join import expected
-from tiza.llm import mixing, pii
+from tiza.llm import byte_bpe, common, mixing, ngram_join, pii
 
 
 def masked_plainly(text, spans):
@@ -91,3 +95,32 @@ def test_positions_of_many_files(spark, tmp_path):
     files = spark.read.parquet(str(tmp_path / "d")).select("doc_id", "_metadata.file_name").collect()
     task_file = lambda n: tuple(map(int, (n[5:10], n.rsplit("-c", 1)[1].split(".")[0])))
     assert [r.doc_id for r in sorted(rows, key=lambda r: r.position)] == [r.doc_id for r in sorted(files, key=lambda r: task_file(r.file_name))]
+
+
+def test_python_steps_release_memory(spark, monkeypatch):
+    """Each function that the n-gram join and the tokens hand to Spark's Python workers releases memory at the end of a task."""
+    docs = edge_docs(spark)
+    handed, calls, make = [], [], type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, *a, **b: handed.append(f) or make(self, f, *a, **b))
+    ngram_join.keep_first(docs)
+    byte_bpe.digests(docs)
+    assert len(handed) == 6
+    monkeypatch.setattr(common, "release", lambda: calls.append(1))
+    for n, f in enumerate(handed):
+        list(f(iter([])))
+        assert len(calls) == n + 1
+
+
+def test_released_memory_goes_to_the_system():
+    own = lambda: sum(map(int, re.findall(r"\nPss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text()))) / 1024
+
+    def run(batches):
+        for b in batches:
+            held = [pa.array([bytes(1000)] * 100, pa.binary()) for _ in range(2000)]
+            assert own() > before + 150
+            yield b
+            del held
+
+    before = own()
+    b = pa.RecordBatch.from_arrays([pa.array(np.arange(3))], ["n"])
+    assert list(common.releasing(run)(iter([b]))) == [b] and own() < before + 50

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tiza.llm.common import table
+from tiza.llm.common import release, releasing, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 BLOCK_CHARS = 8_000_000
@@ -232,7 +232,10 @@ def _assemble(own: pa.Table, merged: pa.Table) -> pa.Table:
         at += n
         out.append(ids[_runs(start[c], count[c])].astype("<u4").tobytes())
     doc_id = pa.array(doc_ids, mask=none.astype(bool))
-    return pa.table([doc_id, pa.array([len(x) // 4 for x in out], pa.int64()), pa.array(out, pa.binary())], schema=RESULT)
+    made = pa.table([doc_id, pa.array([len(x) // 4 for x in out], pa.int64()), pa.array(out, pa.binary())], schema=RESULT)
+    del seq, parts, ids, out
+    release()
+    return made
 
 
 def encode(docs: DataFrame, path: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN, buckets: int | None = None, block_chars: int = BLOCK_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -243,8 +246,8 @@ def encode(docs: DataFrame, path: str = VOCABULARY, pattern: str = public_tokeni
     partitions = max(1, min(MANY, -(-chars // SMALL)), -(-chars // LARGE))
     buckets = buckets or min(max(PER_PARTITION * partitions, BUCKETS[0]), BUCKETS[1])
     ranks = spark.sparkContext.broadcast(load_ranks(path))  # bounded by the vocabulary
-    cut = rows.withColumn("part", F.spark_partition_id()).mapInArrow(_segments(buckets, block_chars, pattern), SEGMENT).repartition(partitions, "key")
-    merged = cut.sortWithinPartitions("bucket").mapInArrow(_merger(ranks), SEGMENT)
+    cut = rows.withColumn("part", F.spark_partition_id()).mapInArrow(releasing(_segments(buckets, block_chars, pattern)), SEGMENT).repartition(partitions, "key")
+    merged = cut.sortWithinPartitions("bucket").mapInArrow(releasing(_merger(ranks)), SEGMENT)
     # both sides read the one shuffle of `cut`; sequences stay where it put them, and only the words' ids move again
     return cut.groupBy("key").cogroup(merged.groupBy("key")).applyInArrow(_assemble, ENCODED)
 
@@ -269,7 +272,7 @@ def decode(encoded: DataFrame, path: str = VOCABULARY, ids_col: str = "ids", out
                 texts.append(None if i is None else raw[_runs(starts[i], lengths[i])].tobytes())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], [*batch.schema.names, out_col])
 
-    return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField(out_col, T.BinaryType())]))
+    return encoded.mapInArrow(releasing(run), T.StructType([*encoded.schema.fields, T.StructField(out_col, T.BinaryType())]))
 
 
 def digests(docs: DataFrame, **options) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tiza.llm.common import checkpointed, join_by_key, placed, table
+from tiza.llm.common import checkpointed, join_by_key, placed, releasing, table
 
 THRESHOLD, WORDS = 0.8, 5
 COORDINATES, DEPTH = 128, 3
@@ -365,7 +365,7 @@ def _buckets(sets: DataFrame, split: int, more_levels: int, threshold: float) ->
         if last or large.isEmpty():
             return done
         deeper = _of(rows, large).join(sets.select("key", "sig"), "key").select("path", "key", "size", "sig")
-        rows = checkpointed(deeper.mapInArrow(_deeper(1 if level else AGAIN, threshold), "path bigint, key binary, size bigint, sig binary").select("path", "key", "size").distinct())
+        rows = checkpointed(deeper.mapInArrow(releasing(_deeper(1 if level else AGAIN, threshold)), "path bigint, key binary, size bigint, sig binary").select("path", "key", "size").distinct())
     return done
 
 
@@ -373,7 +373,7 @@ def _groups(docs: DataFrame, threshold: float, runs: int | None, split: int, mor
     """The rows of docs with their places, members (file, place, doc_id, key) and classes (key, rep, n_docs, label, links, text_links)."""
     rows = placed(docs)
     d = rows.select("file", "place", F.col(f"row.`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"row.`{text_col}`").alias("text"))
-    members = _in_batches(docs.sparkSession, BATCH, lambda: checkpointed(d.mapInArrow(_sets(runs or runs_for(threshold), threshold), SETS)))
+    members = _in_batches(docs.sparkSession, BATCH, lambda: checkpointed(d.mapInArrow(releasing(_sets(runs or runs_for(threshold), threshold)), SETS)))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "file", "place", "size", "sig", "paths"))
     classes = members.where("key is not null").groupBy("key").agg(F.count("*").alias("n_docs"), first.alias("f"))
     classes = checkpointed(classes.select("key", "n_docs", F.col("f.doc_id").alias("rep"), "f.file", "f.place", "f.size", "f.sig", "f.paths"))
@@ -381,7 +381,7 @@ def _groups(docs: DataFrame, threshold: float, runs: int | None, split: int, mor
     # only the texts of sets that share a leaf are compared
     asked = classes.select("file", "place", "key", "n_docs").join(found, "key")
     texts = d.select("file", "place", "text").join(asked, ["file", "place"]).select("key", "n_docs", "buckets", "text")
-    full = texts.mapInArrow(_with_shingles, "key binary, n_docs bigint, buckets array<struct<path:bigint,weight:bigint>>, shingles binary")
+    full = texts.mapInArrow(releasing(_with_shingles), "key binary, n_docs bigint, buckets array<struct<path:bigint,weight:bigint>>, shingles binary")
     each = full.select("key", "n_docs", "shingles", F.transform("buckets", lambda x: x["path"]).alias("paths"), F.explode("buckets").alias("b"))
     chunks = F.ceil(F.col("b.weight") / CHUNK).cast("int")
     each = each.select("key", "n_docs", "shingles", "paths", "b.path", F.pmod(F.xxhash64("key"), chunks).cast("int").alias("chunk"), chunks.alias("chunks"))
@@ -389,7 +389,7 @@ def _groups(docs: DataFrame, threshold: float, runs: int | None, split: int, mor
     units = each.select("key", "n_docs", "shingles", "paths", "path", "chunk", F.inline(pairs))
     units = units.repartition("path", "one", "other").sortWithinPartitions("path", "one", "other")
     # texts and shingles come in short batches: a long one would stand both beside the Java heap and in each Python worker
-    linked = _in_batches(docs.sparkSession, BATCH, lambda: checkpointed(units.mapInArrow(_units(threshold), COUNTS)))
+    linked = _in_batches(docs.sparkSession, BATCH, lambda: checkpointed(units.mapInArrow(releasing(_units(threshold)), COUNTS)))
     links = linked.groupBy("key").agg(F.sum("links").alias("links"), F.sum("text_links").alias("text_links"))
     labels = components(linked.select(F.col("key").alias("u"), F.col("root").alias("v")))
     out = classes.select("key", "n_docs", "rep").join(links, "key", "left").join(labels.withColumnRenamed("v", "key"), "key", "left")
